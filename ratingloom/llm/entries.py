@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ppm, simhash, toxicity
-from .common import bucket, table
+from . import bpe, licenses, mixing, ppm, quality, simhash, toxicity, urls, warc, webp
+from .common import bucket, cut, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +25,43 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = cut(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    out = quality.judge(measured, *quality.fit(measured))
+    return out.select("doc_id", *quality.STATS, "base_failed", "kept", "quality", "pattern")
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic(text).alias("topic"), mixing.n_tokens(text).alias("n_tokens"))
+    return mixing.draw(cut(docs), "n_tokens").select("doc_id", "source", "lang", "topic", "n_tokens", F.round("rate", 4).alias("rate"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_ppm": op2_ppm, "op3_simhash": op3_simhash}
+    found = (op1_toxicity, op2_ppm, op3_simhash, op4_webp, op5_quality, op6_urls, op7_mixing, op8_bpe, op9_licenses, op10_warc)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.mixture_sql(), "op10_warc": warc.roundtrip_sql()}
