@@ -1 +1,45 @@
-"""streaming"""
+"""Incremental snapshots: landed schedule files stream in, and each micro-batch is merged into the current games."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.versions import GAME, merge_games
+from ..schema import GAMES
+from ..sources.raw_json import read_schedule
+
+
+def stream_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of (path, payload) of JSON files as they land."""
+    return spark.readStream.schema("value string").option("wholetext", True).format("text").load(folder).select(F.col("value").alias("payload"))
+
+
+def merge_batch(root: str):
+    """A ``foreachBatch`` function: the batch's games merge with those of the last batch into ``root/batch=<id>``.
+
+    A replayed batch writes the same folder again, so a restart neither loses nor doubles a record. Games in conflict keep the
+    version that stood before, and go to ``root/conflicts``.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new, _ = read_schedule(batch)
+        stamped = new.select(*GAME).dropDuplicates(["game_id"]).withColumns({"run_id": F.lit(f"batch-{batch_id:08d}"), "captured_at": F.lit(batch_id).cast("timestamp")})
+        if batch_id > 0:
+            old = spark.read.schema(GAMES).parquet(f"{root}/games/batch={batch_id - 1}").withColumns({"run_id": F.lit("batch-before"), "captured_at": F.lit(-1).cast("timestamp")})
+            stamped = old.unionByName(stamped)
+        merged, conflicts, _ = merge_games(stamped)
+        if batch_id > 0:
+            clash = conflicts.select("game_id").distinct()
+            merged = merged.unionByName(old.join(clash, "game_id", "left_semi").select(*GAME))
+        merged.write.mode("overwrite").parquet(f"{root}/games/batch={batch_id}")
+        conflicts.write.mode("overwrite").parquet(f"{root}/conflicts/batch={batch_id}")
+
+    return write
+
+
+def run_available(spark: SparkSession, folder: str, root: str) -> None:
+    """Merge all files that have landed, then stop; state is kept in ``root``."""
+    query = stream_snapshots(spark, folder).writeStream.foreachBatch(merge_batch(root)).option("checkpointLocation", f"{root}/_state").trigger(availableNow=True).start()
+    query.awaitTermination()
