@@ -97,16 +97,20 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def draw(docs: DataFrame, tokens: str, id_col: str = "doc_id", marginals: tuple[Marginal, ...] = MARGINALS, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """The drawn rows of ``docs`` with ``rate``; ``tokens`` names its column of token counts."""
+def _drawn(docs: DataFrame, tokens: str, id_col: str, marginals: tuple[Marginal, ...], rounds: int, seed: str) -> DataFrame:
+    """The drawn rows of ``docs`` with ``_rate``."""
     cells = with_cells(docs, marginals)
     keys = ["_m_" + m.column for m in marginals]
-    totals = [tuple(r) for r in cells.groupBy(*keys).agg(F.sum(F.coalesce(F.col(tokens), F.lit(0))).alias("tokens")).collect()]
-    rate = rates(totals, marginals, rounds)
-    schema = ", ".join(f"{k} string" for k in keys) + ", rate double"
-    table = docs.sparkSession.createDataFrame([(*cell, r) for cell, r in rate.items()], schema)
-    kept = [c for c in docs.columns if c != "rate"]
-    return cells.join(F.broadcast(table), keys).where(uniform(F.col(id_col), seed) < F.col("rate")).select(*kept, "rate")
+    totals = [tuple(r) for r in cells.groupBy(*keys).agg(F.sum(F.coalesce(F.col(tokens), F.lit(0))).alias("_total")).collect()]
+    schema = ", ".join(f"{k} string" for k in keys) + ", _rate double"
+    table = docs.sparkSession.createDataFrame([(*cell, r) for cell, r in rates(totals, marginals, rounds).items()], schema)
+    return cells.join(F.broadcast(table), keys).where(uniform(F.col(id_col), seed) < F.col("_rate")).select(*docs.columns, "_rate")
+
+
+def draw(docs: DataFrame, tokens: str, id_col: str = "doc_id", marginals: tuple[Marginal, ...] = MARGINALS, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """The drawn rows of ``docs`` with ``rate``; ``tokens`` names its column of token counts."""
+    out = _drawn(docs, tokens, id_col, marginals, rounds, seed)
+    return out.select(*(c for c in docs.columns if c != "rate"), F.col("_rate").alias("rate"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marginals: tuple[Marginal, ...] = MARGINALS) -> DataFrame:
@@ -114,7 +118,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marg
     ready = docs.withColumn("_tokens", n_tokens(F.col(text_col)))
     if "topic" not in docs.columns:
         ready = ready.withColumn("topic", topic(F.coalesce(F.col(text_col), F.lit(""))))
-    return draw(ready, "_tokens", id_col, marginals).select(docs.columns)
+    return _drawn(ready, "_tokens", id_col, marginals, ROUNDS, SEED).select(docs.columns)
 
 
 def mixture_sql(source: str = "documents", rounds: int = ROUNDS) -> str:
