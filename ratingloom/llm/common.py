@@ -42,3 +42,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than by default: texts may be long, and a worker holds a batch several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
