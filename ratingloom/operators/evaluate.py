@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip
+from ..sources.store import cut
 
 METRICS = ("score_mae", "score_rmse", "spread_mae", "total_mae", "brier_score", "winner_accuracy")
 
@@ -43,7 +44,7 @@ def improvement(metrics: DataFrame, baseline: str) -> DataFrame:
 
 def calibration_bins(predicted: DataFrame, bins: int = 10, by: tuple[str, ...] = ("model",)) -> DataFrame:
     """Per model and right-closed bin of the probability (0 in the first): games, mean probability and home win share."""
-    known = predicted.where(F.col("home_score").isNotNull() & F.col("home_win_probability").isNotNull())
+    known = cut(predicted.where(F.col("home_score").isNotNull() & F.col("home_win_probability").isNotNull()).select(*by, "home_win_probability", "home_score", "away_score"))
     p = F.col("home_win_probability")
     index = F.greatest(F.ceil(p * bins) - 1, F.lit(0)).cast("int")
     won = (F.col("home_score") > F.col("away_score")).cast("double")

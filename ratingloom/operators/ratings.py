@@ -162,7 +162,12 @@ def fit_ratings(games: DataFrame, stats: DataFrame, teams: DataFrame, advanced:
     if cutoff is not None:
         games = games.where(F.col("game_date") < F.lit(cutoff).cast("timestamp"))
     stats = stats.join(games.where("completed").select("game_id"), "game_id", "left_semi")
-    e = edges(stats, games, s).join(team_priors(stats.select("team_id"), priors, talent), "team_id")
+    e = edges(stats, games, s)
+    if priors is None and talent is None:
+        e = e.withColumn("prior", F.lit(0.0))
+    else:
+        e = e.join(team_priors(stats.select("team_id"), priors, talent), "team_id")
+    e = cut(e)  # read by the solver, the counts and the schedule strengths
     solved = raw_ratings(e, s, strategy)
     counts = e.groupBy("unit", "team_id").agg(F.count("*").alias("n"), F.first("prior").alias("prior"))
     info = teams.select("team_id", F.col("name").alias("team_name"), F.coalesce("conference", F.lit("FBS")).alias("conference"))

@@ -264,7 +264,8 @@ def rated(spark, d):
     """Rating profiles of all seasons: fitted once a session and folder, then read from the shared folder by all that use them."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _RATED:
-        fitted = ratings.fit_ratings(games(spark, d), stats(spark, d), teams(spark, d), ratings.advanced_season_metrics(derived(spark, d, "advanced")))
+        g, s = store.cut(games(spark, d)), store.cut(stats(spark, d))
+        fitted = ratings.fit_ratings(g, s, teams(spark, d), ratings.advanced_season_metrics(derived(spark, d, "advanced")))
         path = f"{store.shared_dir(spark)}/ratings-{abs(hash(key)):x}"
         fitted.write.mode("overwrite").parquet(path)
         _RATED[key] = path
@@ -322,9 +323,9 @@ def top_rankings(spark, d):
     return ratings.top_rankings(rated(spark, d), 2000)
 
 
-@query("unit# rank# team_id# tier", "SELECT * FROM rated WHERE unit = 1999 AND lower(conference) = 'region_1' AND lower(team_name) LIKE '%1%'")
+@query("unit# rank# team_id# tier", "SELECT * FROM rated WHERE unit = 1999 AND lower(conference) = 'america' AND lower(team_name) LIKE '%1%'")
 def filtered_rankings(spark, d):
-    return ratings.filter_rankings(rated(spark, d), 1999, "Region_1", None, "1")
+    return ratings.filter_rankings(rated(spark, d), 1999, "AmericA", None, "1")
 
 
 @query("unit# best_overall# best_offense# best_defense# hardest_schedule#", """SELECT unit, MAX(CASE WHEN rank = 1 THEN team_id END) AS best_overall, MAX(CASE WHEN o = 1 THEN team_id END) AS best_offense, MAX(CASE WHEN df = 1 THEN team_id END) AS best_defense, MAX(CASE WHEN s = 1 THEN team_id END) AS hardest_schedule
@@ -386,7 +387,9 @@ def slate_summary(spark, d):
 
 
 def periods(spark, d):
-    return models.with_periods(features.matchup_features(games(spark, d), features.team_pregame_features(games(spark, d), stats(spark, d))))
+    used = ("points", "points_allowed")  # of the registered models
+    own = features.team_pregame_features(games(spark, d), stats(spark, d), used)
+    return store.cut(models.with_periods(store.cut(features.matchup_features(games(spark, d), own, used))))
 
 
 def out_of_sample(spark, d, names=None):
