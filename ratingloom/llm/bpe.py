@@ -14,17 +14,23 @@ text; extra columns are kept, ``n_tokens`` and ``ids`` replaced; repeated rows a
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bounds of a worker's cache of spelled pre-tokens: their number, and the length of those it takes in.
-CACHE, CACHED_CHARS = 400_000, 64
+CACHE, CACHED_CHARS = 150_000, 64
+#: Characters of the texts, and pre-tokens, that are replayed together.
+CHUNK_CHARS, REPLAYED = 8_000_000, 75_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,26 +149,44 @@ class Replay:
 
 
 class Encoder:
-    """Texts to ids, through the replay of each batch's new pre-tokens."""
+    """Texts to ids, through the replay of each chunk's new pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.find, self.cache = Replay(ranks), regex.compile(pattern).findall, {}
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [self.find(t) if t else [] for t in texts]
+        chunk: list[str] = []
+        size = 0
+        for t in texts:
+            chunk.append(t or "")
+            size += len(chunk[-1])
+            if size >= CHUNK_CHARS:
+                yield from self._chunk(chunk)
+                chunk, size = [], 0
+        yield from self._chunk(chunk)
+
+    def _chunk(self, texts: list[str]) -> Iterator[bytes]:
+        # a text is kept as numbers of its pre-tokens: as objects they would take many times the text's size
+        number: dict[str, int] = {}
+        found = []
+        for t in texts:
+            words = self.find(t)
+            found.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        cached = self.cache.get
+        spelled = [cached(w) for w in number]
+        new = [w for w, ids in zip(number, spelled) if ids is None]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        local = self.cache
-        new = list({w for words in split for w in words if w not in local})
-        spelled = dict(zip(new, map(np.ndarray.tobytes, self.replay.spell([w.encode() for w in new]))))
-        for w, ids in spelled.items():
-            if len(w) <= CACHED_CHARS:
-                local[w] = ids
-        long = {w: ids for w, ids in spelled.items() if len(w) > CACHED_CHARS}
-        if not long:
-            return [b"".join(map(local.__getitem__, words)) for words in split]
-        return [b"".join([local[w] if w in local else long[w] for w in words]) for words in split]
+        for at in range(0, len(new), REPLAYED):
+            part = new[at : at + REPLAYED]
+            for w, ids in zip(part, self.replay.spell([w.encode() for w in part])):
+                spelled[number[w]] = ids.tobytes()
+                if len(w) <= CACHED_CHARS:
+                    self.cache[w] = spelled[number[w]]
+        of = spelled.__getitem__
+        for numbers in found:
+            yield b"".join(map(of, numbers.tolist()))
 
 
 _WORKER: dict[tuple, Encoder] = {}
@@ -177,36 +201,67 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _WORKER[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", rows: int = 2000) -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``ids`` (binary, little-endian unsigned 32-bit)."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+def encoded(spark: SparkSession, text: str | Column, ranks: dict[bytes, int], pattern: str) -> Column:
+    """Ids of a text column, as binary of little-endian unsigned 32-bit integers."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast((ranks, pattern))
 
     @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def spelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _encoder(*shared.value)
-        for texts in batches:
-            yield pd.Series(coder.encode(texts), dtype=object)
+        held: list[pd.Series] = []
 
-    kept = [c for c in docs.columns if c not in ("n_tokens", "ids")]
-    out = docs.withColumn("_ids", encoded.asNondeterministic()(F.col(text_col)))
-    return out.select(*kept, (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.col("_ids").alias("ids"))
+        def done() -> Iterator[pd.Series]:
+            ids = coder.encode(t for texts in held for t in texts)
+            for texts in held:
+                yield pd.Series(list(islice(ids, len(texts))), dtype=object)
+
+        size = 0
+        for texts in batches:  # small batches are replayed together
+            held.append(texts)
+            size += int(texts.str.len().sum())
+            if size >= CHUNK_CHARS:
+                yield from done()
+                held, size = [], 0
+        yield from done()
 
+    return spelled.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
-def decode(ids: Column, spark_context, ranks: dict[bytes, int]) -> Column:
+
+def decoded(spark: SparkSession, ids: str | Column, ranks: dict[bytes, int]) -> Column:
     """The bytes that a column of ids spells."""
-    shared = spark_context.broadcast(ranks)
+    shared = spark.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("binary")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def spelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = {r: t for t, r in shared.value.items()}.__getitem__
         for column in batches:
-            yield pd.Series([b"".join(map(of, np.frombuffer(x, "<u4").tolist())) for x in column], dtype=object)
+            yield pd.Series([_bytes(x, of) for x in column], dtype=object)
+
+    return spelled.asNondeterministic()(F.col(ids) if isinstance(ids, str) else ids)
 
-    return decoded.asNondeterministic()(ids)
+
+def _bytes(ids: bytes, of) -> bytes:
+    return b"".join(map(of, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens`` and ``ids``."""
+    kept = [c for c in docs.columns if c not in ("n_tokens", "ids")]
+    out = docs.withColumn("_ids", encoded(docs.sparkSession, text_col, ranks, pattern))
+    return out.select(*kept, (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.col("_ids").alias("ids"))
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256)."""
-    part = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = encode(part, ranks, pattern, "_text").select("_id", "n_tokens", "ids", decode(F.col("ids"), docs.sparkSession.sparkContext, ranks).alias("decoded"))
-    return out.select(F.col("_id").alias(id_col), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(id, n_tokens, ids_sha256, decoded_sha256): texts are encoded, the ids decoded again, and both digested where they are made."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        of = {r: t for t, r in shared.value.items()}.__getitem__
+        for column in batches:
+            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(_bytes(x, of)).hexdigest()) for x in column]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    ids = encoded(docs.sparkSession, text_col, ranks, pattern)
+    return docs.select(F.col(id_col), digested.asNondeterministic()(ids).alias("_d")).select(id_col, "_d.*")
