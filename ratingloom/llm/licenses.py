@@ -52,71 +52,74 @@ def _template_runs(spark, phrases: Sequence[tuple[str, str]], templates: Sequenc
     rows = []
     for number, (label, text, base) in enumerate([*((x, y, True) for x, y in phrases), *((x, y, False) for x, y in templates)]):
         words = text.split()
-        if len(words) < k:
-            raise ValueError(f"a template needs {k} words at least: {text}")
+        if not k <= len(words) <= 62:
+            raise ValueError(f"a template has {k} to 62 words (longer wording goes in pieces): {text}")
         rows += [(number, label, base, len(words), i, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
     return spark.createDataFrame([*rows, (-1, None, False, 0, -1, "")], "template int, label string, base boolean, length int, at int, run string")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
-         k: int = K, min_cover: float = MIN_COVER, shift: int = SHIFT) -> DataFrame:
-    """A row for each row of ``docs``: id, n_words, findings (array of label, base, first, last, cover), and their digest columns."""
-    runs = F.broadcast(_template_runs(docs.sparkSession, phrases, templates, k))
+def _hits(docs: DataFrame, id_col: str, text_col: str, runs: DataFrame, k: int) -> DataFrame:
+    """(id, text_key, n_words, pos) of every run of a text that stands in a template, with the template's columns."""
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), words_of(F.col(text_col)).alias("w"))
     # one run of k words a row; the sentinel is a run without words that carries the number of words as its position
     starts = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
-    each = text.select("id", "text_key", F.size("w").alias("n_words"), F.explode(F.concat(F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, k), " ").alias("run"))), F.array(F.struct(F.size("w").alias("pos"), F.lit("").alias("run"))))).alias("r"))
+    cut_ = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, k), " ").alias("run")))
+    each = text.select("id", "text_key", F.size("w").alias("n_words"), F.explode(F.concat(cut_, F.array(F.struct(F.size("w").alias("pos"), F.lit("").alias("run"))))).alias("r"))
     hashed = each.select("id", "text_key", "n_words", "r.pos", F.col("r.run").alias("own"), F.xxhash64("r.run").alias("h"))
-    hits = hashed.join(runs.withColumn("h", F.xxhash64("run")), "h").where("own = run")
-    return findings(hits, id_col, k, min_cover, shift)
+    return hashed.join(F.broadcast(runs.withColumn("h", F.xxhash64("run"))), "h").where("own = run")
+
+
+TEXT = ("id", "text_key")
+
 
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
+          k: int = K, min_cover: float = MIN_COVER, shift: int = SHIFT) -> DataFrame:
+    """Long form, a row a finding: id, text_key, template, label, base, first and last word, cover, and ``found``.
 
-def findings(hits: DataFrame, id_col: str, k: int, min_cover: float, shift: int) -> DataFrame:
-    text = ["id", "text_key"]
-    # votes: hits of a text, a template and a diagonal, with the template positions they cover
-    votes = hits.groupBy(*text, "template", "label", "base", "length", F.when(F.col("template") >= 0, F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.sort_array(F.collect_set("at")).alias("covered"), F.count("*").alias("times"), F.max("n_words").alias("n_words")
-    )
-    near = Window.partitionBy(*text, "template").orderBy("diagonal")
+    Template -1 is a text's sentinel: a row for each distinct text, with ``rows``, how often it stands.
+    """
+    hits = _hits(docs, id_col, text_col, _template_runs(docs.sparkSession, phrases, templates, k), k)
+    # votes of a text, a template and a diagonal; the template positions that have one are the bits of a mask
+    diagonal = F.when(F.col("template") >= 0, F.col("pos") - F.col("at"))
+    votes = hits.groupBy(*TEXT, "template", "label", "base", "length", diagonal.alias("diagonal")).agg(
+        F.bit_or(F.when(F.col("template") >= 0, F.expr("shiftleft(1L, at)")).otherwise(0)).alias("mask"),
+        F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("times"), F.max("n_words").alias("n_words"),
+    )
+    near = Window.partitionBy(*TEXT, "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(near)
-    spans = (
+    merged = (
         votes.withColumn("new", F.when(F.col("base") | gap.isNull() | (gap > shift), 1).otherwise(0))
         .withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*text, "template", "label", "base", "length", "span")
+        .groupBy(*TEXT, "template", "label", "base", "length", "span")
         .agg(
-            F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"),
-            F.min(F.col("diagonal") + F.element_at("covered", 1)).alias("first"),
-            F.max(F.col("diagonal") + F.element_at("covered", -1) + k - 1).alias("last"),
-            F.min("diagonal").alias("diagonal"),
-            F.sum(F.when(F.col("template") < 0, F.col("times"))).alias("rows"),
-            F.max("n_words").alias("n_words"),
+            F.bit_or("mask").alias("mask"), F.min(F.col("diagonal") + F.col("low")).alias("first"), F.max(F.col("diagonal") + F.col("high") + k - 1).alias("last"),
+            F.sum(F.when(F.col("template") < 0, F.col("times"))).alias("rows"), F.max("n_words").alias("n_words"),
         )
-    )
-    # verified: the words of the template that stand in the span, each counted once
-    words = F.size(F.array_distinct(F.flatten(F.transform("covered", lambda a: F.sequence(a, a + k - 1)))))
-    cover = words / F.col("length")
-    whole = F.col("base") & (F.size("covered") == F.col("length") - k + 1)
-    loose = ~F.col("base") & (F.col("template") >= 0) & (cover >= min_cover)
-    found = F.struct("label", "base", F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("first")).alias("first"), "last", cover.alias("cover"))
-    per = (
-        spans.withColumn("found", F.when(whole | loose, found))
-        .groupBy(*text)
-        .agg(F.max("n_words").cast("long").alias("n_words"), F.max("rows").alias("rows"), F.sort_array(F.collect_list("found")).alias("findings"))
-    )
-    base = F.filter("findings", lambda x: x["base"])
-    labels = lambda a: F.array_join(F.sort_array(F.array_distinct(F.transform(a, lambda x: x["label"]))), ",")
-    return per.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.size(base).cast("long").alias("n_base"),
-        F.array_min(F.transform(base, lambda x: x["first"])).cast("long").alias("first_word"),
-        F.array_max(F.transform(base, lambda x: x["first"])).cast("long").alias("last_word"),
-        labels(base).alias("base_labels"),
-        labels(F.col("findings")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("findings", lambda x: x["cover"])), F.lit(0.0)).alias("score"),
-        "findings",
-        F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_copy"),
-    ).drop("_copy")
+    )
+    # verified: the words of the template that stand in the span, each counted once; a base phrase must stand whole
+    word_mask = F.col("mask")
+    for i in range(1, k):
+        word_mask = word_mask.bitwiseOR(F.shiftleft("mask", i))
+    cover = F.bit_count(word_mask) / F.greatest("length", F.lit(1))
+    whole = F.bit_count("mask") == F.col("length") - k + 1
+    return merged.withColumns({"cover": cover, "found": F.when(F.col("template") < 0, False).when(F.col("base"), whole).otherwise(cover >= min_cover)}).drop("mask", "span")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
+         k: int = K, min_cover: float = MIN_COVER, shift: int = SHIFT) -> DataFrame:
+    """A row for each row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    all_ = spans(docs, id_col, text_col, phrases, templates, k, min_cover, shift)
+    base = F.col("found") & F.col("base")
+    names = lambda flag, which: F.concat_ws(",", *(F.when(F.max(flag & (F.col("label") == x)), x) for x in sorted(set(which))))
+    ours = {label for label, _ in phrases}
+    per = all_.groupBy(*TEXT).agg(
+        F.max("n_words").cast("long").alias("n_words"), F.max("rows").alias("rows"), F.count_if(base).cast("long").alias("n_base"),
+        F.min(F.when(base, F.col("first"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("first"))).cast("long").alias("last_word"),
+        names(base, ours).alias("base_labels"), names(F.col("found"), ours | {label for label, _ in templates}).alias("labels"),
+        F.coalesce(F.max(F.when(F.col("found"), F.col("cover"))), F.lit(0.0)).alias("score"),
+    )
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
+    return per.withColumn("_copy", copies).select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def base_sql(phrases: Sequence[tuple[str, str]] = PHRASES, table: str = "documents") -> Mapping[str, str]:
