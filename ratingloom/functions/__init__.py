@@ -126,3 +126,18 @@ def snake_case(text: str) -> str:
     import re
 
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", text).lower()
+
+
+#: Digits with which forecasts are shown: points and edges one, probabilities three.
+SHOWN = {"home_win_probability": 3} | {
+    c: 1
+    for c in (
+        "home_expected_points", "away_expected_points", "projected_spread_home", "projected_total", "home_score_low", "home_score_high",
+        "away_score_low", "away_score_high", "market_spread", "market_total", "spread_edge", "total_edge",
+    )
+}
+
+
+def presented(df):
+    """A forecast table with its numbers rounded for display; other columns stay."""
+    return df.withColumns({c: round_to(c, d) for c, d in SHOWN.items() if c in df.columns})

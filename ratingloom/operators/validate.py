@@ -134,3 +134,27 @@ def training(df: DataFrame, min_games: int = 20, min_periods: int = 2) -> DataFr
         F.lit("all"),
         {"too_few_games": (F.col("games") < min_games, F.col("games")), "too_few_periods": (F.col("periods") < min_periods, F.col("periods"))},
     )
+
+
+def results(records: DataFrame, season: int, week: int, season_type: str) -> DataFrame:
+    """Rules of a results payload (schedule records as read from JSON): scope, classes, teams and whole, non-negative finals."""
+    from functools import reduce as fold
+
+    known = [F.col(f"{s}Classification").isin("fbs", "fcs") for s in ("home", "away")]
+    fcs = (F.col("homeClassification") == "fcs") | (F.col("awayClassification") == "fcs")
+    outside = ~(F.col("season").eqNullSafe(season) & F.col("week").eqNullSafe(week) & F.col("seasonType").eqNullSafe(season_type))
+    no_final = F.col("completed") & (F.col("homePoints").isNull() | F.col("awayPoints").isNull() | (F.least("homePoints", "awayPoints") < 0))
+    return union(
+        duplicates(records, ["id"], "duplicate_result"),
+        _rules(
+            records,
+            F.col("id"),
+            {
+                "outside_requested_scope": (outside, F.concat_ws("/", "season", "week", "seasonType")),
+                "unknown_classification": (~F.coalesce(fold(lambda a, b: a & b, known), F.lit(False)), F.lit("")),
+                "invalid_teams": (~fcs & ((F.col("homeId") == F.col("awayId")) | F.col("homeId").isNull() | F.col("awayId").isNull()), F.lit("")),
+                "invalid_final": (~fcs & no_final, F.lit("")),
+                "completed_not_boolean": (F.col("completed").isNull(), F.lit("")),
+            },
+        ),
+    )

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rate_metrics
+from ..functions import presented, rate_metrics
 from ..operators import dimensions, evaluate, features, grade, market, models, project, ratings, upcoming, validate, versions
 from ..schema import ROLLING
 from ..sources import raw_json, store
@@ -662,6 +662,40 @@ def same_teams(spark, d):
     return versions.same_teams(stats(spark, d), games(spark, d)).groupBy("same").agg(F.count("*").alias("n"))
 
 
+# --- runs, results and presentation -----------------------------------------------------------------------------------------
+
+
+@query("run_id captured_at games#", "SELECT run_id, MAX(captured_at) AS captured_at, COUNT(*) AS games FROM snapshots GROUP BY run_id")
+def list_snapshots(spark, d):
+    return snapshots(spark, d).groupBy("run_id").agg(F.max("captured_at").alias("captured_at"), F.count("*").alias("games")).orderBy("captured_at", "run_id")
+
+
+@query("run_id", "SELECT run_id FROM (SELECT run_id, ROW_NUMBER() OVER (ORDER BY captured_at DESC, run_id DESC) AS k FROM (SELECT DISTINCT run_id, captured_at FROM snapshots) t) u WHERE k = 1")
+def newest_snapshot(spark, d):
+    return snapshots(spark, d).agg(F.max_by("run_id", F.struct("captured_at", "run_id")).alias("run_id"))
+
+
+@query("source_run forecasts# first_created", "SELECT source_run, COUNT(*) AS forecasts, MIN(created) AS first_created FROM forecasts GROUP BY source_run")
+def saved_forecasts(spark, d):
+    return forecasts(spark, d).groupBy("source_run").agg(F.count("*").alias("forecasts"), F.min("created").alias("first_created"))
+
+
+@query("completed n# with_scores#", "SELECT completed, COUNT(*) AS n, COUNT(home_score) AS with_scores FROM games GROUP BY completed")
+def completed_split(spark, d):
+    return games(spark, d).groupBy("completed").agg(F.count("*").alias("n"), F.count("home_score").alias("with_scores"))
+
+
+@query("rule key", """SELECT 'outside_requested_scope' AS rule, CAST(game_id AS VARCHAR) AS key FROM games WHERE season = 2000 AND week <> 20 UNION ALL SELECT 'invalid_teams', CAST(game_id AS VARCHAR) FROM games WHERE season = 2000 AND game_id % 109 = 0 AND game_id % 101 NOT IN (0, 1)""")
+def validate_results(spark, d):
+    records = raw_json.schedule_records(schedule_payloads(spark, d)).where("season = 2000")
+    return validate.results(records, 2000, 20, "regular")
+
+
+@query("game_id# home_expected_points~ projected_total~ home_win_probability~", f"SELECT game_id, {oracles.r1('home_expected_points')} AS home_expected_points, {oracles.r1('projected_total')} AS projected_total, {oracles.r1('home_win_probability', 3)} AS home_win_probability FROM rolling")
+def presented_forecasts(spark, d):
+    return presented(upcoming.rolling_forecast(todo(spark, d), games(spark, d)))
+
+
 # --- dimensions and exports -----------------------------------------------------------------------------------------------------
 
 
