@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .components import components
 
 TILE = 2048
+#: Tiles of a cell that meet in one task: larger cells are compared block by block, in as many tasks as there are block pairs.
+BLOCK = 32
 #: Of a wide fingerprint: its 64-bit lanes, the bits of the first lane and of all lanes within which two texts count as similar.
-#: At a Jaccard similarity of 0.8, 256 bits differ in 39 places on average (standard deviation 6), unrelated texts in 128.
-LANES, FIRST_RADIUS, WIDE_RADIUS = 4, 20, 48
+#: At a Jaccard similarity of 0.8, 512 bits differ in 77 places on average (standard deviation 8), at 0.6 in 118, unrelated texts in 256.
+LANES, FIRST_RADIUS, WIDE_RADIUS = 8, 20, 92
 QUARTERS = 4
 
 
@@ -79,6 +81,7 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, list[int]]:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, name: str = "_fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -137,25 +140,45 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, wide_a=None, wide_b=None,
     return out
 
 
+def packed_tiles(cells: DataFrame, key: str, columns: list[str], tile: int) -> tuple[DataFrame, DataFrame]:
+    """(tiles, sizes): rows of each cell dealt by hash of ``key`` to tiles of about ``tile`` rows, with ``columns`` as arrays."""
+    sizes = cut(cells.groupBy("cell").agg(F.ceil(F.count("*") / (0.75 * tile)).cast("int").alias("parts")))
+    dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    packed = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return packed.select("cell", "part", *(F.col(f"rows.{c}").alias(c) for c in columns)), sizes
+
+
+def tile_pairs(tiles: DataFrame, sizes: DataFrame, columns: list[str], offsets: list[tuple[int, ...]]) -> DataFrame:
+    """Each pair of tiles of neighbouring cells once, side by side (``c`` and ``c_b``); ``same``: a tile with itself.
+
+    A pair of cells is a grid of blocks, ``BLOCK`` tiles a side, and each block of the grid is a join key of its own: a cell of
+    any size is compared by many tasks. A tile goes to the blocks of its row or column.
+    """
+    steps = F.array(*(F.array(*(F.lit(x) for x in o)) for o in offsets))
+    last = lambda c: F.floor((F.col(c) - 1) / BLOCK).cast("int")
+    own = F.floor(F.col("part") / BLOCK).cast("int")
+    near = lambda sign: F.transform("cell", lambda x, i: x + sign * F.get("o", i))
+    left = tiles.withColumn("o", F.explode(steps)).withColumn("cell_b", near(1)).join(sizes.select(F.col("cell").alias("cell_b"), "parts"), "cell_b")
+    left = left.withColumns({"row": own, "column": F.explode(F.sequence(F.lit(0), last("parts")))}).drop("o", "parts")
+    right = tiles.select(F.col("cell"), F.col("part").alias("part_b"), *(F.col(c).alias(f"{c}_b") for c in columns)).withColumn("o", F.explode(steps)).withColumn("cell_a", near(-1))
+    right = right.join(sizes.select(F.col("cell").alias("cell_a"), "parts"), "cell_a")
+    right = right.withColumns({"column": F.floor(F.col("part_b") / BLOCK).cast("int"), "row": F.explode(F.sequence(F.lit(0), last("parts")))})
+    right = right.select(F.col("cell_a").alias("cell"), F.col("cell").alias("cell_b"), "row", "column", "part_b", *(f"{c}_b" for c in columns))
+    pairs = left.join(right, ["cell", "cell_b", "row", "column"]).where((F.col("cell") != F.col("cell_b")) | (F.col("part") <= F.col("part_b")))
+    return pairs.withColumn("same", (F.col("cell") == F.col("cell_b")) & (F.col("part") == F.col("part_b")))
+
+
 def links(prints: DataFrame, fp: str = "fp", radius: int = 3, tile: int = TILE) -> DataFrame:
     """(a, b): links between distinct fingerprints whose components are those of all pairs within ``radius`` bits."""
     cells = prints.select(F.col(fp).alias("fp")).select("fp", F.array(*quarter_counts("fp")).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
-    # a cell's fingerprints are dealt to its tiles by hash, so that no task ever holds a whole cell
-    dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / (0.75 * tile))).cast("int"))
-    tiles = dealt.groupBy("cell", "part").agg(F.collect_list("fp").alias("fps"))
-    offsets = F.array(*(F.array(*(F.lit(x) for x in o)) for o in _offsets(radius)))
-    left = tiles.select("part", "fps", F.col("cell").alias("own"), F.explode(offsets).alias("o")).select(
-        "part", "fps", "own", F.transform("own", lambda x, i: x + F.get("o", i)).alias("cell")
-    )
-    right = tiles.select("cell", F.col("part").alias("part_b"), F.col("fps").alias("fps_b"))
-    pairs = left.join(right, "cell").where((F.col("own") != F.col("cell")) | (F.col("part") <= F.col("part_b")))
-    rows = pairs.select("fps", F.when((F.col("own") != F.col("cell")) | (F.col("part") != F.col("part_b")), F.col("fps_b")).alias("fps_b"))
+    tiles, sizes = packed_tiles(cells, "fp", ["fp"], tile)
+    pairs = tile_pairs(tiles, sizes, ["fp"], _offsets(radius))
+    rows = pairs.select("fp", F.when(~F.col("same"), F.col("fp_b")).alias("fp_b"))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             a, b = [], []
-            for x, y in zip(pdf["fps"], pdf["fps_b"]):
+            for x, y in zip(pdf["fp"], pdf["fp_b"]):
                 p = np.asarray(x, np.int64)
                 q = p if y is None else np.asarray(y, np.int64)
                 for i, j in forest(p.view(np.uint64), p.view(np.uint64) if y is None else q.view(np.uint64), radius):
@@ -190,24 +213,17 @@ def similar_links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     level = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
     band = F.floor(F.bit_count("f0") / (FIRST_RADIUS + 1)).cast("int")
     names = [f"f{i}" for i in range(LANES)]
-    cells = prints.select("node", *names, level.alias("level"), band.alias("band"))
-    sizes = cells.groupBy("level", "band").agg(F.count("*").alias("rows"))
-    dealt = cells.join(sizes, ["level", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / (0.75 * tile))).cast("int"))
-    packed = dealt.groupBy("level", "band", "part").agg(F.collect_list(F.struct("node", *names)).alias("rows"))
-    tiles = packed.select("level", "band", "part", *(F.col(f"rows.{x}").alias(x) for x in ("node", *names)))
-    near = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
-    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in near))
-    left = tiles.withColumn("o", F.explode(steps)).select((F.col("level") + F.col("o.x")).alias("level"), (F.col("band") + F.col("o.y")).alias("band"), "part", "node", *names, ((F.col("o.x") == 0) & (F.col("o.y") == 0)).alias("own"))
-    right = tiles.select("level", "band", F.col("part").alias("part_b"), *(F.col(x).alias(f"{x}_b") for x in ("node", *names)))
-    # each pair of tiles is a few kilobytes and the unit of work: dealt out evenly, as cells differ in size
-    pairs = left.join(right, ["level", "band"]).where(~F.col("own") | (F.col("part") <= F.col("part_b")))
+    cells = prints.select("node", *names, F.array(level, band).alias("cell"))
+    columns = ["node", *names]
+    tiles, sizes = packed_tiles(cells, "node", columns, tile)
+    pairs = tile_pairs(tiles, sizes, columns, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]).select(*columns, *(f"{c}_b" for c in columns), "same")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple[int, int]] = []
             for r in pdf.itertuples(index=False):
                 p = [np.asarray(getattr(r, x), np.int64) for x in ("node", *names)]
-                q = p if r.own and r.part == r.part_b else [np.asarray(getattr(r, f"{x}_b"), np.int64) for x in ("node", *names)]
+                q = p if r.same else [np.asarray(getattr(r, f"{x}_b"), np.int64) for x in ("node", *names)]
                 a, b = [x.view(np.uint64) for x in p[1:]], [x.view(np.uint64) for x in q[1:]]
                 if q is p:
                     b = a
@@ -219,6 +235,7 @@ def similar_links(prints: DataFrame, tile: int = TILE) -> DataFrame:
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(id, component_id) over texts whose ``words``-word shingle sets are similar (0.8 or more, as estimated by wide fingerprints)."""
+    small_batches(docs.sparkSession)
     kind = "size int, " + ", ".join(f"f{i} long" for i in range(LANES))
 
     @F.pandas_udf(kind)

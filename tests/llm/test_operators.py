@@ -112,12 +112,15 @@ def test_fingerprint_bits():
     assert simhash.fingerprint("A b") == xxhash.xxh64_intdigest(b"a b", 42) and simhash.fingerprint(None) == 0
 
 
-def test_links_equal_brute_force(spark):
+@pytest.mark.parametrize(("block", "tile"), [(32, 16), (1, 2)])
+def test_links_equal_brute_force(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     near = [int(x) for b in base for x in [b, *(b ^ np.uint64(1 << int(k)) ^ np.uint64(1 << int(j)) for k, j in rng.integers(0, 64, (6, 2)))]]
+    near += [int(base[0] ^ np.uint64(1 << i) ^ np.uint64(1 << j)) for i in range(16) for j in range(16, 32)]  # many in a few cells
     near = sorted({x - 2**64 if x >= 2**63 else x for x in near})
-    found = simhash.links(spark.createDataFrame([(x,) for x in near], "fp long"), tile=16)
+    found = simhash.links(spark.createDataFrame([(x,) for x in near], "fp long"), tile=tile)
     comp = {r.node: r.label for r in components.components(found).collect()}
     label = {x: x for x in near}
     u = np.array(near, np.int64).view(np.uint64)
