@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket
+from .common import bucket, small_batches
 
 SENTENCE = re.compile(rb"[.!?\n]+")
 #: Bound on the labelled documents that the fit may see; beyond it a hash sample of about this many is taken.
@@ -163,6 +163,7 @@ def fit_bags(rows: pd.DataFrame, chosen: list[bytes], width: int, rounds: int =
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, ``predicted``, ``n_sentences``, ``offending`` (indices of sentences at or over one half) and ``worst_sentence``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
