@@ -9,9 +9,11 @@ likely. The text is lower-cased (A-Z) and scored with an end symbol, so that the
 Beside it stands a unigram base score over words, exact for every word: counts of the most common words are broadcast (their
 number is bounded), counts of all the others are joined.
 
-Scale: the pair counts are combined per task before they are shuffled. Contexts of up to 2 bytes are at most 2**24 pairs;
-those of 3 bytes and more are kept whole up to ``MAX_NODES`` pairs an order, beyond which the rarest counts go (the usual memory
-bound of a PPM trie), so what is broadcast is bounded.
+Scale: the pair counts are combined per task before they are shuffled, and all of them stay in written tables. Contexts of up
+to 2 bytes are at most 2**24 pairs and are broadcast. Of longer contexts the commonest are broadcast, each with all its
+followers, up to ``MAX_NODES`` pairs an order; as a context is no more common than its endings, a broadcast context has its
+endings beside it. A pair whose longest context was not broadcast is scored by joins with the written tables. So the scores
+are those of the whole model at every size, and what is broadcast is bounded.
 
 Edge cases: null text is empty (one end symbol is scored); without training text every byte has probability 1/256 and the base
 probability of a token is 1; null ids are held out; repeated rows are scored one by one; very long texts are read in slices.
@@ -28,7 +30,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, cut, small_batches
@@ -36,6 +38,8 @@ from .common import bucket, cut, small_batches
 ORDER = 5
 #: Neither byte occurs in UTF-8: the first stands before a text, the second ends it.
 START, END = b"\xfe", b"\xff"
+#: Contexts of so many bytes are always broadcast whole; of longer ones, ``MAX_NODES`` pairs an order.
+WHOLE = 2
 MAX_NODES = 1 << 20
 MAX_COMMON = 1 << 16
 SLICE = 1 << 20
@@ -112,14 +116,15 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @dataclass
 class Trie:
     """Sorted (context, symbol) codes and counts of each order, and, built where it is used, a hash table from the longest codes
-    to log10 probabilities."""
+    to log10 probabilities. A trie that isn't ``whole`` lacks the rarer contexts."""
 
     codes: list[np.ndarray]
     counts: list[np.ndarray]
+    whole: bool = True
 
     def build(self) -> None:
         top, n = self.codes[-1], self.counts[-1].astype(float)
-        _, at, size = np.unique(top >> np.uint64(8), return_index=True, return_counts=True)
+        self.contexts, at, size = np.unique(top >> np.uint64(8), return_index=True, return_counts=True)
         if len(top):
             total = np.add.reduceat(n, at)
             logs = np.log10(n) - np.repeat(np.log10(total + size), size)
@@ -142,6 +147,7 @@ class Trie:
         return ((codes * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def log10p(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probabilities; NaN for pairs whose longest context a trie that isn't whole doesn't hold."""
         if not hasattr(self, "table"):
             self.build()
         slot = self._slots(codes)
@@ -157,6 +163,13 @@ class Trie:
             missed.append(look[~found & (key == EMPTY)])
             look = look[~found & (key != EMPTY)]
         where = np.concatenate(missed)
+        if not self.whole:
+            asked = codes[where] >> np.uint64(8)
+            at = np.searchsorted(self.contexts, asked)
+            held = at < len(self.contexts)
+            held[held] = self.contexts[at[held]] == asked[held]
+            out[where[~held]] = np.nan
+            where = where[held]
         unique, inverse = np.unique(codes[where], return_inverse=True)
         out[where] = np.array([self._escaped(int(c)) for c in unique])[inverse] if len(unique) else 0.0
         return out
@@ -202,9 +215,27 @@ def _least(counts: DataFrame, bound: int) -> int:
     return 1
 
 
+def _context(k: int) -> Column:
+    """The ``k`` bytes before the symbol of a code."""
+    return F.shiftrightunsigned(F.col("code"), 8) % (1 << 8 * k)
+
+
+def _shared(followers: DataFrame, max_nodes: int) -> int:
+    """The smallest total so that the contexts with it or more have no more than ``max_nodes`` pairs."""
+    sizes = followers.groupBy("total").agg(F.sum(F.size("rows")).alias("rows")).orderBy(F.desc("total"))
+    pairs, least = 0, None
+    for r in sizes.toLocalIterator():
+        pairs += r["rows"]
+        if pairs > max_nodes:
+            return least if least is not None else r["total"] + 1
+        least = r["total"]
+    return 0
+
+
 @dataclass
 class Model:
     trie: Trie
+    followers: dict[int, DataFrame]  # of each longer order: context, and (code, n) of all its pairs; empty if the trie is whole
     common: dict[bytes, int]
     tokens: DataFrame
     least_common: int
@@ -219,25 +250,66 @@ def fit(train: DataFrame, text_col: str = "text", max_nodes: int = MAX_NODES, ma
     tokens = counts.where("token IS NOT NULL").select("token", "n")
     size = tokens.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     pairs = counts.where("code IS NOT NULL").select("code", "n")
+    levels = [pairs if k == ORDER else pairs.groupBy((F.col("code") % (1 << 8 * (k + 1))).alias("code")).agg(F.sum("n").alias("n")) for k in range(ORDER + 1)]
+    followers: dict[int, DataFrame] = {}
+    if any(levels[k].count() > max_nodes for k in range(ORDER, WHOLE, -1)):
+        for k in range(WHOLE + 1, ORDER + 1):
+            rows = levels[k].groupBy(_context(k).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("code", "n")).alias("rows"))
+            followers[k] = cut(rows)
+        total = max(_shared(f, max_nodes) for f in followers.values())
+        levels[WHOLE + 1 :] = [f.where(F.col("total") >= total).selectExpr("inline(rows)") for f in followers.values()]
     codes, numbers = [], []
-    for k in range(ORDER + 1):
-        level = pairs if k == ORDER else pairs.groupBy((F.col("code") % (1 << 8 * (k + 1))).alias("code")).agg(F.sum("n").alias("n"))
-        if k > 2 and level.count() > max_nodes:
-            level = level.where(F.col("n") >= _least(level, max_nodes))
+    for k, level in enumerate(levels):
         rows = level.toArrow().combine_chunks().sort_by("code")
         codes.append(rows["code"].to_numpy().astype(np.uint64))
-        numbers.append(rows["n"].to_numpy().astype(np.int32 if k == ORDER else np.int64))
+        numbers.append(rows["n"].to_numpy().astype(np.int64))
     least = _least(tokens, max_common)
     common = {bytes(r["token"]): r["n"] for r in tokens.where(F.col("n") >= least).toLocalIterator()}
-    return Model(Trie(codes, numbers), common, tokens, least, size["n"] or 0, size["v"] or 0)
+    return Model(Trie(codes, numbers, not followers), followers, common, tokens, least, size["n"] or 0, size["v"] or 0)
 
 
-def score_texts(texts: list[bytes], trie: Trie) -> np.ndarray:
+def score_texts(texts: list[bytes], trie: Trie) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(scores without the pairs that the trie can't tell, these pairs' codes and how often they occur) of each text."""
     out = np.zeros(len(texts))
+    missed: list[list[np.ndarray]] = [[] for _ in texts]
     for a, b in groups(texts):
         for codes, owner in slices(texts[a:b]):
-            out[a:b] += np.bincount(owner, weights=trie.log10p(codes), minlength=b - a)
-    return out
+            logs = trie.log10p(codes)
+            if not trie.whole:
+                at = np.flatnonzero(np.isnan(logs))
+                logs[at] = 0.0
+                starts = np.flatnonzero(np.diff(owner[at], prepend=-1))
+                for i, part in zip(owner[at][starts], np.split(codes[at], starts[1:])):
+                    missed[a + i].append(part)
+            out[a:b] += np.bincount(owner, weights=logs, minlength=b - a)
+    found = [np.unique(np.concatenate(m), return_counts=True) if m else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for m in missed]
+    return out, [f[0].astype(np.int64) for f in found], [f[1].astype(np.int32) for f in found]
+
+
+def resolved(missed: DataFrame, model: Model) -> DataFrame:
+    """(code, log) of the distinct codes of ``missed``, by the written followers of their contexts."""
+    asked = missed.select("code").distinct()
+    for k, f in model.followers.items():
+        asked = asked.withColumn("context", _context(k)).join(f.select("context", F.col("rows.code").alias(f"codes{k}"), F.col("rows.n").alias(f"counts{k}")), "context", "left").drop("context")
+    low = Trie(model.trie.codes[: WHOLE + 1], model.trie.counts[: WHOLE + 1])
+    shared = missed.sparkSession.sparkContext.broadcast(low)
+
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = shared.value
+        for pdf in batches:
+            codes, counts = list(low.codes), list(low.counts)
+            for k in range(WHOLE + 1, ORDER + 1):
+                known = pdf[pdf[f"codes{k}"].notna()]
+                rows = np.concatenate([np.zeros(0, np.int64), *known[f"codes{k}"]]).astype(np.uint64)
+                n = np.concatenate([np.zeros(0, np.int64), *known[f"counts{k}"]]).astype(np.int64)
+                unique, at = np.unique(rows, return_index=True)
+                codes.append(unique)
+                counts.append(n[at])
+            trie = Trie(codes, counts)
+            trie.rare = {}
+            yield pd.DataFrame({"code": pdf["code"], "log": [trie._escaped(int(c)) for c in pdf["code"]]})
+
+    return asked.mapInPandas(looked_up, "code long, log double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,12 +332,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             res = pd.DataFrame(out, columns=["n_tokens", "known", "logs", "rest", "times"])
             res.insert(0, "row", np.arange(row, row + len(res)))
             res.insert(1, "id", pdf["id"].to_numpy() if pdf["id"].notna().all() else pdf["id"])
-            yield res.assign(score=score_texts(texts, trie))
+            res["score"], res["missed"], res["missed_times"] = score_texts(texts, trie)
+            yield res
             row += len(res)
 
     kind = dict(docs.dtypes)[id_col]
     part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    first = cut(part.mapInPandas(scored, f"row long, id {kind}, n_tokens long, known long, logs double, rest array<binary>, times array<int>, score double"))
+    first = cut(part.mapInPandas(scored, f"row long, id {kind}, n_tokens long, known long, logs double, rest array<binary>, times array<int>, score double, missed array<long>, missed_times array<int>"))
     rest = first.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("token"), F.col("r.times").alias("times"))
     rare = model.tokens.where(F.col("n") < model.least_common)
     found = (
@@ -273,6 +346,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         .groupBy("row")
         .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) * F.col("times")).alias("more_logs"))
     )
+    score = F.col("score")
+    if not model.trie.whole:
+        missed = first.select("row", F.explode(F.arrays_zip("missed", "missed_times")).alias("m")).select("row", F.col("m.missed").alias("code"), F.col("m.missed_times").alias("times"))
+        logs = missed.join(resolved(missed, model), "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("missed_logs"))
+        first, score = first.join(logs, "row", "left"), F.col("score") + F.coalesce("missed_logs", F.lit(0.0))
     each = math.log10(model.n + 0.1 * (model.v + 1))
     return first.join(found, "row", "left").select(
         F.col("id").alias(id_col),
@@ -280,7 +358,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
+        score.alias("score"),
     )
 
 

@@ -93,6 +93,18 @@ def test_ppm_equals_brute_force(spark):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own), sum(w in tokens for w in own), n)
 
 
+@pytest.mark.parametrize("max_nodes", [1, 60])
+def test_ppm_scores_by_the_whole_model_when_the_lookup_is_bounded(spark, max_nodes):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aab cé") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    model = ppm.fit(d.where("doc_id < 30"), max_nodes=max_nodes)
+    assert len(model.trie.codes[-1]) <= max_nodes
+    got = {r.doc_id: r.score for r in ppm.score(d, model).collect()}
+    train = [t.encode().lower() for t in texts[:30]]
+    assert all(got[i] == pytest.approx(brute_ppm(train, t.encode().lower(), ppm.ORDER), abs=1e-5) for i, t in enumerate(texts))
+
+
 def test_ppm_slices_join_seamlessly():
     texts = [b"hello world" * 9, b"", b"x"]
     whole = [c for c, _ in ppm.slices(texts)]
