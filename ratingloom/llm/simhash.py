@@ -32,9 +32,12 @@ from .components import components
 TILE = 2048
 #: Tiles of a cell that meet in one task: larger cells are compared block by block, in as many tasks as there are block pairs.
 BLOCK = 32
-#: Of a wide fingerprint: its 64-bit lanes, the bits of the first lane and of all lanes within which two texts count as similar.
-#: At a Jaccard similarity of 0.8, 512 bits differ in 77 places on average (standard deviation 8), at 0.6 in 118, unrelated texts in 256.
-LANES, FIRST_RADIUS, WIDE_RADIUS = 8, 20, 92
+#: Of a wide fingerprint: its 64-bit lanes, the bits of the first two lanes and of all lanes within which two texts are compared
+#: shingle by shingle. At a Jaccard similarity of 0.8, 128 bits differ in 19 places on average (standard deviation 4) and 512 bits
+#: in 77 (standard deviation 8; four of five shingles: 24 and 96), unrelated texts in 64 and 256.
+LANES, FIRST_RADIUS, WIDE_RADIUS = 8, 44, 128
+#: Shingle hashes that a tile of similar-text candidates holds at most, one row at least.
+HELD_HASHES = 4_000_000
 QUARTERS = 4
 
 
@@ -67,8 +70,8 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, list[int]]:
-    """(number of distinct shingles, ``LANES`` fingerprints of them); each lane mixes the hashes anew."""
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, int, list[int]]:
+    """(hash of the set of shingles, its size, ``LANES`` fingerprints of it); each lane mixes the hashes anew."""
     hashes = np.unique(shingle_hashes(text, words))
     lanes = []
     for lane in range(LANES):
@@ -76,7 +79,13 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[int, list[int]]:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         lanes.append(majority(x ^ (x >> np.uint64(31))))
-    return len(hashes), lanes
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42), len(hashes), lanes
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * both >= 4 * (len(a) + len(b))
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, name: str = "_fp") -> DataFrame:
@@ -101,10 +110,32 @@ def _offsets(radius: int) -> list[tuple[int, ...]]:
     return [o for o in all_ if o >= (0, 0, 0, 0)]
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int, wide_a=None, wide_b=None, wide_radius: int = 0) -> list[tuple[int, int]]:
+def close(a: np.ndarray, b: np.ndarray, radius: int, wide_a=None, wide_b=None, wide_radius: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, matrix) of the pairs of ``a`` and ``b`` (the same array: each pair once) within ``radius`` bits, by runs of rows.
+
+    With further lanes (arrays of a column each), the first of them counts for ``radius`` as well, and a pair must also be
+    within ``wide_radius`` over all.
+    """
+    for at in range(0, len(a), 256):
+        bits = np.bitwise_count(a[at : at + 256, None] ^ b[None, :])
+        if wide_a is not None:
+            bits += np.bitwise_count(wide_a[0][at : at + 256, None] ^ wide_b[0][None, :])
+        near = bits <= radius
+        if a is b:
+            near &= np.arange(len(b))[None, :] > np.arange(at, at + len(near))[:, None]
+        if wide_a is not None:
+            i, j = np.nonzero(near)
+            bits = np.bitwise_count(a[at + i] ^ b[j]).astype(int)
+            for x, y in zip(wide_a, wide_b):
+                bits += np.bitwise_count(x[at + i] ^ y[j])
+            near[i, j] = bits <= wide_radius
+        yield at, near
+
+
+def forest(a: np.ndarray, b: np.ndarray, radius: int, wide_a=None, wide_b=None, wide_radius: int = 0, linked=None) -> list[tuple[int, int]]:
     """A spanning forest of the links between the rows of ``a`` and ``b`` (the same array: within it).
 
-    With further lanes (arrays of a column each), a pair within ``radius`` bits must also be within ``wide_radius`` over all.
+    Links are the pairs that ``close`` finds and, if it is given, ``linked`` confirms; pairs that are connected already aren't asked.
     """
     same = a is b
     parent = np.arange(len(a) + (0 if same else len(b)))
@@ -117,30 +148,21 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, wide_a=None, wide_b=None,
 
     out = []
     base = 0 if same else len(a)
-    for at in range(0, len(a), 256):
-        near = np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius
-        if same:
-            near &= np.arange(len(b))[None, :] > np.arange(at, at + len(near))[:, None]
-        if wide_a is not None:
-            i, j = np.nonzero(near)
-            bits = np.bitwise_count(a[at + i] ^ b[j]).astype(int)
-            for x, y in zip(wide_a, wide_b):
-                bits += np.bitwise_count(x[at + i] ^ y[j])
-            near[i, j] = bits <= wide_radius
+    for at, near in close(a, b, radius, wide_a, wide_b, wide_radius):
         for i in np.flatnonzero(near.any(axis=1)):
             row, js = find(at + int(i)), np.flatnonzero(near[i])
             roots = parent[js + base]
             for j in js[roots != row].tolist():  # those already under this root need no further look
                 other = find(j + base)
                 row = find(row)
-                if other != row:
+                if other != row and (linked is None or linked(at + int(i), j)):
                     parent[other] = row
                     parent[j + base] = row
                     out.append((at + int(i), j))
     return out
 
 
-def packed_tiles(cells: DataFrame, key: str, columns: list[str], tile: int) -> tuple[DataFrame, DataFrame]:
+def packed_tiles(cells: DataFrame, key: str, columns: list[str], tile: int | Column) -> tuple[DataFrame, DataFrame]:
     """(tiles, sizes): rows of each cell dealt by hash of ``key`` to tiles of about ``tile`` rows, with ``columns`` as arrays."""
     sizes = cut(cells.groupBy("cell").agg(F.ceil(F.count("*") / (0.75 * tile)).cast("int").alias("parts")))
     dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
@@ -204,51 +226,89 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_links(prints: DataFrame, tile: int = TILE) -> DataFrame:
-    """(a, b) of nodes: links between wide fingerprints of similar texts. ``prints`` has node, size and the lanes f0, f1, ...
+def similar_candidates(prints: DataFrame, tile: int = TILE) -> DataFrame:
+    """(pair, right, node): the nodes of each pair of tiles that have a close fingerprint in the other tile (``right``: the second
+    tile). ``prints`` has node, size and the lanes f0, f1, ...
 
-    Shingle sets of similarity 0.8 or more have sizes within a factor of 1.25, and first lanes within ``FIRST_RADIUS`` bits
-    have population counts that differ no more than that: tiles are cells of both, and only neighbouring cells are compared.
+    Shingle sets of similarity 0.8 or more have sizes within a factor of 1.25, and lanes within ``FIRST_RADIUS`` bits have
+    population counts that differ no more than that: tiles are cells of both, and only neighbouring cells are compared.
     """
     level = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
-    band = F.floor(F.bit_count("f0") / (FIRST_RADIUS + 1)).cast("int")
+    band = F.floor((F.bit_count("f0") + F.bit_count("f1")) / (FIRST_RADIUS + 1)).cast("int")
     names = [f"f{i}" for i in range(LANES)]
     cells = prints.select("node", *names, F.array(level, band).alias("cell"))
     columns = ["node", *names]
-    tiles, sizes = packed_tiles(cells, "node", columns, tile)
-    pairs = tile_pairs(tiles, sizes, columns, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]).select(*columns, *(f"{c}_b" for c in columns), "same")
+    rows = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(HELD_HASHES / F.pow(F.lit(1.25), F.col("cell")[0] + 1))))
+    tiles, sizes = packed_tiles(cells, "node", columns, rows)
+    id_ = F.xxhash64("cell", "cell_b", "part", "part_b").alias("pair")
+    pairs = tile_pairs(tiles, sizes, columns, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]).select(id_, *columns, *(f"{c}_b" for c in columns), "same")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: list[tuple[int, int]] = []
             for r in pdf.itertuples(index=False):
                 p = [np.asarray(getattr(r, x), np.int64) for x in ("node", *names)]
                 q = p if r.same else [np.asarray(getattr(r, f"{x}_b"), np.int64) for x in ("node", *names)]
                 a, b = [x.view(np.uint64) for x in p[1:]], [x.view(np.uint64) for x in q[1:]]
                 if q is p:
                     b = a
-                out += [(p[0][i], q[0][j]) for i, j in forest(a[0], b[0], FIRST_RADIUS, a[1:], b[1:], WIDE_RADIUS)]
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                left, right = np.zeros(len(a[0]), bool), np.zeros(len(b[0]), bool)
+                for at, near in close(a[0], b[0], FIRST_RADIUS, a[1:], b[1:], WIDE_RADIUS):
+                    left[at : at + len(near)] |= near.any(axis=1)
+                    right |= near.any(axis=0)
+                if q is p:
+                    left, right = left | right, np.zeros_like(right)
+                nodes = np.concatenate([p[0][left], q[0][right]])
+                yield pd.DataFrame({"pair": r.pair, "right": np.arange(len(nodes)) >= left.sum(), "node": nodes})
 
-    return pairs.mapInPandas(compared, "a long, b long")
+    return pairs.mapInPandas(compared, "pair long, right boolean, node long")
+
+
+def similar_links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of nodes: links between candidates whose shingle sets have a Jaccard similarity of 0.8 or more. ``sets`` has node,
+    the lanes and ``hashes``, the sorted shingle hashes as bytes."""
+    names = [f"f{i}" for i in range(LANES)]
+
+    def verified(pdf: pd.DataFrame) -> pd.DataFrame:
+        right = pdf["right"].to_numpy()
+        sides = [pdf[~right]] if not right.any() else [pdf[~right], pdf[right]]
+        nodes = [x["node"].to_numpy() for x in sides]
+        lanes = [[np.ascontiguousarray(x[c].to_numpy(np.int64)).view(np.uint64) for c in names] for x in sides]
+        hashes = [[np.frombuffer(h, np.uint64) for h in x["hashes"]] for x in sides]
+        a, b = lanes[0], lanes[-1]
+        found = forest(a[0], b[0], FIRST_RADIUS, a[1:], b[1:], WIDE_RADIUS, lambda i, j: similar(hashes[0][i], hashes[-1][j]))
+        return pd.DataFrame([(nodes[0][i], nodes[-1][j]) for i, j in found], columns=["a", "b"]).astype("int64")
+
+    return candidates.join(sets, "node").groupBy("pair").applyInPandas(verified, "a long, b long")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, component_id) over texts whose ``words``-word shingle sets are similar (0.8 or more, as estimated by wide fingerprints)."""
+    """(id, component_id) over texts whose ``words``-word shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Wide fingerprints choose the candidates. Only their texts are read again, and their shingle sets decide.
+    """
     small_batches(docs.sparkSession)
-    kind = "size int, " + ", ".join(f"f{i} long" for i in range(LANES))
+    kind = "node long, size int, " + ", ".join(f"f{i} long" for i in range(LANES))
 
     @F.pandas_udf(kind)
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = [wide_fingerprint(t, words) for t in texts]
-        lanes = np.array([r[1] for r in rows], np.uint64).reshape(-1, LANES).view(np.int64)
-        return pd.DataFrame({"size": [r[0] for r in rows], **{f"f{i}": lanes[:, i] for i in range(LANES)}})
+        lanes = np.array([r[2] for r in rows], np.uint64).reshape(-1, LANES).view(np.int64)
+        nodes = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+        return pd.DataFrame({"node": nodes, "size": [r[1] for r in rows], **{f"f{i}": lanes[:, i] for i in range(LANES)}})
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], dtype=object)
 
-    part = docs.select(F.col(id_col).alias("id"), of.asNondeterministic()(F.col(text_col)).alias("w")).select("id", "w.*")
     names = [f"f{i}" for i in range(LANES)]
-    marked = cut(part.withColumn("node", F.xxhash64("size", *names)))
-    prints = cut(marked.groupBy("node").agg(F.min("id").alias("first"), *(F.first(x).alias(x) for x in ("size", *names))))
-    return marked.select("id", "node").join(named(prints.select("node", "first"), similar_links(prints)), "node").select(F.col("id").alias(id_col), "component_id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    marked = cut(texts.select("id", "key", of.asNondeterministic()("text").alias("w")).select("id", "key", "w.*"))
+    prints = cut(marked.groupBy("node").agg(F.min("id").alias("first"), F.min("key").alias("key"), *(F.first(x).alias(x) for x in ("size", *names))))
+    candidates = cut(similar_candidates(prints))
+    wanted = prints.join(candidates.select("node").distinct(), "node", "left_semi").select("node", "key", *names)
+    sets = cut(texts.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("node", *names, shingles("text").alias("hashes")))
+    found = named(prints.select("node", "first"), cut(similar_links(candidates, sets)))
+    return marked.select("id", "node").join(found, "node").select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:

@@ -163,6 +163,22 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == set(range(30)) | set(range(300, 310))
 
 
+def test_similar_texts_around_the_threshold_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts, hashes = [], []
+    for n in (5, 46, 150):
+        for share in (0.02, 0.04, 0.06, 0.1, 0.15):
+            for _ in range(8):
+                base = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+                tail = max(1, round(share * n))  # other last words: as many shingles differ
+                texts += [" ".join(base), " ".join(base[:-tail] + [f"v{rng.randrange(10**6)}" for _ in range(tail)])]
+    hashes = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = [len(hashes[i] & hashes[i + 1]) / len(hashes[i] | hashes[i + 1]) for i in range(0, len(texts), 2)]
+    assert any(0.7 < x < 0.8 for x in alike) and any(0.8 <= x < 0.85 for x in alike)
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(len(alike))] == [x >= 0.8 for x in alike]
+
+
 # --- media
 
 
