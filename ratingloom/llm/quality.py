@@ -77,7 +77,7 @@ def measure_text(text: str | None) -> tuple[tuple[int, ...], dict[str, float]]:
         duplicate_lines(lines) if len(lines) > 1 else 0,
         repeated_words(words),
     )
-    capitals = sum(map(str.isupper, text)) if _shouts(words) else 0
+    capitals = sum(map(str.isupper, text))
     per = max(n, 1)
     return base, {
         "symbols": (base[2] - counted["|"]) / per,
@@ -92,11 +92,6 @@ def measure_text(text: str | None) -> tuple[tuple[int, ...], dict[str, float]]:
     }
 
 
-def _shouts(words: list[bytes]) -> bool:
-    """Whether a fifth of the words are wholly upper-case: only then are capitals worth counting one by one."""
-    return sum(map(bytes.isupper, words)) * 5 >= len(words)
-
-
 #: Name, statistic, and when it votes bad or good; else it abstains. Thresholds are parameters of the rules, not fitted.
 RULES = (
     ("symbols", lambda x: x > 0.1, lambda x: x < 0.02),

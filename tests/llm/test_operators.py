@@ -374,6 +374,11 @@ def test_expectation_maximisation_recovers_accuracies():
     assert abs(m.prior - 0.85) < 0.02 and np.mean([called[v] == g for v, g in zip(votes, good)]) > 0.98
 
 
+def test_capitals_count_where_no_word_is_wholly_upper_case():
+    _, ratios = quality.measure_text("ABCd EFGh IJKl " * 20)
+    assert ratios["capitals"] == pytest.approx(0.75)
+
+
 # --- mixing
 
 
