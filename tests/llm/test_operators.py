@@ -382,6 +382,15 @@ def test_capitals_count_where_no_word_is_wholly_upper_case():
 # --- mixing
 
 
+def test_sample_draws_to_targets_beyond_the_ceiling(spark):
+    rows = [(i, "a b c", "y" if i % 10 == 0 else "x") for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = mixing.sample(d, marginals=(mixing.Marginal("lang", {"x": 0.5, "y": 0.5}),)).groupBy("lang").count().collect()
+    n = {r["lang"]: r["count"] for r in out}
+    assert n["y"] / (n["x"] + n["y"]) == pytest.approx(0.5, abs=0.05)
+
+
+
 def test_rake_meets_marginals():
     rng = np.random.default_rng(1)
     mass = rng.random((4, 3, 2)) + 0.1
