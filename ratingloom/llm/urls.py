@@ -1,9 +1,9 @@
 """URL filter: host and path rules, and for all other URLs gradient-boosted trees on lexical features.
 
-The rules label URLs; a bounded hash sample of the labelled ones trains the trees, which judge the URLs that no rule fits. The
+The rules label URLs; a bounded hash sample of the labelled rows trains the trees, which judge the URLs that no rule fits. The
 features are lengths, depth, digit ratio, character entropy, parameter counts and suffix statistics: the smoothed share of
-blocked URLs among the training URLs with the same top-level label, the same last two labels, and the same path head. The
-statistics come from the bounded sample, so their tables are bounded too and are broadcast.
+blocked URLs among all labelled URLs with the same top-level label, the same last two labels, and the same path head. The
+statistics are written tables that grow with the number of suffixes and are joined; small ones Spark broadcasts.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and is judged by the trees; if the rules label no URL,
 or all alike, the verdict for the rest is ``allow``, or the only label; repeated rows are judged alike; extra columns are kept,
@@ -18,10 +18,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 ALLOW, BLOCK = "allow", "block"
 #: (verdict, rule): a rule is a host and the beginning of a path.
 RULES = ((ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/en/"), (BLOCK, "net/es/"), (BLOCK, "net/fr/"))
-#: Bound on the labelled URLs that the trees are fitted to.
+#: About how many labelled rows the trees are fitted to.
 MAX_TRAIN = 20_000
 SUFFIXES = ("tld", "domain", "head")
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "digits", "entropy", "params", "has_fragment", "hyphens", "secure", *(f"{s}_rate" for s in SUFFIXES))
@@ -79,35 +81,30 @@ def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 def with_rates(df: DataFrame, tables: dict[str, DataFrame], base: float) -> DataFrame:
     for s in SUFFIXES:
-        df = df.join(F.broadcast(tables[s]), s, "left").withColumn(f"{s}_rate", F.coalesce(f"{s}_rate", F.lit(base)))
+        df = df.join(tables[s], s, "left").withColumn(f"{s}_rate", F.coalesce(f"{s}_rate", F.lit(base)))
     return df
 
 
-def judge(pages: DataFrame, rules=RULES, url_col: str = "url", max_train: int = MAX_TRAIN, trees: int = 12, depth: int = 4, smoothing: float = 20.0) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, url_col: str = "url", max_train: int = MAX_TRAIN, trees: int = 12, depth: int = 4, smoothing: float = 20.0, id_col: str = "page_id") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``block_probability`` (of the trees, null where a rule decides)."""
     new = ("host", "path", "rule", "verdict", "block_probability")
     kept = [c for c in pages.columns if c not in new]
     ruled = with_rule(pages.select(*kept), rules, url_col)
-    part = ruled.where("rule_verdict IS NOT NULL").select(url_col, "host", "path", (F.col("rule_verdict") == BLOCK).cast("double").alias("label"))
-    n = part.count()
-    chosen = F.pmod(F.xxhash64(url_col), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_train / max(n, 1))) + 1
-    train = lexical(part.where(chosen), url_col).cache()
-    size = train.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
+    part = ruled.where("rule_verdict IS NOT NULL").select(url_col, "host", "path", (F.col("rule_verdict") == BLOCK).cast("double").alias("label"), F.xxhash64(id_col, url_col).alias("_row"))
+    size = part.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     blocked = size["blocked"] or 0.0
     if not blocked or blocked == size["n"]:
-        train.unpersist()
         rest = BLOCK if blocked else ALLOW
         return ruled.select(*kept, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
     base = blocked / size["n"]
     # a row's own label counts in its suffixes' shares; the smoothing keeps rare suffixes near the base rate
-    tables = {s: train.groupBy(s).agg(((F.sum("label") + smoothing * base) / (F.count("*") + smoothing)).alias(f"{s}_rate")) for s in SUFFIXES}
+    known = lexical(part, url_col)
+    tables = {s: cut(known.groupBy(s).agg(((F.sum("label") + smoothing * base) / (F.count("*") + smoothing)).alias(f"{s}_rate"))) for s in SUFFIXES}
+    chosen = F.pmod(F.col("_row"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_train / size["n"])) + 1
+    train = lexical(part.where(chosen), url_col)
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     ready = gather.transform(with_rates(train, tables, base)).select("features", "label").coalesce(4)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32).fit(ready)
-    tables = {s: t.persist() for s, t in tables.items()}
-    for t in tables.values():
-        t.count()
-    train.unpersist()
     scored = model.transform(gather.transform(with_rates(lexical(ruled, url_col), tables, base)))
     p = vector_to_array("probability")[1]
     verdict = F.coalesce("rule_verdict", F.when(p >= 0.5, BLOCK).otherwise(ALLOW))

@@ -91,3 +91,15 @@ def test_empty_text_digests(spark, docs):
     assert got[7].decoded_sha256 == hashlib.sha256(TEXTS[-1][1].encode()).hexdigest()
     media = {r.doc_id: r for r in webp.round_trip(docs).collect()}
     assert (media[2].n_bytes, media[2].payload_bytes, media[2].payload_sha256) == (0, 64, hashlib.sha256(b"\0" * 64).hexdigest())
+
+
+def test_url_suffix_statistics_cover_all_labelled_urls(spark, monkeypatch):
+    rows = [(i, f"https://{'www.example' if i % 2 else 'example'}.com/en/p{i}" if i % 3 else f"https://a.net/es/{i}") for i in range(240)]
+    seen, rated = [], urls.with_rates
+    monkeypatch.setattr(urls, "with_rates", lambda df, tables, base: seen.append((df, tables)) or rated(df, tables, base))
+    pages = spark.createDataFrame([(i, u.replace("/en/", f"/en/{i}/")) for i, u in rows] + [(i, f"https://b{i}.net/fr/") for i in range(240, 300)], "page_id bigint, url string")
+    pages = pages.withColumn("url", F.regexp_replace("url", r"https://b(\d+)\.net", "https://x.b$1.net"))
+    assert urls.judge(pages, max_train=60).count() == 300
+    train, tables = seen[0]
+    assert train.count() < 150
+    assert {r["domain"] for r in tables["domain"].collect()} == {"example.com", "a.net", *(f"b{i}.net" for i in range(240, 300))}
