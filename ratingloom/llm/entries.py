@@ -31,7 +31,7 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
-    out = quality.judge(measured, *quality.fit(measured))
+    out = quality.judge(measured, quality.fit(measured))
     return out.select("doc_id", *quality.STATS, "base_failed", "kept", "quality", "pattern")
 
 

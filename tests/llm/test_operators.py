@@ -354,7 +354,41 @@ def test_quality_statistics(text):
 def test_quality_separates_labels(spark, data):
     truth = table(spark, data, "labels").withColumnRenamed("quality", "truth")
     out = entries.op5_quality(spark, data).join(truth, "doc_id").where("NOT base_failed")
-    assert out.agg(F.avg((F.col("kept").cast("int") == F.col("truth")).cast("double"))).first()[0] > 0.9
+    agree = lambda c: F.avg((c.cast("int") == F.col("truth")).cast("double"))
+    em, all_must_pass = out.agg(agree(F.col("kept")), agree(~F.contains("pattern", F.lit("0")))).first()
+    assert em > 0.98 and em >= all_must_pass
+
+
+RULE = {r[0]: k for k, r in enumerate(quality.RULES)}
+
+
+def voted(**votes):
+    row = ["1"] * len(quality.RULES)
+    for name, v in votes.items():
+        row[RULE[name]] = v
+    return "".join(row)
+
+
+def test_posterior_and_not_the_conjunction_of_rules_decides(spark):
+    # junk of symbols trips four rules; some good texts have few letters; nearly no good text lacks four votes at once
+    junk, odd, silent = voted(symbols="0", letters="0", endings="0", function="0"), voted(letters="0"), voted(symbols="-", letters="-", endings="-", function="-")
+    halfway = voted(symbols="-", letters="-", endings="0", function="0")
+    counts = [(voted(), 9000), (junk, 900), (odd, 60), (halfway, 100), (silent, 8)]
+    m = spark.createDataFrame([(p,) for p, n in counts for _ in range(n)], "pattern string").withColumn("base_failed", F.lit(False))
+    model = quality.fit(m)
+    kept = {r.pattern: (r.quality, r.kept) for r in quality.judge(m, model).distinct().collect()}
+    assert kept[odd][1] and kept[voted()][1] and not kept[junk][1]  # one bad vote is kept
+    assert "0" not in silent and not kept[silent][1]  # none, and dropped
+    for p, (q, _) in kept.items():
+        assert q == pytest.approx(float(model.posterior([p])[0]), abs=1e-12)
+
+
+def test_quality_model_is_not_at_a_bound(spark, data):
+    m = quality.measure(table(spark, data, "documents").select("doc_id", "text"))
+    model = quality.fit(m)
+    n = m.count()
+    assert (model.chance > 0.5 / n).all() and (model.chance < 1 - 0.5 / n).all() and 0.7 < model.prior < 0.95
+    assert (model.accuracies()[1] > 0.9).all()
 
 
 def test_expectation_maximisation_recovers_accuracies():
@@ -363,15 +397,13 @@ def test_expectation_maximisation_recovers_accuracies():
     good = rng.random(n) < 0.85
     votes = []
     for i in range(n):
-        row = ""
-        for j in range(len(quality.RULES)):
-            u = rng.random()
-            row += ("1" if u < 0.7 else "-") if good[i] else ("0" if u < 0.45 else "1" if u < 0.7 else "-")
-        votes.append(row)
+        u = rng.random(len(quality.RULES))
+        votes.append("".join(np.where(u < 0.66, "1", np.where(u < 0.7, "0", "-")) if good[i] else np.where(u < 0.45, "0", np.where(u < 0.7, "1", "-"))))
     patterns, counts = np.unique(votes, return_counts=True)
     m = quality.expectation_maximisation(patterns.tolist(), counts.astype(float))
     called = dict(zip(patterns.tolist(), m.posterior(patterns.tolist()) >= 0.5))
     assert abs(m.prior - 0.85) < 0.02 and np.mean([called[v] == g for v, g in zip(votes, good)]) > 0.98
+    assert np.allclose(m.chance[1], [0.04, 0.66, 0.3], atol=0.02) and np.allclose(m.chance[0], [0.45, 0.25, 0.3], atol=0.03)
 
 
 def test_capitals_count_where_no_word_is_wholly_upper_case():

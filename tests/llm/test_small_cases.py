@@ -40,7 +40,7 @@ OPERATORS = {
     "simhash": lambda d, labels: simhash.classes(d),
     "similar": lambda d, labels: simhash.similar_classes(d),
     "webp": lambda d, labels: webp.round_trip(d),
-    "quality": lambda d, labels: (lambda m: quality.judge(m, *quality.fit(m)))(quality.measure(d)),
+    "quality": lambda d, labels: (lambda m: quality.judge(m, quality.fit(m)))(quality.measure(d)),
     "bpe": lambda d, labels: bpe.round_trip(d, ranks(), public_tokenizers.PATTERN),
     "licenses": lambda d, labels: licenses.scan(d),
 }
