@@ -47,3 +47,23 @@ def cut(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch than by default: texts may be long, and a worker holds a batch several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+#: A key is hot if it holds more than one row in so many; so there are fewer hot keys than this, whatever the data.
+HOT_SHARE = 1000
+
+
+def hot_keys(rows: DataFrame, key: str, weight: str | None = None) -> list:
+    """The values of ``key`` with more than a ``HOT_SHARE``-th of all rows (of the sum of ``weight``, where a row stands for several)."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    whole = rows.agg(n).first()[0] or 0
+    return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n")).where(F.col("_n") * HOT_SHARE > whole).collect()]
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of at most one row a key. The rows of ``hot`` keys stay where they are and meet a broadcast of
+    their few partners; all others are shuffled, and no key of theirs is large."""
+    if not hot:
+        return rows.join(unique, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(unique.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(unique.where(~is_hot), key, how))

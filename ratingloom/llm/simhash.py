@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, hot_keys, join_unique, small_batches
 from .components import components
 
 TILE = 2048
@@ -163,11 +163,14 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, wide_a=None, wide_b=None,
 
 
 def packed_tiles(cells: DataFrame, key: str, columns: list[str], tile: int | Column) -> tuple[DataFrame, DataFrame]:
-    """(tiles, sizes): rows of each cell dealt by hash of ``key`` to tiles of about ``tile`` rows, with ``columns`` as arrays."""
+    """(tiles, sizes): rows of each cell dealt by hash of ``key`` to tiles of about ``tile`` rows, with ``columns`` as arrays.
+
+    Cells are small tuples of counts (17 ** 4 at most, or 300 of wide fingerprints), so ``sizes`` is broadcast.
+    """
     sizes = cut(cells.groupBy("cell").agg(F.ceil(F.count("*") / (0.75 * tile)).cast("int").alias("parts")))
-    dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
     packed = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    return packed.select("cell", "part", *(F.col(f"rows.{c}").alias(c) for c in columns)), sizes
+    return packed.select("cell", "part", *(F.col(f"rows.{c}").alias(c) for c in columns)), F.broadcast(sizes)
 
 
 def tile_pairs(tiles: DataFrame, sizes: DataFrame, columns: list[str], offsets: list[tuple[int, ...]]) -> DataFrame:
@@ -213,16 +216,17 @@ def links(prints: DataFrame, fp: str = "fp", radius: int = 3, tile: int = TILE)
 
 def named(prints: DataFrame, found_links: DataFrame) -> DataFrame:
     """(node, component_id: the least ``first`` of its component) for each node of ``prints`` (node, first)."""
-    merged = prints.join(components(found_links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = merged.groupBy("label").agg(F.min("first").alias("component_id"))
-    return merged.select("node", "label").join(least, "label").select("node", "component_id")
+    linked = cut(prints.select("node", "first").join(components(found_links), "node"))
+    least = cut(linked.groupBy("label").agg(F.min("first").alias("component_id")))
+    own = join_unique(linked.select("node", "label"), least, "label", hot_keys(linked, "label")).select("node", "component_id")
+    return prints.select("node", "first").join(own, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id: the smallest id reachable over links)."""
     marked = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", words).select("id", F.col("_fp").alias("node")))
-    prints = cut(marked.groupBy("node").agg(F.min("id").alias("first")))
-    joined = marked.join(named(prints, links(prints, "node", radius)), "node")
+    prints = cut(marked.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    joined = join_unique(marked, cut(named(prints, links(prints, "node", radius))), "node", hot_keys(prints, "node", "n"))
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -281,8 +285,8 @@ def similar_links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     return candidates.join(sets, "node").groupBy("pair").applyInPandas(verified, "a long, b long")
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, component_id) over texts whose ``words``-word shingle sets have a Jaccard similarity of 0.8 or more.
+def _similar(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, component_id, _key, _first_key): the smallest id of each row's group, and hashes that tell rows of one id apart.
 
     Wide fingerprints choose the candidates. Only their texts are read again, and their shingle sets decide.
     """
@@ -301,21 +305,35 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], dtype=object)
 
     names = [f"f{i}" for i in range(LANES)]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", _row_key("id", "text"))
     marked = cut(texts.select("id", "key", of.asNondeterministic()("text").alias("w")).select("id", "key", "w.*"))
-    prints = cut(marked.groupBy("node").agg(F.min("id").alias("first"), F.min("key").alias("key"), *(F.first(x).alias(x) for x in ("size", *names))))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key")))
+    prints = cut(marked.groupBy("node").agg(first.alias("first"), F.min("key").alias("key"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("size", *names))))
     candidates = cut(similar_candidates(prints))
     wanted = prints.join(candidates.select("node").distinct(), "node", "left_semi").select("node", "key", *names)
     sets = cut(texts.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("node", *names, shingles("text").alias("hashes")))
-    found = named(prints.select("node", "first"), cut(similar_links(candidates, sets)))
-    return marked.select("id", "node").join(found, "node").select(F.col("id").alias(id_col), "component_id")
+    found = cut(named(prints, cut(similar_links(candidates, sets))))
+    joined = join_unique(marked.select("id", "key", "node"), found, "node", hot_keys(prints, "node", "n"))
+    return joined.select(F.col("id").alias(id_col), F.col("component_id.id").alias("component_id"), F.col("key").alias("_key"), F.col("component_id.key").alias("_first_key"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with one row (that of the smallest id) of each group of similar texts; rows with a null id are all kept.
+def _row_key(*columns: str) -> Column:
+    return F.xxhash64(*columns)
 
-    Rows that repeat an id that stays are reduced to one.
-    """
-    kept = similar_classes(docs, id_col, text_col, words).where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return first.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(id, component_id) over texts whose ``words``-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return _similar(docs, id_col, text_col, words).select(id_col, "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that of the smallest id, and of the smallest hash of its text where an
+    id stands with several texts. Rows that agree in id and text are one, with the least of the other columns. Rows with a null id
+    are all kept, and stand for no group."""
+    classed = _similar(docs, id_col, text_col, words)
+    kept = classed.where((F.col(id_col) == F.col("component_id")) & (F.col("_key") == F.col("_first_key"))).select(F.col(id_col).alias("_id"), "_key").distinct()
+    keyed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), _row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"), F.struct(*(c for c in docs.columns if c not in (id_col, text_col)), F.lit(0).alias("_")).alias("_rest"))
+    once = keyed.join(kept, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.first("_text").alias("_text"), F.min("_rest").alias("_rest"))
+    named_ = {id_col: F.col("_id"), text_col: F.col("_text")}
+    first = once.select(*(named_.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns))
+    return first.unionByName(docs.where(F.col(id_col).isNull()))
