@@ -3,9 +3,9 @@
 Tokens are summed per cell of (source, language, topic) in Spark. Values that the targets don't name share the cell value
 ``other``, so there are at most the product of the targets' sizes plus one cells, and the totals may go to the driver whatever
 the size of the corpus. There the cell weights are raked to the target marginals in turn. A document is drawn with the
-probability of its cell, its fitted over its present share relative to ``CEILING`` (or to the largest such ratio, if that is
-smaller; ``sample`` has no ceiling), at most 1, by comparing it with a uniform number from the MD5 of its id. Below the ceiling the sample's token shares
-are the fitted ones in expectation, and the same documents are drawn again in any later run.
+probability of its cell, its fitted over its present share relative to the largest such ratio, by comparing it with a uniform
+number from the MD5 of its id. So the sample's token shares are the fitted ones in expectation, and the same documents are drawn
+again in any later run.
 
 Edge cases: null source, language or text count as ``other``, ``other`` and empty; cells without tokens draw with probability
 1; targets of values that don't occur are shared out among those that do; ``other`` keeps its present share; rows that repeat an
@@ -27,8 +27,6 @@ LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 TOPICS = {"prose": 0.9, "table": 0.04, "notice": 0.04, "dialogue": 0.02}
 ROUNDS = 20
 SEED = "mix-1"
-#: A cell whose fitted share is this many times its present share, or more, is drawn whole; the others in proportion.
-CEILING = 1.5
 
 
 @dataclass(frozen=True)
@@ -71,8 +69,8 @@ def rake(mass: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> n
     return fitted
 
 
-def rates(totals: list[tuple], marginals: tuple[Marginal, ...] = MARGINALS, rounds: int = ROUNDS, ceiling: float = CEILING) -> dict[tuple, float]:
-    """Drawing probability of each cell from (value, ..., tokens) rows. With an infinite ceiling the expected shares are the fitted ones."""
+def rates(totals: list[tuple], marginals: tuple[Marginal, ...] = MARGINALS, rounds: int = ROUNDS) -> dict[tuple, float]:
+    """Drawing probability of each cell from (value, ..., tokens) rows; the expected token shares are the fitted ones."""
     levels = [[*m.target, OTHER] for m in marginals]
     mass = np.zeros([len(x) for x in levels])
     for *cell, tokens in totals:
@@ -87,7 +85,7 @@ def rates(totals: list[tuple], marginals: tuple[Marginal, ...] = MARGINALS, roun
         named = np.where(present, named, 0.0)
         targets.append(np.append(named / named.sum() * (1 - other) if named.sum() else named, other))
     weight = np.divide(rake(mass, targets, rounds), mass / mass.sum(), out=np.zeros_like(mass), where=mass > 0)
-    rate = np.where(mass > 0, np.minimum(1.0, weight / min(ceiling, weight.max())), 1.0)
+    rate = np.where(mass > 0, weight / weight.max(), 1.0)
     return {tuple(cell): float(rate[tuple(x.index(v) for x, v in zip(levels, cell))]) for *cell, _ in totals}
 
 
@@ -97,13 +95,13 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def _drawn(docs: DataFrame, tokens: str, id_col: str, marginals: tuple[Marginal, ...], rounds: int, seed: str, ceiling: float = CEILING) -> DataFrame:
+def _drawn(docs: DataFrame, tokens: str, id_col: str, marginals: tuple[Marginal, ...], rounds: int, seed: str) -> DataFrame:
     """The drawn rows of ``docs`` with ``_rate``."""
     cells = with_cells(docs, marginals)
     keys = ["_m_" + m.column for m in marginals]
     totals = [tuple(r) for r in cells.groupBy(*keys).agg(F.sum(F.coalesce(F.col(tokens), F.lit(0))).alias("_total")).collect()]
     schema = ", ".join(f"{k} string" for k in keys) + ", _rate double"
-    table = docs.sparkSession.createDataFrame([(*cell, r) for cell, r in rates(totals, marginals, rounds, ceiling).items()], schema)
+    table = docs.sparkSession.createDataFrame([(*cell, r) for cell, r in rates(totals, marginals, rounds).items()], schema)
     return cells.join(F.broadcast(table), keys).where(uniform(F.col(id_col), seed) < F.col("_rate")).select(*docs.columns, "_rate")
 
 
@@ -114,11 +112,11 @@ def draw(docs: DataFrame, tokens: str, id_col: str = "doc_id", marginals: tuple[
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marginals: tuple[Marginal, ...] = MARGINALS) -> DataFrame:
-    """The drawn rows of ``docs``, its columns only, without a ceiling; the topic is taken from the text where ``docs`` has none."""
+    """The drawn rows of ``docs``, its columns only; the topic is taken from the text where ``docs`` has none."""
     ready = docs.withColumn("_tokens", n_tokens(F.col(text_col)))
     if "topic" not in docs.columns:
         ready = ready.withColumn("topic", topic(F.coalesce(F.col(text_col), F.lit(""))))
-    return _drawn(ready, "_tokens", id_col, marginals, ROUNDS, SEED, float("inf")).select(docs.columns)
+    return _drawn(ready, "_tokens", id_col, marginals, ROUNDS, SEED).select(docs.columns)
 
 
 def mixture_sql(source: str = "documents", rounds: int = ROUNDS) -> str:
@@ -144,6 +142,6 @@ def mixture_sql(source: str = "documents", rounds: int = ROUNDS) -> str:
             k += 1
     with_.append(f"r AS (SELECT a.m_source, a.m_lang, a.m_topic, a.w / b.w AS g FROM f{k} a JOIN f0 b ON a.m_source = b.m_source AND a.m_lang = b.m_lang AND a.m_topic = b.m_topic WHERE b.w > 0)")
     return f"""WITH {", ".join(with_)}
-SELECT c.doc_id, c.source, c.lang, c.topic, CAST(c.n_tokens AS BIGINT) AS n_tokens, round(least(1.0, g / (SELECT least({CEILING}, MAX(g)) FROM r)), 4) AS rate
+SELECT c.doc_id, c.source, c.lang, c.topic, CAST(c.n_tokens AS BIGINT) AS n_tokens, round(g / (SELECT MAX(g) FROM r), 4) AS rate
 FROM c JOIN r ON c.m_source = r.m_source AND c.m_lang = r.m_lang AND c.m_topic = r.m_topic
-WHERE CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(c.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, g / (SELECT least({CEILING}, MAX(g)) FROM r))"""
+WHERE CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(c.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < g / (SELECT MAX(g) FROM r)"""
