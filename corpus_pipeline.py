@@ -18,16 +18,21 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 ORACLE_SQL = None
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, text): rows in one column, so that the columns of an operator don't replace any of theirs."""
+    return docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the multiple-instance model doesn't call toxic."""
-    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(docs.columns)
+    scored = toxicity.classify(whole_rows(docs), table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select("_row.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose posterior quality is at least one half."""
-    measured = quality.measure(docs)
-    return quality.judge(measured, *quality.fit(measured)).where("kept").select(docs.columns)
+    measured = cut(quality.measure(whole_rows(docs)).drop("doc_id", "text"))
+    return quality.judge(measured, quality.fit(measured)).where("kept").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
