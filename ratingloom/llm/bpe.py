@@ -138,14 +138,25 @@ class Replay:
         return out
 
     def spell_one(self, word: bytes) -> np.ndarray:
-        """Ids of one pre-token, merge by merge."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return np.array([self.ranks[p] for p in parts], "<u4")
+        """Ids of one pre-token, merge by merge: the pairs wait in a heap by rank and place, so long words take n log n steps."""
+        ranks, n = self.ranks, len(word)
+        part: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = nxt[i]
+            if part[i] is None or j >= n or ranks.get(part[i] + part[j]) != rank:
+                continue  # one of the two has changed since
+            part[i], part[j] = part[i] + part[j], None
+            nxt[i] = nxt[j]
+            if nxt[i] < n:
+                prv[nxt[i]] = i
+            for k in (prv[i], i):
+                if k >= 0 and nxt[k] < n and (r := ranks.get(part[k] + part[nxt[k]])) is not None:
+                    heapq.heappush(heap, (r, k))
+        return np.array([ranks[p] for p in part if p is not None], "<u4")
 
 
 class Encoder:
@@ -189,12 +200,19 @@ class Encoder:
             yield b"".join(map(of, numbers.tolist()))
 
 
-_WORKER: dict[tuple, Encoder] = {}
+_WORKER: dict[str, Encoder] = {}
+
+
+def vocabulary_key(ranks: dict[bytes, int], pattern: str) -> str:
+    """A digest of all ranks and the pattern."""
+    digest = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        digest.update(b"%d %d " % (rank, len(token)) + token)
+    return digest.hexdigest()
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+def _encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
     """One encoder for each worker process and vocabulary, so that its cache lasts over tasks."""
-    key = (len(ranks), hash(pattern), hash(next(iter(ranks.items()), None)), hash(tuple(sorted(ranks.values())[-3:])))
     if key not in _WORKER:
         _WORKER.clear()
         _WORKER[key] = Encoder(ranks, pattern)
@@ -204,7 +222,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
 def encoded(spark: SparkSession, text: str | Column, ranks: dict[bytes, int], pattern: str) -> Column:
     """Ids of a text column, as binary of little-endian unsigned 32-bit integers."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((ranks, pattern))
+    shared = spark.sparkContext.broadcast((vocabulary_key(ranks, pattern), ranks, pattern))
 
     @F.pandas_udf("binary")
     def spelled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

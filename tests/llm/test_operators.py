@@ -458,6 +458,33 @@ def test_bpe_overlaps_and_corpus():
     assert [x.tolist() for x in ENCODER.replay.spell([w.encode() for w in words])] == [ENCODER.replay.spell_one(w.encode()).tolist() for w in words]
 
 
+def test_one_pre_token_is_spelled_merge_by_merge():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 90))) for _ in range(60)] + ["the " * 9, "é" * 31, "x"]
+
+    def plainly(word):
+        parts = [bytes([b]) for b in word]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: RANKS.get(parts[i] + parts[i + 1], 1 << 60))
+            if parts[best] + parts[best + 1] not in RANKS:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return [RANKS[p] for p in parts]
+
+    assert all(ENCODER.replay.spell_one(w.encode()).tolist() == plainly(w.encode()) for w in words)
+    assert len(ENCODER.replay.spell_one(b"ab" * 100_000)) > 0  # long ones end, too
+
+
+def test_two_vocabularies_in_one_session(spark):
+    texts = ["the cats' tails are 12345 long", "Größe und Maß, déjà vu", "naïve façade — 漢字 \U0001f600", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"):
+        ranks = bpe.read_ranks(public_tokenizers.path(name))
+        library = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(d, ranks, public_tokenizers.PATTERN).collect()}
+        assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 # --- licenses
 
 
