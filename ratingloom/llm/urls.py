@@ -2,8 +2,9 @@
 
 The rules label URLs; a bounded hash sample of the labelled rows trains the trees, which judge the URLs that no rule fits. The
 features are lengths, depth, digit ratio, character entropy, parameter counts and suffix statistics: the smoothed share of
-blocked URLs among all labelled URLs with the same top-level label, the same last two labels, and the same path head. The
-statistics are written tables that grow with the number of suffixes and are joined; small ones Spark broadcasts.
+blocked URLs among all labelled URLs with the same top-level label, last two labels, first label and path head. A training row's
+shares are taken out of its fold, so that neither its own label nor those of its host are among them: folds are dealt by host.
+The statistics are one written table that grows with the number of suffixes; suffixes of many URLs are joined by broadcast.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and is judged by the trees; if the rules label no URL,
 or all alike, the verdict for the rest is ``allow``, or the only label; repeated rows are judged alike; extra columns are kept,
@@ -18,14 +19,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import HOT_SHARE, cut, join_unique
 
 ALLOW, BLOCK = "allow", "block"
 #: (verdict, rule): a rule is a host and the beginning of a path.
 RULES = ((ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/en/"), (BLOCK, "net/es/"), (BLOCK, "net/fr/"))
 #: About how many labelled rows the trees are fitted to.
 MAX_TRAIN = 20_000
-SUFFIXES = ("tld", "domain", "head")
+SUFFIXES = ("tld", "domain", "first", "head")
+#: Parts of the hosts that are held out of each other's suffix statistics, and the rows that stand for the base rate beforehand.
+FOLDS, SMOOTHING = 5, 20.0
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "digits", "entropy", "params", "has_fragment", "hyphens", "secure", *(f"{s}_rate" for s in SUFFIXES))
 
 
@@ -74,38 +77,58 @@ def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
             "secure": F.startswith(F.lower(url), F.lit("https")).cast("double"),
             "tld": F.regexp_extract(host, r"[^.]*$", 0),
             "domain": F.regexp_extract(host, r"[^.]*\.?[^.]*$", 0),
-            "head": F.concat_ws("/", F.regexp_extract(host, r"[^.]*$", 0), F.regexp_extract(path, r"^/([^/]*)", 1)),
+            "first": F.regexp_extract(host, r"^[^.]*", 0),
+            "head": F.regexp_extract(path, r"^/([^/]*)", 1),
         }
     )
 
 
-def with_rates(df: DataFrame, tables: dict[str, DataFrame], base: float) -> DataFrame:
+def suffix_statistics(known: DataFrame) -> DataFrame:
+    """(kind, value, fold, blocked, labelled, rows) of the suffixes of all URLs; ``known`` has them, ``fold`` and ``label`` (null: none)."""
+    each = known.select("fold", "label", F.explode(F.array(*(F.struct(F.lit(s).alias("kind"), F.col(s).alias("value")) for s in SUFFIXES))).alias("s"))
+    return each.groupBy("s.kind", "s.value", "fold").agg(F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"), F.count("label").alias("labelled"), F.count("*").alias("rows"))
+
+
+def with_rates(df: DataFrame, stats: DataFrame, base: float, n: int, held_out: bool) -> DataFrame:
+    """``df`` with a rate for each kind of suffix; with ``held_out``, of the other folds than the row's own."""
     for s in SUFFIXES:
-        df = df.join(tables[s], s, "left").withColumn(f"{s}_rate", F.coalesce(f"{s}_rate", F.lit(base)))
+        own = stats.where(F.col("kind") == s)
+        whole = own.groupBy("value").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("k"), F.sum("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("blocked", "labelled")))).alias("of"))
+        hot = [r[0] for r in whole.where(F.col("rows") * HOT_SHARE > n).select("value").collect()]
+        df = join_unique(df, whole.select(F.col("value").alias(s), "b", "k", "of"), s, hot, "left")
+        minus = (F.coalesce(F.element_at("of", F.col("fold"))[c], F.lit(0)) if held_out else F.lit(0) for c in ("blocked", "labelled"))
+        b, k = (F.coalesce(c, F.lit(0)) - m for c, m in zip((F.col("b"), F.col("k")), minus))
+        df = df.withColumn(f"{s}_rate", (b + SMOOTHING * base) / (k + SMOOTHING)).drop("b", "k", "of")
     return df
 
 
-def judge(pages: DataFrame, rules=RULES, url_col: str = "url", max_train: int = MAX_TRAIN, trees: int = 12, depth: int = 4, smoothing: float = 20.0, id_col: str = "page_id") -> DataFrame:
+def fit(known: DataFrame, stats: DataFrame, base: float, n: int, labelled: int, max_train: int, trees: int, depth: int):
+    """Trees fitted to about ``max_train`` of the labelled rows of ``known``, chosen by the hash of their ``_row``."""
+    chosen = F.pmod(F.col("_row"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_train / labelled)) + 1
+    ready = gathered(with_rates(known.where(F.col("label").isNotNull() & chosen), stats, base, n, True)).select("features", "label").coalesce(4)
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32).fit(ready)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
+
+
+def judge(pages: DataFrame, rules=RULES, url_col: str = "url", max_train: int = MAX_TRAIN, trees: int = 12, depth: int = 4, id_col: str = "page_id") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``block_probability`` (of the trees, null where a rule decides)."""
     new = ("host", "path", "rule", "verdict", "block_probability")
     kept = [c for c in pages.columns if c not in new]
-    ruled = with_rule(pages.select(*kept), rules, url_col)
-    part = ruled.where("rule_verdict IS NOT NULL").select(url_col, "host", "path", (F.col("rule_verdict") == BLOCK).cast("double").alias("label"), F.xxhash64(id_col, url_col).alias("_row"))
-    size = part.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
+    row = pages.select(F.struct(*kept).alias("_kept"), F.col(url_col).alias("_url"), F.xxhash64(id_col, url_col).alias("_row"))
+    ruled = with_rule(row, rules, "_url").withColumn("label", (F.col("rule_verdict") == BLOCK).cast("double"))
+    size = ruled.agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("blocked")).first()
     blocked = size["blocked"] or 0.0
-    if not blocked or blocked == size["n"]:
+    if not blocked or blocked == size["labelled"]:
         rest = BLOCK if blocked else ALLOW
-        return ruled.select(*kept, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
-    base = blocked / size["n"]
-    # a row's own label counts in its suffixes' shares; the smoothing keeps rare suffixes near the base rate
-    known = lexical(part, url_col)
-    tables = {s: cut(known.groupBy(s).agg(((F.sum("label") + smoothing * base) / (F.count("*") + smoothing)).alias(f"{s}_rate"))) for s in SUFFIXES}
-    chosen = F.pmod(F.col("_row"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_train / size["n"])) + 1
-    train = lexical(part.where(chosen), url_col)
-    gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    ready = gather.transform(with_rates(train, tables, base)).select("features", "label").coalesce(4)
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32).fit(ready)
-    scored = model.transform(gather.transform(with_rates(lexical(ruled, url_col), tables, base)))
+        return ruled.select("_kept.*", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(rest)).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
+    base = blocked / size["labelled"]
+    known = lexical(ruled, "_url").withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    stats = cut(suffix_statistics(known))
+    model = fit(known, stats, base, size["n"], size["labelled"], max_train, trees, depth)
+    scored = model.transform(gathered(with_rates(known, stats, base, size["n"], False)))
     p = vector_to_array("probability")[1]
     verdict = F.coalesce("rule_verdict", F.when(p >= 0.5, BLOCK).otherwise(ALLOW))
-    return scored.select(*kept, "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), p).alias("block_probability"))
+    return scored.select("_kept.*", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), p).alias("block_probability"))

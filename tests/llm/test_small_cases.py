@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns: every operator has a defined result."""
 
 import hashlib
+import random
+import re
 
 import public_tokenizers
 import pytest
@@ -94,12 +96,52 @@ def test_empty_text_digests(spark, docs):
 
 
 def test_url_suffix_statistics_cover_all_labelled_urls(spark, monkeypatch):
-    rows = [(i, f"https://{'www.example' if i % 2 else 'example'}.com/en/p{i}" if i % 3 else f"https://a.net/es/{i}") for i in range(240)]
+    rows = [(i, f"https://{'www.example' if i % 2 else 'example'}.com/en/{i}/p" if i % 3 else f"https://a.net/es/{i}") for i in range(240)]
+    rows += [(i, f"https://x.b{i}.net/fr/") for i in range(240, 300)]
     seen, rated = [], urls.with_rates
-    monkeypatch.setattr(urls, "with_rates", lambda df, tables, base: seen.append((df, tables)) or rated(df, tables, base))
-    pages = spark.createDataFrame([(i, u.replace("/en/", f"/en/{i}/")) for i, u in rows] + [(i, f"https://b{i}.net/fr/") for i in range(240, 300)], "page_id bigint, url string")
-    pages = pages.withColumn("url", F.regexp_replace("url", r"https://b(\d+)\.net", "https://x.b$1.net"))
-    assert urls.judge(pages, max_train=60).count() == 300
-    train, tables = seen[0]
+    monkeypatch.setattr(urls, "with_rates", lambda df, stats, *more: seen.append((df, stats)) or rated(df, stats, *more))
+    assert urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), max_train=60).count() == 300
+    train, stats = seen[0]
     assert train.count() < 150
-    assert {r["domain"] for r in tables["domain"].collect()} == {"example.com", "a.net", *(f"b{i}.net" for i in range(240, 300))}
+    assert {r["value"] for r in stats.where("kind = 'domain'").collect()} == {"example.com", "a.net", *(f"b{i}.net" for i in range(240, 300))}
+
+
+def plain_rule(url):
+    """The longest fitting rule, by the contract's words."""
+    at = (url or "").find("://")
+    rest = "" if at < 0 else url[at + 3 :]
+    end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+    host, path = "".join(c.lower() if c.isascii() else c for c in rest[:end]), re.split(r"[?#]", rest[end:], maxsplit=1)[0]
+    fits = [(len(r), r, v) for v, r in urls.RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_url_rules_equal_brute_force(spark, data):
+    known = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url")
+    odd = ["http://EXAMPLE.com/en/a", "http://notexample.com/en/", "x://www.example.com/en", "http://www.example.com/en/?q#f", "http://a.net/es/", "http://net/fr/x", "http://com", "http://com/", "http://b.com?x=/en/", "://", "a://b://c.com/en/", "http://ÄB.com/É", "http://u.example.com#/en/", " ", "http://x.com/" + "a/" * 20_000]
+    pages = known.unionByName(spark.createDataFrame([(-k, u) for k, u in enumerate(odd, 1)], "page_id bigint, url string"))
+    for r in urls.judge(pages).collect():
+        host, path, rule, verdict = plain_rule(r.url)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and verdict in (None, r.verdict)
+
+
+def test_trees_judge_unruled_urls_by_more_than_one_number(spark, data):
+    out = urls.judge(spark.read.parquet(f"{data}/pages.parquet")).where("rule IS NULL")
+    assert {r[0] for r in out.select("verdict").distinct().collect()} == {"allow", "block"} and out.select("block_probability").distinct().count() > 1
+
+
+def test_trees_find_labels_of_hosts_that_they_have_not_seen(spark):
+    # junk hosts have digits and hyphens and long queries; no suffix repeats, so only the lexical features can tell
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    urls_ = [(i, f"http://{word()}-{rng.randrange(10**6)}.{word()}.io/{word()}?{'&'.join(f'p{k}={k}' for k in range(rng.randint(2, 6)))}" if i % 2 else f"https://{word()}.{word()}.io/{word()}/{word()}") for i in range(1200)]
+    pages = spark.createDataFrame([(i, u, float(i % 2)) for i, u in urls_], "page_id bigint, url string, label double")
+    ruled = urls.with_rule(pages).withColumn("_row", F.xxhash64("page_id", "url"))
+    known = urls.lexical(ruled).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(urls.FOLDS)).cast("int"))
+    train, test = known.where("page_id % 3 > 0"), known.where("page_id % 3 = 0")
+    stats = urls.suffix_statistics(train)
+    model = urls.fit(train, stats, 0.5, 800, 800, 20_000, 12, 4)
+    out = model.transform(urls.gathered(urls.with_rates(test, stats, 0.5, 800, False)))
+    assert BinaryClassificationEvaluator().evaluate(out) > 0.95
