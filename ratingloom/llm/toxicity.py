@@ -4,8 +4,9 @@ A document is a bag of sentences. A sentence scores ``p_s = sigmoid(b + sum of i
 scores by noisy-or, ``1 - prod(1 - p_s)``: one bad sentence is enough. Only document labels are known, so the weights are
 fitted by gradient descent on the likelihood of the noisy-or; the same weights then locate the offending sentences.
 
-A word carries weights for itself and for its leading 3, 4 and 5 bytes, so that inflected forms share evidence. The
-features are chosen in Spark by their association with the label; the fit sees the chosen features only.
+A word carries weights for itself and for its leading 3, 4 and 5 bytes, so that inflected forms share evidence. Spark counts
+every feature in the toxic and the clean documents among all labelled ones that aren't held out. The fit sees a bounded hash sample
+of these documents, and of the sample's features those whose association with the label is significant over all of them.
 
 Edge cases: a null or empty text has no sentence and scores 0; null labels and null ids are not learned from; several label
 rows for one document count as their maximum; repeated document rows are scored one by one; without any label of both
@@ -24,13 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, small_batches
+from .common import bucket, cut, small_batches
 
 SENTENCE = re.compile(rb"[.!?\n]+")
-#: Bound on the labelled documents that the fit may see; beyond it a hash sample of about this many is taken.
-MAX_TRAIN_DOCS = 12_000
-#: Features that the fit may use.
-MAX_FEATURES = 4096
+#: Bounds on the labelled documents that the fit may see, and on their bytes; beyond either a hash sample of about this many is taken.
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 12_000, 64_000_000
 PUNCT = b".,;:!?\"'()[]{}|*#$%&-"
 CACHE = 400_000
 RESULT = "score double, predicted int, n_sentences int, offending array<int>, worst_sentence int"
@@ -90,32 +89,36 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": names, "toxic": [seen[1][n] for n in names], "clean": [seen[0][n] for n in names]})
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_docs: int) -> DataFrame:
-    """(text, label) of a hash sample of about ``max_docs`` labelled documents that aren't held out."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(_id, text, label) of the labelled documents that aren't held out."""
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (bucket(id_col, 5) != 0))
         .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.max(F.col(label_col).cast("int")).alias("label"))
+        .agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     )
-    n = known.count()
-    part = known.where(F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_docs / max(n, 1))) + 1)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(part), "_id").select("text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"))
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(bucket("_id", 5) != 0).join(known, "_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_docs: int = MAX_TRAIN_DOCS, max_features: int = MAX_FEATURES, min_docs: int = 4) -> Model:
+        max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES, min_docs: int = 4) -> Model:
     """Weights of the words and the bias of a sentence, from document labels alone."""
-    train = sample_labelled(docs, labels, id_col, text_col, label_col, max_docs)
-    size = {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
+    known = cut(labelled(docs, labels, id_col, text_col, label_col))
+    size = {r["label"]: r for r in known.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     if len(size) < 2:
         return Model()
-    n1, n0 = size[1], size[0]
-    counts = train.mapInPandas(_counted, "feature binary, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    n1, n0 = size[1]["n"], size[0]["n"]
+    share = min(1.0, max_docs / (n1 + n0), max_bytes / max(1, sum(r["bytes"] or 0 for r in size.values())))
+    train = known.where(F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_003)) < int(1_000_003 * share) + 1).select("text", "label")
+    count = lambda d: d.select("text", "label").mapInPandas(_counted, "feature binary, toxic long, clean long")
+    counts = count(known).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     a, b = F.col("a") / n1, F.col("b") / n0
     pooled = (F.col("a") + F.col("b")) / (n1 + n0)
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    chosen = [bytes(r["feature"]) for r in counts.where(F.col("a") + F.col("b") >= min_docs).withColumn("z", z).where("abs(z) > 3").orderBy(F.abs("z").desc(), "feature").limit(max_features).collect()]
+    telling = counts.where(F.col("a") + F.col("b") >= min_docs).withColumn("z", z).where("abs(z) > 3")
+    if share < 1:
+        telling = telling.join(count(train).select("feature").distinct(), "feature", "left_semi")
+    chosen = [bytes(r["feature"]) for r in telling.orderBy(F.abs("z").desc(), "feature").collect()]
+    width = max(1, len(chosen))
     index = {f: i for i, f in enumerate(chosen)}
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,11 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = []
             for text, label in zip(pdf["text"], pdf["label"]):
                 parts = sentences(text)
-                rows.append((label, len(parts), [s * max_features + index[f] for s, words in enumerate(parts) for t in words for f in features(t) if f in index]))
+                rows.append((label, len(parts), [s * width + index[f] for s, words in enumerate(parts) for t in words for f in features(t) if f in index]))
             yield pd.DataFrame(rows, columns=["label", "n", "codes"])
 
     rows = train.mapInPandas(bags, "label int, n int, codes array<long>").toPandas()
-    return fit_bags(rows, chosen, max_features)
+    return fit_bags(rows, chosen, width)
 
 
 def fit_bags(rows: pd.DataFrame, chosen: list[bytes], width: int, rounds: int = 250, rate: float = 0.1, l2: float = 1e-4) -> Model:
