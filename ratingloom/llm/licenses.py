@@ -2,12 +2,14 @@
 
 Texts and license templates are cut into words. The hash of every run of ``K`` words of a text joins the positions of the same
 run in the templates; the run's words are compared too, so a hash collision never counts. A hit votes for the diagonal (text
-position minus template position). Hits are counted per diagonal; neighbouring diagonals of a template (few words were put in
-or left out) merge into one span; a span is a finding if enough of the template is covered in order. Base phrases are templates
-that must stand whole: all runs of a phrase on one diagonal.
+position minus template position). Neighbouring diagonals of a template (few words were put in or left out) merge into one span; a
+span is a finding if the votes cover enough of the template's words, each counted once, and the span isn't much longer than the
+template. Base phrases are templates that must stand whole: all runs of a phrase on one diagonal.
 
-Templates are a parameter of fixed size and are broadcast. Each text also emits one sentinel row that joins a sentinel template,
-so one pass over the texts yields both the hits and a row for texts without any.
+Templates are a parameter: one-line notices and, in ``license_texts``, whole licenses, of any length. Their runs (about 4,000) are
+broadcast. Runs whose words can't begin, go on or end a run of a template are left out before they are joined and hashed. Each text
+also emits one sentinel row that joins a sentinel template, so one pass over the texts yields both the hits and a row for texts
+without any.
 
 Edge cases: null and empty texts have no words and no labels; a text may hold any number of findings; texts of any length are
 exploded run by run; rows with equal id and text are counted once and given back as often as they stood; null ids are kept.
@@ -15,7 +17,9 @@ exploded run by run; rows with equal id and text are counted once and given back
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,22 +29,28 @@ K = 3
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that count wherever their words stand one after the other.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: Further templates: wording of license notices, with the share of the template that a span must cover.
-TEMPLATES = (
+#: Wording of license notices, one line each.
+NOTICES = (
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("all-rights-reserved", "all rights reserved"),
 )
+
+
+def whole_texts(folder: Path = Path(__file__).with_name("license_texts")) -> tuple[tuple[str, str], ...]:
+    """(label, words) of each whole license: the label is the file's name."""
+    return tuple((p.stem, " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", p.read_text().lower()))) for p in sorted(folder.glob("*.txt")))
+
+
+TEMPLATES = (*NOTICES, *whole_texts())
 MIN_COVER = 0.75
-#: Diagonals of one template within this many words belong to one span.
-SHIFT = 3
+#: Diagonals of one template within this many words belong to one span, which is at most so many times as long as the template.
+SHIFT, STRETCH = 3, 2
 
 
 def words_of(text: Column) -> Column:
@@ -48,21 +58,26 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), GAP), lambda w: w != "")
 
 
-def _template_runs(spark, phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]], k: int) -> DataFrame:
+def _template_rows(phrases: Sequence[tuple[str, str]], templates: Sequence[tuple[str, str]], k: int) -> list[tuple]:
     rows = []
     for number, (label, text, base) in enumerate([*((x, y, True) for x, y in phrases), *((x, y, False) for x, y in templates)]):
         words = text.split()
-        if not k <= len(words) <= 62:
-            raise ValueError(f"a template has {k} to 62 words (longer wording goes in pieces): {text}")
+        if len(words) < k:
+            raise ValueError(f"a template has {k} words at least: {text}")
         rows += [(number, label, base, len(words), i, " ".join(words[i : i + k])) for i in range(len(words) - k + 1)]
-    return spark.createDataFrame([*rows, (-1, None, False, 0, -1, "")], "template int, label string, base boolean, length int, at int, run string")
+    return rows
 
 
-def _hits(docs: DataFrame, id_col: str, text_col: str, runs: DataFrame, k: int) -> DataFrame:
+def _hits(docs: DataFrame, id_col: str, text_col: str, rows: list[tuple], k: int) -> DataFrame:
     """(id, text_key, n_words, pos) of every run of a text that stands in a template, with the template's columns."""
+    runs = docs.sparkSession.createDataFrame([*rows, (-1, None, False, 0, -1, "")], "template int, label string, base boolean, length int, at int, run string")
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), words_of(F.col(text_col)).alias("w"))
     # one run of k words a row; the sentinel is a run without words that carries the number of words as its position
     starts = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
+    words = [r[5].split(" ") for r in rows]
+    for j in range(k):
+        known = sorted({w[j] for w in words})
+        starts = F.filter(starts, lambda i: F.get("w", i + F.lit(j)).isin(known))  # noqa: B023
     cut_ = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i + 1, k), " ").alias("run")))
     each = text.select("id", "text_key", F.size("w").alias("n_words"), F.explode(F.concat(cut_, F.array(F.struct(F.size("w").alias("pos"), F.lit("").alias("run"))))).alias("r"))
     hashed = each.select("id", "text_key", "n_words", "r.pos", F.col("r.run").alias("own"), F.xxhash64("r.run").alias("h"))
@@ -74,35 +89,28 @@ TEXT = ("id", "text_key")
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
           k: int = K, min_cover: float = MIN_COVER, shift: int = SHIFT) -> DataFrame:
-    """Long form, a row a finding: id, text_key, template, label, base, first and last word, cover, and ``found``.
+    """Long form, a row a span: id, text_key, template, label, base, first and last word, cover, and ``found``.
 
     Template -1 is a text's sentinel: a row for each distinct text, with ``rows``, how often it stands.
     """
-    hits = _hits(docs, id_col, text_col, _template_runs(docs.sparkSession, phrases, templates, k), k)
-    # votes of a text, a template and a diagonal; the template positions that have one are the bits of a mask
+    hits = _hits(docs, id_col, text_col, _template_rows(phrases, templates, k), k)
     diagonal = F.when(F.col("template") >= 0, F.col("pos") - F.col("at"))
-    votes = hits.groupBy(*TEXT, "template", "label", "base", "length", diagonal.alias("diagonal")).agg(
-        F.bit_or(F.when(F.col("template") >= 0, F.expr("shiftleft(1L, at)")).otherwise(0)).alias("mask"),
-        F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("times"), F.max("n_words").alias("n_words"),
-    )
-    near = Window.partitionBy(*TEXT, "template").orderBy("diagonal")
+    votes = hits.groupBy(*TEXT, "template", "label", "base", "length", diagonal.alias("diagonal"), "at").agg(F.count("*").alias("times"), F.max("n_words").alias("n_words"))
+    near = Window.partitionBy(*TEXT, "template").orderBy("diagonal", "at")
     gap = F.col("diagonal") - F.lag("diagonal").over(near)
-    merged = (
-        votes.withColumn("new", F.when(F.col("base") | gap.isNull() | (gap > shift), 1).otherwise(0))
-        .withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*TEXT, "template", "label", "base", "length", "span")
-        .agg(
-            F.bit_or("mask").alias("mask"), F.min(F.col("diagonal") + F.col("low")).alias("first"), F.max(F.col("diagonal") + F.col("high") + k - 1).alias("last"),
-            F.sum(F.when(F.col("template") < 0, F.col("times"))).alias("rows"), F.max("n_words").alias("n_words"),
-        )
+    starts = gap.isNull() | (gap > F.when(F.col("base"), 0).otherwise(shift))
+    dealt = votes.withColumn("new", F.when(starts, 1).otherwise(0)).withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    # verified: the words of the template that the span's runs cover, each counted once
+    ahead = F.lead("at").over(Window.partitionBy(*TEXT, "template", "span").orderBy("at"))
+    covered = dealt.withColumn("covered", F.least(F.lit(k), F.coalesce(ahead - F.col("at"), F.lit(k))))
+    merged = covered.groupBy(*TEXT, "template", "label", "base", "length", "span").agg(
+        F.sum("covered").alias("covered"), F.count("*").alias("runs"), F.min(F.col("diagonal") + F.col("at")).alias("first"), F.max(F.col("diagonal") + F.col("at") + k - 1).alias("last"),
+        F.sum(F.when(F.col("template") < 0, F.col("times"))).alias("rows"), F.max("n_words").alias("n_words"),
     )
-    # verified: the words of the template that stand in the span, each counted once; a base phrase must stand whole
-    word_mask = F.col("mask")
-    for i in range(1, k):
-        word_mask = word_mask.bitwiseOR(F.shiftleft("mask", i))
-    cover = F.bit_count(word_mask) / F.greatest("length", F.lit(1))
-    whole = F.bit_count("mask") == F.col("length") - k + 1
-    return merged.withColumns({"cover": cover, "found": F.when(F.col("template") < 0, False).when(F.col("base"), whole).otherwise(cover >= min_cover)}).drop("mask", "span")
+    cover = F.col("covered") / F.greatest("length", F.lit(1))
+    whole = F.col("runs") == F.col("length") - k + 1
+    found = F.when(F.col("template") < 0, False).when(F.col("base"), whole).otherwise((cover >= min_cover) & (F.col("last") - F.col("first") < STRETCH * F.col("length")))
+    return merged.withColumns({"cover": cover, "found": found}).drop("covered", "runs", "span")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -501,6 +502,56 @@ def test_licenses_equal_brute_force(spark):
         assert got[i].base_labels == ",".join(sorted({x for _, x in at})) and set(got[i].base_labels.split(",")) <= set(got[i].labels.split(",")) | {""}
 
 
+def plain_scan(text, phrases, templates, k=3):
+    """(labels, score) by the docstring's words: votes of diagonals, merged spans, covered words."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    labels, score = set(), 0.0
+    for base, (label, wording) in [*((True, x) for x in phrases), *((False, x) for x in templates)]:
+        t = wording.split()
+        places = {}
+        for j in range(len(t) - k + 1):
+            places.setdefault(tuple(t[j : j + k]), []).append(j)
+        votes = sorted((i - j, j) for i in range(len(w) - k + 1) for j in places.get(tuple(w[i : i + k]), ()))
+        groups = []
+        for d, j in votes:
+            if not groups or d - groups[-1][-1][0] > (0 if base else licenses.SHIFT):
+                groups.append([])
+            groups[-1].append((d, j))
+        for g in groups:
+            cover = len({j + x for _, j in g for x in range(k)}) / len(t)
+            first, last = min(d + j for d, j in g), max(d + j for d, j in g) + k - 1
+            if len(g) == len(t) - k + 1 if base else cover >= licenses.MIN_COVER and last - first < 2 * len(t):
+                labels.add(label)
+                score = max(score, cover)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    whole = dict(licenses.whole_texts())
+    vocabulary = " ".join(x for _, x in licenses.NOTICES).split() + ["x", "of", "the", "software"]
+
+    def damaged(words, share):
+        out = []
+        for w in words:
+            u = rng.random()
+            out += [] if u < share / 3 else [w, rng.choice(vocabulary)] if u < 2 * share / 3 else [rng.choice(vocabulary)] if u < share else [w]
+        return out
+
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    for label in whole:
+        for share in (0.0, 0.02, 0.05, 0.1, 0.3):
+            texts.append(" ".join([*rng.choices(vocabulary, k=20), *damaged(whole[label].split(), share), *rng.choices(vocabulary, k=20)]))
+    texts += [" ".join(damaged(x.split(), 0.15)) for _, x in licenses.NOTICES for _ in range(5)]
+    texts += [whole["mit"] + " and " + whole["bsd-3"], whole["mit"][: len(whole["mit"]) // 2], (Path(licenses.__file__).parent / "license_texts/mit.txt").read_text()]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, t in enumerate(texts):
+        labels, score = plain_scan(t, licenses.PHRASES, licenses.TEMPLATES)
+        assert (got[i].labels, got[i].score) == (labels, pytest.approx(score, abs=1e-12)), t
+    assert got[len(texts) - 3].labels == "bsd-3,mit" and got[len(texts) - 1].labels == "mit"
+    assert {x for r in got.values() for x in r.labels.split(",")} >= set(whole)
+
+
 def test_licenses_tolerate_a_changed_word(spark):
     texts = ["licensed under the new apache license version 2 0", "this work is licensed under the gnu general public license v3", "rights are not reserved at all"]
     got = [r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
