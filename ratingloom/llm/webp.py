@@ -4,18 +4,19 @@ The decoder reads any VP8L stream: simple and normal prefix codes, meta prefix c
 map, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. Streams with one prefix group,
 constant red, blue and alpha and no cache are decoded from tables over all bit positions at once; all others pixel by pixel.
 
-The encoder writes a payload as grey samples (rows of 64, wider beyond 16384 rows, then the last row is padded), subtracts
-green so that only one channel remains, and codes it by length-limited prefix codes; runs of one byte are back-references.
+The encoder writes a payload as grey samples (rows of 64, wider beyond 16384 rows, then the last row is padded) and takes the
+shortest of three forms: a palette with packed pixels (16 different values or fewer), green subtracted so that only one channel
+remains, or the differences from the pixel to the left or above after that. Symbols go by length-limited prefix codes; runs of one
+byte are back-references.
 
-Edge cases: a null text is stored like an empty one, as 64 zero bytes; texts of any length up to 2**28 bytes fit; a file that
-isn't a lossless WebP raises ``ValueError``; repeated rows are stored once each; extra columns are kept, same-named replaced.
+Edge cases: a null text is stored like an empty one, as 64 zero bytes; a payload beyond 2**28 bytes raises ``ValueError``, as does
+a file that isn't a lossless WebP; repeated rows are stored once each; extra columns are kept, same-named replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -343,7 +344,9 @@ def unpredict(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, bl
         while x < width:
             m = int(mode[y >> block, x >> block])
             end = min(width, ((x >> block) + 1) << block)
-            if m in ROWWISE:
+            if m == 1:
+                row[x:end] = (row[x - 1] + np.cumsum(row[x:end], axis=0)) & 255
+            elif m in ROWWISE:
                 row[x:end] = (row[x:end] + PREDICTORS[m](None, above[x:end], right[x:end], above[x - 1 : end - 1])) & 255
             else:
                 f = PREDICTORS[m] if m < 14 else PREDICTORS[0]
@@ -492,9 +495,8 @@ def length_prefix(n: int) -> tuple[int, int, int]:
     return 2 * high + second, x & ((1 << (high - 1)) - 1), high - 1
 
 
-def encode_grey(samples: bytes, width: int, height: int) -> bytes:
-    """A lossless WebP file of ``width * height`` grey samples."""
-    data = np.frombuffer(samples, np.uint8)
+def put_body(w: BitsOut, data: np.ndarray, alpha: int) -> bytes:
+    """The stream of ``w`` and, after it, an image of which only green varies: prefix codes, symbols and run references."""
     start, length = runs(data)
     # symbols of the green alphabet in stream order, with the extra bits that follow each
     literal = np.ones(len(data), bool)
@@ -515,18 +517,10 @@ def encode_grey(samples: bytes, width: int, height: int) -> bytes:
     lengths = code_lengths(counts)
     if len(np.flatnonzero(counts)) == 1 and int(symbol[0]) < 256:
         lengths = (counts > 0).astype(np.int64)
-    w = BitsOut()
-    w.put(0x2F, 8)
-    w.put(width - 1, 14)
-    w.put(height - 1, 14)
-    w.put(0, 4)  # no alpha, version 0
-    w.put(0b101, 3)  # a transform: subtract green
-    w.put(0, 3)  # no further transform, no cache, no meta codes
+    w.put(0, 2)  # no colour cache, no meta codes
     write_prefix(w, lengths)
-    for s in (0, 0, 255, 1):  # red, blue, alpha; distance 1 is number 2 of the plane map, of prefix 1
-        one = np.zeros(256, np.int64)
-        one[s] = 1
-        write_prefix(w, one)
+    for s in (0, 0, alpha, 1):  # red, blue, alpha; distance 1 is number 2 of the plane map, of prefix 1
+        write_prefix(w, single_code(s))
     single = np.count_nonzero(lengths) == 1
     n_bits = (np.zeros_like(symbol) if single else lengths[symbol]) + more_bits
     value = (np.zeros_like(symbol) if single else canonical(lengths)[symbol] | more << lengths[symbol])
@@ -541,7 +535,92 @@ def encode_grey(samples: bytes, width: int, height: int) -> bytes:
     if head and len(body):
         body[0] |= prefix[-1]
         prefix = prefix[:-1]
-    stream = prefix + body.tobytes()
+    return prefix + body.tobytes()
+
+
+def single_code(symbol: int, size: int = 256) -> np.ndarray:
+    """Code lengths of an alphabet of which one symbol occurs."""
+    out = np.zeros(size, np.int64)
+    out[symbol] = 1
+    return out
+
+
+def put_head(width: int, height: int) -> BitsOut:
+    if max(width, height) > MAX_SIDE:
+        raise ValueError(f"{width} x {height} pixels: a side has {MAX_SIDE} at most")
+    w = BitsOut()
+    w.put(0x2F, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(0, 4)  # no alpha, version 0
+    return w
+
+
+def palette_stream(data: np.ndarray, width: int, height: int) -> bytes:
+    """The image as a palette and pixels packed into the green channel: 8, 4 or 2 of them a sample."""
+    values, index = np.unique(data, return_inverse=True)
+    bits = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+    w = put_head(width, height)
+    w.put(0b111, 3)  # a transform: palette
+    w.put(len(values) - 1, 8)
+    steps = np.diff(values, prepend=0).astype(np.int64) & 255  # every channel has the same differences; alpha 255 and then 0
+    colour = code_lengths(np.bincount(steps, minlength=256))
+    alpha = single_code(255)
+    alpha[0] = len(values) > 1
+    w.put(0, 1)
+    for code in (np.append(colour, np.zeros(ALPHABETS[0] - 256, np.int64)), colour, colour, alpha, single_code(0)):
+        write_prefix(w, code)
+    canon, alphas, several = canonical(colour), canonical(alpha), np.count_nonzero(colour) > 1
+    for k, s in enumerate(steps.tolist()):
+        for _ in range(3):
+            w.put(int(canon[s]) if several else 0, int(colour[s]) if several else 0)
+        if len(values) > 1:
+            w.put(int(alphas[0 if k else 255]), 1)
+    w.put(0, 1)  # no further transform
+    each, across = 8 >> bits, -(-width >> bits)
+    rows = np.zeros((height, across << bits), np.int64)
+    rows[:, :width] = index.reshape(height, width)
+    packed_ = (rows.reshape(height, across, 1 << bits) << (np.arange(1 << bits) * each)).sum(axis=2)
+    return put_body(w, packed_.ravel().astype(np.uint8), 255)
+
+
+def residuals(data: np.ndarray, width: int, height: int, mode: int) -> np.ndarray:
+    """Differences of one channel from the pixel to the left (1) or above (2); the first row takes the left, the first column the upper."""
+    x = data.reshape(height, width)
+    out = x.copy()
+    if mode == 1:
+        out[:, 1:] -= x[:, :-1]
+        out[1:, 0] -= x[:-1, 0]
+    else:
+        out[1:] -= x[:-1]
+        out[0, 1:] -= x[0, :-1]
+    return out.ravel()
+
+
+def entropy(data: np.ndarray) -> float:
+    p = np.bincount(data, minlength=256) / len(data)
+    p = p[p > 0]
+    return float(-(p * np.log2(p)).sum())
+
+
+def encode_grey(samples: bytes, width: int, height: int) -> bytes:
+    """A lossless WebP file of ``width * height`` grey samples."""
+    data = np.frombuffer(samples, np.uint8)
+    w = put_head(width, height)
+    w.put(0b101, 3)  # a transform: subtract green
+    forms = [(entropy(data), 0, data), *((entropy(r), mode, r) for mode in (1, 2) for r in [residuals(data, width, height, mode)])]
+    _, mode, body = min(forms, key=lambda f: f[:2])
+    if mode:
+        w.put(0b001, 3)  # a further transform: predictor
+        w.put(7, 3)  # blocks of 512 pixels a side, all of one mode
+        w.put(0, 1)
+        for s, size in ((mode, ALPHABETS[0]), (0, 256), (0, 256), (255, 256), (0, ALPHABETS[4])):
+            write_prefix(w, single_code(s, size))
+    w.put(0, 1)  # no further transform
+    streams = [put_body(w, body, 0 if mode else 255)]
+    if len(np.unique(data)) <= 16:
+        streams.append(palette_stream(data, width, height))
+    stream = min(streams, key=len)
     stream += b"\0" * (len(stream) & 1 == 1)
     return b"RIFF" + (12 + len(stream)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream
 
@@ -554,6 +633,8 @@ def payload(text: str | None, unit: int = 64) -> tuple[bytes, int]:
 
 def store(data: bytes) -> bytes:
     """A file of a payload whose length is a multiple of 64."""
+    if len(data) > MAX_SIDE**2:
+        raise ValueError(f"{len(data)} bytes: an image has {MAX_SIDE**2} pixels at most")
     width = 64 if len(data) <= 64 * MAX_SIDE else MAX_SIDE
     height = -(-len(data) // width)
     return encode_grey(data + b"\0" * (width * height - len(data)), width, height)
@@ -575,28 +656,37 @@ def to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("_m", stored.asNondeterministic()(F.col(text_col))).select(*keep, "_m.*")
 
 
+READ = ("width", "height", "channels", "pixels", "media_bytes", "media_sha256", "feature")
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """Columns of the decoded payload beside those of ``media`` (which has ``media`` and ``payload_bytes``)."""
+    """The pixel arrays of ``media`` beside its columns: ``width``, ``height``, ``channels`` (1: grey; 4: alpha, red, green, blue),
+    ``pixels`` (bytes, row by row), and length, digest and a feature of the file."""
 
-    @F.pandas_udf("payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    def opened(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for files, sizes in batches:
+    @F.pandas_udf("width int, height int, channels int, pixels binary, media_bytes long, media_sha256 string, feature string")
+    def opened(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for files in batches:
             rows = []
-            for f, n in zip(files, sizes):
-                pixels = decode(f)
-                grey = np.ascontiguousarray(pixels[:, :, 2])
-                data = grey.tobytes()[: int(n)]
-                p = np.bincount(grey.ravel(), minlength=256) / grey.size
-                p = p[p > 0]
-                text = f"{pixels.shape[1]}x{pixels.shape[0]} levels={len(p)} mean={grey.mean():.4f} entropy={-(p * np.log2(p)).sum():.4f}"
-                rows.append((hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(f), hashlib.sha256(f).hexdigest(), text))
-            yield pd.DataFrame(rows, columns=["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            for f in files:
+                argb = decode(f)
+                grey = np.ascontiguousarray(argb[:, :, 2])
+                plain = all((argb[:, :, c] == grey).all() for c in (1, 3)) and (argb[:, :, 0] == 255).all()
+                text = f"{argb.shape[1]}x{argb.shape[0]} levels={len(np.unique(grey))} mean={grey.mean():.4f} entropy={entropy(grey.ravel()):.4f}"
+                rows.append((argb.shape[1], argb.shape[0], 1 if plain else 4, (grey if plain else argb).tobytes(), len(f), hashlib.sha256(f).hexdigest(), text))
+            yield pd.DataFrame(rows, columns=list(READ))
+
+    return media.withColumn("_r", opened.asNondeterministic()("media")).select(*(c for c in media.columns if c not in READ), "_r.*")
+
 
-    new = ("payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return media.withColumn("_r", opened.asNondeterministic()("media", "payload_bytes")).select(*(c for c in media.columns if c not in new), "_r.*")
+def write_pixels(media: DataFrame, path: str) -> None:
+    """The pixel arrays of ``media`` as a table, without the files."""
+    read_media(media).drop("media").write.parquet(path)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores all texts as a table of WebP files in the shared folder, reads it back and returns digests and a feature of each."""
+    """Stores all texts as a table of WebP files in the shared folder, reads it back and digests the pixel arrays."""
     files = cut(to_media(docs.select(id_col, F.col(text_col).alias("_text")), "_text").select(id_col, "n_bytes", "payload_bytes", "media"))
-    return read_media(files).drop("media")
+    read = read_media(files)
+    data = F.substring("pixels", F.lit(1), F.col("payload_bytes").cast("int"))
+    tail = F.substring("pixels", (F.col("payload_bytes") - 63).cast("int"), F.lit(64))
+    return read.select(id_col, "n_bytes", "payload_bytes", F.sha2(data, 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "width", "height")

@@ -1,9 +1,11 @@
 """Operators against brute force, exact round trips or held-out accuracy."""
 
+import hashlib
 import math
 import random
 import re
 import struct
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -191,6 +193,60 @@ def test_webp_round_trip(raw):
     assert pixels[:, :, 2].tobytes()[: len(data)] == data and (pixels[:, :, 0] == 255).all()
 
 
+@pytest.mark.parametrize("what", ["palette2", "palette4", "palette16", "left", "above", "one", "text"])
+def test_webp_encoder_takes_the_form_that_pays(what):
+    rng = np.random.default_rng(3)
+    n = 64 * 300
+    data = {
+        "palette2": rng.choice(np.array([7, 200], np.uint8), n), "palette4": rng.choice(np.array([0, 9, 100, 255], np.uint8), n), "palette16": rng.choice(np.arange(3, 250, 16, dtype=np.uint8), n),
+        "left": np.cumsum(rng.integers(0, 3, n)).astype(np.uint8), "above": (np.tile(rng.integers(0, 256, 64), n // 64) + np.repeat(np.arange(n // 64), 64)).astype(np.uint8), "one": np.full(n, 65, np.uint8), "text": np.frombuffer((b"The quick brown fox jumps over lazy dogs. " * n)[:n], np.uint8),
+    }[what]
+    file = webp.store(data.tobytes())
+    seen = []
+    r = webp.Bits(file[20:])
+    r.at = 8 + 14 + 14 + 4
+    while r.take(1):
+        kind = r.take(2)
+        seen.append(kind)
+        if kind != 2:
+            break
+    assert seen == {"palette2": [3], "palette4": [3], "palette16": [3], "left": [2, 0], "above": [2, 0], "one": [2], "text": [2]}[what]
+    assert webp.decode(file)[:, :, 2].tobytes() == data.tobytes()
+    if what in ("palette2", "palette4", "left", "above"):
+        assert len(file) < 0.4 * n
+
+
+def test_webp_payloads_beyond_the_format_raise():
+    class Long(bytes):
+        def __len__(self):
+            return 2**28 + 64
+
+    with pytest.raises(ValueError):
+        webp.store(Long())
+    with pytest.raises(ValueError):
+        webp.put_head(16385, 1)
+
+
+def test_media_columns_equal_plain_digests(spark, data, tmp_path):
+    texts = [None, "", "a", "x" * 63, "x" * 64, "é" * 33, "aabb" * 500, *(r.text for r in table(spark, data, "documents").limit(40).collect())]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in webp.round_trip(d).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        file = webp.store(padded)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.width * r.height) == (len(file), hashlib.sha256(file).hexdigest(), len(padded))
+    webp.write_pixels(webp.to_media(d), f"{tmp_path}/pixels")
+    for r in spark.read.parquet(f"{tmp_path}/pixels").collect():
+        assert r.channels == 1 and bytes(r.pixels[: r.n_bytes]) == (texts[r.doc_id] or "").encode() and len(r.pixels) == r.width * r.height
+
+
+def test_broken_media_fail_the_job(spark):
+    broken = spark.createDataFrame([(1, bytearray(b"RIFFxxxxWEBPVP8L" + b"x" * 20))], "doc_id int, media binary")
+    with pytest.raises(Exception, match="lossless"):
+        webp.read_media(broken).collect()
+
+
 class Writer:
     """Streams with features that the encoder doesn't use, bit by bit."""
 
