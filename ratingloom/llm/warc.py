@@ -8,7 +8,8 @@ Reading: Spark's text reader cuts the files at every occurrence of the magic lin
 Each segment is a candidate record: its header says where its successor must start. Per file, pointer jumping over these
 offsets from the file's start marks the reachable candidates; a magic line inside a payload is never reached, and its segment
 is part of the record before it. Only offsets and header fields are shuffled. Payloads that hold a magic line are pieced
-together from the segments of their file in a second pass over such files alone.
+together from the segments of their file in a second pass over such files alone. A file's offsets and header fields (some 300
+bytes a record) go to one task, so archives are meant to be cut into files of a million records at most, as they usually are.
 
 Edge cases: a null payload is empty; null ids and URLs are empty header fields and come back as null; line breaks in URLs are
 percent-encoded; rows that repeat the largest id of a payload are all responses; an empty table gives no records; what follows
@@ -22,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import HOT_SHARE, cut, join_unique, scratch
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 MIN_DEDUP = 1000
 RECORDS_PER_FILE = 2000
-#: Repeated payloads up to this many are broadcast as (digest, id) rows of about 60 bytes; beyond it the join is shuffled.
+#: Repeated payloads up to this many are broadcast as (digest, id) rows of about 60 bytes; beyond it only those of many pages are.
 MAX_BROADCAST_ROWS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -44,9 +45,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("payload"))
     base = base.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha1(F.col("payload").cast("binary"))})
     large = base.where(F.col("bytes") >= MIN_DEDUP).select("digest", "id")
-    twins = large.groupBy(F.col("digest").alias("twin")).agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("twin", "first")
-    twins = F.broadcast(twins) if twins.count() <= MAX_BROADCAST_ROWS else twins
-    joined = base.join(twins, (F.col("digest") == F.col("twin")) & (F.col("bytes") >= MIN_DEDUP), "left")
+    twins = cut(large.groupBy(F.col("digest").alias("twin")).agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    size = twins.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("pages")).first()
+    few = size["rows"] <= MAX_BROADCAST_ROWS
+    hot = [] if few else [r["twin"] for r in twins.where(F.col("n") * HOT_SHARE > size["pages"]).select("twin").collect()]
+    twins = twins.select("twin", "first")
+    # small payloads have no twin: each has a key of its own, so that equal ones don't meet
+    keyed = base.withColumn("twin", F.when(F.col("bytes") >= MIN_DEDUP, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    joined = join_unique(keyed, F.broadcast(twins) if few else twins, "twin", hot, "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
@@ -117,7 +123,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     narrow = seg.select("file", "block", "nth", "size", "head_size", "content", *(_field(v).alias(k) for k, v in FIELDS.items()), F.sha1(body.cast("binary")).alias("read_digest"), F.octet_length(body).cast("long").alias("read_bytes"))
     kind = "file string, block long, nth long, size long, head_size long, content long, " + ", ".join(f"{k} string" for k in FIELDS) + ", read_digest string, read_bytes long, offset long, record long, starts boolean"
     chained = narrow.groupBy("file").applyInPandas(chain, kind).where("record >= 0")
-    parts = chained.groupBy("file", "record").agg(F.count("*").alias("n"), *(F.max(F.when(F.col("starts"), F.col(c))).alias(c) for c in (*FIELDS, "read_digest", "read_bytes")))
+    parts = cut(chained.groupBy("file", "record").agg(F.count("*").alias("n"), *(F.max(F.when(F.col("starts"), F.col(c))).alias(c) for c in (*FIELDS, "read_digest", "read_bytes"))))
     split = parts.where("n > 1").select("file").distinct()
     found = parts.select("file", F.col("record").alias("offset"), *FIELDS, "n", "read_digest", "read_bytes")
     if split.isEmpty():
