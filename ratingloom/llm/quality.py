@@ -19,6 +19,7 @@ same-named replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,7 @@ def _bytes_in(*parts: bytes | range) -> np.ndarray:
     return out
 
 
+BEYOND = re.compile(r"[^\x00-\x7f]+")
 #: Bytes of letters (all beyond ASCII count as such), of white space, and those that a word usually ends in.
 LETTER = _bytes_in(range(65, 91), range(97, 123), range(128, 256))
 SPACE = _bytes_in(BLANK.encode())
@@ -105,9 +107,9 @@ def measure_text(text: str | None) -> tuple[tuple[int, ...], dict[str, float]]:
         duplicate_lines(lines) if len(lines) > 1 else 0,
         repeated_words(words),
     )
-    capitals = sum(map(str.isupper, text))
-    per = max(n, 1)
     at = np.frombuffer(text.encode(), np.uint8)
+    capitals = int(np.count_nonzero((at >= 65) & (at <= 90))) + sum(map(str.isupper, "".join(BEYOND.findall(text))))
+    per = max(n, 1)
     space = SPACE[at]
     last = at[~space & np.append(space[1:], True)] if n else at
     return base, {
