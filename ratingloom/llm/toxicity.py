@@ -6,7 +6,8 @@ fitted by gradient descent on the likelihood of the noisy-or; the same weights t
 
 A word carries weights for itself and for its leading 3, 4 and 5 bytes, so that inflected forms share evidence. Spark counts
 every feature in the toxic and the clean documents among all labelled ones that aren't held out. The fit sees a bounded hash sample
-of these documents, and of the sample's features those whose association with the label is significant over all of them.
+of these documents, and of the sample's features those whose association with the label is significant over all of them and that
+are at least ``RATIO`` times as frequent in one class as in the other.
 
 Edge cases: a null or empty text has no sentence and scores 0; null labels and null ids are not learned from; several label
 rows for one document count as their maximum; repeated document rows are scored one by one; without any label of both
@@ -30,6 +31,8 @@ from .common import bucket, cut, small_batches
 SENTENCE = re.compile(rb"[.!?\n]+")
 #: Bounds on the labelled documents that the fit may see, and on their bytes; beyond either a hash sample of about this many is taken.
 MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 12_000, 64_000_000
+#: A feature is of use if its share of toxic documents is so many times its share of clean ones, or the other way round.
+RATIO = 2.0
 PUNCT = b".,;:!?\"'()[]{}|*#$%&-"
 CACHE = 400_000
 RESULT = "score double, predicted int, n_sentences int, offending array<int>, worst_sentence int"
@@ -114,38 +117,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = F.col("a") / n1, F.col("b") / n0
     pooled = (F.col("a") + F.col("b")) / (n1 + n0)
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    telling = counts.where(F.col("a") + F.col("b") >= min_docs).withColumn("z", z).where("abs(z) > 3")
+    ratio = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
+    telling = counts.where(F.col("a") + F.col("b") >= min_docs).withColumn("z", z).where((F.abs("z") > 3) & ((ratio >= RATIO) | (ratio <= 1 / RATIO)))
     if share < 1:
         telling = telling.join(count(train).select("feature").distinct(), "feature", "left_semi")
     chosen = [bytes(r["feature"]) for r in telling.orderBy(F.abs("z").desc(), "feature").collect()]
-    width = max(1, len(chosen))
     index = {f: i for i, f in enumerate(chosen)}
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per document, its label, its number of sentences, and (sentence, feature) codes of the chosen features."""
+        """Per document, its label, its number of sentences, and the (sentence, feature) pairs of the chosen features as bytes."""
         for pdf in batches:
             rows = []
             for text, label in zip(pdf["text"], pdf["label"]):
                 parts = sentences(text)
-                rows.append((label, len(parts), [s * width + index[f] for s, words in enumerate(parts) for t in words for f in features(t) if f in index]))
-            yield pd.DataFrame(rows, columns=["label", "n", "codes"])
+                pairs = [(s, index[f]) for s, words in enumerate(parts) for t in words for f in features(t) if f in index]
+                rows.append((label, len(parts), np.array(pairs, np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["label", "n", "pairs"])
 
-    rows = train.mapInPandas(bags, "label int, n int, codes array<long>").toPandas()
-    return fit_bags(rows, chosen, width)
+    # by label and digest, so that a fit repeats
+    rows = train.mapInPandas(bags, "label int, n int, pairs binary").where("n > 0").orderBy("label", "n", F.sha2("pairs", 256)).toPandas()
+    return fit_bags(rows, chosen)
 
 
-def fit_bags(rows: pd.DataFrame, chosen: list[bytes], width: int, rounds: int = 250, rate: float = 0.1, l2: float = 1e-4) -> Model:
-    """Adam on the noisy-or likelihood over the bounded sample. Rows are put in a fixed order first, so that a fit repeats."""
-    rows = rows[rows["n"] > 0]
+def fit_bags(rows: pd.DataFrame, chosen: list[bytes], rounds: int = 250, rate: float = 0.1, l2: float = 1e-4) -> Model:
+    """Adam on the noisy-or likelihood over the bounded sample."""
     if not len(rows):
         return Model()
-    rows = rows.assign(_k=[(int(x), int(n), tuple(c)) for x, n, c in zip(rows["label"], rows["n"], rows["codes"])]).sort_values("_k", kind="stable")
     n = rows["n"].to_numpy()
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     y = rows["label"].to_numpy().astype(float)
-    codes = [np.asarray(c, dtype=np.int64) for c in rows["codes"]]
-    sent = np.concatenate([c // width + s for c, s in zip(codes, start)])
-    feat = np.concatenate([c % width for c in codes])
+    pairs = [np.frombuffer(p, np.int32).reshape(-1, 2) for p in rows["pairs"]]
+    sent = np.concatenate([p[:, 0] + s for p, s in zip(pairs, start)])
+    feat = np.concatenate([p[:, 1] for p in pairs])
     doc, total = np.repeat(np.arange(len(n)), n), int(n.sum())
     w, b = np.zeros(len(chosen) or 1), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
