@@ -95,8 +95,9 @@ def record_text(wins: str, losses: str, ties: str) -> Column:
     return F.when(F.col(ties) > 0, F.concat_ws("-", base, F.col(ties).cast("string"))).otherwise(base)
 
 
-def period_label(season: str = "season", week: str = "week", season_type: Column | None = None) -> Column:
-    kind = F.lit("regular") if season_type is None else season_type
+def period_label(columns: list[str], season: str = "season", week: str = "week") -> Column:
+    """Season, season type (regular, where a table of these columns has none) and week."""
+    kind = F.coalesce("season_type", F.lit("regular")) if "season_type" in columns else F.lit("regular")
     return F.concat_ws(" ", F.col(season).cast("string"), kind, F.lit("week"), F.col(week).cast("string"))
 
 

@@ -134,6 +134,15 @@ def calibrate(games: DataFrame, margin_mae: DataFrame | None = None) -> DataFram
     )
 
 
+def report_counts(report: DataFrame, left_out: DataFrame) -> DataFrame:
+    """One row: games in scope, scored or not, forecasts left out, and completed games without a forecast."""
+    games = report.agg(
+        F.count("*").alias("games_in_scope"), F.count_if(F.col("status") == "scored").alias("scored"), F.count_if(F.col("status") != "scored").alias("not_scored"),
+        F.count_if(F.col("actual_home_points").isNotNull() & F.col("source_run").isNull()).alias("completed_without_prediction"),
+    )
+    return games.crossJoin(F.broadcast(left_out.agg(F.count("*").alias("excluded_candidates"))))
+
+
 def reason_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 

@@ -21,23 +21,30 @@ def priority(provider: str | Column) -> Column:
 def consensus_lines(lines: DataFrame) -> DataFrame:
     """One line a game from (game_id, provider, spread, over_under, pos): the first usable by provider, else by position.
 
-    A line is usable if it has a spread or a total.
+    A line is usable if it has a spread or a total. The names of both teams stay, where the lines have them.
     """
     usable = lines.where(F.col("spread").isNotNull() | F.col("over_under").isNotNull())
-    best = F.min_by(F.struct("provider", "spread", "over_under"), F.struct(priority("provider").alias("p"), F.col("pos")))
-    return usable.groupBy("game_id").agg(best.alias("l")).select("game_id", F.col("l.provider").alias("provider"), F.col("l.spread").alias("market_spread"), F.col("l.over_under").alias("market_total"))
+    names = [c for c in ("home_name", "away_name") if c in lines.columns]
+    best = F.min_by(F.struct("provider", "spread", "over_under", *names), F.struct(priority("provider").alias("p"), F.col("pos")))
+    picked = {"provider": "provider", "market_spread": "spread", "market_total": "over_under"} | {n: n for n in names}
+    return usable.groupBy("game_id").agg(best.alias("l")).select("game_id", *(F.col(f"l.{c}").alias(n) for n, c in picked.items()))
 
 
 def attach_lines(forecasts: DataFrame, lines: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Forecasts with their line: by game id, else by the lower-cased names of both teams; the line is taken as a whole.
 
-    ``lines`` has game_id (text or number), market_spread, market_total; ``names`` has home_name, away_name and the same two.
+    ``lines`` has game_id (text or number), market_spread, market_total; ``names`` has home_name, away_name and the same two, and is
+    ``lines`` itself if that has names. Of several lines of a game or of a pair of names the one of the smallest game id counts.
     """
-    by_id = lines.select(F.col("game_id").cast("string").alias("_gid"), F.struct("market_spread", "market_total").alias("_line"))
+    if names is None and {"home_name", "away_name"} <= set(lines.columns):
+        names = lines
+    whole = F.struct("market_spread", "market_total")
+    by_id = lines.where("game_id IS NOT NULL").groupBy(F.col("game_id").cast("string").alias("_gid")).agg(F.min(whole).alias("_line"))
     out = forecasts.join(by_id, F.col("game_id").cast("string") == F.col("_gid"), "left")
     line = F.col("_line")
     if names is not None:
-        by_name = names.select(F.lower("home_name").alias("_h"), F.lower("away_name").alias("_a"), F.struct("market_spread", "market_total").alias("_named"))
+        first = F.struct(F.col("game_id").try_cast("bigint") if "game_id" in names.columns else F.lit(0), whole)
+        by_name = names.groupBy(F.lower("home_name").alias("_h"), F.lower("away_name").alias("_a")).agg(F.min_by(whole, first).alias("_named"))
         out = out.join(by_name, (F.lower("home_team") == F.col("_h")) & (F.lower("away_team") == F.col("_a")), "left")
         line = F.coalesce("_line", "_named")
     picked = out.withColumn("_pick", line)

@@ -14,14 +14,14 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clip, mean_of, model_confidence, normal_cdf, round_to
+from ..functions import clip, mean_of, model_confidence, normal_cdf, period_label, round_to
 
 MIN_TRAINING = 20
 
 
 def with_periods(matchups: DataFrame) -> DataFrame:
-    """Completed matchups with ``period`` (label) and ``ord``, the period's place by earliest kickoff, ties by label."""
-    done = matchups.where("completed").withColumn("period", F.concat_ws(" ", F.col("season").cast("string"), F.lit("regular week"), F.col("week").cast("string")))
+    """Completed matchups with ``period`` (label of season, type and week) and ``ord``, the period's place by earliest kickoff, ties by label."""
+    done = matchups.where("completed").withColumn("period", period_label(matchups.columns))
     first = done.groupBy("period").agg(F.min("game_date").alias("_first"))
     order = first.withColumn("ord", F.row_number().over(Window.orderBy("_first", "period")))  # a row a period: small by nature
     return done.join(F.broadcast(order.drop("_first")), "period")

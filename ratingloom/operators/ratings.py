@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_divide, tier
-from ..sources.store import cut
+from ..sources.store import cut, join_summary
 
 #: Edges of a unit up to which one task solves it (about 100 bytes each).
-GROUPED_EDGES = 1_000_000
+GROUPED_EDGES = 250_000
 
 
 @dataclass(frozen=True)
@@ -40,8 +40,7 @@ def season_totals(stats: DataFrame, games: DataFrame, unit: str = "season") -> D
     """Per unit and team: record, per-play yards and rates, own and allowed (sums over sums, 0 without a denominator), per-game means."""
     rows = stats.join(games.where("completed").select("game_id", unit), "game_id")
     allowed = ("offensive_plays", "total_yards", "third_down_attempts", "third_down_conversions", "red_zone_attempts", "red_zone_touchdowns")
-    theirs = stats.select("game_id", F.col("opponent_id").alias("team_id"), *(F.col(c).alias(f"opp_{c}") for c in allowed))
-    both = rows.join(theirs, ["game_id", "team_id"], "left")
+    both = rows.join(allowed_totals(stats, allowed), ["game_id", "team_id"], "left")
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
     ratio = lambda a, b: F.coalesce(safe_divide(total(a), total(b)), F.lit(0.0))
     return both.groupBy(unit, "team_id").agg(
@@ -69,13 +68,14 @@ def season_totals(stats: DataFrame, games: DataFrame, unit: str = "season") -> D
 def edges(stats: DataFrame, games: DataFrame, s: Settings) -> DataFrame:
     """(unit, team, opponent, points, allowed, hfa, full hfa, weight, form weight, league mean) of every team-game that counts."""
     done = games.where("completed").select("game_id", F.col(s.unit).alias("unit"), "week", "neutral_site")
-    unit = Window.partitionBy("unit")
     side = F.when(F.col("neutral_site"), 0.0).when(F.col("is_home"), 1.0).otherwise(-1.0)
-    rows = stats.join(done, "game_id").withColumn("age", F.greatest(F.max("week").over(unit) - F.col("week"), F.lit(0)))
+    rows = stats.join(done, "game_id")
+    units = rows.groupBy("unit").agg(F.max("week").alias("_last"), F.avg("points").alias("league"))
+    rows = join_summary(rows, units, "unit").withColumn("age", F.greatest(F.col("_last") - F.col("week"), F.lit(0)))
     return rows.select(
         "unit", "team_id", "opponent_id", F.col("points").cast("double").alias("pts"), F.col("points_allowed").cast("double").alias("allowed"),
         (side * s.home_advantage / 2).alias("hfa"), (side * s.home_advantage).alias("full"),
-        F.pow(F.lit(s.decay), "age").alias("w"), F.pow(F.lit(s.form_decay), "age").alias("fw"), F.avg("points").over(unit).alias("league"),
+        F.pow(F.lit(s.decay), "age").alias("w"), F.pow(F.lit(s.form_decay), "age").alias("fw"), "league",
     )
 
 
@@ -131,7 +131,6 @@ def _grouped(e: DataFrame, s: Settings) -> DataFrame:
 def _by_rounds(e: DataFrame, s: Settings) -> DataFrame:
     e = cut(e)
     x = cut(e.groupBy("unit", "team_id").agg((F.first("prior") / 2).alias("off"), (F.first("prior") / 2).alias("de")))
-    unit = Window.partitionBy("unit")
     for _ in range(s.rounds):
         other = x.select("unit", F.col("team_id").alias("opponent_id"), F.col("off").alias("o_off"), F.col("de").alias("o_de"))
         rows = e.join(other, ["unit", "opponent_id"], "left")
@@ -141,7 +140,9 @@ def _by_rounds(e: DataFrame, s: Settings) -> DataFrame:
             (F.sum(F.col("w") * (F.col("pts") - (F.col("league") + F.col("hfa")) + d)) / total).alias("off"),
             (F.sum(F.col("w") * ((F.col("league") - F.col("hfa")) - F.col("allowed") + f)) / total).alias("de"),
         )
-        x = cut(step.select("unit", "team_id", (F.col("off") - F.avg("off").over(unit)).alias("off"), (F.col("de") - F.avg("de").over(unit)).alias("de")))
+        step = cut(step)
+        means = step.groupBy("unit").agg(F.avg("off").alias("_off"), F.avg("de").alias("_de"))
+        x = cut(join_summary(step, means, "unit").select("unit", "team_id", (F.col("off") - F.col("_off")).alias("off"), (F.col("de") - F.col("_de")).alias("de")))
     return x
 
 
@@ -172,8 +173,9 @@ def fit_ratings(games: DataFrame, stats: DataFrame, teams: DataFrame, advanced:
     counts = e.groupBy("unit", "team_id").agg(F.count("*").alias("n"), F.first("prior").alias("prior"))
     info = teams.select("team_id", F.col("name").alias("team_name"), F.coalesce("conference", F.lit("FBS")).alias("conference"))
     base = solved.join(counts, ["unit", "team_id"]).join(info, "team_id", "left").withColumn("conference", F.coalesce("conference", F.lit("FBS")))
-    by_conf, unit = Window.partitionBy("unit", "conference"), Window.partitionBy("unit")
-    base = base.withColumn("conf_mean", F.avg(F.col("off") + F.col("de")).over(by_conf)).withColumn("confs", F.size(F.collect_set("conference").over(unit)))
+    base = cut(base)
+    per_conf = cut(base.groupBy("unit", "conference").agg(F.avg(F.col("off") + F.col("de")).alias("conf_mean")))
+    base = join_summary(base.join(per_conf, ["unit", "conference"]), per_conf.groupBy("unit").agg(F.count("*").alias("confs")), "unit")
     blend = F.when((F.col("confs") > 1) & F.lit(s.conference_weight > 0), (1 - s.conference_weight) * F.col("prior") + s.conference_weight * F.col("conf_mean")).otherwise(F.col("prior"))
     shrunk = lambda c: (F.col("n") * F.col(c) + s.prior_weight * F.col("blend") / 2) / (F.col("n") + s.prior_weight)
     final = cut(
@@ -187,10 +189,7 @@ def fit_ratings(games: DataFrame, stats: DataFrame, teams: DataFrame, advanced:
     strength = schedule.groupBy("unit", "team_id").agg(F.avg("o_power").alias("strength_of_schedule"), form.alias("recent_form_rating"))
     totals = season_totals(stats, games, s.unit).withColumnRenamed(s.unit, "unit")
     out = final.join(strength, ["unit", "team_id"]).join(totals, ["unit", "team_id"])
-    if advanced is not None:
-        out = out.join(advanced.withColumnRenamed("team", "team_id"), "team_id", "left")
-    for c in ADVANCED:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)) if c in out.columns else F.lit(0.0))
+    out = with_advanced(out, advanced)
     ranked = Window.partitionBy("unit").orderBy(F.desc("power_rating"), "team_id")
     return out.withColumns({"rank": F.row_number().over(ranked), "tier": tier("power_rating")})
 
@@ -198,6 +197,25 @@ def fit_ratings(games: DataFrame, stats: DataFrame, teams: DataFrame, advanced:
 ADVANCED = ("success_rate", "success_rate_allowed", "ppa_per_play", "ppa_per_play_allowed", "explosiveness", "havoc_rate", "points_per_opportunity")
 
 
+def with_advanced(profiles: DataFrame, advanced: DataFrame | None) -> DataFrame:
+    """``profiles`` with the advanced metrics of their teams, 0 where there are none.
+
+    ``advanced`` has a row a team, and ``team`` is its id (a number or text) or its name; an id goes before a name.
+    """
+    if advanced is None:
+        return profiles.withColumns({c: F.lit(0.0) for c in ADVANCED})
+    own = advanced.select(F.col("team").cast("string").alias("_key"), F.struct(*(c for c in ADVANCED if c in advanced.columns)).alias("_adv"))
+    out = profiles.join(own.select("_key", F.col("_adv").alias("_by_id")), F.col("team_id").cast("string") == F.col("_key"), "left").drop("_key")
+    out = out.join(own.select("_key", F.col("_adv").alias("_by_name")), F.col("team_name") == F.col("_key"), "left").drop("_key")
+    found = F.coalesce("_by_id", "_by_name")
+    return out.withColumns({c: F.coalesce(found[c], F.lit(0.0)) if c in advanced.columns else F.lit(0.0) for c in ADVANCED}).drop("_by_id", "_by_name")
+
+
+def allowed_totals(stats: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(game_id, team_id, and each column as the opponent made it, ``opp_``) of every team-game."""
+    return stats.select("game_id", F.col("opponent_id").alias("team_id"), *(F.col(c).alias(f"opp_{c}") for c in columns))
+
+
 def advanced_season_metrics(rows: DataFrame) -> DataFrame:
     """Per team: means of the advanced metrics, own and (from games with exactly two rows) the opponent's; 0 if none."""
     pairs = rows.groupBy("game_id").agg(F.count("*").alias("n")).where("n = 2").select("game_id")

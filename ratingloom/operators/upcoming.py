@@ -9,6 +9,11 @@ from ..functions import clip, kickoff_text, mean_of, normal_cdf, round_to
 from . import market, project
 
 
+def completed_split(games: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(completed games, all others)."""
+    return games.where("completed"), games.where("NOT coalesce(completed, false)")
+
+
 def split_upcoming(games: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(games to forecast, skipped games with a reason) among those not completed."""
     reason = F.when(F.col("home_score").isNotNull() | F.col("away_score").isNotNull(), "has scores but is not completed").when(
@@ -74,8 +79,8 @@ def rated_forecast(fixtures: DataFrame, games: DataFrame, ratings: DataFrame, le
     return rows.withColumns({n: F.when(use, F.col(f"r_{n}")).otherwise(F.col(n)) for n in names} | {"model": F.when(use, "ratings").otherwise("rolling")}).drop(*(f"r_{n}" for n in names))
 
 
-def finish(forecast: DataFrame, teams: DataFrame, lines: DataFrame, min_history: int = 3) -> DataFrame:
-    """The published columns: kickoff text, matchup text, low-history flag, market line and edges."""
+def finish(forecast: DataFrame, teams: DataFrame, lines: DataFrame, min_history: int = 3, names: DataFrame | None = None) -> DataFrame:
+    """The published columns: kickoff text, matchup text, low-history flag, market line (by game id, else by both names) and edges."""
     out = forecast
     for s in ("home", "away"):
         out = out.join(teams.select(F.col("team_id").alias(f"{s}_team_id"), F.col("name").alias(f"{s}_team")), f"{s}_team_id", "left")
@@ -87,7 +92,7 @@ def finish(forecast: DataFrame, teams: DataFrame, lines: DataFrame, min_history:
             "low_history": F.least("home_games_played", "away_games_played") < min_history,
         }
     )
-    return market.market_edges(market.attach_lines(out, lines))
+    return market.market_edges(market.attach_lines(out, lines, names))
 
 
 def run_warnings(forecast: DataFrame, games: DataFrame, as_of: str, stale_days: int = 9) -> DataFrame:

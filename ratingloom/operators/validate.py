@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import period_label
 from ..schema import ROLLING
 
 
@@ -126,12 +127,13 @@ def predictions(df: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     )
 
 
-def training(df: DataFrame, min_games: int = 20, min_periods: int = 2) -> DataFrame:
-    """Enough completed games and (season, week) periods to fit and test a model."""
-    counts = df.where("completed").agg(F.count("*").alias("games"), F.count_distinct("season", "week").alias("periods"))
+def training(df: DataFrame, min_games: int = 20, min_periods: int = 2, by: str | None = None) -> DataFrame:
+    """Enough completed games and periods to fit and test a model; with ``by``, a model for each of its values."""
+    done = df.where("completed")
+    counts = (done.groupBy(by) if by else done).agg(F.count("*").alias("games"), F.count_distinct(period_label(df.columns)).alias("periods"))
     return _rules(
         counts,
-        F.lit("all"),
+        F.col(by) if by else F.lit("all"),
         {"too_few_games": (F.col("games") < min_games, F.col("games")), "too_few_periods": (F.col("periods") < min_periods, F.col("periods"))},
     )
 

@@ -12,14 +12,20 @@ GAME = tuple(GAMES.names)
 STAT = tuple(STATS.names)
 
 
-def merge_games(versions: DataFrame, columns: tuple[str, ...] = GAME) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(merged, conflicts, upgraded) of game versions with run_id and captured_at.
+def own_columns(versions: DataFrame) -> tuple[str, ...]:
+    """The columns of a record: all but those that tell its version."""
+    return tuple(c for c in versions.columns if c not in ("run_id", "captured_at"))
+
+
+def merge_games(versions: DataFrame, columns: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(merged, conflicts, upgraded) of game versions with run_id and captured_at; extra columns belong to the record.
 
     Equal records are one. Completed records replace upcoming ones, and later upcoming ones are passed over; more than one
     record among the completed (or, without any, among the upcoming) is a conflict. ``upgraded`` are games whose first version
     was upcoming and that are completed now.
     """
-    marked = versions.withColumn("_digest", record_digest(list(columns)))
+    columns = columns or own_columns(versions)
+    marked = versions.withColumn("_digest", record_digest(sorted(columns)))
     per = marked.groupBy("game_id").agg(
         F.count_distinct(F.when(F.col("completed"), F.col("_digest"))).alias("done"), F.count_distinct("_digest").alias("any"), F.count_if("completed").alias("k"),
         F.min_by("completed", F.struct("captured_at", "run_id")).alias("first_done"),
@@ -48,7 +54,7 @@ def review_plan(games: DataFrame, stats: DataFrame | None = None) -> DataFrame:
 
     Completed versions are the candidates if there are any, else all.
     """
-    out = games.select("game_id", "run_id", "completed", record_digest(list(GAME)).alias("_game"))
+    out = games.select("game_id", "run_id", "completed", record_digest(sorted(own_columns(games))).alias("_game"))
     if stats is not None:
         rows = stats.select("game_id", "run_id", F.struct("team_id", record_digest(list(STAT)).alias("d")).alias("r"))
         boxes = rows.groupBy("game_id", "run_id").agg(F.to_json(F.sort_array(F.collect_list("r"))).alias("_box"))  # two rows a game and run

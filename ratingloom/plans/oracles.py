@@ -156,13 +156,13 @@ EXTRA |= {
     + ", ".join(f"CASE WHEN r.home_games_played > 0 OR r.away_games_played > 0 THEN p.{c} ELSE r.{c} END AS {c}" for c in ("home_expected_points", "away_expected_points", "projected_spread_home", "projected_total", "home_win_probability"))
     + ", CASE WHEN r.home_games_played > 0 OR r.away_games_played > 0 THEN p.confidence_tier ELSE 'Low' END AS confidence_tier, CASE WHEN r.home_games_played > 0 OR r.away_games_played > 0 THEN 'ratings' ELSE 'rolling' END AS model FROM rolling r JOIN p ON p.game_id = r.game_id",
     "edged": f"""SELECT *, CASE WHEN s >= 3.5 OR t >= 4.0 THEN 'Strong Value' WHEN s >= 2.0 OR t >= 2.5 THEN 'Moderate Value' ELSE 'Fair / Aligned' END AS value_tier FROM (SELECT *, coalesce(abs(spread_edge), 0) AS s, coalesce(abs(total_edge), 0) AS t
-  FROM (SELECT *, {r1("market_spread - model_home_spread")} AS spread_edge, {r1("model_total - market_total")} AS total_edge FROM (SELECT f.game_id, f.home_team_id, f.away_team_id, l.market_spread, l.market_total, {r1("f.away_expected_points - f.home_expected_points")} AS model_home_spread,
-  {r1("f.home_expected_points + f.away_expected_points")} AS model_total FROM forecasts f LEFT JOIN lines l ON l.game_id = f.game_id WHERE f.source_run = 'run-2') a) b) c""",
+  FROM (SELECT *, {r1("market_spread - model_home_spread")} AS spread_edge, {r1("model_total - market_total")} AS total_edge FROM (SELECT f.source_run, f.game_id, f.home_team_id, f.away_team_id, l.market_spread, l.market_total, {r1("f.away_expected_points - f.home_expected_points")} AS model_home_spread,
+  {r1("f.home_expected_points + f.away_expected_points")} AS model_total FROM forecasts f LEFT JOIN lines l ON l.game_id = f.game_id) a) b) c""",
     "graded": """SELECT d.*, CASE WHEN market_spread IS NOT NULL AND abs(spread_edge) >= 0.5 THEN CASE WHEN abs(cover) < CAST(0.1 AS DOUBLE) THEN 'push' WHEN (cover > 0) = (spread_edge > 0) THEN 'win' ELSE 'loss' END END AS ats,
   CASE WHEN market_total IS NOT NULL AND abs(total_edge) >= 1.0 THEN CASE WHEN abs(ov) < CAST(0.1 AS DOUBLE) THEN 'push' WHEN (ov > 0) = (total_edge > 0) THEN 'win' ELSE 'loss' END END AS ou
   FROM (SELECT f.*, g.season, g.home_score - g.away_score + market_spread AS cover, g.home_score + g.away_score - market_total AS ov FROM edged f JOIN games g ON g.game_id = f.game_id WHERE g.completed) d""",
-    "periods": """SELECT m.*, o.period, o.ord FROM matchups m JOIN (SELECT season, week, period, ROW_NUMBER() OVER (ORDER BY first, period) AS ord FROM (SELECT season, week, concat(CAST(season AS VARCHAR), ' regular week ', CAST(week AS VARCHAR)) AS period, MIN(game_date) AS first
-  FROM games WHERE completed GROUP BY season, week) t) o ON o.season = m.season AND o.week = m.week WHERE m.completed""",
+    "periods": """SELECT m.*, o.period, o.ord FROM matchups m JOIN (SELECT season, week, season_type, period, ROW_NUMBER() OVER (ORDER BY first, period) AS ord FROM (SELECT season, week, season_type, concat(CAST(season AS VARCHAR), ' ', season_type, ' week ', CAST(week AS VARCHAR)) AS period, MIN(game_date) AS first
+  FROM games WHERE completed GROUP BY season, week, season_type) t) o ON o.season = m.season AND o.week = m.week AND o.season_type = m.season_type WHERE m.completed""",
     "train": """SELECT t.ord, COUNT(*) AS train_games, AVG(b.home_score) AS train_home, AVG(b.away_score) AS train_away, greatest(stddev_samp(b.home_score - b.away_score), 1.0) AS scale,
   greatest(least(AVG(CASE WHEN b.home_score > b.away_score THEN 1.0 ELSE 0.0 END), 0.999), 0.001) AS home_rate, coalesce(AVG(CASE WHEN NOT b.neutral_site THEN b.home_score - b.away_score END), 0.0) AS home_edge
   FROM (SELECT DISTINCT ord FROM periods) t JOIN periods b ON b.ord < t.ord GROUP BY t.ord HAVING COUNT(*) >= 20""",
@@ -189,7 +189,7 @@ METRICS = """COUNT(*) AS games, (AVG(abs(home_points - home_score)) + AVG(abs(aw
   AVG(pow(greatest(least(home_win_probability, 0.999), 0.001) - CASE WHEN home_score > away_score THEN 1 ELSE 0 END, 2)) AS brier_score, AVG(CASE WHEN (home_points > away_points) = (home_score > away_score) THEN 1.0 ELSE 0.0 END) AS winner_accuracy"""
 EXTRA |= {
     "overall": f"SELECT model, {METRICS} FROM predicted GROUP BY model",
-    "finals_in": "SELECT game_id, home_team_id, away_team_id, CASE WHEN game_id % 83 = 0 THEN NULL ELSE game_date END AS kickoff, completed, home_score, away_score FROM games WHERE season = 2001",
+    "finals_in": "SELECT game_id, home_team_id, away_team_id, CASE WHEN game_id % 83 = 0 THEN NULL ELSE game_date END AS kickoff, completed, home_score, away_score FROM games",
     "cands": """SELECT f.*, r.kickoff, CASE WHEN f.home_team_id <> r.home_team_id OR f.away_team_id <> r.away_team_id THEN 'team_identity_mismatch' WHEN r.kickoff IS NULL THEN 'unconfirmed_kickoff'
   WHEN greatest(f.created, f.as_of) >= least(r.kickoff, f.saved_kickoff) THEN 'not_created_and_asof_before_both_kickoffs' END AS reason FROM forecasts f JOIN finals_in r ON r.game_id = f.game_id""",
     "latest": "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY created DESC, source_run DESC) AS k FROM cands WHERE reason IS NULL) t WHERE k = 1",

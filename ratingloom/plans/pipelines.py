@@ -135,7 +135,8 @@ def results(store: Store, run_id: str, finals: DataFrame, forecasts: DataFrame)
     """Grade saved forecasts against results; publishes the report, what was not scored or excluded, and the summary."""
     cands = grade.candidates(finals, forecasts)
     report = cut(grade.results_report(finals, forecasts))
-    tables = {"report_games": report, "report_not_scored": report.where("status <> 'scored'").select("game_id", "status"), "report_summary": grade.report_summary(report), "report_excluded": grade.excluded(cands)}
+    left_out = cut(grade.excluded(cands))
+    tables = {"report_counts": grade.report_counts(report, left_out), "report_games": report, "report_not_scored": report.where("status <> 'scored'").select("game_id", "status"), "report_summary": grade.report_summary(report), "report_excluded": left_out}
     store.publish(run_id, "report", tables)
     return report
 

@@ -5,6 +5,7 @@ In a column list ``#`` marks a bigint and ``~`` a double, which both sides round
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import presented, rate_metrics
 from ..operators import dimensions, evaluate, features, grade, market, models, project, ratings, upcoming, validate, versions
-from ..schema import ROLLING
+from ..schema import GAMES, ROLLING
 from ..sources import raw_json, store
 from ..sources.adapters import derived
 from . import oracles
@@ -58,7 +59,7 @@ games, stats, teams, forecasts = (table(n) for n in ("games", "team_game_stats",
 
 # --- base tables and validation -------------------------------------------------------------------------------------
 
-GAME_COLUMNS = "game_id# season# week# game_date home_team_id# away_team_id# home_score~ away_score~ neutral_site completed"
+GAME_COLUMNS = "game_id# season# week# game_date home_team_id# away_team_id# home_score~ away_score~ neutral_site completed season_type"
 STAT_COLUMNS = "game_id# team_id# opponent_id# is_home points# points_allowed# total_yards# offensive_plays# passing_yards# rushing_yards# turnovers# takeaways# third_down_attempts# third_down_conversions# red_zone_attempts~ red_zone_touchdowns~ penalties# penalty_yards# time_of_possession_seconds#"
 BAD_GAMES = """SELECT CASE WHEN game_id % 101 = 0 THEN game_id + 1 ELSE game_id END AS game_id, season, week, CASE WHEN game_id % 103 = 0 THEN NULL ELSE game_date END AS game_date, home_team_id,
   CASE WHEN game_id % 107 = 0 THEN home_team_id ELSE away_team_id END AS away_team_id, CASE WHEN game_id % 109 = 0 THEN -home_score - 1 ELSE home_score END AS home_score, away_score, neutral_site, completed FROM games"""
@@ -117,9 +118,11 @@ def dataset_consistency(spark, d):
     return validate.consistency(games(spark, d), bad_stats(spark, d))
 
 
-@query("rule key detail", "SELECT 'x' AS rule, 'x' AS key, 'x' AS detail FROM games WHERE false")
+@query("rule key detail", """SELECT 'feature_missing' AS rule, 'points_l3' AS key, '' AS detail FROM feats HAVING COUNT(*) > 0
+UNION ALL SELECT 'feature_all_null', 'takeaways_l5', '' FROM feats HAVING COUNT(NULLIF(takeaways_l5, takeaways_l5)) = 0""")
 def validate_features(spark, d):
-    return validate.features(features.team_pregame_features(games(spark, d), stats(spark, d)))
+    own = features.team_pregame_features(games(spark, d), stats(spark, d))
+    return validate.features(own.drop("points_l3").withColumn("takeaways_l5", F.nullif("takeaways_l5", "takeaways_l5")))
 
 
 @query("rule key detail", """SELECT 'probability_out_of_range' AS rule, concat(source_run, '/', CAST(game_id AS VARCHAR)) AS key, '' AS detail FROM forecasts WHERE game_id % 101 = 0
@@ -130,9 +133,10 @@ def validate_predictions(spark, d):
     return validate.predictions(bad).withColumn("detail", F.lit(""))
 
 
-@query("rule key detail", "SELECT 'too_few_games' AS rule, 'all' AS key, CAST(COUNT(*) AS VARCHAR) AS detail FROM games WHERE completed HAVING COUNT(*) < 1000000000")
+@query("rule key detail", """SELECT 'too_few_games' AS rule, CAST(season AS VARCHAR) AS key, CAST(COUNT(*) AS VARCHAR) AS detail FROM games WHERE completed GROUP BY season HAVING COUNT(*) < 1000
+UNION ALL SELECT 'too_few_periods', CAST(season AS VARCHAR), CAST(COUNT(DISTINCT concat(season_type, week)) AS VARCHAR) FROM games WHERE completed GROUP BY season HAVING COUNT(DISTINCT concat(season_type, week)) < 30""")
 def validate_training(spark, d):
-    return validate.training(games(spark, d), min_games=1_000_000_000)
+    return validate.training(games(spark, d), min_games=1000, min_periods=30, by="season")
 
 
 # --- landed JSON --------------------------------------------------------------------------------------------------------
@@ -143,7 +147,7 @@ def schedule_payloads(spark, d):
     g, n = games(spark, d), F.col("game_id")
     cls = lambda k: F.when(n % 101 == k, "fcs").otherwise("fbs")
     record = F.struct(
-        n.alias("id"), "season", "week", F.lit("regular").alias("seasonType"), F.when(n % 103 == 0, F.date_format("game_date", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("game_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("startDate"),
+        n.alias("id"), "season", "week", F.col("season_type").alias("seasonType"), F.when(n % 103 == 0, F.date_format("game_date", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("game_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("startDate"),
         (n % 107 == 0).alias("startTimeTBD"), "completed", F.col("neutral_site").alias("neutralSite"), (F.col("home_team_id") + 1000).alias("homeId"), cls(0).alias("homeClassification"), cls(1).alias("awayClassification"),
         (F.when(n % 109 == 0, F.col("home_team_id")).otherwise(F.col("away_team_id")) + 1000).alias("awayId"), F.when(~F.col("completed") & (n % 11 == 0), 7).otherwise(F.col("home_score")).alias("homePoints"), F.col("away_score").alias("awayPoints"),
     )
@@ -283,8 +287,8 @@ def season_totals(spark, d):
 @query("team_id# games# plays_allowed# yards_allowed#", "SELECT s.team_id, COUNT(*) AS games, SUM(o.offensive_plays) AS plays_allowed, SUM(o.total_yards) AS yards_allowed FROM team_game_stats s JOIN team_game_stats o ON o.game_id = s.game_id AND o.opponent_id = s.team_id GROUP BY s.team_id")
 def allowed_totals(spark, d):
     s = stats(spark, d)
-    theirs = s.select("game_id", F.col("opponent_id").alias("team_id"), F.col("offensive_plays").alias("p"), F.col("total_yards").alias("y"))
-    return s.select("game_id", "team_id").join(theirs, ["game_id", "team_id"]).groupBy("team_id").agg(F.count("*").alias("games"), F.sum("p").alias("plays_allowed"), F.sum("y").alias("yards_allowed"))
+    theirs = ratings.allowed_totals(s, ("offensive_plays", "total_yards"))
+    return s.select("game_id", "team_id").join(theirs, ["game_id", "team_id"]).groupBy("team_id").agg(F.count("*").alias("games"), F.sum("opp_offensive_plays").alias("plays_allowed"), F.sum("opp_total_yards").alias("yards_allowed"))
 
 
 @query("team# success_rate~ success_rate_allowed~ ppa_per_play~ ppa_per_play_allowed~ explosiveness~ havoc_rate~ points_per_opportunity~", "SELECT * FROM adv")
@@ -312,6 +316,14 @@ def recent_form(spark, d):
     return rated(spark, d)
 
 
+@query("unit# team_id# success_rate~ ppa_per_play~ explosiveness~ havoc_rate~", "SELECT * FROM rated")
+def ratings_with_advanced_by_name(spark, d):
+    """Advanced metrics that name their teams: by text id where the id is even, else by name."""
+    known = ratings.advanced_season_metrics(derived(spark, d, "advanced")).join(teams(spark, d).select(F.col("team_id").alias("team"), "name"), "team")
+    named = known.withColumn("team", F.when(F.col("team") % 2 == 0, F.col("team").cast("string")).otherwise(F.col("name"))).drop("name")
+    return ratings.with_advanced(rated(spark, d).drop(*ratings.ADVANCED), named)
+
+
 @query("unit# conference teams# mean_rating~ median_rating~ mean_offense~ mean_defense~ top_team top_rating~ rank#", """SELECT *, ROW_NUMBER() OVER (PARTITION BY unit ORDER BY mean_rating DESC, conference) AS rank FROM (SELECT unit, conference, COUNT(*) AS teams, AVG(power_rating) AS mean_rating, median(power_rating) AS median_rating,
   AVG(offensive_rating) AS mean_offense, AVG(defensive_rating) AS mean_defense, arg_min(team_name, rank) AS top_team, MAX(power_rating) AS top_rating FROM rated WHERE conference <> 'Unknown' GROUP BY unit, conference) t""")
 def conference_rankings(spark, d):
@@ -359,12 +371,12 @@ def slate_projection(spark, d):
     return projected_slate(spark, d)
 
 
-PAIRS = "(SELECT a.unit, a.team_id AS home_team_id, b.team_id AS away_team_id, true AS neutral_site FROM rated a JOIN rated b ON b.unit = a.unit AND a.team_id < b.team_id WHERE a.unit = 2001)"
+PAIRS = "(SELECT a.unit, a.team_id AS home_team_id, b.team_id AS away_team_id, true AS neutral_site FROM rated a JOIN rated b ON b.unit = a.unit AND a.team_id < b.team_id)"
 
 
-@query("home_team_id# away_team_id# projected_spread_home~ projected_total~ home_win_probability~", oracles.projection(PAIRS))
+@query("unit# home_team_id# away_team_id# projected_spread_home~ projected_total~ home_win_probability~", oracles.projection(PAIRS))
 def all_pairs_projection(spark, d):
-    r = rated(spark, d).where("unit = 2001")
+    r = rated(spark, d)
     return project.project(project.all_pairs(r), r, ratings.league_summary(games(spark, d), stats(spark, d)))
 
 
@@ -419,9 +431,9 @@ def walk_forward_skipped(spark, d):
     return models.skipped_periods(p, models.training_summary(p))
 
 
-@query("model metric value~", "SELECT model, 'score_mae' AS metric, score_mae AS value FROM overall UNION ALL SELECT model, 'spread_mae', spread_mae FROM overall UNION ALL SELECT model, 'brier_score', brier_score FROM overall")
+@query("model metric value~", "SELECT model, 'score_mae' AS metric, score_mae AS value FROM overall UNION ALL SELECT model, 'spread_mae', spread_mae FROM overall UNION ALL SELECT model, 'brier_score', brier_score FROM overall UNION ALL SELECT model, 'score_rmse', score_rmse FROM overall UNION ALL SELECT model, 'total_mae', total_mae FROM overall UNION ALL SELECT model, 'winner_accuracy', winner_accuracy FROM overall")
 def forecast_accuracy(spark, d):
-    return evaluate.long_metrics(evaluate.model_metrics(out_of_sample(spark, d)), ["model"]).where(F.col("metric").isin("score_mae", "spread_mae", "brier_score"))
+    return evaluate.long_metrics(evaluate.model_metrics(out_of_sample(spark, d)), ["model"]).where("metric <> 'games'")
 
 
 @query("model metric improvement_pct~", " UNION ALL ".join(f"SELECT o.model, '{m}' AS metric, (b.{m} - o.{m}) / NULLIF(b.{m}, 0) * 100 AS improvement_pct FROM overall o JOIN overall b ON b.model = 'rolling_average' WHERE o.model <> 'rolling_average'" for m in evaluate.METRICS))
@@ -442,7 +454,7 @@ def _ridge(spark, d, **how):
     m = store.cut(features.matchup_features(games(spark, d), features.team_pregame_features(games(spark, d), stats(spark, d))))
     train = m.where("completed AND season < 2001")
     model = models.fit_ridge(train, how.pop("names", None) or features.model_features(m), **how)
-    return models.predict_ridge(m.where("season = 2001"), model)
+    return models.predict_ridge(m, model)
 
 
 @query("game_id# home_expected_points~ away_expected_points~ projected_spread_home~ projected_total~ home_win_probability~ confidence_tier")
@@ -499,6 +511,26 @@ def upcoming_published(spark, d):
     return upcoming.finish(upcoming.rolling_forecast(todo(spark, d), games(spark, d)), teams(spark, d), lines)
 
 
+NAMED_LINES = "(SELECT lower(h.name) AS hn, lower(a.name) AS an, l.market_spread, l.market_total, ROW_NUMBER() OVER (PARTITION BY g.home_team_id, g.away_team_id ORDER BY g.game_id) AS k FROM lines l JOIN games g ON g.game_id = l.game_id JOIN teams h ON h.team_id = g.home_team_id JOIN teams a ON a.team_id = g.away_team_id)"
+
+
+@query("game_id# market_spread~ market_total~", f"""SELECT g.game_id, CASE WHEN l.game_id IS NOT NULL THEN l.market_spread ELSE n.market_spread END AS market_spread, CASE WHEN l.game_id IS NOT NULL THEN l.market_total ELSE n.market_total END AS market_total
+  FROM games g JOIN teams h ON h.team_id = g.home_team_id JOIN teams a ON a.team_id = g.away_team_id LEFT JOIN lines l ON l.game_id = g.game_id AND g.game_id % 2 = 0 LEFT JOIN {NAMED_LINES} n ON n.k = 1 AND n.hn = lower(h.name) AND n.an = lower(a.name) WHERE NOT g.completed""")
+def upcoming_lines_by_name(spark, d):
+    """Lines of odd games lost their id and are found by the names of both teams, in capitals."""
+    named = dimensions.enrich_predictions(games(spark, d), teams(spark, d)).select("game_id", F.upper("home_team").alias("home_name"), F.upper("away_team").alias("away_name"))
+    lines = market.consensus_lines(derived(spark, d, "line_items")).join(named, "game_id")
+    shown = upcoming.finish(upcoming.rolling_forecast(todo(spark, d), games(spark, d)), teams(spark, d), lines.where("game_id % 2 = 0").drop("home_name", "away_name"), names=lines)
+    return shown
+
+
+@query("forecasts# low_history# missing_results# stale", """SELECT COUNT(*) AS forecasts, SUM(CASE WHEN least(home_games_played, away_games_played) < 3 THEN 1 ELSE 0 END) AS low_history, MAX(m.missing) AS missing_results, MAX(m.stale) AS stale FROM rolling
+  CROSS JOIN (SELECT SUM(CASE WHEN NOT completed AND game_date <= TIMESTAMP '2001-06-15 00:00:00' THEN 1 ELSE 0 END) AS missing, date_diff('day', CAST(MAX(CASE WHEN completed THEN game_date END) AS DATE), DATE '2001-06-15') > 9 AS stale FROM games) m""")
+def forecast_warnings(spark, d):
+    out = upcoming.finish(upcoming.rolling_forecast(todo(spark, d), games(spark, d)), teams(spark, d), market.consensus_lines(derived(spark, d, "line_items")))
+    return upcoming.run_warnings(out, games(spark, d), AS_OF)
+
+
 # --- market -------------------------------------------------------------------------------------------------------------------
 
 
@@ -509,10 +541,10 @@ def consensus_lines(spark, d):
 
 def edged(spark, d):
     lines = market.consensus_lines(derived(spark, d, "line_items"))
-    return market.market_edges(market.attach_lines(forecasts(spark, d).where("source_run = 'run-2'"), lines))
+    return market.market_edges(market.attach_lines(forecasts(spark, d), lines))
 
 
-EDGED = "game_id# model_home_spread~ market_spread~ spread_edge~ model_total~ market_total~ total_edge~ value_tier"
+EDGED = "source_run game_id# model_home_spread~ market_spread~ spread_edge~ model_total~ market_total~ total_edge~ value_tier"
 
 
 @query(EDGED, "SELECT * FROM edged")
@@ -525,22 +557,22 @@ def value_plays(spark, d):
     return project.filter_slate(dimensions.enrich_predictions(edged(spark, d), teams(spark, d)), True, "7")
 
 
-def _record(kind: str, by: str = "season") -> str:
+def _record(kind: str, by: str = "source_run, season") -> str:
     n = {r: f"SUM(CASE WHEN {kind} = '{r}' THEN 1 ELSE 0 END)" for r in ("win", "loss", "push")}
     pct = oracles.r1(f"CAST({n['win']} AS DOUBLE) / NULLIF({n['win']} + {n['loss']}, 0)", 3)
     return f"SELECT {by}, {n['win']} AS {kind}_wins, {n['loss']} AS {kind}_losses, {n['push']} AS {kind}_pushes, coalesce({pct}, 0) AS {kind}_win_pct FROM graded GROUP BY {by}"
 
 
 def record(spark, d):
-    return market.market_record(market.grade_market(edged(spark, d), games(spark, d)), ["season"])
+    return market.market_record(market.grade_market(edged(spark, d), games(spark, d)), ["source_run", "season"])
 
 
-@query("season# ats_wins# ats_losses# ats_pushes# ats_win_pct~", _record("ats"))
+@query("source_run season# ats_wins# ats_losses# ats_pushes# ats_win_pct~", _record("ats"))
 def ats_record(spark, d):
     return record(spark, d)
 
 
-@query("season# ou_wins# ou_losses# ou_pushes# ou_win_pct~", _record("ou"))
+@query("source_run season# ou_wins# ou_losses# ou_pushes# ou_win_pct~", _record("ou"))
 def over_under_record(spark, d):
     return record(spark, d)
 
@@ -549,7 +581,7 @@ def over_under_record(spark, d):
 
 
 def finals(spark, d):
-    return games(spark, d).where("season = 2001").withColumn("kickoff", F.when(F.col("game_id") % 83 != 0, F.col("game_date")))
+    return games(spark, d).withColumn("kickoff", F.when(F.col("game_id") % 83 != 0, F.col("game_date")))
 
 
 @query("game_id# source_run", "SELECT * FROM latest")
@@ -580,6 +612,19 @@ def report_summary(spark, d):
     return grade.report_summary(grade.results_report(finals(spark, d), forecasts(spark, d))).withColumnRenamed("group", "label")
 
 
+@query("games_in_scope# scored# not_scored# excluded_candidates# completed_without_prediction#", """SELECT COUNT(*) AS games_in_scope, SUM(CASE WHEN status = 'scored' THEN 1 ELSE 0 END) AS scored, SUM(CASE WHEN status <> 'scored' THEN 1 ELSE 0 END) AS not_scored,
+  (SELECT COUNT(*) FROM cands WHERE reason IS NOT NULL) AS excluded_candidates, SUM(CASE WHEN hs IS NOT NULL AND source_run IS NULL THEN 1 ELSE 0 END) AS completed_without_prediction FROM report""")
+def report_counts(spark, d):
+    f, fc = finals(spark, d), forecasts(spark, d)
+    return grade.report_counts(grade.results_report(f, fc), grade.excluded(grade.candidates(f, fc)))
+
+
+@query("source_run warning", "SELECT r.source_run, concat('warned ', r.source_run) AS warning FROM (SELECT DISTINCT source_run FROM report WHERE source_run IS NOT NULL) r")
+def report_warnings(spark, d):
+    runs = forecasts(spark, d).select(F.col("source_run").alias("run_id")).distinct().withColumn("warnings", F.array(F.concat(F.lit("warned "), "run_id")))
+    return grade.used_warnings(runs, grade.results_report(finals(spark, d), forecasts(spark, d))).withColumnRenamed("run_id", "source_run")
+
+
 def week_games(spark, d):
     return games(spark, d).where("season = 2000 AND week = 20 AND completed")
 
@@ -595,9 +640,9 @@ _STD = oracles.r1("CASE WHEN mae > 0 THEN mae * sqrt(pi() / 2) ELSE std END", 2)
 
 
 @query("calibrated_hfa~ margin_std~ sample_size# actual_home_margin_avg~", f"""SELECT greatest(0.5, least(coalesce({_HFA}, 2.5), 5.0)) AS calibrated_hfa, greatest(8.0, least(coalesce({_STD}, 13.5), 20.0)) AS margin_std, n AS sample_size, coalesce({oracles.r1('mean', 2)}, 2.5) AS actual_home_margin_avg
-  FROM (SELECT COUNT(*) AS n, SUM(CASE WHEN NOT neutral_site THEN 1 ELSE 0 END) AS k, AVG(CASE WHEN NOT neutral_site THEN home_score - away_score END) AS mean, stddev_samp(home_score - away_score) AS std, MAX(w.margin_mae) AS mae FROM games CROSS JOIN weekly w WHERE completed AND season = 2000) t""")
+  FROM (SELECT COUNT(*) AS n, SUM(CASE WHEN NOT neutral_site THEN 1 ELSE 0 END) AS k, AVG(CASE WHEN NOT neutral_site THEN home_score - away_score END) AS mean, stddev_samp(home_score - away_score) AS std, MAX(w.margin_mae) AS mae FROM games CROSS JOIN weekly w WHERE completed) t""")
 def calibrate(spark, d):
-    return grade.calibrate(games(spark, d).where("season = 2000"), grade.weekly_evaluation(week_games(spark, d), forecasts(spark, d)))
+    return grade.calibrate(games(spark, d), grade.weekly_evaluation(week_games(spark, d), forecasts(spark, d)))
 
 
 # --- versions -----------------------------------------------------------------------------------------------------------------
@@ -665,30 +710,58 @@ def same_teams(spark, d):
 # --- runs, results and presentation -----------------------------------------------------------------------------------------
 
 
-@query("run_id captured_at games#", "SELECT run_id, MAX(captured_at) AS captured_at, COUNT(*) AS games FROM snapshots GROUP BY run_id")
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def published(spark, d):
+    """A store with the snapshots and the forecasts of all runs, published once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _PUBLISHED:
+        root = f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}"
+        s = store.Store(spark, root)
+        for kind, name, table_, column in (("snapshot", "snapshot_games", snapshots(spark, d), "run_id"), ("forecast", "forecasts", forecasts(spark, d), "source_run")):
+            kept = store.cut(table_)
+            for r in kept.select(column).distinct().orderBy(column).collect():
+                rows = kept.where(F.col(column) == r[0]).drop(column)
+                s.publish(r[0], kind, {name: rows}, "2001-06-15 00:00:00")
+        _PUBLISHED[key] = root
+    return store.Store(spark, _PUBLISHED[key])
+
+
+@query("run_id kind status games#", "SELECT run_id, 'snapshot' AS kind, 'complete' AS status, COUNT(*) AS games FROM snapshots GROUP BY run_id")
 def list_snapshots(spark, d):
-    return snapshots(spark, d).groupBy("run_id").agg(F.max("captured_at").alias("captured_at"), F.count("*").alias("games")).orderBy("captured_at", "run_id")
+    return published(spark, d).runs("snapshot").withColumn("games", F.element_at("counts", F.lit("snapshot_games")))
 
 
-@query("run_id", "SELECT run_id FROM (SELECT run_id, ROW_NUMBER() OVER (ORDER BY captured_at DESC, run_id DESC) AS k FROM (SELECT DISTINCT run_id, captured_at FROM snapshots) t) u WHERE k = 1")
+@query(GAME_COLUMNS, "SELECT * FROM snapshots WHERE run_id = (SELECT MAX(run_id) FROM snapshots)")
 def newest_snapshot(spark, d):
-    return snapshots(spark, d).agg(F.max_by("run_id", F.struct("captured_at", "run_id")).alias("run_id"))
+    s = published(spark, d)
+    return s.load("snapshot_games", s.newest("snapshot"), list(GAMES.names))
 
 
-@query("source_run forecasts# first_created", "SELECT source_run, COUNT(*) AS forecasts, MIN(created) AS first_created FROM forecasts GROUP BY source_run")
+@query("source_run game_id# home_expected_points~ projected_total~ created_before", "SELECT source_run, game_id, home_expected_points, projected_total, true AS created_before FROM forecasts")
 def saved_forecasts(spark, d):
-    return forecasts(spark, d).groupBy("source_run").agg(F.count("*").alias("forecasts"), F.min("created").alias("first_created"))
+    """Forecasts of all published runs with their lineage."""
+    saved = published(spark, d).all_runs("forecasts", "forecast", ["game_id", "home_expected_points", "projected_total"])
+    return saved.withColumn("created_before", F.col("run_created") <= F.current_timestamp())
+
+
+@query("rows# digest", """SELECT COUNT(*) AS rows, sha256(coalesce(string_agg(h, '' ORDER BY h), '')) AS digest FROM (SELECT sha256(concat_ws('|', CAST(game_id AS VARCHAR), CAST(season AS VARCHAR), CAST(week AS VARCHAR), CAST(home_team_id AS VARCHAR), CAST(away_team_id AS VARCHAR), season_type)) AS h FROM games) t""")
+def canonical_fingerprint(spark, d):
+    """Digest of sorted record digests: for tables of bounded size, where both engines must agree."""
+    h = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("game_id", "season", "week", "home_team_id", "away_team_id")), "season_type"), 256)
+    return games(spark, d).select(h.alias("h")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
 
 
 @query("completed n# with_scores#", "SELECT completed, COUNT(*) AS n, COUNT(home_score) AS with_scores FROM games GROUP BY completed")
 def completed_split(spark, d):
-    return games(spark, d).groupBy("completed").agg(F.count("*").alias("n"), F.count("home_score").alias("with_scores"))
+    done, open_ = upcoming.completed_split(games(spark, d))
+    return done.unionByName(open_).groupBy("completed").agg(F.count("*").alias("n"), F.count("home_score").alias("with_scores"))
 
 
-@query("rule key", """SELECT 'outside_requested_scope' AS rule, CAST(game_id AS VARCHAR) AS key FROM games WHERE season = 2000 AND week <> 20 UNION ALL SELECT 'invalid_teams', CAST(game_id AS VARCHAR) FROM games WHERE season = 2000 AND game_id % 109 = 0 AND game_id % 101 NOT IN (0, 1)""")
+@query("rule key", """SELECT 'outside_requested_scope' AS rule, CAST(game_id AS VARCHAR) AS key FROM games WHERE NOT (season = 2000 AND week = 20 AND season_type = 'regular') UNION ALL SELECT 'invalid_teams', CAST(game_id AS VARCHAR) FROM games WHERE game_id % 109 = 0 AND game_id % 101 NOT IN (0, 1)""")
 def validate_results(spark, d):
-    records = raw_json.schedule_records(schedule_payloads(spark, d)).where("season = 2000")
-    return validate.results(records, 2000, 20, "regular")
+    return validate.results(raw_json.schedule_records(schedule_payloads(spark, d)), 2000, 20, "regular")
 
 
 @query("game_id# home_expected_points~ projected_total~ home_win_probability~", f"SELECT game_id, {oracles.r1('home_expected_points')} AS home_expected_points, {oracles.r1('projected_total')} AS projected_total, {oracles.r1('home_win_probability', 3)} AS home_win_probability FROM rolling")
@@ -718,9 +791,9 @@ def conference_dimension(spark, d):
     return dimensions.conference_dimension(t, explicit, t.select("team_id", "conference"), defaults)
 
 
-@query("game_id# matchup away_team home_team", "SELECT f.game_id, concat(a.name, ' @ ', h.name) AS matchup, a.name AS away_team, h.name AS home_team FROM forecasts f JOIN teams h ON h.team_id = f.home_team_id JOIN teams a ON a.team_id = f.away_team_id WHERE f.source_run = 'run-1'")
+@query("source_run game_id# matchup away_team home_team", "SELECT f.source_run, f.game_id, concat(a.name, ' @ ', h.name) AS matchup, a.name AS away_team, h.name AS home_team FROM forecasts f JOIN teams h ON h.team_id = f.home_team_id JOIN teams a ON a.team_id = f.away_team_id")
 def enriched_predictions(spark, d):
-    return dimensions.enrich_predictions(forecasts(spark, d).where("source_run = 'run-1'"), teams(spark, d))
+    return dimensions.enrich_predictions(forecasts(spark, d), teams(spark, d))
 
 
 @query("game_id# team_id# team_name opponent_name", "SELECT s.game_id, s.team_id, t.name AS team_name, o.name AS opponent_name FROM team_game_stats s JOIN teams t ON t.team_id = s.team_id JOIN teams o ON o.team_id = s.opponent_id")

@@ -6,9 +6,12 @@ The definitions are SQL that Spark and DuckDB both read, so the same text feeds
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import shared_dir
+
 TABLES = ("lineitem", "orders", "supplier", "nation", "region")
 CUTOFF = "2001-06-01"
 
@@ -19,11 +22,11 @@ DEFINITIONS = {
   CAST(SUM(FLOOR(l_tax * 100 + 0.5)) AS BIGINT) % 4 AS turnovers FROM lineitem GROUP BY l_orderkey, l_suppkey""",
     "pairs": """SELECT game_id, CASE WHEN game_id % 2 = 0 THEN MIN(team_id) ELSE MAX(team_id) END AS home_team_id,
   CASE WHEN game_id % 2 = 0 THEN MAX(team_id) ELSE MIN(team_id) END AS away_team_id FROM sides GROUP BY game_id HAVING MIN(team_id) < MAX(team_id)""",
-    "fixtures": """SELECT p.game_id, CAST(YEAR(o.o_orderdate) AS INT) AS season, CAST(FLOOR((DAYOFYEAR(o.o_orderdate) - 1) / 7) + 1 AS INT) AS week,
-  o.o_orderdate AS game_date, p.home_team_id, p.away_team_id, o.o_orderpriority = '1-URGENT' AS neutral_site,
-  o.o_orderdate < TIMESTAMP '2001-06-01 00:00:00' AS completed FROM pairs p JOIN orders o ON o.o_orderkey = p.game_id""",
+    "fixtures": """SELECT game_id, season, CASE WHEN w > 48 THEN w - 48 ELSE w END AS week, CASE WHEN w > 48 THEN 'postseason' ELSE 'regular' END AS season_type, game_date, home_team_id, away_team_id, neutral_site,
+  game_date < TIMESTAMP '2001-06-01 00:00:00' AS completed FROM (SELECT p.game_id, CAST(YEAR(o.o_orderdate) AS INT) AS season, CAST(FLOOR((DAYOFYEAR(o.o_orderdate) - 1) / 7) + 1 AS INT) AS w,
+  o.o_orderdate AS game_date, p.home_team_id, p.away_team_id, o.o_orderpriority = '1-URGENT' AS neutral_site FROM pairs p JOIN orders o ON o.o_orderkey = p.game_id) d""",
     "games": """SELECT f.game_id, f.season, f.week, f.game_date, f.home_team_id, f.away_team_id, CASE WHEN f.completed THEN h.points END AS home_score,
-  CASE WHEN f.completed THEN a.points END AS away_score, f.neutral_site, f.completed
+  CASE WHEN f.completed THEN a.points END AS away_score, f.neutral_site, f.completed, f.season_type
   FROM fixtures f JOIN sides h ON h.game_id = f.game_id AND h.team_id = f.home_team_id JOIN sides a ON a.game_id = f.game_id AND a.team_id = f.away_team_id""",
     "team_game_stats": """SELECT g.game_id, s.team_id, o.team_id AS opponent_id, s.team_id = g.home_team_id AS is_home, s.points, o.points AS points_allowed,
   s.passing_yards + s.rushing_yards AS total_yards, 50 + s.rushing_yards % 30 AS offensive_plays, s.passing_yards, s.rushing_yards, s.turnovers, o.turnovers AS takeaways,
@@ -44,9 +47,9 @@ DEFINITIONS = {
   CASE WHEN red_zone_attempts = 0 THEN NULL ELSE CAST(points AS DOUBLE) / red_zone_attempts END AS points_per_opportunity
   FROM team_game_stats WHERE NOT (game_id % 53 = 0 AND is_home)""",
     "snapshots": """SELECT 'run-a' AS run_id, TIMESTAMP '2001-07-01 00:00:00' AS captured_at, game_id, season, week, game_date, home_team_id, away_team_id,
-  CASE WHEN game_id % 5 = 0 THEN NULL ELSE home_score END AS home_score, CASE WHEN game_id % 5 = 0 THEN NULL ELSE away_score END AS away_score, neutral_site, completed AND game_id % 5 <> 0 AS completed FROM games
-  UNION ALL SELECT 'run-b', TIMESTAMP '2001-07-02 00:00:00', game_id, season, week, game_date, home_team_id, away_team_id, home_score, away_score, neutral_site, completed FROM games
-  UNION ALL SELECT 'run-c', TIMESTAMP '2001-07-03 00:00:00', game_id, season, week, game_date, home_team_id, away_team_id, CASE WHEN game_id % 97 = 0 THEN home_score + 1 ELSE home_score END, away_score, neutral_site, completed FROM games""",
+  CASE WHEN game_id % 5 = 0 THEN NULL ELSE home_score END AS home_score, CASE WHEN game_id % 5 = 0 THEN NULL ELSE away_score END AS away_score, neutral_site, completed AND game_id % 5 <> 0 AS completed, season_type FROM games
+  UNION ALL SELECT 'run-b', TIMESTAMP '2001-07-02 00:00:00', game_id, season, week, game_date, home_team_id, away_team_id, home_score, away_score, neutral_site, completed, season_type FROM games
+  UNION ALL SELECT 'run-c', TIMESTAMP '2001-07-03 00:00:00', game_id, season, week, game_date, home_team_id, away_team_id, CASE WHEN game_id % 97 = 0 THEN home_score + 1 ELSE home_score END, away_score, neutral_site, completed, season_type FROM games""",
     "forecasts": """SELECT r.source_run, g.game_id, CASE WHEN g.game_id % 89 = 0 THEN g.away_team_id ELSE g.home_team_id END AS home_team_id,
   CASE WHEN g.game_id % 89 = 0 THEN g.home_team_id ELSE g.away_team_id END AS away_team_id, g.season, g.week, g.game_date AS saved_kickoff,
   CASE WHEN r.k = 1 THEN g.game_date - INTERVAL '3' DAY WHEN r.k = 2 THEN g.game_date - INTERVAL '1' DAY ELSE g.game_date + INTERVAL '1' DAY END AS created,
@@ -58,13 +61,18 @@ DEFINITIONS = {
 }
 
 
-def needed(text: str) -> list[str]:
-    """Definitions that a SQL text uses, in order."""
+#: Tables that most others are built from: written once a session and folder.
+SHARED = ("sides", "games", "team_game_stats")
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def needed(text: str, known: tuple[str, ...] = ()) -> list[str]:
+    """Definitions that a SQL text uses, in order, without the ``known`` ones and what only they use."""
     found: set[str] = set()
 
     def walk(sql: str) -> None:
         for name in DEFINITIONS:
-            if name not in found and re.search(rf"\b{name}\b", sql):
+            if name not in found and name not in known and re.search(rf"\b{name}\b", sql):
                 found.add(name)
                 walk(DEFINITIONS[name])
 
@@ -72,9 +80,9 @@ def needed(text: str) -> list[str]:
     return [n for n in DEFINITIONS if n in found]
 
 
-def ctes(text: str, duckdb: bool = False) -> list[str]:
+def ctes(text: str, duckdb: bool = False, known: tuple[str, ...] = ()) -> list[str]:
     how = "AS MATERIALIZED" if duckdb else "AS"
-    return [f"{n} {how} ({DEFINITIONS[n].replace(' AS STRING)', ' AS VARCHAR)') if duckdb else DEFINITIONS[n]})" for n in needed(text)]
+    return [f"{n} {how} ({DEFINITIONS[n].replace(' AS STRING)', ' AS VARCHAR)') if duckdb else DEFINITIONS[n]})" for n in needed(text, known)]
 
 
 def views(spark: SparkSession, sf_dir: str) -> None:
@@ -83,6 +91,21 @@ def views(spark: SparkSession, sf_dir: str) -> None:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table over the parquet tables of ``sf_dir``."""
+    """A derived table over the parquet tables of ``sf_dir``; the shared ones among its sources are written first."""
     views(spark, sf_dir)
-    return spark.sql("WITH " + ", ".join(ctes(name)) + f" SELECT * FROM {name}")
+    known: tuple[str, ...] = ()
+    for shared in (n for n in needed(name) if n in SHARED):
+        key = (spark.sparkContext.applicationId, sf_dir, shared)
+        if key not in _WRITTEN:
+            path = f"{shared_dir(spark)}/{shared}-{uuid.uuid4().hex}"
+            _select(spark, shared, known).write.parquet(path)
+            _WRITTEN[key] = path
+        spark.read.parquet(_WRITTEN[key]).createOrReplaceTempView(shared)
+        known = (*known, shared)
+    return _select(spark, name, known)
+
+
+def _select(spark: SparkSession, name: str, known: tuple[str, ...]) -> DataFrame:
+    if name in known:
+        return spark.table(name)
+    return spark.sql("WITH " + ", ".join(ctes(name, known=known)) + f" SELECT * FROM {name}")

@@ -28,11 +28,15 @@ def schedule_records(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return _records(payloads, SCHEDULE, column)
 
 
-def read_schedule(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """Games of two first-division teams, and the records that break a rule of the schedule."""
+def read_schedule(payloads: DataFrame, column: str = "payload", source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Games of two first-division teams, and the records that break a rule of the schedule.
+
+    With ``source``, a column of ``payloads`` that both results keep, an id may stand once in each source; else once in all.
+    """
     rows = schedule_records(payloads, column)
-    twice = rows.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id", "_n")
-    rows = rows.join(twice, "id", "left")
+    own = [source] if source else []
+    twice = rows.groupBy(*own, "id").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.join(twice, [*own, "id"], "left")
     when = F.try_to_timestamp("startDate")
     rule = (
         F.when(F.col("id").isNull() | (F.col("id") < 1), "invalid_id")
@@ -52,9 +56,9 @@ def read_schedule(payloads: DataFrame, column: str = "payload") -> tuple[DataFra
     games = rows.where("rule IS NULL").select(
         F.col("id").alias("game_id"), F.col("season").cast("int").alias("season"), F.col("week").cast("int").alias("week"), when.alias("game_date"),
         F.col("homeId").alias("home_team_id"), F.col("awayId").alias("away_team_id"), F.when(F.col("completed"), F.col("homePoints")).alias("home_score"),
-        F.when(F.col("completed"), F.col("awayPoints")).alias("away_score"), F.col("neutralSite").alias("neutral_site"), "completed", F.col("seasonType").alias("season_type"),
+        F.when(F.col("completed"), F.col("awayPoints")).alias("away_score"), F.col("neutralSite").alias("neutral_site"), "completed", F.col("seasonType").alias("season_type"), *own,
     )
-    return games, rows.where("rule IS NOT NULL").select(F.col("id").alias("game_id"), "rule")
+    return games, rows.where("rule IS NOT NULL").select(F.col("id").alias("game_id"), "rule", *own)
 
 
 def capture_scope(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -32,6 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of summaries is broadcast.
+FEW = 100_000
+
+
+def join_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with one summary row a key: broadcast if these are few (they are counted), so that no key's rows meet in a task."""
+    known = cut(summary)
+    return rows.join(F.broadcast(known) if known.count() <= FEW else known, key)
+
+
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(rows, digest): a count and a digest of the rows in any order; equal rows don't cancel out."""
     cols = sorted(columns or df.columns)
@@ -87,11 +97,11 @@ class Store:
             raise ValueError(f"run {run_id}, table {name}: content differs from what was published")
         return df
 
-    def all_runs(self, name: str, kind: str) -> DataFrame:
-        """A table over all complete runs of a kind, with lineage columns source_run, created and as_of."""
-        runs = self.runs(kind).select(F.col("run_id").alias("source_run"), F.col("created_at").alias("created"), F.col("as_of").alias("run_as_of"))
+    def all_runs(self, name: str, kind: str, columns: list[str] | None = None) -> DataFrame:
+        """A table over all complete runs of a kind, with lineage columns source_run, run_created and run_as_of."""
+        runs = self.runs(kind).select(F.col("run_id").alias("source_run"), F.col("created_at").alias("run_created"), F.col("as_of").alias("run_as_of"))
         df = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}").withColumnRenamed("run_id", "source_run")
-        return df.join(F.broadcast(runs), "source_run")
+        return join_summary(df.select("source_run", *columns) if columns else df, runs, "source_run")
 
     def activate(self, run_id: str, names: list[str]) -> None:
         """Point the current tables, temp views, at a run."""

@@ -4,36 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.versions import GAME, merge_games
-from ..schema import GAMES
+from ..operators.versions import merge_games
+from ..schema import GAMES, conform
 from ..sources.raw_json import read_schedule
 
 
 def stream_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of (path, payload) of JSON files as they land."""
-    return spark.readStream.schema("value string").option("wholetext", True).format("text").load(folder).select(F.col("value").alias("payload"))
+    """A stream of (file, payload) of JSON files as they land."""
+    raw = spark.readStream.schema("value string").option("wholetext", True).format("text").load(folder)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
+
+
+def current_games(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The games as of the last batch (or of the one before ``before``): of each game the row of its newest batch."""
+    kind = T.StructType([*GAMES.fields, T.StructField("season_type", T.StringType()), T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(kind).parquet(f"{root}/games")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    columns = [c for c in rows.columns if c not in ("game_id", "batch")]
+    return rows.groupBy("game_id").agg(F.max_by(F.struct(*columns), "batch").alias("g")).select("game_id", "g.*")
 
 
 def merge_batch(root: str):
-    """A ``foreachBatch`` function: the batch's games merge with those of the last batch into ``root/batch=<id>``.
+    """A ``foreachBatch`` function: the batch's records merge with the current versions of the same games.
 
-    A replayed batch writes the same folder again, so a restart neither loses nor doubles a record. Games in conflict keep the
-    version that stood before, and go to ``root/conflicts``.
+    A file may hold a game once, and several files of a batch may hold versions of it. ``games/batch=<id>`` gets the games that the
+    batch changed, so a batch writes no more than it touches; ``current_games`` reads the newest of each. Records that break a rule
+    go to ``quarantine``, games in conflict keep the version that stood before, and their versions go to ``conflicts``. A replayed
+    batch writes the same folders again, so a restart neither loses nor doubles a record.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new, _ = read_schedule(batch)
-        stamped = new.select(*GAME).dropDuplicates(["game_id"]).withColumns({"run_id": F.lit(f"batch-{batch_id:08d}"), "captured_at": F.lit(batch_id).cast("timestamp")})
+        new, rejected = read_schedule(batch, source="file")
+        version = {"run_id": F.concat_ws("/", F.lit(f"batch-{batch_id:08d}"), "file"), "captured_at": F.lit(batch_id).cast("timestamp")}
+        stamped = new.withColumns(version).drop("file")
+        rejected.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
         if batch_id > 0:
-            old = spark.read.schema(GAMES).parquet(f"{root}/games/batch={batch_id - 1}").withColumns({"run_id": F.lit("batch-before"), "captured_at": F.lit(-1).cast("timestamp")})
-            stamped = old.unionByName(stamped)
+            touched = current_games(spark, root, batch_id).join(stamped.select("game_id").distinct(), "game_id", "left_semi")
+            stamped = stamped.unionByName(touched.withColumns({"run_id": F.lit("batch-before"), "captured_at": F.lit(-1).cast("timestamp")}))
         merged, conflicts, _ = merge_games(stamped)
-        if batch_id > 0:
-            clash = conflicts.select("game_id").distinct()
-            merged = merged.unionByName(old.join(clash, "game_id", "left_semi").select(*GAME))
-        merged.write.mode("overwrite").parquet(f"{root}/games/batch={batch_id}")
+        conform(merged, GAMES).write.mode("overwrite").parquet(f"{root}/games/batch={batch_id}")
         conflicts.write.mode("overwrite").parquet(f"{root}/conflicts/batch={batch_id}")
 
     return write

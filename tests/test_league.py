@@ -73,6 +73,39 @@ def test_ratings_order_and_strategies(spark, league):
     assert gap(wide) > gap(a)
 
 
+def test_advanced_metrics_find_their_team_by_id_text_or_name(spark, league):
+    games, stats, teams = league
+    named = spark.createDataFrame([("1", 0.1, 0.2), ("Team 2", 0.3, 0.4), ("Nobody", 0.9, 0.9), ("Team 1", 0.8, 0.8)], "team string, success_rate double, havoc_rate double")
+    got = {r.team_id: (r.success_rate, r.havoc_rate, r.explosiveness) for r in ratings.fit_ratings(games, stats, teams, named).collect()}
+    assert got[1] == (0.1, 0.2, 0.0) and got[2] == (0.3, 0.4, 0.0) and got[3] == (0.0, 0.0, 0.0) and len(got) == 6
+
+
+def test_large_units_take_the_path_of_rounds(spark, league, monkeypatch):
+    games, stats, teams = league
+    monkeypatch.setattr(ratings, "GROUPED_EDGES", 10)
+    monkeypatch.setattr(ratings, "_grouped", None)
+    got = {r.team_id: r.power_rating for r in ratings.fit_ratings(games, stats, teams).collect()}
+    monkeypatch.undo()
+    want = {r.team_id: r.power_rating for r in ratings.fit_ratings(games, stats, teams).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_season_types_are_periods_of_their_own(spark):
+    rows = [(i, 2026, 1, START + timedelta(days=120 * (i > 2)), 1, 2, 10, 7, False, True, "postseason" if i > 2 else "regular") for i in range(1, 5)]
+    g = spark.createDataFrame(rows, GAMES.simpleString()[7:-1].replace(":", " ") + ", season_type string")
+    assert {(r.period, r.ord, r["count"]) for r in models.with_periods(g).groupBy("period", "ord").count().collect()} == {("2026 regular week 1", 1, 2), ("2026 postseason week 1", 2, 2)}
+    merged, _, _ = versions.merge_games(g.withColumns({"run_id": F.lit("a"), "captured_at": F.lit(START)}))
+    assert {r.season_type for r in merged.collect()} == {"regular", "postseason"}
+
+
+def test_run_warnings(spark):
+    g = spark.createDataFrame([(1, 2026, 1, START, 1, 2, 10, 7, False, True), (2, 2026, 2, START + timedelta(days=5), 1, 2, None, None, False, False)], GAMES)
+    f = spark.createDataFrame([(True,), (False,)], "low_history boolean")
+    late = upcoming.run_warnings(f, g, "2026-09-20 00:00:00").first()
+    assert (late.forecasts, late.low_history, late.missing_results, late.stale) == (2, 1, 1, True)
+    assert upcoming.run_warnings(f, g, "2026-09-03 00:00:00").first().stale is False
+
+
 def test_priors_and_cutoff(spark, league):
     games, stats, teams = league
     priors = spark.createDataFrame([(1, 20.0)], "team_id bigint, prior double")

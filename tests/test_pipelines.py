@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.plans import pipelines, registry
 from ratingloom.sources.store import Store
-from ratingloom.streaming import run_available
+from ratingloom.streaming import current_games, run_available
 
 
 @pytest.fixture(scope="module")
@@ -81,10 +81,14 @@ def test_stream_merges_late_results(spark, tmp_path):
     def game(i, done, hp=None):
         return {"id": i, "season": 2026, "week": 1, "seasonType": "regular", "startDate": "2026-08-29T16:00:00Z", "startTimeTBD": False, "completed": done, "neutralSite": False, "homeId": 1, "awayId": 2, "homeClassification": "fbs", "awayClassification": "fbs"} | ({"homePoints": hp, "awayPoints": 3} if done else {})
 
-    (landed / "1.json").write_text(json.dumps([game(1, False), game(2, True, 10)]))
+    (landed / "1.json").write_text(json.dumps([game(1, False), game(2, True, 10), game(3, True, 7)]))
     run_available(spark, str(landed), str(root))
-    (landed / "2.json").write_text(json.dumps([game(1, True, 21), game(2, True, 11)]))
+    # one batch of two files: an upcoming and a completed record of game 4, a new final of game 2, a record twice in a file
+    (landed / "2.json").write_text(json.dumps([game(1, True, 21), game(2, True, 11), game(4, False)]))
+    (landed / "3.json").write_text(json.dumps([game(4, True, 30), game(5, True, 1), game(5, True, 2)]))
     run_available(spark, str(landed), str(root))
-    got = {r.game_id: r.home_score for r in spark.read.parquet(f"{root}/games/batch=1").collect()}
-    assert got == {1: 21, 2: 10}
+    now = {r.game_id: (r.home_score, r.season_type) for r in current_games(spark, str(root)).collect()}
+    assert now == {1: (21, "regular"), 2: (10, "regular"), 3: (7, "regular"), 4: (30, "regular")}
+    assert {r.game_id for r in spark.read.parquet(f"{root}/games/batch=1").collect()} == {1, 4}  # only what changed
     assert {r.game_id for r in spark.read.parquet(f"{root}/conflicts/batch=1").collect()} == {2}
+    assert [(r.game_id, r.rule) for r in spark.read.parquet(f"{root}/quarantine/batch=1").collect()] == [(5, "duplicate_id")] * 2
