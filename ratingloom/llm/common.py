@@ -62,10 +62,16 @@ def hot_keys(rows: DataFrame, key: str, weight: str | None = None) -> list:
     return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n")).where(F.col("_n") * HOT_SHARE > whole).collect()]
 
 
+#: Slices into which the rows of a hot key are dealt.
+SALTS = 64
+
+
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a table of at most one row a key. The rows of ``hot`` keys stay where they are and meet a broadcast of
-    their few partners; all others are shuffled, and no key of theirs is large."""
+    """``rows`` joined with a table of at most one row a key. The rows of ``hot`` keys are dealt to ``SALTS`` slices by their hash, and
+    their partners go to each slice, so that no task gets all rows of a key."""
     if not hot:
         return rows.join(unique, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return rows.where(is_hot).join(F.broadcast(unique.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(unique.where(~is_hot), key, how))
+    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int")).otherwise(0))
+    partners = unique.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(partners, [key, "_salt"], how).drop("_salt")

@@ -1,8 +1,8 @@
 """Connected components of an undirected graph given as edges: label propagation with pointer jumping on Spark.
 
 Every round a node takes the smallest label among itself and its neighbours, then the label of its label; the rounds end when
-no label changes. Lineage is cut by writing each round's labels to the shared folder. Hubs, and labels that many nodes share, are
-joined by broadcast of their few rows, so that no task gets all nodes of a large component. Self-loops and repeated edges are
+no label changes. Lineage is cut by writing each round's labels to the shared folder. The rows of hubs, and of labels that many
+nodes share, are salted in the joins, so that no task gets all nodes of a large component. Self-loops and repeated edges are
 harmless; an empty edge table gives no rows.
 """
 

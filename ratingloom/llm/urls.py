@@ -4,7 +4,8 @@ The rules label URLs; a bounded hash sample of the labelled rows trains the tree
 features are lengths, depth, digit ratio, character entropy, parameter counts and suffix statistics: the smoothed share of
 blocked URLs among all labelled URLs with the same top-level label, last two labels, first label and path head. A training row's
 shares are taken out of its fold, so that neither its own label nor those of its host are among them: folds are dealt by host.
-The statistics are one written table that grows with the number of suffixes; suffixes of many URLs are joined by broadcast.
+The statistics are one written table that grows with the number of suffixes. Kinds of few suffixes (they are counted) are broadcast;
+of others the suffixes of many URLs are salted in the join.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and is judged by the trees; if the rules label no URL,
 or all alike, the verdict for the rest is ``allow``, or the only label; repeated rows are judged alike; extra columns are kept,
@@ -29,6 +30,8 @@ MAX_TRAIN = 20_000
 SUFFIXES = ("tld", "domain", "first", "head")
 #: Parts of the hosts that are held out of each other's suffix statistics, and the rows that stand for the base rate beforehand.
 FOLDS, SMOOTHING = 5, 20.0
+#: Suffixes of a kind up to which their statistics are broadcast, as rows of about 200 bytes.
+MAX_BROADCAST_ROWS = 50_000
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "digits", "entropy", "params", "has_fragment", "hyphens", "secure", *(f"{s}_rate" for s in SUFFIXES))
 
 
@@ -91,11 +94,14 @@ def suffix_statistics(known: DataFrame) -> DataFrame:
 
 def with_rates(df: DataFrame, stats: DataFrame, base: float, n: int, held_out: bool) -> DataFrame:
     """``df`` with a rate for each kind of suffix; with ``held_out``, of the other folds than the row's own."""
+    sizes = {r["kind"]: r["count"] for r in stats.groupBy("kind").count().collect()}
     for s in SUFFIXES:
         own = stats.where(F.col("kind") == s)
         whole = own.groupBy("value").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("k"), F.sum("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("blocked", "labelled")))).alias("of"))
-        hot = [r[0] for r in whole.where(F.col("rows") * HOT_SHARE > n).select("value").collect()]
-        df = join_unique(df, whole.select(F.col("value").alias(s), "b", "k", "of"), s, hot, "left")
+        few = sizes.get(s, 0) <= MAX_BROADCAST_ROWS
+        hot = [] if few else [r[0] for r in whole.where(F.col("rows") * HOT_SHARE > n).select("value").collect()]
+        known = whole.select(F.col("value").alias(s), "b", "k", "of")
+        df = join_unique(df, F.broadcast(known) if few else known, s, hot, "left")
         minus = (F.coalesce(F.element_at("of", F.col("fold"))[c], F.lit(0)) if held_out else F.lit(0) for c in ("blocked", "labelled"))
         b, k = (F.coalesce(c, F.lit(0)) - m for c, m in zip((F.col("b"), F.col("k")), minus))
         df = df.withColumn(f"{s}_rate", (b + SMOOTHING * base) / (k + SMOOTHING)).drop("b", "k", "of")

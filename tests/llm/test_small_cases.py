@@ -145,3 +145,35 @@ def test_trees_find_labels_of_hosts_that_they_have_not_seen(spark):
     model = urls.fit(train, stats, 0.5, 800, 800, 20_000, 12, 4)
     out = model.transform(urls.gathered(urls.with_rates(test, stats, 0.5, 800, False)))
     assert BinaryClassificationEvaluator().evaluate(out) > 0.95
+
+
+def test_suffix_rates_are_the_same_by_either_join(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 7}.x{i % 3}.{'com' if i % 2 else 'net'}/{'en' if i % 5 else 'es'}/{i}", float(i % 3 == 0) if i % 4 else None) for i in range(300)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, label double")
+    known = urls.lexical(urls.with_rule(d)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(urls.FOLDS)).cast("int"))
+    stats = urls.suffix_statistics(known)
+    columns = ["page_id", *(f"{s}_rate" for s in urls.SUFFIXES)]
+    for held_out in (False, True):
+        by_broadcast = urls.with_rates(known, stats, 0.4, 300, held_out).select(columns).toPandas().sort_values("page_id")
+        with monkeypatch.context() as m:
+            m.setattr(urls, "MAX_BROADCAST_ROWS", 0)
+            by_salt = urls.with_rates(known, stats, 0.4, 300, held_out).select(columns).toPandas().sort_values("page_id")
+        assert by_broadcast.round(12).values.tolist() == by_salt.round(12).values.tolist()
+        table = known.toPandas()
+        for s in urls.SUFFIXES:
+            for i, want in zip(by_broadcast.page_id.head(40), by_broadcast[f"{s}_rate"].head(40)):
+                own = table[table.page_id == i].iloc[0]
+                same = table[(table[s] == own[s]) & ((table.fold != own.fold) | (not held_out))].label.dropna()
+                assert want == pytest.approx((same.sum() + urls.SMOOTHING * 0.4) / (len(same) + urls.SMOOTHING))
+
+
+def test_salted_joins_keep_all_rows(spark):
+    from ratingloom.llm.common import hot_keys, join_unique
+
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else "hot" if i % 3 else f"k{i}") for i in range(3000)], "n int, k string")
+    unique = spark.createDataFrame([("hot", 1), ("k3", 2), ("k6", 3)], "k string, v int")
+    hot = hot_keys(rows, "k")
+    assert hot == ["hot"]
+    for how in ("inner", "left"):
+        a, b = (sorted((r.n, r.k or "", r.v or 0) for r in join_unique(rows, unique, "k", h, how).collect()) for h in (hot, []))
+        assert a == b and len(a) == (3000 if how == "left" else len([x for x in a if x[2]]))
