@@ -1,20 +1,26 @@
 """Score models by expanding windows: baselines, shrunk expectations and ridge regressions, and their registry.
 
-A period (season, week) is predicted from all earlier periods. Baselines and shrunk means need only running sums per period, so
-one job covers all periods. A ridge needs a fit per training set: ``fit_ridge`` is one fit by Spark ML.
+A period (season, type, week) is predicted from all earlier periods. Baselines and shrunk means need only running sums per period,
+so one job covers all periods. So does a ridge: the sums of products of values and of missing marks are additive, and imputation by
+a median, scaling and the normal equations need no more than these (``ExpandingRidge``). ``fit_ridge`` is one fit by Spark ML.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, mean_of, model_confidence, normal_cdf, period_label, round_to
+from ..sources.store import cut, join_summary
+from .features import model_features
 
 MIN_TRAINING = 20
 
@@ -99,26 +105,164 @@ def shrunk(k: float, home_term: bool = False) -> Expectation:
     return expect
 
 
-#: Registry of models: name to a function without arguments that gives home, away and probability columns.
-REGISTRY: dict[str, Expectation] = {
+@dataclass(frozen=True)
+class ExpandingRidge:
+    """Two ridge regressions (home and away score) of every period on all games before it.
+
+    Missing values are the exact median of the training games, marked by indicators if asked for; the intercept is free. A feature
+    without any value, or of one value, has no weight. The features are read as columns of the matchups; None: all that a model may use.
+    """
+
+    features: tuple[str, ...] | None = None
+    alpha: float = 12.0
+    indicators: bool = True
+    scaled: bool = False
+
+    def fit(self, periods: DataFrame, min_games: int = MIN_TRAINING) -> DataFrame:
+        """(ord, medians, home, away, marks_home, marks_away, first_home, first_away, margin_std): a row a period with enough games before it.
+
+        Games are summed up where they lie; then a period is a row (its sums are running sums over periods, in one task), and a
+        feature's values of all games are a group, for its medians.
+        """
+        names = list(self.features or model_features(periods))
+        size = len(names)
+        rows = periods.where("home_score IS NOT NULL AND away_score IS NOT NULL").select("ord", F.array(*(F.col(n).cast("double") for n in names)).alias("x"), F.col("home_score").cast("double").alias("h"), F.col("away_score").cast("double").alias("a"))
+
+        def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), size)
+                gone = np.isnan(x)
+                v = np.column_stack([np.where(gone, 0.0, x), gone, np.ones(len(x)), pdf["h"], pdf["a"]])
+                ords = pdf["ord"].to_numpy()
+                found = np.unique(ords)
+                yield pd.DataFrame({"ord": found, "sums": [(v[ords == o].T @ v[ords == o]).tobytes() for o in found]})
+
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"ord": pdf["ord"].iloc[:1], "sums": [sum(np.frombuffer(s) for s in pdf["sums"]).tobytes()]})
+
+        def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((2 * size + 3) ** 2)
+            for pdf in batches:
+                out = []
+                for s in pdf["sums"]:
+                    out.append(total.tobytes())
+                    total = total + np.frombuffer(s)
+                yield pd.DataFrame({"ord": pdf["ord"], "sums": out})
+
+        per = cut(rows.mapInPandas(summed, "ord int, sums binary").groupBy("ord").applyInPandas(added, "ord int, sums binary"))
+        before = per.repartition(1).sortWithinPartitions("ord").mapInPandas(running, "ord int, sums binary")
+        all_ords = np.array(sorted(r["ord"] for r in per.select("ord").collect()))
+
+        def middles(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("ord", kind="stable")
+            values, ends = pdf["value"].to_numpy(), np.searchsorted(pdf["ord"].to_numpy(), all_ords)
+            return pd.DataFrame({"ord": all_ords, "feature": pdf["feature"].iloc[0], "median": [float(np.median(values[:k])) if k else None for k in ends]}).astype({"median": float})
+
+        each = rows.select("ord", F.posexplode("x").alias("feature", "value")).where("value IS NOT NULL")
+        medians = each.groupBy("feature").applyInPandas(middles, "ord int, feature int, median double").where("NOT isnan(median)")
+        medians = medians.groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("of"))
+        of = medians.select("ord", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.element_at("of", k)).alias("medians"))
+
+        def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(o, *self._solve(np.frombuffer(s).reshape(2 * size + 3, -1), np.array([np.nan] * size if m is None else m, float), min_games)) for o, s, m in zip(pdf["ord"], pdf["sums"], pdf["medians"])]
+                yield pd.DataFrame([r for r in rows if r[1] is not None], columns=["ord", *FITTED])
+
+        kinds = ", ".join(f"{n} {k}" for n, k in FITTED.items())
+        return before.join(of, "ord", "left").mapInPandas(solved, f"ord int, {kinds}")
+
+    def _solve(self, g: np.ndarray, medians: np.ndarray, min_games: int) -> tuple:
+        """The fit from sums of products of (value or 0, missing, 1, home score, away score)."""
+        size, one = len(medians), 2 * len(medians)
+        n = g[one, one]
+        if n < min_games:
+            return (None,) * len(FITTED)
+        m = np.where(np.isnan(medians), 0.0, medians)
+        to = np.vstack([np.column_stack([np.eye(size), np.diag(m)]), np.column_stack([np.zeros((size, size)), np.eye(size)])])
+        to = to if self.indicators else to[:size]
+        total, scores = to @ g[:one, one], g[one, one + 1 :]
+        c = to @ g[:one, :one] @ to.T - np.outer(total, total) / n
+        cy = to @ g[:one, one + 1 :] - np.outer(total, scores) / n
+        var = np.diag(c) / n
+        used = var > 1e-12 * np.maximum(1.0, (total / n) ** 2)
+        scale = np.where(used & self.scaled, np.sqrt(np.maximum(var, 0)), 1.0)
+        inner = (c / np.outer(scale, scale))[np.ix_(used, used)] + self.alpha * np.eye(used.sum())
+        w = np.zeros((len(c), 2))
+        w[used] = np.linalg.solve(inner, (cy / scale[:, None])[used]) / scale[used, None]
+        first = (scores - total @ w) / n
+        d, dy = w[:, 0] - w[:, 1], cy[:, 0] - cy[:, 1]
+        margin = g[one + 1 :, one + 1 :]
+        squares = margin[0, 0] - 2 * margin[0, 1] + margin[1, 1] - (scores[0] - scores[1]) ** 2 / n - 2 * d @ dy + d @ c @ d
+        marks = w[size:] if self.indicators else np.zeros((size, 2))
+        return m.tolist(), w[:size, 0].tolist(), w[:size, 1].tolist(), marks[:, 0].tolist(), marks[:, 1].tolist(), float(first[0]), float(first[1]), max(1.0, float(np.sqrt(max(squares, 0.0) / max(n - 1, 1))))
+
+    def __call__(self, periods: DataFrame, target: DataFrame) -> DataFrame:
+        """``target`` with ``home_points``, ``away_points`` (0 to 70) and ``home_win_probability`` of the fits before its periods."""
+        names = list(self.features or model_features(periods))
+        rows = join_summary(target.withColumn("_x", F.array(*(F.col(n).cast("double") for n in names))), self.fit(periods), "ord")
+
+        def points(side: str) -> Column:
+            terms = F.zip_with(F.col(side), F.col(f"marks_{side}"), lambda w, q: F.struct(w.alias("w"), q.alias("q")))
+            known = F.zip_with(F.col("_x"), F.col("medians"), lambda x, m: F.struct(F.coalesce(x, m).alias("x"), x.isNull().cast("double").alias("gone")))
+            parts = F.zip_with(known, terms, lambda k, t: k["x"] * t["w"] + k["gone"] * t["q"])
+            return clip(F.col(f"first_{side}") + F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v), 0.0, 70.0)
+
+        rows = rows.withColumns({"home_points": points("home"), "away_points": points("away")})
+        return rows.withColumn("home_win_probability", normal_cdf((F.col("home_points") - F.col("away_points")) / F.col("margin_std"))).drop("_x", *FITTED)
+
+
+#: Columns of a fit.
+FITTED = {"medians": "array<double>", "home": "array<double>", "away": "array<double>", "marks_home": "array<double>", "marks_away": "array<double>", "first_home": "double", "first_away": "double", "margin_std": "double"}
+
+SMALL = ("home_points_season", "away_points_season", "home_points_allowed_season", "away_points_allowed_season", "home_yards_per_play_season", "away_yards_per_play_season", "home_field_indicator")
+
+#: Registry of models: a name to a function without arguments that gives home, away and probability columns over the summary of the
+#: training games, or to a trained model, a function of (all periods, target games) that gives the target with its predictions.
+Trained = Callable[[DataFrame, DataFrame], DataFrame]
+COLUMN_MODELS: dict[str, Expectation] = {
     "train_mean": train_mean, "rolling_average": rolling_average, "shrunk_k2": shrunk(2.0), "shrunk_k5": shrunk(5.0), "shrunk_k5_home": shrunk(5.0, True),
 }
+TRAINED_MODELS: dict[str, Trained] = {
+    "ridge": ExpandingRidge(), "ridge_scaled_all": ExpandingRidge(alpha=10.0, indicators=False, scaled=True), "ridge_scaled_small": ExpandingRidge(SMALL, 10.0, False, True),
+}
 
 
-def register(name: str, model: Expectation) -> None:
-    if name in REGISTRY:
-        raise ValueError(f"model {name} is registered already")
-    REGISTRY[name] = model
+class Registry:
+    """Models by name. Registering returns a new registry, so that callers don't change each other's."""
 
+    def __init__(self, columns: dict[str, Expectation] | None = None, trained: dict[str, Trained] | None = None):
+        self.columns, self.trained = dict(COLUMN_MODELS if columns is None else columns), dict(TRAINED_MODELS if trained is None else trained)
 
-def predict(target: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Long form (game, scores, model, home_points, away_points, home_win_probability) of the registered models."""
-    rows = []
-    for name in names or list(REGISTRY):
-        home, away, p = REGISTRY[name]()
-        rows.append(F.struct(F.lit(name).alias("model"), home.alias("home_points"), away.alias("away_points"), p.alias("home_win_probability")))
+    def names(self) -> list[str]:
+        return [*self.columns, *self.trained]
+
+    def registered(self, name: str, model: Expectation | Trained, trained: bool = False) -> Registry:
+        if name in self.names():
+            raise ValueError(f"model {name} is registered already")
+        return Registry(self.columns | ({} if trained else {name: model}), self.trained | ({name: model} if trained else {}))
+
+
+def predict(target: DataFrame, names: list[str] | None = None, periods: DataFrame | None = None, registry: Registry | None = None) -> DataFrame:
+    """Long form (game, scores, model, home_points, away_points, home_win_probability) of the models; trained ones need ``periods``."""
+    registry = registry or Registry()
+    names = names or [n for n in registry.names() if n in registry.columns or periods is not None]
     keep = [c for c in ("game_id", "period", "ord", "season", "week", "home_score", "away_score") if c in target.columns]
-    return target.select(*keep, F.explode(F.array(*rows)).alias("m")).select(*keep, "m.*")
+    result = [*keep, "model", "home_points", "away_points", "home_win_probability"]
+    parts = []
+    rows = []
+    for name in names:
+        if name in registry.columns:
+            home, away, p = registry.columns[name]()
+            rows.append(F.struct(F.lit(name).alias("model"), home.cast("double").alias("home_points"), away.cast("double").alias("away_points"), p.cast("double").alias("home_win_probability")))
+        elif periods is None:
+            raise ValueError(f"model {name} is trained: it needs all periods")
+        else:
+            parts.append(registry.trained[name](periods, target).withColumn("model", F.lit(name)).select(*result))
+    if rows:
+        parts.insert(0, target.select(*keep, F.explode(F.array(*rows)).alias("m")).select(*keep, "m.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass

@@ -211,6 +211,41 @@ EXTRA |= {
 }
 
 
+SMALL = ("home_points_season", "away_points_season", "home_points_allowed_season", "away_points_allowed_season", "home_yards_per_play_season", "away_yards_per_play_season", "home_field_indicator")
+
+
+def ridge(name: str, sets: str, train: str, on: str, target: str, alpha: float, indicators: bool, scaled: bool) -> dict[str, str]:
+    """Definitions of ridge forecasts by normal equations and elimination: ``sets`` (ord) are the training sets, ``train`` the games,
+    ``on`` what puts a game p into a set t, and ``target`` (with ord) the games to predict. The last is ``<name>_out``."""
+    x = [f"CAST(p.{f} AS DOUBLE)" for f in SMALL]
+    z = [f"coalesce({c}, t.md{i}, 0.0)" for i, c in enumerate(x)] + ([f"(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)" for c in x] if indicators else [])
+    d, k = len(z), range(len(z))
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    out = {f"{name}_md": f"SELECT t.ord, COUNT(*) AS n, {', '.join(f'median({c}) AS md{i}' for i, c in enumerate(x))} FROM ({sets}) t JOIN ({train}) p ON {on} GROUP BY t.ord HAVING COUNT(*) >= 20"}
+    sums = [f"SUM({z[i]} * {z[j]}) AS g{i}_{j}" for i, j in pairs] + [f"SUM({z[i]}) AS s{i}, SUM({z[i]} * p.home_score) AS h{i}, SUM({z[i]} * p.away_score) AS a{i}" for i in k]
+    out[f"{name}_sums"] = f"SELECT t.ord, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(p.home_score) AS DOUBLE) AS sh, CAST(SUM(p.away_score) AS DOUBLE) AS sa, {', '.join(sums)} FROM {name}_md t JOIN ({train}) p ON {on} GROUP BY t.ord"
+    scale = lambda i: f"nullif(sqrt(greatest((g{i}_{i} - s{i} * s{i} / n) / n, 0)), 0)" if scaled else "1.0"
+    cells = [f"({i}, {j}, coalesce((g{min(i, j)}_{max(i, j)} - s{i} * s{j} / n) / {scale(i)} / {scale(j)}, 0){f' + {alpha}' if i == j else ''})" for i in k for j in k]
+    cells += [f"({i}, {d + c}, coalesce(({y}{i} - s{i} * s{y} / n) / {scale(i)}, 0))" for i in k for c, y in enumerate("ha")]
+    out[f"{name}_m0"] = " UNION ALL ".join(f"SELECT ord, {r} AS r, {c} AS c, CAST({v} AS DOUBLE) AS v FROM {name}_sums" for r, c, v in (cell[1:-1].split(", ", 2) for cell in cells))
+    for step in k:
+        m = f"{name}_m{step}"
+        out[f"{name}_m{step + 1}"] = f"""SELECT a.ord, a.r, a.c, CASE WHEN a.r = {step} THEN a.v / p.v ELSE a.v - f.v * q.v / p.v END AS v FROM {m} a JOIN {m} p ON p.ord = a.ord AND p.r = {step} AND p.c = {step}
+  JOIN {m} q ON q.ord = a.ord AND q.r = {step} AND q.c = a.c JOIN {m} f ON f.ord = a.ord AND f.r = a.r AND f.c = {step}"""
+    weights = ", ".join(f"MAX(CASE WHEN m.r = {i} AND m.c = {d + c} THEN m.v END) / coalesce(MAX({scale(i)}), 1.0) AS w{y}{i}" for i in k for c, y in enumerate("ha"))
+    out[f"{name}_w"] = f"SELECT u.*, t.* EXCLUDE (ord, n) FROM (SELECT s.ord, MAX(s.n) AS n, {', '.join(f'MAX(s.s{i} / s.n) AS mean{i}' for i in k)}, MAX(sh / s.n) AS mh, MAX(sa / s.n) AS ma, {weights} FROM {name}_sums s JOIN {name}_m{d} m ON m.ord = s.ord GROUP BY s.ord) u JOIN {name}_md t ON t.ord = u.ord"
+    value = lambda y: f"t.m{y} + " + " + ".join(f"t.w{y}{i} * ({z[i]} - t.mean{i})" for i in k)
+    out[f"{name}_std"] = f"SELECT t.ord, greatest(stddev_samp((p.home_score - p.away_score) - (({value('h')}) - ({value('a')}))), 1.0) AS std FROM {name}_w t JOIN ({train}) p ON {on} GROUP BY t.ord"
+    points = f"SELECT p.*, s.std, {clip('(' + value('h') + ')', 0.0, 70.0)} AS hp, {clip('(' + value('a') + ')', 0.0, 70.0)} AS ap FROM ({target}) p JOIN {name}_w t ON t.ord = p.ord JOIN {name}_std s ON s.ord = p.ord"
+    out[f"{name}_out"] = f"SELECT *, {phi('(hp - ap) / std')} AS prob FROM ({points}) r"
+    return out
+
+
+_WALK = ("SELECT DISTINCT ord FROM periods WHERE ord > 2", "SELECT * FROM periods", "p.ord < t.ord", "SELECT * FROM target", 10.0, False, True)
+_ONCE = ("SELECT 0 AS ord", "SELECT * FROM matchups WHERE completed AND season < 2001", "true", "SELECT *, 0 AS ord FROM matchups")
+EXTRA |= ridge("walked", *_WALK) | ridge("plain_small", *_ONCE, 12.0, True, False) | ridge("scaled_small", *_ONCE, 10.0, False, True)
+
+
 def _extra_needed(sql: str) -> list[str]:
     found: set[str] = set()
 
@@ -254,8 +289,8 @@ def _ordered(names: list[str]) -> list[str]:
 def _column(c: str) -> str:
     if c.endswith("#"):
         return f"CAST({c[:-1]} AS BIGINT) AS {c[:-1]}"
-    if c.endswith("~"):
-        return f"round(CAST({c[:-1]} AS DOUBLE), 6) + 0.0 AS {c[:-1]}"
+    if c[-1] in "~^":
+        return f"round(CAST({c[:-1]} AS DOUBLE), {6 if c[-1] == '~' else 3}) + 0.0 AS {c[:-1]}"
     return c
 
 

@@ -98,12 +98,13 @@ def forecast(store: Store, run_id: str, data: Dataset, teams: DataFrame, lines:
     return out
 
 
-def walk_forward(store: Store, run_id: str, data: Dataset, names: list[str] | None = None, baseline: str = "rolling_average", min_periods: int = 2) -> DataFrame:
-    """Out-of-sample predictions of every period by the registered models; publishes weekly and overall metrics and calibration."""
+def walk_forward(store: Store, run_id: str, data: Dataset, names: list[str] | None = None, baseline: str = "rolling_average", min_periods: int = 2, registry: models.Registry | None = None) -> DataFrame:
+    """Out-of-sample predictions of every period by the registered models, ridges among them; publishes weekly and overall metrics,
+    improvement over the baseline and calibration."""
     own = features.team_pregame_features(data.games, data.stats)
     periods = cut(models.with_periods(features.matchup_features(data.games, own)))
     summary = models.training_summary(periods)
-    predicted = cut(models.predict(models.eligible(periods, summary, min_periods), names))
+    predicted = cut(models.predict(models.eligible(periods, summary, min_periods), names, periods, registry))
     overall = evaluate.model_metrics(predicted)
     tables = {
         "walk_predictions": predicted, "walk_weekly": evaluate.model_metrics(predicted, ("model", "period")), "walk_overall": overall,
@@ -113,24 +114,6 @@ def walk_forward(store: Store, run_id: str, data: Dataset, names: list[str] | No
     return overall
 
 
-def walk_forward_ridge(matchups: DataFrame, names: list[str], alpha: float = 12.0, scaled: bool = False, min_periods: int = 2) -> DataFrame:
-    """Ridge predictions by expanding windows: one Spark ML fit a period, so meant for a bounded number of periods."""
-    periods = cut(models.with_periods(matchups))
-    parts = []
-    for r in periods.select("ord").distinct().where(F.col("ord") > min_periods).orderBy("ord").collect():
-        before = periods.where(F.col("ord") < r["ord"])
-        if before.count() < models.MIN_TRAINING:
-            continue
-        model = models.fit_ridge(before, names, alpha, indicators=not scaled, scaled=scaled)
-        parts.append(cut(models.predict_ridge(periods.where(F.col("ord") == r["ord"]), model)))
-    if not parts:
-        raise ValueError("no period has enough training games before it")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def results(store: Store, run_id: str, finals: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Grade saved forecasts against results; publishes the report, what was not scored or excluded, and the summary."""
     cands = grade.candidates(finals, forecasts)

@@ -1,6 +1,6 @@
 """Registered queries: each names its columns once, for Spark and for the oracle.
 
-In a column list ``#`` marks a bigint and ``~`` a double, which both sides round to six digits.
+In a column list ``#`` marks a bigint, ``~`` a double, which both sides round to six digits, and ``^`` one that is solved for, of three.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ def shaped(df: DataFrame, columns: str) -> DataFrame:
     def one(c: str) -> Column:
         if c.endswith("#"):
             return F.col(c[:-1]).cast("bigint").alias(c[:-1])
-        if c.endswith("~"):
-            return (F.round(F.col(c[:-1]).cast("double"), 6) + F.lit(0.0)).alias(c[:-1])
+        if c[-1] in "~^":
+            return (F.round(F.col(c[:-1]).cast("double"), 6 if c[-1] == "~" else 3) + F.lit(0.0)).alias(c[:-1])
         return F.col(c)
 
     return df.select(*map(one, columns.split()))
@@ -398,15 +398,21 @@ def slate_summary(spark, d):
 # --- models and evaluation ----------------------------------------------------------------------------------------------------
 
 
+_WALKED: dict[tuple[str, str], DataFrame] = {}
+
+
 def periods(spark, d):
-    used = ("points", "points_allowed")  # of the registered models
-    own = features.team_pregame_features(games(spark, d), stats(spark, d), used)
-    return store.cut(models.with_periods(store.cut(features.matchup_features(games(spark, d), own, used))))
+    """Completed matchups with all features and their periods, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WALKED:
+        own = features.team_pregame_features(games(spark, d), stats(spark, d))
+        _WALKED[key] = store.cut(models.with_periods(store.cut(features.matchup_features(games(spark, d), own))))
+    return _WALKED[key]
 
 
 def out_of_sample(spark, d, names=None):
     p = periods(spark, d)
-    return models.predict(models.eligible(p, models.training_summary(p)), names)
+    return models.predict(models.eligible(p, models.training_summary(p)), names or list(models.COLUMN_MODELS), p)
 
 
 for _name, _model in {"train_mean_baseline": "train_mean", "rolling_baseline": "rolling_average", "shrunk_k2": "shrunk_k2", "shrunk_k5": "shrunk_k5", "shrunk_k5_home": "shrunk_k5_home"}.items():
@@ -420,6 +426,17 @@ def walk_forward_overall(spark, d):
     return evaluate.model_metrics(out_of_sample(spark, d))
 
 
+@query("game_id# period home_points^ away_points^ home_win_probability^", "SELECT game_id, period, hp AS home_points, ap AS away_points, prob AS home_win_probability FROM walked_out")
+def walk_forward_scaled_small(spark, d):
+    """The small scaled ridge of every period, out of sample; the SQL solves the normal equations of each training set."""
+    return out_of_sample(spark, d, ["ridge_scaled_small"])
+
+
+@query("model games# score_mae~ score_rmse~ spread_mae~ total_mae~ brier_score~ winner_accuracy~")
+def walk_forward_all_models(spark, d):
+    return evaluate.model_metrics(out_of_sample(spark, d, models.Registry().names()))
+
+
 @query(f"model period {METRIC_COLUMNS}", f"SELECT model, period, {oracles.METRICS} FROM predicted GROUP BY model, period")
 def walk_forward_weekly(spark, d):
     return evaluate.model_metrics(out_of_sample(spark, d), ("model", "period"))
@@ -447,16 +464,17 @@ def calibration_bins(spark, d):
     return evaluate.calibration_bins(out_of_sample(spark, d))
 
 
-SEVEN = ["home_points_season", "away_points_season", "home_points_allowed_season", "away_points_allowed_season", "home_yards_per_play_season", "away_yards_per_play_season", "home_field_indicator"]
-
-
 def _ridge(spark, d, **how):
     m = store.cut(features.matchup_features(games(spark, d), features.team_pregame_features(games(spark, d), stats(spark, d))))
     train = m.where("completed AND season < 2001")
-    model = models.fit_ridge(train, how.pop("names", None) or features.model_features(m), **how)
+    model = models.fit_ridge(train, list(how.pop("names", None) or features.model_features(m)), **how)
     return models.predict_ridge(m, model)
 
 
+RIDGED = "game_id# home_expected_points^ away_expected_points^ home_win_probability^"
+RIDGED_SQL = "SELECT game_id, hp AS home_expected_points, ap AS away_expected_points, prob AS home_win_probability FROM {}_out"
+
+
 @query("game_id# home_expected_points~ away_expected_points~ projected_spread_home~ projected_total~ home_win_probability~ confidence_tier")
 def ridge_forecast(spark, d):
     return _ridge(spark, d)
@@ -467,9 +485,14 @@ def scaled_ridge_forecast(spark, d):
     return _ridge(spark, d, alpha=10.0, indicators=False, scaled=True)
 
 
-@query("game_id# home_expected_points~ away_expected_points~ projected_spread_home~ projected_total~ home_win_probability~ confidence_tier")
+@query(RIDGED, RIDGED_SQL.format("plain_small"))
+def ridge_small_forecast(spark, d):
+    return _ridge(spark, d, names=models.SMALL)
+
+
+@query(RIDGED, RIDGED_SQL.format("scaled_small"))
 def scaled_ridge_small_forecast(spark, d):
-    return _ridge(spark, d, alpha=10.0, indicators=False, scaled=True, names=SEVEN)
+    return _ridge(spark, d, alpha=10.0, indicators=False, scaled=True, names=models.SMALL)
 
 
 # --- upcoming -----------------------------------------------------------------------------------------------------------------

@@ -169,16 +169,45 @@ def test_ridge_equals_closed_form(spark):
     assert np.allclose(scaled(df), scaled(df.withColumn("home_a", F.col("home_a") * 1000)), atol=1e-6)  # units don't matter
 
 
+def test_expanding_ridges_equal_a_fit_of_each_training_set(spark, league):
+    games, stats, _ = league
+    p = models.with_periods(features.matchup_features(games, features.team_pregame_features(games, stats))).cache()
+    names = ("home_points_season", "away_points_l3", "home_turnovers_l5", "home_field_indicator", "away_yards_per_play_season")
+    table = p.orderBy("ord", "game_id").toPandas()
+    for how in (dict(alpha=12.0, indicators=True, scaled=False), dict(alpha=10.0, indicators=False, scaled=True)):
+        model = models.ExpandingRidge(names, **how)
+        got = {r.game_id: r for r in models.predict(p, ["m"], p, models.Registry(trained={"m": model})).collect()}
+        assert {table.ord[table.game_id == g].iloc[0] for g in got} == set(range(8, 9))  # 20 games and more: the last week only
+        for o in (8,):
+            train, target = table[table.ord < o], table[table.ord == o]
+            x, t = train[list(names)].astype(float), target[list(names)].astype(float)
+            md = x.median().fillna(0)
+            full = lambda f: np.column_stack([f.fillna(md), f.isna().astype(float)]) if how["indicators"] else f.fillna(md).to_numpy()
+            a, b = full(x), full(t)
+            mean, std = a.mean(0), np.where(how["scaled"] & (a.std(0) > 0), a.std(0), 1.0)
+            a, b = (a - mean) / std, (b - mean) / std
+            out, fitted = [], []
+            for y in ("home_score", "away_score"):
+                w = np.linalg.solve(a.T @ a + how["alpha"] * np.eye(a.shape[1]), a.T @ (train[y] - train[y].mean()))
+                out.append(np.clip(b @ w + train[y].mean(), 0, 70))
+                fitted.append(a @ w + train[y].mean())
+            scale = max(1.0, np.std(train.home_score - train.away_score - fitted[0] + fitted[1], ddof=1))
+            for g, h, v in zip(target.game_id, *out):
+                assert (got[g].home_points, got[g].away_points) == (pytest.approx(h, abs=1e-8), pytest.approx(v, abs=1e-8))
+                assert got[g].home_win_probability == pytest.approx(0.5 * (1 + math.erf((h - v) / scale / math.sqrt(2))), abs=1e-6)
+    with pytest.raises(ValueError, match="trained"):
+        models.predict(p, ["ridge"])
+
+
 def test_shrunk_limits(spark, league):
     games, stats, _ = league
     m = features.matchup_features(games, features.team_pregame_features(games, stats))
     p = models.with_periods(m)
     target = models.eligible(p, models.training_summary(p), min_games=6).cache()
-    models.REGISTRY |= {"k0": models.shrunk(0.0), "kinf": models.shrunk(1e9)}
-    try:
-        got = models.predict(target.where("home_prior_games > 0 AND away_prior_games > 0"), ["k0", "kinf", "rolling_average"]).toPandas().set_index(["model", "game_id"]).home_points.unstack(0)
-    finally:
-        del models.REGISTRY["k0"], models.REGISTRY["kinf"]
+    own = models.Registry().registered("k0", models.shrunk(0.0)).registered("kinf", models.shrunk(1e9))
+    with pytest.raises(ValueError, match="already"):
+        own.registered("k0", models.shrunk(0.0))
+    got = models.predict(target.where("home_prior_games > 0 AND away_prior_games > 0"), ["k0", "kinf", "rolling_average"], registry=own).toPandas().set_index(["model", "game_id"]).home_points.unstack(0)
     assert np.allclose(got.k0, got.rolling_average)
     lg = target.select("game_id", ((F.col("train_home") + F.col("train_away")) / 2).alias("l")).toPandas().set_index("game_id").l
     assert np.allclose(got.kinf, lg.loc[got.index], atol=1e-5)
