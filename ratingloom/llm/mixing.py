@@ -113,10 +113,9 @@ def draw(docs: DataFrame, tokens: str, id_col: str = "doc_id", marginals: tuple[
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marginals: tuple[Marginal, ...] = MARGINALS) -> DataFrame:
     """The drawn rows of ``docs``, its columns only; the topic is taken from the text where ``docs`` has none."""
-    ready = docs.withColumn("_tokens", n_tokens(F.col(text_col)))
-    if "topic" not in docs.columns:
-        ready = ready.withColumn("topic", topic(F.coalesce(F.col(text_col), F.lit(""))))
-    return _drawn(ready, "_tokens", id_col, marginals, ROUNDS, SEED).select(docs.columns)
+    own = [F.col(m.column) if m.column in docs.columns else topic(F.coalesce(F.col(text_col), F.lit(""))).alias(m.column) for m in marginals]
+    ready = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), n_tokens(F.col(text_col)).alias("_tokens"), *own)
+    return _drawn(ready, "_tokens", "_id", marginals, ROUNDS, SEED).select("_row.*")
 
 
 def mixture_sql(source: str = "documents", rounds: int = ROUNDS) -> str:

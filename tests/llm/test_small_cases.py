@@ -70,6 +70,24 @@ def test_stages_take_odd_rows(spark, docs, labels, stage, tmp_path):
     assert f(spark, docs.where("false"), str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns_that_share_a_name_with_theirs(spark, clashing, labels, stage, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    own = [c for c in CLASH if c != "topic"]  # the topic is an input of mixing
+    out = dict(corpus_pipeline.STAGES)[stage](spark, clashing, str(tmp_path))
+    assert out.columns == clashing.columns and all(set(r) == {"own"} for r in out.select(own).collect())
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, long, "b"), (7, long, "a"), (7, long, "a"), (7, "another text", "c"), (3, long + " more", "d"), (9, "another text", "e"), (None, long, "f"), (None, "", "g"), (8, "", "h"), (6, None, "i")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = sorted(tuple(r) for r in simhash.deduplicated(d).where("doc_id IS NOT NULL").collect())
+    assert got == [(3, long + " more", "d"), (6, None, "i"), (7, "another text", "c")]
+    assert simhash.deduplicated(d.where("doc_id IS NULL")).count() == 2
+    assert sorted(tuple(r) for r in simhash.deduplicated(d.where("doc_id = 7")).collect()) == [(7, "another text", "c"), (7, long, "a")]
+
+
 def test_pages(spark):
     rows = [(1, "http://WWW.Example.com/en/x?a=1&b=2#f", "x" * 1200), (2, None, None), (3, "no scheme", ""), (3, "no scheme", ""), (None, "ftp://h", "x" * 1200), (5, "https://a.net/es/", "short"), (6, "https://net/es/1", "x" * 1200), (7, "https://x.com", "é" * 700)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
