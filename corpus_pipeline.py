@@ -14,7 +14,7 @@ from ratingloom.llm import bpe, mixing, quality, simhash, toxicity
 from ratingloom.llm.common import cut, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: No SQL can train and apply the models of the first stages; tests compare the stages with brute force instead.
+#: No SQL can train and apply the models of the first stages; tests/llm/test_pipeline_stages.py compares each stage with a plain computation.
 ORACLE_SQL = None
 
 
