@@ -4,7 +4,8 @@ The model is a context trie of up to ``ORDER`` bytes that is pretrained on the t
 (context, next byte) pair of the corpus. The probability of a byte is looked up in its longest known context; if the byte
 was never seen there, an escape is paid (method C: distinct followers over followers plus distinct) and the next shorter
 context is asked, with the symbols of the longer one excluded. After all contexts the rest of the alphabet is equally
-likely. The text is lower-cased (A-Z) and scored with an end symbol, so that the probabilities of all texts sum to one.
+likely. The text is lower-cased (A-Z) and scored with an end symbol, so that the probabilities of all texts sum to one at most
+(the byte that stands before a text keeps its share of an unknown symbol).
 
 Beside it stands a unigram base score over words, exact for every word: counts of the most common words are broadcast (their
 number is bounded), counts of all the others are joined.
