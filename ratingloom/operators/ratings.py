@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import safe_divide, tier
+from ..functions import record_text, round_to, safe_divide, tier
 from ..sources.store import cut, join_summary
 
 #: Edges of a unit up to which one task solves it (about 100 bytes each).
@@ -269,12 +269,10 @@ def leaders(ratings: DataFrame) -> DataFrame:
 
 def export_profile(ratings: DataFrame) -> DataFrame:
     """The profile as published: rounded fields, the record as text and possession in minutes."""
-    from ..functions import record_text
-
     two = ("power_rating", "offensive_rating", "defensive_rating", "strength_of_schedule", "recent_form_rating", "yards_per_play", "yards_per_play_allowed", "passing_yards_per_play", "rushing_yards_per_play", "turnover_margin_pg")
     three = ("third_down_rate", "third_down_rate_allowed", "red_zone_td_rate", "red_zone_td_rate_allowed", "success_rate", "success_rate_allowed", "havoc_rate")
     one = ("penalties_pg", "penalty_yards_pg")
     return ratings.select(
         "unit", "rank", "team_id", F.coalesce("team_name", F.col("team_id").cast("string")).alias("team"), "conference", "tier", record_text("wins", "losses", "ties").alias("record"),
-        *(F.round(c, d).alias(c) for names, d in ((two, 2), (three, 3), (one, 1)) for c in names), F.round(F.col("time_of_possession_sec") / 60, 1).alias("possession_minutes"),
+        *(round_to(c, d).alias(c) for names, d in ((two, 2), (three, 3), (one, 1)) for c in names), round_to(F.col("time_of_possession_sec") / 60, 1).alias("possession_minutes"),
     )

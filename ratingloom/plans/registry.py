@@ -113,9 +113,11 @@ def validate_stats(spark, d):
 UNION ALL SELECT 'teams_differ_from_schedule', CAST(g.game_id AS VARCHAR), '' FROM games g LEFT JOIN (SELECT game_id, MIN(team_id) AS lo, MAX(team_id) AS hi, COUNT(DISTINCT team_id) AS n FROM ({BAD_STATS}) b GROUP BY game_id) s ON s.game_id = g.game_id
   WHERE g.completed AND (s.game_id IS NULL OR n <> 2 OR lo <> least(home_team_id, away_team_id) OR hi <> greatest(home_team_id, away_team_id))
 UNION ALL SELECT 'row_disagrees_with_game', concat(CAST(s.game_id AS VARCHAR), '/', CAST(s.team_id AS VARCHAR)), '' FROM ({BAD_STATS}) s JOIN games g ON g.game_id = s.game_id WHERE g.completed AND NOT (s.opponent_id = CASE WHEN s.team_id = home_team_id THEN away_team_id ELSE home_team_id END
-  AND s.is_home = (s.team_id = home_team_id) AND s.points = CASE WHEN s.team_id = home_team_id THEN home_score ELSE away_score END AND s.points_allowed = CASE WHEN s.team_id = home_team_id THEN away_score ELSE home_score END)""")
+  AND s.is_home = (s.team_id = home_team_id) AND s.points = CASE WHEN s.team_id = home_team_id THEN home_score ELSE away_score END AND s.points_allowed = CASE WHEN s.team_id = home_team_id THEN away_score ELSE home_score END)
+UNION ALL SELECT 'mixed_play_basis', 'all', CAST(COUNT(DISTINCT team_id % 2) AS VARCHAR) FROM team_game_stats HAVING COUNT(DISTINCT team_id % 2) > 1""")
 def dataset_consistency(spark, d):
-    return validate.consistency(games(spark, d), bad_stats(spark, d))
+    basis = F.when(F.col("opponent_id") % 2 == 0, "attempts")  # the others have none
+    return validate.consistency(games(spark, d), bad_stats(spark, d).withColumn("offensive_plays_basis", basis))
 
 
 @query("rule key detail", """SELECT 'feature_missing' AS rule, 'points_l3' AS key, '' AS detail FROM feats HAVING COUNT(*) > 0
@@ -125,12 +127,24 @@ def validate_features(spark, d):
     return validate.features(own.drop("points_l3").withColumn("takeaways_l5", F.nullif("takeaways_l5", "takeaways_l5")))
 
 
-@query("rule key detail", """SELECT 'probability_out_of_range' AS rule, concat(source_run, '/', CAST(game_id AS VARCHAR)) AS key, '' AS detail FROM forecasts WHERE game_id % 101 = 0
-UNION ALL SELECT 'spread_disagrees', concat(source_run, '/', CAST(game_id AS VARCHAR)), '' FROM forecasts WHERE game_id % 103 = 0""")
+_BAD_FORECAST = """SELECT source_run, game_id, CASE WHEN game_id % 107 = 0 THEN -1.0 ELSE home_expected_points END AS h, away_expected_points AS a, projected_spread_home + CASE WHEN game_id % 103 = 0 THEN 1 ELSE 0 END AS s, projected_total + CASE WHEN game_id % 109 = 0 THEN 1 ELSE 0 END AS t,
+  CASE WHEN game_id % 113 <> 0 THEN home_win_probability + CASE WHEN game_id % 101 = 0 THEN 1 ELSE 0 END END AS p FROM forecasts"""
+BAD_FORECASTS = f"({_BAD_FORECAST} UNION ALL {_BAD_FORECAST} WHERE game_id % 127 = 0)"
+
+
+@query("rule key", " UNION ALL ".join([f"SELECT 'duplicate_prediction' AS rule, concat(source_run, '/', CAST(game_id AS VARCHAR)) AS key FROM {BAD_FORECASTS} b GROUP BY source_run, game_id HAVING COUNT(*) > 1", *(
+    f"SELECT '{rule}', concat(source_run, '/', CAST(game_id AS VARCHAR)) FROM {BAD_FORECASTS} b WHERE {broken}"
+    for rule, broken in {"number_missing_or_not_finite": "p IS NULL", "probability_out_of_range": "p < 0 OR p > 1", "negative_points": "h < 0 OR a < 0", "spread_disagrees": "abs(h - a - s) > 0.0001", "total_disagrees": "abs(h + a - t) > 0.0001"}.items()
+)]))
 def validate_predictions(spark, d):
     f, n = forecasts(spark, d), F.col("game_id")
-    bad = f.withColumns({"home_win_probability": F.col("home_win_probability") + F.when(n % 101 == 0, 1).otherwise(0), "projected_spread_home": F.col("projected_spread_home") + F.when(n % 103 == 0, 1).otherwise(0)})
-    return validate.predictions(bad).withColumn("detail", F.lit(""))
+    bad = f.withColumns(
+        {
+            "home_expected_points": F.when(n % 107 == 0, -1.0).otherwise(F.col("home_expected_points")), "projected_spread_home": F.col("projected_spread_home") + F.when(n % 103 == 0, 1).otherwise(0),
+            "projected_total": F.col("projected_total") + F.when(n % 109 == 0, 1).otherwise(0), "home_win_probability": F.when(n % 113 != 0, F.col("home_win_probability") + F.when(n % 101 == 0, 1).otherwise(0)),
+        }
+    )
+    return validate.predictions(bad.unionByName(bad.where(n % 127 == 0)))
 
 
 @query("rule key detail", """SELECT 'too_few_games' AS rule, CAST(season AS VARCHAR) AS key, CAST(COUNT(*) AS VARCHAR) AS detail FROM games WHERE completed GROUP BY season HAVING COUNT(*) < 1000
@@ -346,8 +360,12 @@ def ranking_leaders(spark, d):
     return ratings.leaders(rated(spark, d))
 
 
-@query("unit# rank# team team_id# record possession_minutes~", """SELECT r.unit, r.rank, coalesce(r.team_name, CAST(r.team_id AS VARCHAR)) AS team, r.team_id, concat(CAST(r.wins AS VARCHAR), '-', CAST(r.losses AS VARCHAR), CASE WHEN r.ties > 0 THEN concat('-', CAST(r.ties AS VARCHAR)) ELSE '' END) AS record, round(t.time_of_possession_sec / 60, 1) AS possession_minutes
-  FROM rated r JOIN totals t ON t.unit = r.unit AND t.team_id = r.team_id""")
+PROFILE = {2: "power_rating offensive_rating defensive_rating strength_of_schedule recent_form_rating yards_per_play yards_per_play_allowed passing_yards_per_play rushing_yards_per_play turnover_margin_pg", 3: "third_down_rate third_down_rate_allowed red_zone_td_rate red_zone_td_rate_allowed success_rate success_rate_allowed havoc_rate", 1: "penalty_yards_pg"}
+PROFILE_SQL = ", ".join(f"{oracles.r1('r.' + c, d)} AS {c}" for d, names in PROFILE.items() for c in names.split())
+
+
+@query("unit# rank# team team_id# conference tier record possession_minutes~ " + " ".join(f"{c}~" for names in PROFILE.values() for c in names.split()), f"""SELECT r.unit, r.rank, coalesce(r.team_name, CAST(r.team_id AS VARCHAR)) AS team, r.team_id, r.conference, r.tier, concat(CAST(r.wins AS VARCHAR), '-', CAST(r.losses AS VARCHAR), CASE WHEN r.ties > 0 THEN concat('-', CAST(r.ties AS VARCHAR)) ELSE '' END) AS record,
+  {oracles.r1('t.time_of_possession_sec / 60')} AS possession_minutes, {PROFILE_SQL} FROM rated r JOIN totals t ON t.unit = r.unit AND t.team_id = r.team_id""")
 def rating_profiles(spark, d):
     return ratings.export_profile(rated(spark, d))
 
@@ -520,9 +538,10 @@ def upcoming_rated(spark, d):
     return upcoming.rated_forecast(todo(spark, d), games(spark, d), rated(spark, d), ratings.league_summary(games(spark, d), stats(spark, d)))
 
 
-@query("game_id# reason", "SELECT game_id, 'kickoff has passed or game is in progress' AS reason FROM games WHERE NOT completed AND game_date <= TIMESTAMP '2001-06-15 00:00:00'")
+@query("game_id# reason", "SELECT game_id, CASE WHEN game_id % 13 = 0 THEN 'has scores but is not completed' ELSE 'kickoff has passed or game is in progress' END AS reason FROM games WHERE NOT completed AND (game_id % 13 = 0 OR game_date <= TIMESTAMP '2001-06-15 00:00:00')")
 def skipped_games(spark, d):
-    return upcoming.split_upcoming(games(spark, d), AS_OF)[1]
+    scored = F.when(~F.col("completed") & (F.col("game_id") % 13 == 0), 7).otherwise(F.col("home_score"))
+    return upcoming.split_upcoming(games(spark, d).withColumn("home_score", scored), AS_OF)[1]
 
 
 @query("game_id# kickoff_utc matchup low_history market_spread~ market_total~ spread_edge~ total_edge~ value_tier", f"""SELECT *, CASE WHEN s >= 3.5 OR t >= 4.0 THEN 'Strong Value' WHEN s >= 2.0 OR t >= 2.5 THEN 'Moderate Value' ELSE 'Fair / Aligned' END AS value_tier FROM (SELECT *, coalesce(abs(spread_edge), 0) AS s, coalesce(abs(total_edge), 0) AS t FROM (
@@ -787,7 +806,7 @@ def validate_results(spark, d):
     return validate.results(raw_json.schedule_records(schedule_payloads(spark, d)), 2000, 20, "regular")
 
 
-@query("game_id# home_expected_points~ projected_total~ home_win_probability~", f"SELECT game_id, {oracles.r1('home_expected_points')} AS home_expected_points, {oracles.r1('projected_total')} AS projected_total, {oracles.r1('home_win_probability', 3)} AS home_win_probability FROM rolling")
+@query("game_id# home_expected_points~ away_expected_points~ projected_spread_home~ projected_total~ home_win_probability~", "SELECT game_id, " + ", ".join(f"{oracles.r1(c)} AS {c}" for c in ("home_expected_points", "away_expected_points", "projected_spread_home", "projected_total")) + f", {oracles.r1('home_win_probability', 3)} AS home_win_probability FROM rolling")
 def presented_forecasts(spark, d):
     return presented(upcoming.rolling_forecast(todo(spark, d), games(spark, d)))
 
