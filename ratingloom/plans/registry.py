@@ -416,21 +416,23 @@ def slate_summary(spark, d):
 # --- models and evaluation ----------------------------------------------------------------------------------------------------
 
 
-_WALKED: dict[tuple[str, str], DataFrame] = {}
+_WALKED: dict[tuple[str, str, bool], DataFrame] = {}
 
 
-def periods(spark, d):
-    """Completed matchups with all features and their periods, written once a session and folder."""
-    key = (spark.sparkContext.applicationId, d)
+def periods(spark, d, whole: bool = False):
+    """Completed matchups and their periods, written once a session and folder: with the features of the column models, or all."""
+    key = (spark.sparkContext.applicationId, d, whole)
     if key not in _WALKED:
-        own = features.team_pregame_features(games(spark, d), stats(spark, d))
-        _WALKED[key] = store.cut(models.with_periods(store.cut(features.matchup_features(games(spark, d), own))))
+        metrics = ROLLING if whole else ("points", "points_allowed")
+        own = features.team_pregame_features(games(spark, d), stats(spark, d), metrics)
+        _WALKED[key] = store.cut(models.with_periods(store.cut(features.matchup_features(games(spark, d), own, metrics))))
     return _WALKED[key]
 
 
 def out_of_sample(spark, d, names=None):
-    p = periods(spark, d)
-    return models.predict(models.eligible(p, models.training_summary(p)), names or list(models.COLUMN_MODELS), p)
+    names = names or list(models.COLUMN_MODELS)
+    p = periods(spark, d, any(n not in models.COLUMN_MODELS for n in names))
+    return models.predict(models.eligible(p, models.training_summary(p)), names, p)
 
 
 for _name, _model in {"train_mean_baseline": "train_mean", "rolling_baseline": "rolling_average", "shrunk_k2": "shrunk_k2", "shrunk_k5": "shrunk_k5", "shrunk_k5_home": "shrunk_k5_home"}.items():

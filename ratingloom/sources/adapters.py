@@ -85,9 +85,20 @@ def ctes(text: str, duckdb: bool = False, known: tuple[str, ...] = ()) -> list[s
     return [f"{n} {how} ({DEFINITIONS[n].replace(' AS STRING)', ' AS VARCHAR)') if duckdb else DEFINITIONS[n]})" for n in needed(text, known)]
 
 
+_SCHEMAS: dict[tuple[str, str], object] = {}
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; its schema is inferred once a session."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
 def views(spark: SparkSession, sf_dir: str) -> None:
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        table(spark, f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +111,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             path = f"{shared_dir(spark)}/{shared}-{uuid.uuid4().hex}"
             _select(spark, shared, known).write.parquet(path)
             _WRITTEN[key] = path
-        spark.read.parquet(_WRITTEN[key]).createOrReplaceTempView(shared)
+        table(spark, _WRITTEN[key]).createOrReplaceTempView(shared)
         known = (*known, shared)
     return _select(spark, name, known)
 
