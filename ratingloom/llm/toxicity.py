@@ -33,6 +33,8 @@ SENTENCE = re.compile(rb"[.!?\n]+")
 MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 12_000, 64_000_000
 #: A feature is of use if its share of toxic documents is so many times its share of clean ones, or the other way round.
 RATIO = 2.0
+#: Labelled ids up to which these are broadcast, as rows of about 16 bytes; beyond it they are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 PUNCT = b".,;:!?\"'()[]{}|*#$%&-"
 CACHE = 400_000
 RESULT = "score double, predicted int, n_sentences int, offending array<int>, worst_sentence int"
@@ -99,7 +101,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     )
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(bucket("_id", 5) != 0).join(known, "_id")
+    known = cut(known)
+    few = known.count() <= MAX_BROADCAST_ROWS
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(bucket("_id", 5) != 0).join(F.broadcast(known) if few else known, "_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -134,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows.append((label, len(parts), np.array(pairs, np.int32).tobytes()))
             yield pd.DataFrame(rows, columns=["label", "n", "pairs"])
 
-    # by label and digest, so that a fit repeats
-    rows = train.mapInPandas(bags, "label int, n int, pairs binary").where("n > 0").orderBy("label", "n", F.sha2("pairs", 256)).toPandas()
+    rows = train.mapInPandas(bags, "label int, n int, pairs binary").where("n > 0").toPandas()
+    rows = rows.sort_values(["label", "n", "pairs"], kind="stable", ignore_index=True)  # so that a fit repeats
     return fit_bags(rows, chosen)
 
 
