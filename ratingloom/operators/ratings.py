@@ -174,7 +174,7 @@ def fit_ratings(games: DataFrame, stats: DataFrame, teams: DataFrame, advanced:
     info = teams.select("team_id", F.col("name").alias("team_name"), F.coalesce("conference", F.lit("FBS")).alias("conference"))
     base = solved.join(counts, ["unit", "team_id"]).join(info, "team_id", "left").withColumn("conference", F.coalesce("conference", F.lit("FBS")))
     base = cut(base)
-    per_conf = cut(base.groupBy("unit", "conference").agg(F.avg(F.col("off") + F.col("de")).alias("conf_mean")))
+    per_conf = base.groupBy("unit", "conference").agg(F.avg(F.col("off") + F.col("de")).alias("conf_mean"))
     base = join_summary(base.join(per_conf, ["unit", "conference"]), per_conf.groupBy("unit").agg(F.count("*").alias("confs")), "unit")
     blend = F.when((F.col("confs") > 1) & F.lit(s.conference_weight > 0), (1 - s.conference_weight) * F.col("prior") + s.conference_weight * F.col("conf_mean")).otherwise(F.col("prior"))
     shrunk = lambda c: (F.col("n") * F.col(c) + s.prior_weight * F.col("blend") / 2) / (F.col("n") + s.prior_weight)

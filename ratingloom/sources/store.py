@@ -33,13 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows up to which a table of summaries is broadcast.
-FEW = 100_000
+FEW = 10_000
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with one summary row a key: broadcast if these are few (they are counted), so that no key's rows meet in a task."""
-    known = cut(summary)
-    return rows.join(F.broadcast(known) if known.count() <= FEW else known, key)
+    """``rows`` joined with one summary row a key: by broadcast if there are no more than ``FEW`` of these, so that no key's rows meet in a task."""
+    few = summary.limit(FEW + 1).collect()
+    if len(few) > FEW:
+        return rows.join(summary, key)
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, summary.schema)), key)
 
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
