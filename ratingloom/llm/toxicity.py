@@ -33,8 +33,8 @@ SENTENCE = re.compile(rb"[.!?\n]+")
 MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 12_000, 64_000_000
 #: A feature is of use if its share of toxic documents is so many times its share of clean ones, or the other way round.
 RATIO = 2.0
-#: Labelled ids up to which these are broadcast, as rows of about 16 bytes; beyond it they are joined by a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Labelled ids up to which these are broadcast, some 100 bytes each in memory; beyond it they are joined by a shuffle.
+MAX_BROADCAST_ROWS = 250_000
 PUNCT = b".,;:!?\"'()[]{}|*#$%&-"
 CACHE = 400_000
 RESULT = "score double, predicted int, n_sentences int, offending array<int>, worst_sentence int"
