@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, ppm, quality, simhash, toxicity, urls, warc, webp
+from . import bpe, licenses, mixing, negatives, packing, ppm, quality, simhash, toxicity, tries, urls, warc, webp
 from .common import bucket, cut, table
 
 
@@ -58,10 +58,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_rows(packing.pack(table(spark, sf_dir, "documents"), packing.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))))
+
+
+def op12_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tries.nodes(tries.rebuilt(table(spark, sf_dir, "conversations")))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("depth", "n_children")})
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(negatives.usable(rows), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_ppm, op3_simhash, op4_webp, op5_quality, op6_urls, op7_mixing, op8_bpe, op9_licenses, op10_warc)
+    found = (op1_toxicity, op2_ppm, op3_simhash, op4_webp, op5_quality, op6_urls, op7_mixing, op8_bpe, op9_licenses, op10_warc, op11_packing, op12_tries, op13_negatives)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.mixture_sql(), "op10_warc": warc.roundtrip_sql()}
+    return {"op7_mixing": mixing.mixture_sql(), "op10_warc": warc.roundtrip_sql(), "op12_tries": tries.trie_sql(), "op13_negatives": negatives.mining_sql()}
