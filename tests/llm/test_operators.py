@@ -494,7 +494,10 @@ def test_sql_agrees(spark, data, duck, name):
     from importlib import import_module
 
     rows = import_module("test_oracles").rows
-    assert rows(entries.queries()[name](spark, data).toPandas()) == rows(duck.sql(entries.oracle_sql()[name]).df())
+    got, want = entries.queries()[name](spark, data).toPandas(), duck.sql(entries.oracle_sql()[name]).df()
+    # whole numbers with nulls are floating-point numbers in one library's frames
+    whole = [c for c in got.columns if str(want[c].dtype) in ("Int64", "float64") and got[c].dtype.kind == "f" and (got[c].dropna() % 1 == 0).all()]
+    assert rows(got.astype({c: "Int64" for c in whole})) == rows(want.astype({c: "Int64" for c in whole}))
 
 
 # --- tokens
