@@ -20,15 +20,19 @@ def with_rates(stats: DataFrame) -> DataFrame:
     return stats.withColumns(rate_metrics())
 
 
-def with_context(stats: DataFrame, games: DataFrame) -> DataFrame:
-    """Stats of known games with season, week, time and state. ``game_id`` must be unique in ``games`` (see validate)."""
-    return stats.join(games.select("game_id", "season", "week", "game_date", "completed"), "game_id")
-
-
-def team_pregame_features(games: DataFrame, stats: DataFrame, metrics: tuple[str, ...] = ROLLING) -> DataFrame:
-    """Stats with rates and, per metric, the means of the last 3, last 5 and all earlier games of the season."""
-    rows = with_context(with_rates(stats), games)
-    w = history()
+def with_context(stats: DataFrame, games: DataFrame, unit: str = "season") -> DataFrame:
+    """Stats of known games with season (and ``unit``), week, time and state. A game id that repeats in ``games`` fails the job."""
+    context = list(dict.fromkeys(["season", unit, "week", "game_date", "completed"]))
+    once = games.groupBy("game_id").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in context))
+    told = F.raise_error(F.concat(F.lit("one game id, several games: "), F.coalesce(F.col("game_id").cast("string"), F.lit("null"))))
+    once = once.where(F.when(F.col("_n") > 1, told.cast("boolean")).otherwise(True)).drop("_n")
+    return stats.join(once, "game_id")
+
+
+def team_pregame_features(games: DataFrame, stats: DataFrame, metrics: tuple[str, ...] = ROLLING, unit: str = "season") -> DataFrame:
+    """Stats with rates and, per metric, the means of the last 3, last 5 and all earlier games of the season (of the unit that a column of ``games`` names)."""
+    rows = with_context(with_rates(stats), games, unit)
+    w = history(season=unit)
     lagged = {f"{m}_{name}": F.avg(m).over(w.rowsBetween(start, -1)) for m in metrics for name, start in FRAMES.items()}
     return rows.withColumns(lagged | {"prior_games": F.row_number().over(w) - 1})
 

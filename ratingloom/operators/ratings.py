@@ -2,12 +2,15 @@
 
 Offence and defence are solved by fifteen simultaneous rounds of recency-weighted means with a ridge of prior games; then they
 are shrunk towards a prior that blends team and conference strength. Two strategies give the same numbers: if the largest unit
-is small (its size is counted first), each unit is solved inside one grouped task; else every round is a join and an aggregate
-over all units at once, with the lineage cut each round.
+is small (its size is counted first), each unit is solved inside one grouped task; else edges are written once in buckets of
+their team, and every round joins them with the rating vectors and sums them up where they lie; the lineage is cut each round.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import record_text, round_to, safe_divide, tier
-from ..sources.store import cut, join_summary
+from ..sources.store import cut, join_summary, shared_dir
 
 #: Edges of a unit up to which one task solves it (about 100 bytes each).
 GROUPED_EDGES = 250_000
@@ -128,24 +131,58 @@ def _grouped(e: DataFrame, s: Settings) -> DataFrame:
     return e.groupBy("unit").applyInPandas(lambda pdf: _solve_unit(pdf, s), f"unit {kind['unit']}, team_id {kind['team_id']}, off double, de double")
 
 
-def _by_rounds(e: DataFrame, s: Settings) -> DataFrame:
-    e = cut(e)
-    x = cut(e.groupBy("unit", "team_id").agg((F.first("prior") / 2).alias("off"), (F.first("prior") / 2).alias("de")))
+#: Rows of rating vectors up to which a round broadcasts them (about 80 bytes each), and buckets of the edges of large units.
+VECTOR_ROWS, BUCKETS = 250_000, 200
+
+
+@contextmanager
+def bucketed(e: DataFrame, buckets: int | None = None) -> Iterator[DataFrame]:
+    """``e`` written in buckets of (unit, team), as a table while the block runs: sums per team need no exchange."""
+    spark = e.sparkSession
+    name = f"edges_{uuid.uuid4().hex}"
+    e.write.bucketBy(buckets or BUCKETS, "unit", "team_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def is_small(vector: DataFrame) -> bool:
+    return vector.limit(VECTOR_ROWS + 1).count() <= VECTOR_ROWS
+
+
+def beside_opponents(rows: DataFrame, vector: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """``rows`` with what ``vector`` has for their opponents: broadcast if ``is_small``, so that edges stay in place."""
+    return rows.join(F.broadcast(vector) if few else vector, [*keys, "opponent_id"], "left")
+
+
+def round_sums(e: DataFrame, x: DataFrame, s: Settings, keys: list[str], few: bool) -> DataFrame:
+    """One round before it is centred: every team's weighted means over its edges, given all teams' values."""
+    rows = beside_opponents(e, x.select(*keys, F.col("team_id").alias("opponent_id"), F.col("off").alias("o_off"), F.col("de").alias("o_de")), keys, few)
+    d, f = F.coalesce("o_de", F.lit(0.0)), F.coalesce("o_off", F.lit(0.0))
+    total = F.sum("w") + s.penalty
+    return rows.groupBy(*keys, "team_id").agg(
+        (F.sum(F.col("w") * (F.col("pts") - (F.col("league") + F.col("hfa")) + d)) / total).alias("off"),
+        (F.sum(F.col("w") * ((F.col("league") - F.col("hfa")) - F.col("allowed") + f)) / total).alias("de"),
+    )
+
+
+def by_rounds(e: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
+    """(keys, team, off, de) after the last round over ``bucketed`` edges: a round moves the rating vectors, not the edges."""
+    x = cut(e.groupBy(*keys, "team_id").agg((F.first("prior") / 2).alias("off"), (F.first("prior") / 2).alias("de")))
+    few = is_small(x)  # a round's vector has the same rows
     for _ in range(s.rounds):
-        other = x.select("unit", F.col("team_id").alias("opponent_id"), F.col("off").alias("o_off"), F.col("de").alias("o_de"))
-        rows = e.join(other, ["unit", "opponent_id"], "left")
-        d, f = F.coalesce("o_de", F.lit(0.0)), F.coalesce("o_off", F.lit(0.0))
-        total = F.sum("w") + s.penalty
-        step = rows.groupBy("unit", "team_id").agg(
-            (F.sum(F.col("w") * (F.col("pts") - (F.col("league") + F.col("hfa")) + d)) / total).alias("off"),
-            (F.sum(F.col("w") * ((F.col("league") - F.col("hfa")) - F.col("allowed") + f)) / total).alias("de"),
-        )
-        step = cut(step)
-        means = step.groupBy("unit").agg(F.avg("off").alias("_off"), F.avg("de").alias("_de"))
-        x = cut(join_summary(step, means, "unit").select("unit", "team_id", (F.col("off") - F.col("_off")).alias("off"), (F.col("de") - F.col("_de")).alias("de")))
+        step = cut(round_sums(e, x, s, keys, few))
+        means = step.groupBy(*keys).agg(F.avg("off").alias("_off"), F.avg("de").alias("_de"))
+        x = cut(join_summary(step, means, keys).select(*keys, "team_id", (F.col("off") - F.col("_off")).alias("off"), (F.col("de") - F.col("_de")).alias("de")))
     return x
 
 
+def _by_rounds(e: DataFrame, s: Settings) -> DataFrame:
+    with bucketed(e) as kept:
+        return by_rounds(kept, s, ["unit"])
+
+
 def raw_ratings(e: DataFrame, s: Settings, strategy: str = "auto") -> DataFrame:
     """(unit, team_id, off, de) after the last round."""
     if strategy == "auto":

@@ -23,18 +23,18 @@ def split_upcoming(games: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL").select("game_id", "season", "week", "game_date", "reason")
 
 
-def team_history(games: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """Per fixture and side, over the team's completed games of that season strictly before kickoff: n, mean points, mean allowed.
+def team_history(games: DataFrame, fixtures: DataFrame, unit: str = "season") -> DataFrame:
+    """Per fixture and side, over the team's completed games of that unit (a season, or a league's) strictly before kickoff: n, mean points, mean allowed.
 
-    As-of join as one window: results and queries share a timeline per (team, season); a query sums what lies at least a
+    As-of join as one window: results and queries share a timeline per (team, unit); a query sums what lies at least a
     microsecond before it.
     """
     sides = [("home", "home_team_id", "home_score", "away_score"), ("away", "away_team_id", "away_score", "home_score")]
     done = games.where("completed")
-    results = [done.select(F.col(t).alias("team_id"), "season", "game_date", F.lit(None).cast("long").alias("game_id"), F.lit(None).cast("string").alias("side"), F.col(p).cast("double").alias("p"), F.col(q).cast("double").alias("q")) for _, t, p, q in sides]
-    asks = [fixtures.select(F.col(t).alias("team_id"), "season", "game_date", "game_id", F.lit(s).alias("side"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("q")) for s, t, _, _ in sides]
+    results = [done.select(F.col(t).alias("team_id"), F.col(unit).alias("unit"), "game_date", F.lit(None).cast("long").alias("game_id"), F.lit(None).cast("string").alias("side"), F.col(p).cast("double").alias("p"), F.col(q).cast("double").alias("q")) for _, t, p, q in sides]
+    asks = [fixtures.select(F.col(t).alias("team_id"), F.col(unit).alias("unit"), "game_date", "game_id", F.lit(s).alias("side"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("q")) for s, t, _, _ in sides]
     line = results[0].unionByName(results[1]).unionByName(asks[0]).unionByName(asks[1])
-    w = Window.partitionBy("team_id", "season").orderBy(F.unix_micros(F.col("game_date").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("team_id", "unit").orderBy(F.unix_micros(F.col("game_date").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
     seen = line.select("game_id", "side", "team_id", F.count("p").over(w).alias("n"), F.avg("p").over(w).alias("scored"), F.avg("q").over(w).alias("allowed"))
     return seen.where("side IS NOT NULL")
 
@@ -47,15 +47,17 @@ def with_history(fixtures: DataFrame, history: DataFrame) -> DataFrame:
     return out
 
 
-def league_means(games: DataFrame) -> DataFrame:
-    """(league_home, league_away, scale) of the completed games."""
+def league_means(games: DataFrame, league: str | None = None) -> DataFrame:
+    """(league_home, league_away, scale) of the completed games, a row a league where a column names it."""
     margin = F.stddev_samp(F.col("home_score") - F.col("away_score"))
-    return games.where("completed").agg(F.avg("home_score").alias("league_home"), F.avg("away_score").alias("league_away"), F.greatest(F.coalesce(margin, F.lit(1.0)), F.lit(1.0)).alias("scale"))
+    return games.where("completed").groupBy(*([league] if league else [])).agg(F.avg("home_score").alias("league_home"), F.avg("away_score").alias("league_away"), F.greatest(F.coalesce(margin, F.lit(1.0)), F.lit(1.0)).alias("scale"))
 
 
-def rolling_forecast(fixtures: DataFrame, games: DataFrame) -> DataFrame:
-    """Forecasts from season means before kickoff; the league mean where neither side has any."""
-    rows = with_history(fixtures, team_history(games, fixtures)).crossJoin(F.broadcast(league_means(games)))
+def rolling_forecast(fixtures: DataFrame, games: DataFrame, unit: str = "season", league: str | None = None) -> DataFrame:
+    """Forecasts from the unit's means before kickoff; the mean of the league (of all games where no column names leagues) where neither side has any."""
+    rows = with_history(fixtures, team_history(games, fixtures, unit))
+    means = league_means(games, league)
+    rows = rows.join(means, league, "left") if league else rows.crossJoin(F.broadcast(means))
     rows = rows.withColumns(
         {"home_expected_points": F.coalesce(mean_of("home_scored", "away_allowed"), F.col("league_home")), "away_expected_points": F.coalesce(mean_of("away_scored", "home_allowed"), F.col("league_away"))}
     )
@@ -69,11 +71,12 @@ def rolling_forecast(fixtures: DataFrame, games: DataFrame) -> DataFrame:
     )
 
 
-def rated_forecast(fixtures: DataFrame, games: DataFrame, ratings: DataFrame, league: DataFrame, home_advantage: float = 2.5) -> DataFrame:
-    """Projections from ratings where either side has a game behind it, the rolling forecast elsewhere."""
-    base = rolling_forecast(fixtures, games)
+def rated_forecast(fixtures: DataFrame, games: DataFrame, ratings: DataFrame, league: DataFrame, home_advantage: float = 2.5, unit: str = "season", league_col: str | None = None) -> DataFrame:
+    """Projections from ratings where either side has a game behind it, the rolling forecast elsewhere. ``unit`` names the column of
+    ``fixtures`` and ``games`` that holds the unit of ``ratings`` and ``league`` (its averages); ``league_col`` that of a game's league."""
+    base = rolling_forecast(fixtures, games, unit, league_col)
     names = ("home_expected_points", "away_expected_points", "projected_spread_home", "projected_total", "home_win_probability", "home_score_low", "home_score_high", "away_score_low", "away_score_high", "confidence_tier")
-    rated = project.project(fixtures.withColumn("unit", F.col("season")), ratings, league, home_advantage).select("game_id", *(F.col(n).alias(f"r_{n}") for n in names))
+    rated = project.project(fixtures.withColumn("unit", F.col(unit)), ratings, league, home_advantage).select("game_id", *(F.col(n).alias(f"r_{n}") for n in names))
     rows = base.join(rated, "game_id", "left")
     use = F.col("r_home_expected_points").isNotNull() & ((F.col("home_games_played") > 0) | (F.col("away_games_played") > 0))
     return rows.withColumns({n: F.when(use, F.col(f"r_{n}")).otherwise(F.col(n)) for n in names} | {"model": F.when(use, "ratings").otherwise("rolling")}).drop(*(f"r_{n}" for n in names))

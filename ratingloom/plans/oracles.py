@@ -241,6 +241,29 @@ def ridge(name: str, sets: str, train: str, on: str, target: str, alpha: float,
     return out
 
 
+def as_of_ratings(prefix: str, dates: str, unit: str) -> dict[str, str]:
+    """Definitions of ratings at many dates: the chain of rounds with (unit, date) as the unit. ``dates`` is SQL of (unit, as_of),
+    ``unit`` the unit of a game g. The last is ``<prefix>rated``."""
+    out = {
+        f"{prefix}e": f"""SELECT *, AVG(pts) OVER (PARTITION BY unit) AS league, pow(CAST(0.94 AS DOUBLE), age) AS w, pow(CAST(0.78 AS DOUBLE), age) AS fw FROM (SELECT concat(d.unit, '@', d.as_of) AS unit, d.unit AS of_unit, d.as_of, s.team_id, s.opponent_id,
+  CAST(s.points AS DOUBLE) AS pts, CAST(s.points_allowed AS DOUBLE) AS allowed, CASE WHEN g.neutral_site THEN 0.0 WHEN s.is_home THEN 1.25 ELSE -1.25 END AS hfa, CASE WHEN g.neutral_site THEN 0.0 WHEN s.is_home THEN 2.5 ELSE -2.5 END AS full_hfa,
+  MAX(g.week) OVER (PARTITION BY d.unit, d.as_of) - g.week AS age FROM team_game_stats s JOIN games g ON g.game_id = s.game_id JOIN ({dates}) d ON d.unit = {unit} AND g.game_date < d.as_of WHERE g.completed) t"""
+    }
+    for name in ("x0", *(f"x{k + 1}" for k in range(ROUNDS)), "based", "finals", "sos"):
+        text = re.sub(r"\b(FROM|JOIN) (x\d+|based|finals|sos)\b", rf"\1 {prefix}\2", EXTRA[name])
+        out[prefix + name] = re.sub(r"\b(FROM|JOIN) e\b", rf"\1 {prefix}e AS e", text)
+    out[f"{prefix}rated"] = f"""SELECT k.of_unit, k.as_of, f.*, s.strength_of_schedule, s.recent_form_rating, k.games, k.wins, ROW_NUMBER() OVER (PARTITION BY f.unit ORDER BY round(f.power_rating, 9) DESC, f.team_id) AS rank
+  FROM {prefix}finals f JOIN {prefix}sos s ON s.unit = f.unit AND s.team_id = f.team_id
+  JOIN (SELECT unit, of_unit, as_of, team_id, COUNT(*) AS games, SUM(CASE WHEN pts > allowed THEN 1 ELSE 0 END) AS wins FROM {prefix}e GROUP BY ALL) k ON k.unit = f.unit AND k.team_id = f.team_id"""
+    return out
+
+
+WEEK_STARTS = "SELECT DISTINCT w.season AS unit, w.as_of FROM (SELECT season, season_type, week, MIN(game_date) AS as_of FROM games GROUP BY season, season_type, week) w JOIN (SELECT season, MIN(game_date) AS first FROM games WHERE completed GROUP BY season) f ON f.season = w.season AND w.as_of > f.first"
+#: Leagues of the queries over several leagues, and three dates for each season of a league.
+LEAGUE = "concat('L', CAST(g.game_id % 3 AS VARCHAR), ' ', CAST(g.season AS VARCHAR))"
+LEAGUE_DATES = f"SELECT DISTINCT {LEAGUE} AS unit, CAST(concat(CAST(g.season AS VARCHAR), m.at) AS TIMESTAMP) AS as_of FROM games g CROSS JOIN (SELECT '-03-01 00:00:00' AS at UNION ALL SELECT '-07-15 00:00:00' UNION ALL SELECT '-12-20 00:00:00') m"
+EXTRA |= as_of_ratings("weekly_", WEEK_STARTS, "g.season") | as_of_ratings("leagues_", LEAGUE_DATES, LEAGUE)
+
 _WALK = ("SELECT DISTINCT ord FROM periods WHERE ord > 2", "SELECT * FROM periods", "p.ord < t.ord", "SELECT * FROM target", 10.0, False, True)
 _ONCE = ("SELECT 0 AS ord", "SELECT * FROM matchups WHERE completed AND season < 2001", "true", "SELECT *, 0 AS ord FROM matchups")
 EXTRA |= ridge("walked", *_WALK) | ridge("plain_small", *_ONCE, 12.0, True, False) | ridge("scaled_small", *_ONCE, 10.0, False, True)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import presented, rate_metrics
-from ..operators import dimensions, evaluate, features, grade, market, models, project, ratings, upcoming, validate, versions
+from ..operators import asof, dimensions, evaluate, features, grade, market, models, project, ratings, upcoming, validate, versions
 from ..schema import GAMES, ROLLING
 from ..sources import raw_json, store
 from ..sources.adapters import derived
@@ -319,6 +319,30 @@ def power_ratings(spark, d):
     return rated(spark, d)
 
 
+DATED = "of_unit as_of rank# team_id# games# wins# conference power_rating^ offensive_rating^ defensive_rating^ strength_of_schedule^ recent_form_rating^"
+
+
+@query(DATED.replace("of_unit", "of_unit#"), "SELECT * FROM weekly_rated")
+def ratings_by_week(spark, d):
+    """Ratings before each week of every season, all in one job."""
+    return asof.fit_ratings_asof(games(spark, d), stats(spark, d), teams(spark, d)).withColumnRenamed("unit", "of_unit")
+
+
+def leagues(spark, d):
+    """Games of three leagues that share teams, in one table; a league's season is a unit."""
+    league = F.concat(F.lit("L"), (F.col("game_id") % 3).cast("string"))
+    return games(spark, d).withColumns({"league": league, "unit": F.concat_ws(" ", league, F.col("season").cast("string"))})
+
+
+@query(DATED, "SELECT * FROM leagues_rated")
+def ratings_by_league(spark, d):
+    """Ratings of three leagues at three dates of each season."""
+    g = leagues(spark, d)
+    days = F.array(*(F.concat(F.col("season").cast("string"), F.lit(x)).cast("timestamp") for x in ("-03-01 00:00:00", "-07-15 00:00:00", "-12-20 00:00:00")))
+    dates = g.select("unit", "season").distinct().select("unit", F.explode(days).alias("as_of"))
+    return asof.fit_ratings_asof(g, stats(spark, d), teams(spark, d), dates, s=ratings.Settings(unit="unit")).withColumnRenamed("unit", "of_unit")
+
+
 @query("unit# team_id# strength_of_schedule~", "SELECT * FROM rated")
 def strength_of_schedule(spark, d):
     return rated(spark, d)
