@@ -21,35 +21,42 @@ from pyspark.sql import functions as F
 from ..functions import clip, mean_of, model_confidence, normal_cdf, period_label, round_to
 from ..sources.store import cut, join_summary
 from .features import model_features
+from .scans import expanding_medians, running_totals
 
 MIN_TRAINING = 20
 
 
-def with_periods(matchups: DataFrame) -> DataFrame:
-    """Completed matchups with ``period`` (label of season, type and week) and ``ord``, the period's place by earliest kickoff, ties by label."""
-    done = matchups.where("completed").withColumn("period", period_label(matchups.columns))
-    first = done.groupBy("period").agg(F.min("game_date").alias("_first"))
-    order = first.withColumn("ord", F.row_number().over(Window.orderBy("_first", "period")))  # a row a period: small by nature
-    return done.join(F.broadcast(order.drop("_first")), "period")
+#: Whose periods a game's period is counted among: the league, or nothing where all games are of one.
+LEAGUE = "_league"
+
+
+def with_periods(matchups: DataFrame, league: str | None = None) -> DataFrame:
+    """Completed matchups with ``period`` (label of season, type and week) and ``ord``, the period's place by earliest kickoff, ties by
+    label, among those of its league where a column names leagues."""
+    key = F.coalesce(F.col(league).cast("string"), F.lit("")) if league else F.lit("")
+    done = matchups.where("completed").withColumns({"period": period_label(matchups.columns), LEAGUE: key})
+    first = done.groupBy(LEAGUE, "period").agg(F.min("game_date").alias("_first"))
+    order = first.withColumn("ord", F.row_number().over(Window.partitionBy(LEAGUE).orderBy("_first", "period")))  # a row a period: small by nature
+    return join_summary(done, order.drop("_first"), [LEAGUE, "period"])
 
 
 def training_summary(periods: DataFrame) -> DataFrame:
-    """Per period, over all earlier ones: games, mean scores, home margin of non-neutral games, margin deviation and home win share.
+    """Per period, over all earlier ones of its league: games, mean scores, home margin of non-neutral games, margin deviation and home win share.
 
     The range join of each period with its predecessors is a running sum over per-period sums.
     """
     m = F.col("home_score") - F.col("away_score")
     open_ = ~F.col("neutral_site")
-    per = periods.groupBy("ord").agg(
+    per = periods.groupBy(LEAGUE, "ord").agg(
         F.first("period").alias("period"), F.count("*").alias("n"), F.sum("home_score").alias("h"), F.sum("away_score").alias("a"), F.sum(m).alias("m"), F.sum(m * m).alias("mm"),
         F.count_if(m > 0).alias("w"), F.coalesce(F.sum(F.when(open_, m)), F.lit(0)).alias("om"), F.count_if(open_).alias("on"),
     )
-    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    run = per.select("ord", "period", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "h", "a", "m", "mm", "w", "om", "on")))
+    before = Window.partitionBy(LEAGUE).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    run = per.select(LEAGUE, "ord", "period", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "h", "a", "m", "mm", "w", "om", "on")))
     n = F.col("n").cast("double")
     var = F.try_divide(F.col("mm") - F.col("m") * F.col("m") / n, n - 1)
     return run.where(F.col("n") > 1).select(
-        "ord", "period", F.col("n").alias("train_games"), (F.col("h") / n).alias("train_home"), (F.col("a") / n).alias("train_away"),
+        LEAGUE, "ord", "period", F.col("n").alias("train_games"), (F.col("h") / n).alias("train_home"), (F.col("a") / n).alias("train_away"),
         F.greatest(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(1.0)).alias("scale"), clip(F.col("w") / n, 0.001, 0.999).alias("home_rate"),
         F.coalesce(F.try_divide(F.col("om").cast("double"), F.col("on").cast("double")), F.lit(0.0)).alias("home_edge"),
     )
@@ -57,11 +64,11 @@ def training_summary(periods: DataFrame) -> DataFrame:
 
 def eligible(periods: DataFrame, summary: DataFrame, min_periods: int = 2, min_games: int = MIN_TRAINING) -> DataFrame:
     """Target games with the summary of their training set, without the first periods and those with too few training games."""
-    return periods.join(F.broadcast(summary.drop("period")), "ord").where((F.col("ord") > min_periods) & (F.col("train_games") >= min_games))
+    return join_summary(periods, summary.drop("period"), [LEAGUE, "ord"]).where((F.col("ord") > min_periods) & (F.col("train_games") >= min_games))
 
 
 def skipped_periods(periods: DataFrame, summary: DataFrame, min_periods: int = 2, min_games: int = MIN_TRAINING) -> DataFrame:
-    rows = periods.select("period", "ord").distinct().join(summary.select("ord", "train_games"), "ord", "left")
+    rows = periods.select(LEAGUE, "period", "ord").distinct().join(summary.select(LEAGUE, "ord", "train_games"), [LEAGUE, "ord"], "left")
     reason = F.when(F.col("ord") <= min_periods, "fewer than the minimum earlier periods").when(F.coalesce("train_games", F.lit(0)) < min_games, f"fewer than {min_games} training games")
     return rows.select("period", reason.alias("reason")).where("reason IS NOT NULL")
 
@@ -119,59 +126,42 @@ class ExpandingRidge:
     scaled: bool = False
 
     def fit(self, periods: DataFrame, min_games: int = MIN_TRAINING) -> DataFrame:
-        """(ord, medians, home, away, marks_home, marks_away, first_home, first_away, margin_std): a row a period with enough games before it.
+        """(league, ord, medians, home, away, marks_home, marks_away, first_home, first_away, margin_std): a row a period with enough games before it.
 
-        Games are summed up where they lie; then a period is a row (its sums are running sums over periods, in one task), and a
-        feature's values of all games are a group, for its medians.
+        Games are summed up where they lie; a period's sums are running totals over blocks of periods, and its medians come by
+        selection (``scans``), so that no task sees all periods or all values of a feature.
         """
         names = list(self.features or model_features(periods))
         size = len(names)
-        rows = periods.where("home_score IS NOT NULL AND away_score IS NOT NULL").select("ord", F.array(*(F.col(n).cast("double") for n in names)).alias("x"), F.col("home_score").cast("double").alias("h"), F.col("away_score").cast("double").alias("a"))
+        rows = periods.where("home_score IS NOT NULL AND away_score IS NOT NULL").select(LEAGUE, F.col("ord").cast("int").alias("ord"), F.array(*(F.col(n).cast("double") for n in names)).alias("x"), F.col("home_score").cast("double").alias("h"), F.col("away_score").cast("double").alias("a"))
 
         def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), size)
-                gone = np.isnan(x)
-                v = np.column_stack([np.where(gone, 0.0, x), gone, np.ones(len(x)), pdf["h"], pdf["a"]])
-                ords = pdf["ord"].to_numpy()
-                found = np.unique(ords)
-                yield pd.DataFrame({"ord": found, "sums": [(v[ords == o].T @ v[ords == o]).tobytes() for o in found]})
+                for (league, day), own in pdf.groupby([LEAGUE, "ord"]):
+                    x = np.array(own["x"].tolist(), float).reshape(len(own), size)
+                    gone = np.isnan(x)
+                    v = np.column_stack([np.where(gone, 0.0, x), gone, np.ones(len(x)), own["h"], own["a"]])
+                    yield pd.DataFrame({LEAGUE: [league], "ord": [day], "sums": [(v.T @ v).tobytes()]})
 
         def added(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"ord": pdf["ord"].iloc[:1], "sums": [sum(np.frombuffer(s) for s in pdf["sums"]).tobytes()]})
+            return pdf.iloc[:1][[LEAGUE, "ord"]].assign(sums=[sum(np.frombuffer(s) for s in pdf["sums"]).tobytes()])
 
-        def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((2 * size + 3) ** 2)
-            for pdf in batches:
-                out = []
-                for s in pdf["sums"]:
-                    out.append(total.tobytes())
-                    total = total + np.frombuffer(s)
-                yield pd.DataFrame({"ord": pdf["ord"], "sums": out})
-
-        per = cut(rows.mapInPandas(summed, "ord int, sums binary").groupBy("ord").applyInPandas(added, "ord int, sums binary"))
-        before = per.repartition(1).sortWithinPartitions("ord").mapInPandas(running, "ord int, sums binary")
-        all_ords = np.array(sorted(r["ord"] for r in per.select("ord").collect()))
-
-        def middles(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("ord", kind="stable")
-            values, ends = pdf["value"].to_numpy(), np.searchsorted(pdf["ord"].to_numpy(), all_ords)
-            return pd.DataFrame({"ord": all_ords, "feature": pdf["feature"].iloc[0], "median": [float(np.median(values[:k])) if k else None for k in ends]}).astype({"median": float})
-
-        each = rows.select("ord", F.posexplode("x").alias("feature", "value")).where("value IS NOT NULL")
-        medians = each.groupBy("feature").applyInPandas(middles, "ord int, feature int, median double").where("NOT isnan(median)")
-        medians = medians.groupBy("ord").agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("of"))
-        of = medians.select("ord", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.element_at("of", k)).alias("medians"))
+        kind = f"{LEAGUE} string, ord int, sums binary"
+        per = cut(rows.mapInPandas(summed, kind).groupBy(LEAGUE, "ord").applyInPandas(added, kind))
+        before = running_totals(per, [LEAGUE], "ord", "sums")
+        each = rows.select(LEAGUE, "ord", F.posexplode("x").alias("feature", "value"))
+        asks = per.select(LEAGUE, "ord", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("feature"))
+        medians = expanding_medians(each, asks, [LEAGUE, "feature"])
+        medians = medians.groupBy(LEAGUE, "ord").agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("of"))
+        of = medians.select(LEAGUE, "ord", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.element_at("of", k)).alias("medians"))
 
         def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(o, *self._solve(np.frombuffer(s).reshape(2 * size + 3, -1), np.array([np.nan] * size if m is None else m, float), min_games)) for o, s, m in zip(pdf["ord"], pdf["sums"], pdf["medians"])]
-                yield pd.DataFrame([r for r in rows if r[1] is not None], columns=["ord", *FITTED])
+                rows = [(g, o, *self._solve(np.frombuffer(s).reshape(2 * size + 3, -1), np.array([np.nan] * size if m is None else m, float), min_games)) for g, o, s, m in zip(pdf[LEAGUE], pdf["ord"], pdf["sums"], pdf["medians"])]
+                yield pd.DataFrame([r for r in rows if r[2] is not None], columns=[LEAGUE, "ord", *FITTED])
 
         kinds = ", ".join(f"{n} {k}" for n, k in FITTED.items())
-        return before.join(of, "ord", "left").mapInPandas(solved, f"ord int, {kinds}")
+        return before.join(of, [LEAGUE, "ord"], "left").mapInPandas(solved, f"{LEAGUE} string, ord int, {kinds}")
 
     def _solve(self, g: np.ndarray, medians: np.ndarray, min_games: int) -> tuple:
         """The fit from sums of products of (value or 0, missing, 1, home score, away score)."""
@@ -201,7 +191,7 @@ class ExpandingRidge:
     def __call__(self, periods: DataFrame, target: DataFrame) -> DataFrame:
         """``target`` with ``home_points``, ``away_points`` (0 to 70) and ``home_win_probability`` of the fits before its periods."""
         names = list(self.features or model_features(periods))
-        rows = join_summary(target.withColumn("_x", F.array(*(F.col(n).cast("double") for n in names))), self.fit(periods), "ord")
+        rows = join_summary(target.withColumn("_x", F.array(*(F.col(n).cast("double") for n in names))), self.fit(periods), [LEAGUE, "ord"], FEW_FITS)
 
         def points(side: str) -> Column:
             terms = F.zip_with(F.col(side), F.col(f"marks_{side}"), lambda w, q: F.struct(w.alias("w"), q.alias("q")))
@@ -213,6 +203,8 @@ class ExpandingRidge:
         return rows.withColumn("home_win_probability", normal_cdf((F.col("home_points") - F.col("away_points")) / F.col("margin_std"))).drop("_x", *FITTED)
 
 
+#: Fits (some kilobytes each) up to which they are broadcast.
+FEW_FITS = 500
 #: Columns of a fit.
 FITTED = {"medians": "array<double>", "home": "array<double>", "away": "array<double>", "marks_home": "array<double>", "marks_away": "array<double>", "first_home": "double", "first_away": "double", "margin_std": "double"}
 
@@ -282,21 +274,29 @@ def _prepared(df: DataFrame, features: list[str], medians: dict[str, float], ind
     return VectorAssembler(inputCols=[f"_x_{f}" for f in filled], outputCol="_features").transform(df.withColumns({f"_x_{f}": c for f, c in filled.items()}))
 
 
+def exact_medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact medians by selection, of the columns that have a value."""
+    each = rows.select(F.lit(0).alias("ord"), F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("feature", "value"))
+    asks = rows.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("feature"), F.lit(1).alias("ord"))
+    return {columns[r["feature"]]: r["median"] for r in expanding_medians(each, asks, ["feature"]).collect()}
+
+
 def fit_ridge(train: DataFrame, features: list[str], alpha: float = 12.0, indicators: bool = True, scaled: bool = False) -> Ridge:
     """Two ridge regressions (home and away score) with exact median imputation and, if asked for, missing indicators or scaling.
 
     The penalty ``alpha`` on the sum of squared errors is Spark's ``alpha * stddev_pop(y) / n``; the intercept is free.
     """
     train = train.where(F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
+    medians = exact_medians(train, features)
     stats = train.agg(
-        F.count("*").alias("n"), *(F.median(F.col(f).cast("double")).alias(f"md_{f}") for f in features), *(F.count(f).alias(f"ct_{f}") for f in features),
+        F.count("*").alias("n"), *(F.count(f).alias(f"ct_{f}") for f in features),
         F.stddev_pop("home_score").alias("home_score"), F.stddev_pop("away_score").alias("away_score"),
     ).first()
     n = stats["n"]
     if n < MIN_TRAINING:
         raise ValueError(f"{n} training games; {MIN_TRAINING} are needed")
     features = [f for f in features if stats[f"ct_{f}"]]
-    medians = {f: stats[f"md_{f}"] for f in features}
+    medians = {f: medians[f] for f in features}
     marks = [f for f in features if stats[f"ct_{f}"] < n] if indicators else []
     scales = None
     if scaled:

@@ -36,10 +36,10 @@ def cut(df: DataFrame) -> DataFrame:
 FEW = 10_000
 
 
-def join_summary(rows: DataFrame, summary: DataFrame, key: str | list[str]) -> DataFrame:
-    """``rows`` joined with one summary row a key: by broadcast if there are no more than ``FEW`` of these, so that no key's rows meet in a task."""
-    few = summary.limit(FEW + 1).collect()
-    if len(few) > FEW:
+def join_summary(rows: DataFrame, summary: DataFrame, key: str | list[str], most: int = FEW) -> DataFrame:
+    """``rows`` joined with one summary row a key: by broadcast if there are no more than ``most`` of these, so that no key's rows meet in a task."""
+    few = summary.limit(most + 1).collect()
+    if len(few) > most:
         return rows.join(summary, key)
     return rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, summary.schema)), key)
 
