@@ -264,8 +264,38 @@ LEAGUE = "concat('L', CAST(g.game_id % 3 AS VARCHAR), ' ', CAST(g.season AS VARC
 LEAGUE_DATES = f"SELECT DISTINCT {LEAGUE} AS unit, CAST(concat(CAST(g.season AS VARCHAR), m.at) AS TIMESTAMP) AS as_of FROM games g CROSS JOIN (SELECT '-03-01 00:00:00' AS at UNION ALL SELECT '-07-15 00:00:00' UNION ALL SELECT '-12-20 00:00:00') m"
 EXTRA |= as_of_ratings("weekly_", WEEK_STARTS, "g.season") | as_of_ratings("leagues_", LEAGUE_DATES, LEAGUE)
 
+def whole_ridge(name: str, train: str, target: str, alpha: float, indicators: bool, scaled: bool) -> dict[str, str]:
+    """Definitions of one ridge forecast with all features: values in long form, the normal equations by recursion over pivots. The last is ``<name>_out``."""
+    names = [f"{s}_{f}" for s in ("home", "away") for f in FEATURES] + ["home_field_indicator"]
+    size = len(names)
+    values = "[" + ", ".join(f"CAST({n} AS DOUBLE)" for n in names) + "]"
+    long = lambda source: f"SELECT game_id, unnest({values}) AS x, unnest(range(1, {size + 1})) AS i FROM ({source}) s"
+    filled = lambda z: f"SELECT z.game_id, z.i, coalesce(z.x, m.md, 0.0) AS v FROM {z} z JOIN {name}_md m ON m.i = z.i" + (f" UNION ALL SELECT game_id, i + {size}, CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END FROM {z}" if indicators else "")
+    y = f"SELECT game_id, CAST(home_score AS DOUBLE) AS h, CAST(away_score AS DOUBLE) AS a FROM ({train}) s"
+    out = {
+        f"{name}_z": long(train), f"{name}_md": f"SELECT i, median(x) AS md FROM {name}_z GROUP BY i", f"{name}_v": filled(f"{name}_z"),
+        f"{name}_mean": f"SELECT i, AVG(v) AS mean, {'stddev_pop(v)' if scaled else '1.0'} AS scale FROM {name}_v GROUP BY i HAVING stddev_pop(v) > 0",
+        f"{name}_y": y, f"{name}_my": f"SELECT AVG(h) AS mh, AVG(a) AS ma FROM {name}_y",
+        f"{name}_c": f"SELECT v.game_id, v.i, (v.v - m.mean) / m.scale AS v FROM {name}_v v JOIN {name}_mean m ON m.i = v.i",
+        f"{name}_g": f"SELECT a.i AS r, b.i AS c, SUM(a.v * b.v) + CASE WHEN a.i = b.i THEN {alpha} ELSE 0.0 END AS v FROM {name}_c a JOIN {name}_c b ON b.game_id = a.game_id AND b.i >= a.i GROUP BY a.i, b.i",
+        f"{name}_m": f"""SELECT r, c, v FROM {name}_g UNION ALL SELECT c, r, v FROM {name}_g WHERE r <> c UNION ALL SELECT c.i, 1001, SUM(c.v * (y.h - m.mh)) FROM {name}_c c JOIN {name}_y y ON y.game_id = c.game_id CROSS JOIN {name}_my m GROUP BY c.i
+  UNION ALL SELECT c.i, 1002, SUM(c.v * (y.a - m.ma)) FROM {name}_c c JOIN {name}_y y ON y.game_id = c.game_id CROSS JOIN {name}_my m GROUP BY c.i""",
+        f"{name}_s": f"""WITH RECURSIVE step AS (SELECT CAST(0 AS BIGINT) AS k, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, v FROM {name}_m UNION ALL SELECT k + 1, r, c, CASE WHEN r = k + 1 THEN v / p ELSE v - f * q / p END
+  FROM (SELECT *, coalesce(MAX(CASE WHEN r = k + 1 AND c = k + 1 THEN v END) OVER (), 1.0) AS p, coalesce(MAX(CASE WHEN c = k + 1 THEN v END) OVER (PARTITION BY r), 0.0) AS f, coalesce(MAX(CASE WHEN r = k + 1 THEN v END) OVER (PARTITION BY c), 0.0) AS q FROM step WHERE k < {2 * size}) t)
+  SELECT r AS i, MAX(CASE WHEN c = 1001 THEN v END) AS wh, MAX(CASE WHEN c = 1002 THEN v END) AS wa FROM step WHERE k = {2 * size} GROUP BY r""",
+    }
+    points = lambda v: f"SELECT v.game_id, MAX(m.mh) + SUM(s.wh * (v.v - e.mean) / e.scale) AS h, MAX(m.ma) + SUM(s.wa * (v.v - e.mean) / e.scale) AS a FROM {v} v JOIN {name}_mean e ON e.i = v.i JOIN {name}_s s ON s.i = v.i CROSS JOIN {name}_my m GROUP BY v.game_id"
+    out |= {
+        f"{name}_std": f"SELECT greatest(stddev_samp((y.h - y.a) - (f.h - f.a)), 1.0) AS std FROM ({points(name + '_v')}) f JOIN {name}_y y ON y.game_id = f.game_id",
+        f"{name}_tz": long(target), f"{name}_tv": filled(f"{name}_tz"),
+        f"{name}_out": f"SELECT *, {phi('(hp - ap) / std')} AS prob FROM (SELECT f.game_id, {clip('f.h', 0.0, 70.0)} AS hp, {clip('f.a', 0.0, 70.0)} AS ap, s.std FROM ({points(name + '_tv')}) f CROSS JOIN {name}_std s) r",
+    }
+    return out
+
+
 _WALK = ("SELECT DISTINCT ord FROM periods WHERE ord > 2", "SELECT * FROM periods", "p.ord < t.ord", "SELECT * FROM target", 10.0, False, True)
 _ONCE = ("SELECT 0 AS ord", "SELECT * FROM matchups WHERE completed AND season < 2001", "true", "SELECT *, 0 AS ord FROM matchups")
+EXTRA |= whole_ridge("plain_all", _ONCE[1], "SELECT * FROM matchups", 12.0, True, False) | whole_ridge("scaled_all", _ONCE[1], "SELECT * FROM matchups", 10.0, False, True)
 EXTRA |= ridge("walked", *_WALK) | ridge("plain_small", *_ONCE, 12.0, True, False) | ridge("scaled_small", *_ONCE, 10.0, False, True)
 
 

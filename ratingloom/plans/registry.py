@@ -518,12 +518,12 @@ RIDGED = "game_id# home_expected_points^ away_expected_points^ home_win_probabil
 RIDGED_SQL = "SELECT game_id, hp AS home_expected_points, ap AS away_expected_points, prob AS home_win_probability FROM {}_out"
 
 
-@query("game_id# home_expected_points~ away_expected_points~ projected_spread_home~ projected_total~ home_win_probability~ confidence_tier")
+@query(RIDGED, RIDGED_SQL.format("plain_all"))
 def ridge_forecast(spark, d):
     return _ridge(spark, d)
 
 
-@query("game_id# home_expected_points~ away_expected_points~ projected_spread_home~ projected_total~ home_win_probability~ confidence_tier")
+@query(RIDGED, RIDGED_SQL.format("scaled_all"))
 def scaled_ridge_forecast(spark, d):
     return _ridge(spark, d, alpha=10.0, indicators=False, scaled=True)
 
