@@ -2,9 +2,11 @@
 
 Texts and license templates are cut into words. The hash of every run of ``K`` words of a text joins the positions of the same
 run in the templates; the run's words are compared too, so a hash collision never counts. A hit votes for the diagonal (text
-position minus template position). Neighbouring diagonals of a template (few words were put in or left out) merge into one span; a
-span is a finding if the votes cover enough of the template's words, each counted once, and the span isn't much longer than the
-template. Base phrases are templates that must stand whole: all runs of a phrase on one diagonal.
+position minus template position). Neighbouring diagonals of a template (few words were put in or left out) merge into one span. A
+span is verified in windows of the text, each somewhat more than twice as long as the template and half a template after the one
+before: it is a finding if the votes in some window cover enough of the template's words, each counted once. So votes that lie
+scattered over a long text aren't one, and a template that is repeated back to back, whole or in parts, is found however many
+times it stands. Base phrases are templates that must stand whole: all runs of a phrase on one diagonal.
 
 Templates are a parameter: one-line notices and, in ``license_texts``, whole licenses, of any length. Their runs (about 4,000) are
 broadcast. Runs whose words can't begin, go on or end a run of a template are left out before they are joined and hashed. Each text
@@ -49,7 +51,7 @@ def whole_texts(folder: Path = Path(__file__).with_name("license_texts")) -> tup
 
 TEMPLATES = (*NOTICES, *whole_texts())
 MIN_COVER = 0.75
-#: Diagonals of one template within this many words belong to one span, which is at most so many times as long as the template.
+#: Diagonals of one template within this many words belong to one span, whose windows are so many times (and a half) as long as the template.
 SHIFT, STRETCH = 3, 2
 
 
@@ -100,17 +102,25 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     gap = F.col("diagonal") - F.lag("diagonal").over(near)
     starts = gap.isNull() | (gap > F.when(F.col("base"), 0).otherwise(shift))
     dealt = votes.withColumn("new", F.when(starts, 1).otherwise(0)).withColumn("span", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    # verified: the words of the template that the span's runs cover, each counted once
-    ahead = F.lead("at").over(Window.partitionBy(*TEXT, "template", "span").orderBy("at"))
+    # verified in windows: the words of the template that the span's runs cover there, each counted once
+    pos = F.col("diagonal") + F.col("at")
+    step = F.greatest(F.floor(F.col("length") / 2), F.lit(1))
+    newest = F.floor(pos / step)
+    oldest = F.greatest(F.floor((pos - STRETCH * F.col("length") - step) / step) + 1, F.lit(0))
+    windows = F.when((F.col("template") < 0) | F.col("base"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(oldest, newest))
+    dealt = dealt.withColumn("window", F.explode(windows))
+    ahead = F.lead("at").over(Window.partitionBy(*TEXT, "template", "span", "window").orderBy("at"))
     covered = dealt.withColumn("covered", F.least(F.lit(k), F.coalesce(ahead - F.col("at"), F.lit(k))))
-    merged = covered.groupBy(*TEXT, "template", "label", "base", "length", "span").agg(
-        F.sum("covered").alias("covered"), F.count("*").alias("runs"), F.min(F.col("diagonal") + F.col("at")).alias("first"), F.max(F.col("diagonal") + F.col("at") + k - 1).alias("last"),
+    merged = covered.groupBy(*TEXT, "template", "label", "base", "length", "span", "window").agg(
+        F.sum("covered").alias("covered"), F.count("*").alias("runs"), F.min(pos).alias("first"), F.max(pos + k - 1).alias("last"),
         F.sum(F.when(F.col("template") < 0, F.col("times"))).alias("rows"), F.max("n_words").alias("n_words"),
     )
+    best = F.max_by(F.struct("covered", "runs", "first", "last", "rows", "n_words"), F.struct("covered", -F.col("window")))
+    spans_ = merged.groupBy(*TEXT, "template", "label", "base", "length", "span").agg(best.alias("best")).select(*TEXT, "template", "label", "base", "length", "best.*")
     cover = F.col("covered") / F.greatest("length", F.lit(1))
     whole = F.col("runs") == F.col("length") - k + 1
-    found = F.when(F.col("template") < 0, False).when(F.col("base"), whole).otherwise((cover >= min_cover) & (F.col("last") - F.col("first") < STRETCH * F.col("length")))
-    return merged.withColumns({"cover": cover, "found": found}).drop("covered", "runs", "span")
+    found = F.when(F.col("template") < 0, False).when(F.col("base"), whole).otherwise(cover >= min_cover)
+    return spans_.withColumns({"cover": cover, "found": found}).drop("covered", "runs")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,

@@ -576,10 +576,11 @@ def plain_scan(text, phrases, templates, k=3):
             if not groups or d - groups[-1][-1][0] > (0 if base else licenses.SHIFT):
                 groups.append([])
             groups[-1].append((d, j))
+        step = max(1, len(t) // 2)
         for g in groups:
-            cover = len({j + x for _, j in g for x in range(k)}) / len(t)
-            first, last = min(d + j for d, j in g), max(d + j for d, j in g) + k - 1
-            if len(g) == len(t) - k + 1 if base else cover >= licenses.MIN_COVER and last - first < 2 * len(t):
+            windows = [g] if base else [[(d, j) for d, j in g if s <= d + j < s + 2 * len(t) + step] for s in range(0, len(w), step)]
+            cover = max(len({j + x for _, j in votes for x in range(k)}) / len(t) for votes in windows)
+            if len(g) == len(t) - k + 1 if base else cover >= licenses.MIN_COVER:
                 labels.add(label)
                 score = max(score, cover)
     return ",".join(sorted(labels)), score
@@ -611,6 +612,27 @@ def test_license_labels_and_scores_equal_brute_force(spark):
     assert {x for r in got.values() for x in r.labels.split(",")} >= set(whole)
 
 
+def test_repeated_licenses_keep_label_and_score(spark):
+    """From the definition: where a template stands whole, its label is found and the score is 1, whatever stands around it."""
+    rows, want = [], []
+    for label, wording in licenses.TEMPLATES:
+        w = wording.split()
+        for n in (1, 2, 3, 5):
+            for put in ([w] * n, [w, *[w[2:]] * n], [*[w[:-2]] * n, w], [x for i in range(n) for x in (w, ["x"] * (1 + i % 3))], [w, *[w[-3:]] * (3 * n)]):
+                if sum(map(len, put)) < 6000:
+                    rows.append((len(rows), " ".join(y for x in put for y in x)))
+                    want.append(label)
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for (i, text), label in zip(rows, want):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, text[:200]
+
+
+def test_scattered_runs_of_a_long_license_are_no_finding(spark):
+    w = dict(licenses.whole_texts())["mit"].split()
+    apart = " ".join(" ".join([*w[i : i + 6], *(f"filler{i}x{j}" for j in range(30))]) for i in range(0, len(w), 6))
+    assert licenses.scan(spark.createDataFrame([(1, apart)], "doc_id int, text string")).first().labels == ""
+
+
 def test_licenses_tolerate_a_changed_word(spark):
     texts = ["licensed under the new apache license version 2 0", "this work is licensed under the gnu general public license v3", "rights are not reserved at all"]
     got = [r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
