@@ -12,7 +12,7 @@ together from the segments of their file in a second pass over such files alone.
 bytes a record) go to one task, so archives are meant to be cut into files of a million records at most, as they usually are.
 
 Edge cases: a null payload is empty; null ids and URLs are empty header fields and come back as null; line breaks in URLs are
-percent-encoded; rows that repeat the largest id of a payload are all responses; an empty table gives no records; what follows
+percent-encoded; in text ids they and blanks are too, and decoded when read; rows that repeat the largest id of a payload are all responses; an empty table gives no records; what follows
 a broken record in a file isn't reachable and is left out.
 """
 
@@ -39,6 +39,22 @@ def header(fields: list[tuple[str, Column]]) -> Column:
     return F.concat(F.lit(MAGIC), *(F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit("\r\n")) for name, value in fields))
 
 
+#: What can't stand in a header field as it is, and how it is written there; the percent sign goes first, and last when read.
+ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"), (" ", "%20"), ("\t", "%09"))
+
+
+def escaped(value: Column) -> Column:
+    for a, b in ESCAPES:
+        value = F.replace(value, F.lit(a), F.lit(b))
+    return value
+
+
+def unescaped(value: Column) -> Column:
+    for a, b in reversed(ESCAPES):
+        value = F.replace(value, F.lit(b), F.lit(a))
+    return value
+
+
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """One column, ``value``: the text of each page's record without its terminator."""
     text = F.coalesce(F.col(payload_col), F.lit(""))
@@ -57,11 +73,11 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     uuid = F.concat_ws("-", *(F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    common = [("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", url), ("X-Page-ID", F.col("id")),
+    common = [("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", url), ("X-Page-ID", escaped(F.col("id").cast("string"))),
               ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("X-Payload-Length", F.col("bytes"))]
     block = F.concat(F.lit(HTTP + END), "payload")
     full = F.concat(header([("WARC-Type", F.lit("response")), *common, ("Content-Type", F.lit("application/http;msgtype=response")), ("Content-Length", F.octet_length(block))]), F.lit("\r\n"), block)
-    again = F.concat(header([("WARC-Type", F.lit("revisit")), *common, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")), ("X-Refers-To-Page", F.col("first")), ("Content-Length", F.lit(0))]), F.lit("\r\n"))
+    again = F.concat(header([("WARC-Type", F.lit("revisit")), *common, ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")), ("X-Refers-To-Page", escaped(F.col("first").cast("string"))), ("Content-Length", F.lit(0))]), F.lit("\r\n"))
     return joined.select(F.when(revisit, again).otherwise(full).alias("value"))
 
 
@@ -150,11 +166,11 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     kind = dict(pages.dtypes)[id_col]
     response = F.col("warc_type") == "response"
     return read(spark, path).select(
-        F.col("page").cast(kind).alias(id_col),
+        unescaped(F.col("page")).cast(kind).alias(id_col),
         F.when(response, F.col("read_bytes")).otherwise(F.col("length").cast("long")).alias("payload_bytes"),
         F.when(response, F.col("read_digest")).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
-        F.col("refers").cast(kind).alias("refers_to"),
+        unescaped(F.col("refers")).cast(kind).alias("refers_to"),
     )
 
 
