@@ -67,11 +67,11 @@ SALTS = 64
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a table of at most one row a key. The rows of ``hot`` keys are dealt to ``SALTS`` slices by their hash, and
-    their partners go to each slice, so that no task gets all rows of a key."""
+    """``rows`` joined with a table of at most one row a key. The rows of ``hot`` keys are dealt to ``SALTS`` slices in turn (equal rows
+    too), and their partners go to each slice, so that no task gets all rows of a key. Columns of any type may be there."""
     if not hot:
         return rows.join(unique, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    dealt = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(SALTS)).cast("int")).otherwise(0))
+    dealt = rows.withColumn("_salt", F.when(is_hot, (F.monotonically_increasing_id() % SALTS).cast("int")).otherwise(0))
     partners = unique.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(partners, [key, "_salt"], how).drop("_salt")

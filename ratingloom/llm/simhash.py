@@ -328,12 +328,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of similar texts: that of the smallest id, and of the smallest hash of its text where an
-    id stands with several texts. Rows that agree in id and text are one, with the least of the other columns. Rows with a null id
-    are all kept, and stand for no group."""
+    id stands with several texts. Rows that agree in id and text are one, the one whose other columns, of whatever types, are least
+    as text. Rows with a null id are all kept, and stand for no group."""
     classed = _similar(docs, id_col, text_col, words)
     kept = classed.where((F.col(id_col) == F.col("component_id")) & (F.col("_key") == F.col("_first_key"))).select(F.col(id_col).alias("_id"), "_key").distinct()
     keyed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), _row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"), F.struct(*(c for c in docs.columns if c not in (id_col, text_col)), F.lit(0).alias("_")).alias("_rest"))
-    once = keyed.join(kept, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.first("_text").alias("_text"), F.min("_rest").alias("_rest"))
+    once = keyed.join(kept, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.first("_text").alias("_text"), F.min_by("_rest", F.col("_rest").cast("string")).alias("_rest"))
     named_ = {id_col: F.col("_id"), text_col: F.col("_text")}
     first = once.select(*(named_.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns))
     return first.unionByName(docs.where(F.col(id_col).isNull()))

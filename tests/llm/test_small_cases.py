@@ -24,7 +24,8 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def clashing(docs):
-    return docs.withColumns({c: F.lit("own") for c in CLASH})
+    odd = {"of": F.create_map(F.lit("k"), F.array("lang")), "maps": F.array(F.create_map("lang", "source")), "raw": F.unhex(F.lit("00FF")), "nothing": F.lit(None).cast("map<string,int>")}
+    return docs.withColumns({c: F.lit("own") for c in CLASH} | odd)
 
 
 @pytest.fixture(scope="module")
@@ -99,6 +100,30 @@ def test_pages(spark):
     assert len(back) == len(rows) and {r.page_id: r.refers_to for r in back}[1] == 6 and warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_text_ids_come_back_from_archives_whatever_they_hold(spark):
+    ids = ["a\r\nX-Page-ID: evil", " blanks ", "100%25", "%", "tab\there", "plain", "ü"]
+    pages = spark.createDataFrame([(i, "http://x.com", "y" * 1500) for i in ids], "page_id string, url string, html string")
+    back = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert set(back) == set(ids)
+    assert {r.refers_to for r in back.values()} == {max(ids, key=lambda x: x.encode()), None}
+
+
+def test_long_urls_and_pages(spark):
+    long = "http://a.org/" + "p/" * 400_000 + "?q=" + "1" * 4_000_000
+    pages = spark.createDataFrame([(1, long, "z" * 5_000_000), (2, "http://b.com/x", "WARC/1.0\r\n" * 400_000)], "page_id bigint, url string, html string")
+    pages = pages.withColumn("odd", F.create_map(F.lit("k"), "page_id"))
+    judged = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert len(judged[1].path) == 1 + 800_000 and judged[2].verdict == "allow"
+    back = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert {i: (r.payload_bytes, r.payload_digest) for i, r in back.items()} == {i: (len(x), hashlib.sha1(x.encode()).hexdigest()) for i, x in ((1, "z" * 5_000_000), (2, "WARC/1.0\r\n" * 400_000))}
+
+
+def test_one_long_text_full_of_notices(spark):
+    text = "All rights reserved. Released under the MIT license. " * 20_000
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (row.n_words, row.n_base, row.labels, row.score) == (160_000, 20_000, "all-rights-reserved,mit", 1.0)
+
+
 def test_mixing_odd_values(spark):
     d = spark.createDataFrame([(1, None, None, "a b"), (None, "src1", "en", None), (2, "src2", "xx", ""), (2, "src2", "xx", "")], "doc_id bigint, source string, lang string, text string")
     assert mixing.sample(d).columns == d.columns and mixing.sample(d.where("false")).count() == 0
@@ -189,6 +214,7 @@ def test_salted_joins_keep_all_rows(spark):
     from ratingloom.llm.common import hot_keys, join_unique
 
     rows = spark.createDataFrame([(i, None if i % 50 == 0 else "hot" if i % 3 else f"k{i}") for i in range(3000)], "n int, k string")
+    rows = rows.withColumn("odd", F.create_map(F.lit("n"), "n"))
     unique = spark.createDataFrame([("hot", 1), ("k3", 2), ("k6", 3)], "k string, v int")
     hot = hot_keys(rows, "k")
     assert hot == ["hot"]
