@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.versions import merge_games
 from ..schema import GAMES, conform
 from ..sources.raw_json import read_schedule
+from .versioned import VersionStore
 
 
 def stream_snapshots(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,36 +17,49 @@ def stream_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
 
 
-def current_games(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The games as of the last batch (or of the one before ``before``): of each game the row of its newest batch."""
-    kind = T.StructType([*GAMES.fields, T.StructField("season_type", T.StringType()), T.StructField("batch", T.IntegerType())])
-    rows = spark.read.schema(kind).parquet(f"{root}/games")
-    rows = rows if before is None else rows.where(F.col("batch") < before)
-    columns = [c for c in rows.columns if c not in ("game_id", "batch")]
-    return rows.groupBy("game_id").agg(F.max_by(F.struct(*columns), "batch").alias("g")).select("game_id", "g.*")
+RECORD = T.StructType([*GAMES.fields, T.StructField("season_type", T.StringType())])
 
 
-def merge_batch(root: str):
-    """A ``foreachBatch`` function: the batch's records merge with the current versions of the same games.
+def game_store(spark: SparkSession, root: str) -> VersionStore:
+    return VersionStore(spark, root, RECORD)
 
-    A file may hold a game once, and several files of a batch may hold versions of it. ``games/batch=<id>`` gets the games that the
-    batch changed, so a batch writes no more than it touches; ``current_games`` reads the newest of each. Records that break a rule
-    go to ``quarantine``, games in conflict keep the version that stood before, and their versions go to ``conflicts``. A replayed
-    batch writes the same folders again, so a restart neither loses nor doubles a record.
+
+def current_games(spark: SparkSession, root: str, seasons=None, before: int | None = None) -> DataFrame:
+    """The games as of the last batch (or of the one before ``before``), of all seasons or of some."""
+    return game_store(spark, root).current(seasons, before)
+
+
+def merge_batch(root: str, compact_every: int = 20):
+    """A ``foreachBatch`` function: the batch's records become versions in the store under ``root``.
+
+    A file may hold a game once, and several files of a batch may hold versions of it. Records that break a rule go to
+    ``quarantine/batch=<id>``. A season with ``compact_every`` deltas is compacted. A replayed batch writes the same folders again, so
+    a restart neither loses nor doubles a record.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         new, rejected = read_schedule(batch, source="file")
         version = {"run_id": F.concat_ws("/", F.lit(f"batch-{batch_id:08d}"), "file"), "captured_at": F.lit(batch_id).cast("timestamp")}
-        stamped = new.withColumns(version).drop("file")
         rejected.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
-        if batch_id > 0:
-            touched = current_games(spark, root, batch_id).join(stamped.select("game_id").distinct(), "game_id", "left_semi")
-            stamped = stamped.unionByName(touched.withColumns({"run_id": F.lit("batch-before"), "captured_at": F.lit(-1).cast("timestamp")}))
-        merged, conflicts, _ = merge_games(stamped)
-        conform(merged, GAMES).write.mode("overwrite").parquet(f"{root}/games/batch={batch_id}")
-        conflicts.write.mode("overwrite").parquet(f"{root}/conflicts/batch={batch_id}")
+        store = game_store(batch.sparkSession, root)
+        rows = conform(new.withColumns(version), GAMES)
+        rows = rows if "season_type" in rows.columns else rows.withColumn("season_type", F.lit(None).cast("string"))
+        for season in store.append(rows, batch_id):
+            if len(store.parts(season)) > compact_every:
+                store.compact(season, batch_id)
+
+    return write
+
+
+def decision_batch(root: str):
+    """A ``foreachBatch`` function for decisions (game_id, digest): those that fit settle their games, the others go to ``refused/batch=<id>``.
+    Its batches are numbered on their own, so a decision counts for all versions that the store has when it comes."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store = game_store(batch.sparkSession, root)
+        newest = store.versions().agg(F.max("batch")).first()[0]
+        refused = store.decide(batch, -1 if newest is None else newest, batch_id)
+        refused.write.mode("overwrite").parquet(f"{root}/refused/batch={batch_id}")
 
     return write
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.plans import pipelines, registry
 from ratingloom.sources.store import Store
-from ratingloom.streaming import current_games, run_available
+from ratingloom.streaming import current_games, game_store, run_available
 
 
 @pytest.fixture(scope="module")
@@ -89,6 +89,7 @@ def test_stream_merges_late_results(spark, tmp_path):
     run_available(spark, str(landed), str(root))
     now = {r.game_id: (r.home_score, r.season_type) for r in current_games(spark, str(root)).collect()}
     assert now == {1: (21, "regular"), 2: (10, "regular"), 3: (7, "regular"), 4: (30, "regular")}
-    assert {r.game_id for r in spark.read.parquet(f"{root}/games/batch=1").collect()} == {1, 4}  # only what changed
-    assert {r.game_id for r in spark.read.parquet(f"{root}/conflicts/batch=1").collect()} == {2}
+    store = game_store(spark, str(root))
+    assert {(r.game_id, r.batch) for r in store.versions().collect()} == {(1, 0), (2, 0), (3, 0), (1, 1), (2, 1), (4, 1)}  # game 4 twice
+    assert {(r.game_id, r.batch) for r in store.conflicts().collect()} == {(2, 0), (2, 1)}
     assert [(r.game_id, r.rule) for r in spark.read.parquet(f"{root}/quarantine/batch=1").collect()] == [(5, "duplicate_id")] * 2
