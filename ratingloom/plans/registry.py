@@ -17,9 +17,12 @@ from ..operators import asof, dimensions, evaluate, features, grade, market, mod
 from ..schema import GAMES, ROLLING
 from ..sources import raw_json, store
 from ..sources.adapters import derived
+from ..streaming import RECORD
+from ..streaming.versioned import VersionStore
 from . import oracles
 
 AS_OF = "2001-06-15 00:00:00"
+FINGERPRINTED = ["game_id", "week", "home_team_id", "away_team_id", "season_type"]
 
 
 @dataclass(frozen=True)
@@ -756,9 +759,9 @@ def decision_violations(spark, d):
     return versions.decision_violations(plan, plan.where("run_id = 'run-b' AND game_id % 2 <> 0").select("game_id", "run_id"))
 
 
-@query("rows# digest#")
+@query("rows# digest", store.fingerprint_sql("(SELECT * EXCLUDE (game_date) FROM games) g", [c for c in (*GAMES.names, "season_type") if c != "game_date"]))
 def table_fingerprint(spark, d):
-    return store.fingerprint(games(spark, d))
+    return store.fingerprint(games(spark, d).drop("game_date"))
 
 
 @query("game_id# run_id", "SELECT game_id, CASE WHEN game_id % 3 = 0 THEN 'run-1' ELSE 'run-2' END AS run_id FROM games WHERE completed")
@@ -813,11 +816,10 @@ def saved_forecasts(spark, d):
     return saved.withColumn("created_before", F.col("run_created") <= F.current_timestamp())
 
 
-@query("rows# digest", """SELECT COUNT(*) AS rows, sha256(coalesce(string_agg(h, '' ORDER BY h), '')) AS digest FROM (SELECT sha256(concat_ws('|', CAST(game_id AS VARCHAR), CAST(season AS VARCHAR), CAST(week AS VARCHAR), CAST(home_team_id AS VARCHAR), CAST(away_team_id AS VARCHAR), season_type)) AS h FROM games) t""")
+@query("season# rows# digest", " UNION ALL ".join(f"SELECT {y} AS season, t.* FROM ({store.fingerprint_sql(f'(SELECT * FROM games WHERE season = {y}) g', FINGERPRINTED)}) t WHERE rows > 0" for y in range(1990, 2010)))
 def canonical_fingerprint(spark, d):
-    """Digest of sorted record digests: for tables of bounded size, where both engines must agree."""
-    h = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("game_id", "season", "week", "home_team_id", "away_team_id")), "season_type"), 256)
-    return games(spark, d).select(h.alias("h")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    """Digests of the identity of each season's games; they add up to that of the table."""
+    return store.fingerprint(games(spark, d), FINGERPRINTED, by=["season"])
 
 
 @query("completed n# with_scores#", "SELECT completed, COUNT(*) AS n, COUNT(home_score) AS with_scores FROM games GROUP BY completed")
@@ -877,6 +879,33 @@ def safe_export(spark, d):
 QUERIES["rate_metrics"] = QUERIES.pop("rate_metrics_query")
 
 
+# --- the stream's store -------------------------------------------------------------------------------------------------------
+
+
+def replayed(spark, d):
+    """The three snapshots as batches of a version store, compacted after the second; every other conflict is decided for the last."""
+    versions_ = derived(spark, d, "snapshots").withColumn("game_date", F.col("game_date").cast("timestamp"))
+    kept = VersionStore(spark, f"{store.shared_dir(spark)}/replayed-{uuid.uuid4().hex}", RECORD)
+    for n, run in enumerate(("run-a", "run-b", "run-c")):
+        touched = kept.append(versions_.where(F.col("run_id") == run), n)
+        if n == 1:
+            for season in touched:
+                kept.compact(season, n)
+    kept.decide(kept.conflicts().where("run_id = 'run-c' AND game_id % 2 = 0").select("game_id", "digest", "season"), 3)
+    return kept
+
+
+@query("game_id# season# completed home_score# away_score#", "SELECT game_id, season, completed, CASE WHEN game_id % 97 = 0 AND game_id % 2 = 0 THEN home_score + 1 ELSE home_score END AS home_score, away_score FROM games")
+def stream_store_games(spark, d):
+    return replayed(spark, d).current()
+
+
+@query("game_id# run_id batch#", """SELECT game_id, CASE WHEN game_id % 5 = 0 THEN 'run-b' ELSE 'run-a' END AS run_id, CASE WHEN game_id % 5 = 0 THEN 1 ELSE 0 END AS batch FROM games WHERE completed AND game_id % 97 = 0 AND game_id % 2 = 1
+UNION ALL SELECT game_id, 'run-c', 2 FROM games WHERE completed AND game_id % 97 = 0 AND game_id % 2 = 1""")
+def stream_store_conflicts(spark, d):
+    return replayed(spark, d).conflicts()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: (lambda spark, d, q=q: shaped(q.run(spark, d), q.columns)) for n, q in QUERIES.items()}
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import neutralise
@@ -44,12 +44,44 @@ def join_summary(rows: DataFrame, summary: DataFrame, key: str | list[str], most
     return rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, summary.schema)), key)
 
 
-def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(rows, digest): a count and a digest of the rows in any order; equal rows don't cancel out."""
-    cols = sorted(columns or df.columns)
-    row = F.xxhash64(*cols)
-    counted = df.select(row.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64("h", "n")), F.lit(0)).alias("digest"))
+LIMBS = 4
+WRAP = 1 << 32
+
+
+def row_text(columns: list[str]) -> Column:
+    """A row as one text that no other row has: per column the length and text of its value, or ``n`` for null."""
+    def one(c: str) -> Column:
+        text = F.col(f"`{c}`").cast("string")
+        return F.when(F.col(f"`{c}`").isNull(), "n").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+    return F.concat_ws("|", *map(one, columns))
+
+
+def fingerprint(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(rows, digest), for each value of ``by`` if given: a count and a digest of the rows in any order.
+
+    The digest is a multiset hash: the first 128 bits of each row's SHA-256 are four whole numbers, which are summed modulo 2^32. So
+    repeated rows count, digests of parts add up to that of the whole (``add_fingerprints``), any engine with SHA-256 can compute
+    it, and each task sends no more than its sums.
+    """
+    h = F.sha2(row_text(sorted(columns or df.columns)).cast("binary"), 256)
+    limbs = df.select(*(by or []), *(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)").alias(f"_{i}") for i in range(LIMBS)))
+    sums = limbs.groupBy(*(by or [])).agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(LIMBS)))
+    shown = F.concat(*(F.lpad(F.hex((F.col(f"_{i}") % WRAP).cast("bigint")), 8, "0") for i in range(LIMBS)))
+    return sums.select(*(by or []), "rows", F.lower(shown).alias("digest"))
+
+
+def add_fingerprints(parts: list[tuple[int, str]]) -> tuple[int, str]:
+    """(rows, digest) of the rows of all parts together."""
+    limbs = [sum(int(d[8 * i : 8 * i + 8], 16) for _, d in parts) % WRAP for i in range(LIMBS)]
+    return sum(n for n, _ in parts), "".join(f"{v:08x}" for v in limbs)
+
+
+def fingerprint_sql(table: str, columns: list[str]) -> str:
+    """DuckDB SQL of ``fingerprint``'s row for a table."""
+    one = lambda c: f"CASE WHEN {c} IS NULL THEN 'n' ELSE concat(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR), ':', CAST({c} AS VARCHAR)) END"
+    sums = ", ".join(f"lpad(lower(to_hex(CAST(coalesce(SUM(CAST(concat('0x', substr(h, {8 * i + 1}, 8)) AS HUGEINT)), 0) % {WRAP} AS BIGINT))), 8, '0')" for i in range(LIMBS))
+    return f"SELECT COUNT(*) AS rows, concat({sums}) AS digest FROM (SELECT sha256(concat_ws('|', {', '.join(map(one, sorted(columns)))})) AS h FROM {table}) t"
 
 
 def record_digest(columns: list[str]):
@@ -64,20 +96,40 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def publish(self, run_id: str, kind: str, tables: dict[str, DataFrame], as_of: str | None = None, dataset_id: str | None = None, model: str | None = None,
-                warnings: list[str] | None = None, sort: dict[str, list[str]] | None = None) -> None:
-        """Write the tables of a run, check them by fingerprint, then its row."""
+                warnings: list[str] | None = None, sort: dict[str, list[str]] | None = None, partition: dict[str, str] | None = None) -> None:
+        """Write the tables of a run, check them by fingerprint, then its row.
+
+        ``sort`` gives a table's order, over all its files; ``partition`` a column by whose values its files lie in folders of their
+        own, each with its own fingerprint, so that a reader of some of them verifies no others.
+        """
         counts = {}
         for name, df in tables.items():
-            order = (sort or {}).get(name)
+            order, column = (sort or {}).get(name), (partition or {}).get(name)
             path = f"{self.root}/{name}/run_id={run_id}"
-            (df.sortWithinPartitions(*order) if order else df).write.mode("errorifexists").parquet(path)
-            back = fingerprint(self.spark.read.parquet(path)).first()
-            counts[name] = back["rows"]
-            counts[f"{name}:digest"] = back["digest"]
+            writer = (df.orderBy(*([column] if column else []), *order) if order else df).write.mode("errorifexists")
+            (writer.partitionBy(column) if column else writer).parquet(path)
+            back = self._read(path)
+            if column:
+                parts = {str(r[column]): (r["rows"], r["digest"]) for r in fingerprint(back, by=[column]).collect()}  # partitions of one table
+                counts[f"{name}:by:{column}"] = len(parts)
+                for value, found in parts.items():
+                    self._note(counts, f"{name}/{value}", found)
+                whole = add_fingerprints(list(parts.values()))
+            else:
+                whole = fingerprint(back).first()
+            self._note(counts, name, whole)
         row = self.spark.createDataFrame([(run_id, kind, "complete", 1, None, None, dataset_id, model, counts, warnings or [])], RUNS)
         row = row.withColumns({"created_at": F.current_timestamp(), "as_of": F.lit(as_of).cast("timestamp")})
         row.write.mode("append").parquet(f"{self.root}/runs")
 
+    @staticmethod
+    def _note(counts: dict, name: str, found: tuple[int, str]) -> None:
+        counts[name] = found[0]
+        counts |= {f"{name}:{i}": int(found[1][8 * i : 8 * i + 8], 16) for i in range(LIMBS)}
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.option("basePath", path).parquet(path)
+
     def runs(self, kind: str | None = None) -> DataFrame:
         df = self.spark.read.schema(RUNS).parquet(f"{self.root}/runs").where("status = 'complete'")
         return (df.where(F.col("kind") == kind) if kind else df).orderBy("created_at", "run_id")
@@ -85,18 +137,29 @@ class Store:
     def newest(self, kind: str) -> str | None:
         return newest(self.runs(kind))
 
-    def load(self, name: str, run_id: str, required: list[str] | None = None) -> DataFrame:
-        """A table of a run, verified: status, columns, row count and digest."""
+    def load(self, name: str, run_id: str, required: list[str] | None = None, only: list | None = None) -> DataFrame:
+        """A table of a run, verified: status, columns, row count and digest; with ``only``, the partitions of these values, which alone are read."""
         run = self.runs().where(F.col("run_id") == run_id).first()
         if run is None:
             raise ValueError(f"no complete run {run_id}")
-        df = self.spark.read.parquet(f"{self.root}/{name}/run_id={run_id}")
+        df, counts = self._read(f"{self.root}/{name}/run_id={run_id}"), run["counts"]
         missing = set(required or []) - set(df.columns)
         if missing:
             raise ValueError(f"run {run_id}, table {name}: missing columns {sorted(missing)}")
-        found = fingerprint(df).first()
-        if (found["rows"], found["digest"]) != (run["counts"].get(name), run["counts"].get(f"{name}:digest")):
-            raise ValueError(f"run {run_id}, table {name}: content differs from what was published")
+        if only is None:
+            found = {name: tuple(fingerprint(df).first())}
+        else:
+            column = next((k.split(":by:")[1] for k in counts if k.startswith(f"{name}:by:")), None)
+            if column is None:
+                raise ValueError(f"run {run_id}, table {name}: it was published without partitions")
+            df = df.where(F.col(column).isin(list(only)))
+            there = {str(r[column]): (r["rows"], r["digest"]) for r in fingerprint(df, by=[column]).collect()}
+            found = {f"{name}/{v}": there.get(str(v), (0, "0" * 8 * LIMBS)) for v in only if f"{name}/{v}" in counts or str(v) in there}
+        for key, what in found.items():
+            said: dict = {}
+            self._note(said, key, what)
+            if any(counts.get(k) != v for k, v in said.items()):
+                raise ValueError(f"run {run_id}, table {key}: content differs from what was published")
         return df
 
     def all_runs(self, name: str, kind: str, columns: list[str] | None = None) -> DataFrame:

@@ -310,6 +310,22 @@ def test_store_publishes_verifies_and_detects_tampering(spark, league, tmp_path)
     with pytest.raises(ValueError, match="differs"):
         s.load("games", "d1")
     assert store.fingerprint(games).first() == store.fingerprint(games.repartition(7)).first()
+    assert store.fingerprint(games).first() != store.fingerprint(games.union(games)).first() and store.fingerprint(games.where("false")).first().rows == 0
+    parts = [tuple(store.fingerprint(games.where(w)).first()) for w in ("week < 3", "week >= 3", "week < 0")]
+    assert store.add_fingerprints(parts) == tuple(store.fingerprint(games).first())
+    near = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "n"), ("n", None), ("1:a", "")], "x string, y string")
+    assert len({r.digest for r in store.fingerprint(near, ["x", "y"], by=["x", "y"]).collect()}) == 5
+    # a partition is verified without the others, and files are in the order asked for
+    s.publish("d2", "dataset", {"games": games}, sort={"games": ["game_date"]}, partition={"games": "week"})
+    s.publish("d3", "dataset", {"games": games.repartition(5)}, sort={"games": ["game_date", "game_id"]})
+    ends = spark.read.parquet(f"{tmp_path}/games/run_id=d3").groupBy(F.input_file_name().alias("f")).agg(F.min("game_date").alias("a"), F.max("game_date").alias("b")).orderBy("a").collect()
+    assert all(x.b <= y.a for x, y in zip(ends, ends[1:]))
+    next((tmp_path / "games/run_id=d2/week=5").glob("*.parquet")).unlink()
+    assert s.load("games", "d2", only=[2, 3, 99]).count() == 6
+    with pytest.raises(ValueError, match="games/5: content differs"):
+        s.load("games", "d2", only=[2, 5])
+    with pytest.raises(ValueError, match="without partitions"):
+        s.load("games", "d3", only=[2])
     store.write_csv(spark.createDataFrame([("=x",)], "name string"), f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first().name == "'=x"
 
