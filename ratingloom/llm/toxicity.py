@@ -26,15 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, cut, small_batches
+from .common import bucket, cut, hot_keys, join_unique, small_batches
 
 SENTENCE = re.compile(rb"[.!?\n]+")
 #: Bounds on the labelled documents that the fit may see, and on their bytes; beyond either a hash sample of about this many is taken.
 MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 12_000, 64_000_000
 #: A feature is of use if its share of toxic documents is so many times its share of clean ones, or the other way round.
 RATIO = 2.0
-#: Labelled ids up to which these are broadcast, some 100 bytes each in memory; beyond it they are joined by a shuffle.
-MAX_BROADCAST_ROWS = 250_000
 PUNCT = b".,;:!?\"'()[]{}|*#$%&-"
 CACHE = 400_000
 RESULT = "score double, predicted int, n_sentences int, offending array<int>, worst_sentence int"
@@ -101,9 +99,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     )
-    known = cut(known)
-    few = known.count() <= MAX_BROADCAST_ROWS
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(bucket("_id", 5) != 0).join(F.broadcast(known) if few else known, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(bucket("_id", 5) != 0)
+    # the same plan at every size: ids meet their labels by a shuffle, those of many rows in slices
+    return join_unique(rows, cut(known).hint("shuffle_hash"), "_id", hot_keys(rows, "_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

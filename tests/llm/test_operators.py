@@ -44,6 +44,61 @@ def test_toxicity_learns_from_document_labels_and_locates_sentences(spark):
     assert all(list(out.offending[i]) == [i % 6] for i, _, y in rows if y)
 
 
+def plain_fit(texts, labels, rounds=250, rate=0.1, l2=1e-4):
+    """Weights by the docstring's words: telling features, then gradient steps on the noisy-or likelihood, sentence by sentence."""
+    marks = [{f for t in re.split(r"[\s.!?]+", x.lower()) for f in toxicity.features(t.encode())} for x in texts]
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    chosen = []
+    for f in sorted(set().union(*marks)):
+        a, b = (sum(f in m and y == want for m, y in zip(marks, labels)) for want in (1, 0))
+        pooled = (a + b) / (n1 + n0)
+        z = (a / n1 - b / n0) / math.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
+        ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+        if a + b >= 4 and abs(z) > 3 and not 0.5 < ratio < 2:
+            chosen.append(f)
+    bags = [[[chosen.index(f) for w in s for f in toxicity.features(w) if f in chosen] for s in toxicity.sentences(x)] for x in texts]
+    keep = [i for i, b in enumerate(bags) if b]
+    theta = np.append(np.zeros(len(chosen)), -4.0)
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, rounds + 1):
+        g = np.zeros_like(theta)
+        for i in keep:
+            p = [1 / (1 + math.exp(-(theta[-1] + sum(theta[f] for f in s)))) for s in bags[i]]
+            clean = math.prod(1 - x for x in p)
+            for s, x in zip(bags[i], p):
+                slope = clean / max(1 - clean, 1e-12) * x if labels[i] else -x
+                for f in [*s, -1]:
+                    g[f] += slope / len(keep)
+        g[:-1] -= l2 * theta[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta + rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-8)
+    return dict(zip(chosen, theta)), theta[-1]
+
+
+def test_toxicity_fit_equals_a_plain_fit(spark):
+    rng = random.Random(9)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rows = []
+    for i in range(120):
+        s = [[rng.choice(words) for _ in range(4)] for _ in range(3)]
+        if i % 3 == 0:
+            s[i % 3][0] = rng.choice(["vile", "vileness"])
+        rows.append((i, ". ".join(" ".join(x) for x in s) + ".", int(i % 3 == 0)))
+    rows += [(1000, "", 0), (1001, None, 1), (7, "alpha again.", 1)]  # an id that stands with two texts, and none
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(d.drop("toxic"), d.drop("text"))
+    top = {i: max(y for j, _, y in rows if j == i) for i, _, _ in rows}
+    used = [(i, t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    weights, bias = plain_fit([t or "" for _, t in used], [top[i] for i, _ in used])
+    assert model.bias == pytest.approx(bias, abs=1e-6) and set(model.weights) == {f for f, w in weights.items() if w}
+    assert all(model.weights[f] == pytest.approx(weights[f], abs=1e-6) for f in model.weights)
+
+
+def test_labels_are_joined_by_one_plan_at_every_size(spark, data):
+    plan = toxicity.labelled(table(spark, data, "documents"), table(spark, data, "labels"), "doc_id", "text", "toxic")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
 def test_toxicity_held_out_accuracy(spark, data):
     out = entries.op1_toxicity(spark, data).join(table(spark, data, "labels"), "doc_id").where("held_out")
     right = out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0]
