@@ -895,7 +895,7 @@ def replayed(spark, d):
     return kept
 
 
-@query("game_id# season# completed home_score# away_score#", "SELECT game_id, season, completed, CASE WHEN game_id % 97 = 0 AND game_id % 2 = 0 THEN home_score + 1 ELSE home_score END AS home_score, away_score FROM games")
+@query("game_id# season# completed home_score~ away_score~", "SELECT game_id, season, completed, CASE WHEN game_id % 97 = 0 AND game_id % 2 = 0 THEN home_score + 1 ELSE home_score END AS home_score, away_score FROM games")
 def stream_store_games(spark, d):
     return replayed(spark, d).current()
 
