@@ -236,7 +236,37 @@ def advanced_from_json(spark, d):
 @query("game_id# team metric value~", """SELECT game_id, CAST(team AS VARCHAR) AS team, metric, value FROM (SELECT game_id, team, 'success_rates_overall_total' AS metric, success_rate AS value FROM advanced UNION ALL SELECT game_id, team, 'ppa_overall_total', ppa FROM advanced
   UNION ALL SELECT game_id, team, 'explosiveness_overall_total', explosiveness FROM advanced UNION ALL SELECT game_id, team, 'havoc_total', havoc FROM advanced UNION ALL SELECT game_id, team, 'scoring_opportunities_points_per_opportunity', points_per_opportunity FROM advanced) t WHERE value IS NOT NULL""")
 def advanced_flattened(spark, d):
-    return raw_json.flatten_advanced(advanced_payloads(spark, d))
+    return raw_json.flatten_advanced(advanced_payloads(spark, d))[0]
+
+
+DEEP_RULE = "CASE WHEN game_id % 17 = 0 THEN 'invalid_json' WHEN game_id % 13 = 0 THEN 'no_teams' WHEN game_id % 11 = 0 THEN 'category_not_a_list' WHEN game_id % 7 = 0 THEN 'entry_without_team' END"
+
+
+def deep_payloads(spark, d):
+    """Boxes whose numbers, texts and flags lie six objects below their record; some are broken."""
+    a = derived(spark, d, "advanced").withColumn("team", F.col("team").cast("string"))
+    inner = F.struct(F.col("ppa").alias("meanPpa"), F.concat(F.lit("from {"), F.col("team"), F.lit("}")).alias("note"), (F.col("havoc") > 0.1).alias("isHigh"), F.array(F.lit(1), F.lit(2)).alias("drives"))
+    for key in ("redZone", "byZone", "third", "byDown", "quarter1", "byQuarter"):
+        inner = F.struct(inner.alias(key))
+    entry = F.struct(F.when(F.col("game_id") % 7 != 0, F.col("team")).alias("team"), F.col("success_rate").alias("successRate"), inner.alias("overall"))
+    boxes = a.groupBy("game_id").agg(F.collect_list(entry).alias("e"))
+    teams = F.when(F.col("game_id") % 11 == 0, F.to_json(F.struct(F.struct(F.lit("none").alias("passingDowns")).alias("teams")))).otherwise(F.to_json(F.struct(F.struct(F.col("e").alias("passingDowns")).alias("teams"))))
+    text = F.when(F.col("game_id") % 17 == 0, F.rtrim(teams, F.lit("}"))).when(F.col("game_id") % 13 == 0, F.lit('{"gameInfo": {}}')).otherwise(teams)
+    return boxes.select("game_id", text.alias("payload"))
+
+
+DEEP = "passing_downs_overall_by_quarter_quarter1_by_down_third_by_zone_red_zone_"
+
+
+@query("game_id# team metric value~ text flag", f"""WITH a AS (SELECT *, CAST(team AS VARCHAR) AS t FROM advanced WHERE ({DEEP_RULE}) IS NULL) SELECT game_id, t AS team, 'passing_downs_success_rate' AS metric, success_rate AS value, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS BOOLEAN) AS flag FROM a WHERE success_rate IS NOT NULL
+  UNION ALL SELECT game_id, t, '{DEEP}mean_ppa', ppa, NULL, NULL FROM a WHERE ppa IS NOT NULL UNION ALL SELECT game_id, t, '{DEEP}note', NULL, concat('from {{', t, '}}'), NULL FROM a UNION ALL SELECT game_id, t, '{DEEP}is_high', NULL, NULL, havoc > 0.1 FROM a WHERE havoc IS NOT NULL""")
+def advanced_deep(spark, d):
+    return raw_json.flatten_advanced(deep_payloads(spark, d))[0]
+
+
+@query("game_id# rule", f"SELECT DISTINCT game_id, {DEEP_RULE} AS rule FROM advanced WHERE ({DEEP_RULE}) IS NOT NULL")
+def advanced_rejected(spark, d):
+    return raw_json.flatten_advanced(deep_payloads(spark, d))[1]
 
 
 def line_payloads(spark, d):

@@ -162,30 +162,70 @@ def read_advanced(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return long.groupBy("game_id", "team").agg(*(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in pick))
 
 
-def flatten_advanced(payloads: DataFrame, column: str = "payload", depth: int = 5) -> DataFrame:
-    """Long form (game_id, team, metric, value) of all numbers of dynamic advanced boxes; names join path parts in snake case.
+#: Objects within objects up to which a dynamic box is descended into; deeper ones are set aside.
+MAX_DEPTH = 64
 
-    Categories and nesting may differ from box to box: they are read as variants. Arrays inside a record are passed over.
-    """
-    rows = payloads.select("game_id", F.try_parse_json(column).alias("v"))
-    rows.createOrReplaceTempView("_advanced_boxes")
-    spark = payloads.sparkSession
-    level = spark.sql(
-        "SELECT b.game_id, variant_get(r.value, '$.team', 'string') AS team, c.key AS path, r.value AS v FROM _advanced_boxes b, "
-        "LATERAL variant_explode(variant_get(b.v, '$.teams', 'variant')) c, LATERAL variant_explode(c.value) r"
+
+def snake(name: Column) -> Column:
+    """A key in snake case: an underscore before each capital but the first character."""
+    return F.lower(F.regexp_replace(name, "(?<!^)(?=[A-Z])", "_"))
+
+
+def nesting(text: Column) -> Column:
+    """How many objects lie within each other in a JSON text; braces within strings don't count."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', ""), "[^{}]+", "")
+    open_ = lambda acc, c: acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+    deepest = lambda acc, c: F.struct(open_(acc, c).alias("now"), F.greatest(acc["most"], open_(acc, c)).alias("most"))
+    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deepest, lambda acc: acc["most"])
+
+
+def _advanced_boxes(payloads: DataFrame, column: str) -> DataFrame:
+    """(game_id, depth, teams, rule): a box's categories as a map of variants, and the rule that the box breaks."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    boxes = payloads.select("game_id", nesting(F.col(column)).alias("depth"), F.try_parse_json(column).alias("v"))
+    boxes = boxes.withColumn("teams", F.try_variant_get("v", "$.teams", "map<string,variant>"))
+    listed = lambda c: F.startswith(kind(c["value"]), F.lit("ARRAY"))
+    entries = lambda c: F.try_variant_get(c["value"], "$", "array<variant>")
+    name = lambda e: F.try_variant_get(e, "$.team", "string")
+    named = lambda e: (F.length(F.coalesce(name(e), F.lit(""))) > 0) & ~kind(F.try_variant_get(e, "$.team", "variant")).rlike("^(OBJECT|ARRAY)")
+    categories = F.map_entries("teams")
+    rule = (
+        F.when(F.col("v").isNull(), "invalid_json")
+        .when(F.col("teams").isNull() | ~F.startswith(kind(F.try_variant_get("v", "$.teams", "variant")), F.lit("OBJECT")), "no_teams")
+        .when(~F.forall(categories, listed), "category_not_a_list")
+        .when(~F.forall(categories, lambda c: F.forall(entries(c), named)), "entry_without_team")
+        .when(F.col("depth") > MAX_DEPTH, "too_deep")
     )
-    leaves = []
-    for _ in range(depth):
-        level.createOrReplaceTempView("_advanced_level")
-        nxt = spark.sql("SELECT l.game_id, l.team, concat_ws('.', l.path, f.key) AS path, f.value AS v, schema_of_variant(f.value) AS kind FROM _advanced_level l, LATERAL variant_explode(l.v) f WHERE f.key IS NOT NULL AND f.key <> 'team'")
-        leaves.append(nxt.where("kind IN ('BIGINT', 'DOUBLE', 'FLOAT') OR kind LIKE 'DECIMAL%'").select("game_id", "team", "path", F.expr("variant_get(v, '$', 'double')").alias("value")))
-        level = nxt.where("kind LIKE 'OBJECT%'").select("game_id", "team", "path", "v")
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    name = F.lower(F.regexp_replace(F.replace("path", F.lit("."), F.lit("_")), r"([a-z0-9])([A-Z])", "$1_$2"))
-    return out.select("game_id", "team", name.alias("metric"), "value")
+    return boxes.select("game_id", "depth", "teams", rule.alias("rule"))
+
+
+def flatten_advanced(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Long form (game_id, team, metric, entry, value, text, flag) of dynamic advanced boxes, and (game_id, rule) of the broken ones.
+
+    Categories and nesting may differ from box to box: they are read as variants, to the depth that the boxes have (which is found
+    first). A metric's name joins the keys on its path in snake case; its value is a number, text or flag, in the column of its
+    kind (all null for a JSON null). Arrays inside a record are passed over. A box that breaks a rule gives no rows at all. A team
+    that a category lists twice has both entries' rows; ``entry`` tells their order.
+    """
+    boxes = _advanced_boxes(payloads, column)
+    good = boxes.where("rule IS NULL")
+    depth = good.agg(F.max("depth")).first()[0] or 0
+    each = good.select("game_id", F.explode("teams").alias("category", "list"))
+    each = each.select("game_id", snake(F.col("category")).alias("metric"), F.posexplode(F.try_variant_get("list", "$", "array<variant>")).alias("entry", "v"))
+    rows = each.withColumn("team", F.try_variant_get("v", "$.team", "string"))
+    object_ = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
+    for step in range(max(depth - 2, 0)):  # box, teams and record are three; each step opens the objects of one level, leaves pass through
+        inner = payloads.sparkSession.tvf.variant_explode_outer(F.when(object_, F.col("v")).outer())
+        rows = rows.lateralJoin(inner.select(F.col("key").alias("_key"), F.col("value").alias("_value")))
+        rows = rows.where("_key IS NULL OR _key <> 'team'") if step == 0 else rows
+        rows = rows.select("game_id", "team", F.when(F.col("_key").isNull(), F.col("metric")).otherwise(F.concat("metric", F.lit("_"), snake(F.col("_key")))).alias("metric"), "entry", F.coalesce("_value", "v").alias("v"))
+    kind = F.schema_of_variant("v")
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    of = lambda on, as_: F.when(on, F.try_variant_get("v", "$", as_))
+    leaves = rows.where(~kind.rlike("^(OBJECT|ARRAY)")).select("game_id", "team", "metric", "entry", of(number, "double").alias("value"), of(kind == "STRING", "string").alias("text"), of(kind == "BOOLEAN", "boolean").alias("flag"))
+    return leaves, boxes.where("rule IS NOT NULL").select("game_id", "rule")
 
 
 def pivot_advanced(long: DataFrame, metrics: list[str] | None = None) -> DataFrame:
-    return long.groupBy("game_id", "team").pivot("metric", metrics).agg(F.first("value"))
+    """A row per game and team with the numbers as columns; of repeated entries the last counts."""
+    return long.groupBy("game_id", "team").pivot("metric", metrics).agg(F.max_by("value", "entry"))
