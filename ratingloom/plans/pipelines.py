@@ -54,8 +54,8 @@ def compare(data: Dataset, rated: DataFrame, fixtures: DataFrame, s: ratings.Set
     return out, project.situational_edges(out), project.tale_of_tape(out)
 
 
-def assemble(store: Store, run_id: str, games: DataFrame, stats: DataFrame, decisions: DataFrame | None = None, token: str | None = None) -> Dataset:
-    """Merge versions of games and stats (with run_id and captured_at) to a dataset; conflicts need decisions."""
+def merge(games: DataFrame, stats: DataFrame, decisions: DataFrame | None = None, token: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(games, stats, upgraded) of versions of games and stats (with run_id and captured_at), checked; conflicts need decisions."""
     if decisions is not None:
         plan = cut(versions.review_plan(games, stats))
         games = cut(versions.apply_decisions(games, plan, decisions, token))
@@ -67,6 +67,12 @@ def assemble(store: Store, run_id: str, games: DataFrame, stats: DataFrame, deci
         raise validate.ValidationError("versions are in conflict; review them")
     merged, boxes = cut(merged), cut(boxes)
     validate.strict(validate.consistency(merged, boxes))
+    return merged, boxes, upgraded
+
+
+def assemble(store: Store, run_id: str, games: DataFrame, stats: DataFrame, decisions: DataFrame | None = None, token: str | None = None) -> Dataset:
+    """Publish the dataset to which versions of games and stats merge."""
+    merged, boxes, upgraded = merge(games, stats, decisions, token)
     store.publish(run_id, "dataset", {"games": merged, "team_game_stats": boxes, "upgraded": upgraded}, sort={"games": ["game_date", "game_id"], "team_game_stats": ["game_id", "team_id"]})
     return Dataset(store.load("games", run_id), store.load("team_game_stats", run_id))
 

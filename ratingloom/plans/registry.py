@@ -19,7 +19,8 @@ from ..sources import raw_json, store
 from ..sources.adapters import derived
 from ..streaming import RECORD
 from ..streaming.versioned import VersionStore
-from . import oracles
+from . import incremental, oracles
+from .pipelines import Dataset
 
 AS_OF = "2001-06-15 00:00:00"
 FINGERPRINTED = ["game_id", "week", "home_team_id", "away_team_id", "season_type"]
@@ -868,6 +869,43 @@ def presented_forecasts(spark, d):
     return presented(upcoming.rolling_forecast(todo(spark, d), games(spark, d)))
 
 
+_UPDATED: dict[tuple[str, str], str] = {}
+
+
+def updated(spark, d):
+    """A store with a first run that lacks the results of some late games, and a second that adds them to it; made once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _UPDATED:
+        kept = store.Store(spark, f"{store.shared_dir(spark)}/updated-{uuid.uuid4().hex}")
+        g, s = games(spark, d).withColumn("game_date", F.col("game_date").cast("timestamp")), stats(spark, d)
+        late = g.where("completed AND season >= 2000 AND game_id % 40 = 0")
+        was = g.join(late.select("game_id", F.lit(True).alias("_late")), "game_id", "left")
+        was = was.withColumns({c: F.when(F.col("_late").isNull(), F.col(c)) for c in ("home_score", "away_score")} | {"completed": F.col("completed") & F.col("_late").isNull()})
+        incremental.start(kept, "first", Dataset(was.drop("_late").select(*g.columns), s.join(late, "game_id", "left_anti")), teams(spark, d))
+        incremental.weekly(kept, "second", "first", late, s.join(late, "game_id", "left_semi"), teams(spark, d))
+        _UPDATED[key] = kept.root
+    return store.Store(spark, _UPDATED[key])
+
+
+@query("unit# team_id# rank# tier power_rating~ offensive_rating~ defensive_rating~ strength_of_schedule~ recent_form_rating~", "SELECT * FROM rated")
+def ratings_after_late_results(spark, d):
+    """Ratings of all seasons, of which the second run rated those with late results."""
+    return updated(spark, d).load("ratings", "second-ratings")
+
+
+@query(f"game_id# team_id# season# prior_games# {FEATS}", "SELECT * FROM feats")
+def features_after_late_results(spark, d):
+    """Features of all team-games, of which the second run computed those of teams with late results."""
+    return updated(spark, d).load("team_features", "second-features")
+
+
+@query("season# games#", "SELECT season, COUNT(*) AS games FROM games WHERE season IN (SELECT season FROM games WHERE completed AND season >= 2000 AND game_id % 40 = 0) GROUP BY season")
+def seasons_of_late_results(spark, d):
+    """The seasons that the second run wrote, with their games."""
+    kept = updated(spark, d)
+    return kept.load("games", "second-data", only=incremental.dirty_seasons(kept, "first-data", "second-data")).groupBy("season").agg(F.count("*").alias("games"))
+
+
 # --- dimensions and exports -----------------------------------------------------------------------------------------------------
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import neutralise
 
-RUNS = "run_id string, kind string, status string, schema_version int, created_at timestamp, as_of timestamp, dataset_id string, model string, counts map<string,bigint>, warnings array<string>"
+RUNS = "run_id string, kind string, status string, schema_version int, created_at timestamp, as_of timestamp, dataset_id string, model string, counts map<string,bigint>, warnings array<string>, owners map<string,string>"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,29 +98,47 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def publish(self, run_id: str, kind: str, tables: dict[str, DataFrame], as_of: str | None = None, dataset_id: str | None = None, model: str | None = None,
-                warnings: list[str] | None = None, sort: dict[str, list[str]] | None = None, partition: dict[str, str] | None = None) -> None:
+                warnings: list[str] | None = None, sort: dict[str, list[str]] | None = None, partition: dict[str, str] | None = None,
+                base: str | None = None, replaces: dict[str, list] | None = None) -> None:
         """Write the tables of a run, check them by fingerprint, then its row.
 
         ``sort`` gives a table's order, over all its files; ``partition`` a column by whose values its files lie in folders of their
         own, each with its own fingerprint, so that a reader of some of them verifies no others.
+
+        With ``base``, an earlier run, its partitions stand for those that this run doesn't write: they are neither read nor copied.
+        ``replaces`` gives for a table the partitions that this run decides on, written or not (a season whose rows are all gone); its
+        rows must lie in these.
         """
-        counts = {}
+        counts, owners = {}, {}
+        before = self._run(base) if base else None
         for name, df in tables.items():
             order, column = (sort or {}).get(name), (partition or {}).get(name)
             path = f"{self.root}/{name}/run_id={run_id}"
             writer = (df.orderBy(*([column] if column else []), *order) if order else df).write.mode("errorifexists")
             (writer.partitionBy(column) if column else writer).parquet(path)
-            back = self._read(path)
+            back = self._read(path, df.schema)
             if column:
                 parts = {str(r[column]): (r["rows"], r["digest"]) for r in fingerprint(back, by=[column]).collect()}  # partitions of one table
+                mine = {str(v) for v in (replaces or {}).get(name, parts)}
+                if not set(parts) <= mine:
+                    raise ValueError(f"run {run_id}, table {name}: rows outside the partitions that it replaces")
+                owners |= {f"{name}/{v}": run_id for v in parts}
+                if before is not None:
+                    if f"{name}:by:{column}" not in before["counts"]:
+                        raise ValueError(f"run {base} has no table {name} partitioned by {column}")
+                    kept = {v: found for v, found in self.partitions(name, base).items() if v not in mine}
+                    owners |= {f"{name}/{v}": before["owners"][f"{name}/{v}"] for v in kept}
+                    parts |= kept
                 counts[f"{name}:by:{column}"] = len(parts)
                 for value, found in parts.items():
                     self._note(counts, f"{name}/{value}", found)
                 whole = add_fingerprints(list(parts.values()))
+            elif before is not None:
+                raise ValueError(f"run {run_id}, table {name}: a table on a base needs partitions")
             else:
                 whole = fingerprint(back).first()
             self._note(counts, name, whole)
-        row = self.spark.createDataFrame([(run_id, kind, "complete", 1, None, None, dataset_id, model, counts, warnings or [])], RUNS)
+        row = self.spark.createDataFrame([(run_id, kind, "complete", 1, None, None, dataset_id, model, counts, warnings or [], owners)], RUNS)
         row = row.withColumns({"created_at": F.current_timestamp(), "as_of": F.lit(as_of).cast("timestamp")})
         row.write.mode("append").parquet(f"{self.root}/runs")
 
@@ -127,8 +147,38 @@ class Store:
         counts[name] = found[0]
         counts |= {f"{name}:{i}": int(found[1][8 * i : 8 * i + 8], 16) for i in range(LIMBS)}
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.option("basePath", path).parquet(path)
+    def _read(self, path: str, schema: T.StructType | None = None) -> DataFrame:
+        reader = self.spark.read.option("basePath", path)
+        return (reader.schema(schema) if schema else reader).parquet(path)
+
+    def _run(self, run_id: str):
+        run = self.runs().where(F.col("run_id") == run_id).first()
+        if run is None:
+            raise ValueError(f"no complete run {run_id}")
+        return run
+
+    def partitions(self, name: str, run_id: str) -> dict[str, tuple[int, str]]:
+        """(rows, digest) of each partition of a run's table, as its row in ``runs`` has them; no data are read."""
+        counts = self._run(run_id)["counts"]
+        keys = [k for k in counts if k.startswith(f"{name}/") and not re.search(r":\d$", k)]
+        return {k.removeprefix(f"{name}/"): (counts[k], "".join(f"{counts[f'{k}:{i}']:08x}" for i in range(LIMBS))) for k in keys}
+
+    def changed(self, name: str, old: str, new: str) -> list[str]:
+        """The partitions, as text, in which two runs' tables differ: by their digests alone."""
+        a, b = self.partitions(name, old), self.partitions(name, new)
+        return sorted(v for v in a.keys() | b.keys() if a.get(v) != b.get(v))
+
+    def _rows(self, name: str, run) -> DataFrame:
+        """A run's table: the files that it wrote, and those of the runs that its other partitions come from."""
+        column = next((k.split(":by:")[1] for k in run["counts"] if k.startswith(f"{name}:by:")), None)
+        owners: dict[str, list[str]] = {}
+        for key, owner in (run["owners"] or {}).items():
+            if key.startswith(f"{name}/"):
+                owners.setdefault(owner, []).append(key.removeprefix(f"{name}/"))
+        path = lambda owner: f"{self.root}/{name}/run_id={owner}"
+        if column is None or set(owners) <= {run["run_id"]}:
+            return self._read(path(run["run_id"]))
+        return union_all([self._read(path(o)).where(F.col(column).cast("string").isin(values)) for o, values in sorted(owners.items())])
 
     def runs(self, kind: str | None = None) -> DataFrame:
         df = self.spark.read.schema(RUNS).parquet(f"{self.root}/runs").where("status = 'complete'")
@@ -139,10 +189,8 @@ class Store:
 
     def load(self, name: str, run_id: str, required: list[str] | None = None, only: list | None = None) -> DataFrame:
         """A table of a run, verified: status, columns, row count and digest; with ``only``, the partitions of these values, which alone are read."""
-        run = self.runs().where(F.col("run_id") == run_id).first()
-        if run is None:
-            raise ValueError(f"no complete run {run_id}")
-        df, counts = self._read(f"{self.root}/{name}/run_id={run_id}"), run["counts"]
+        run = self._run(run_id)
+        df, counts = self._rows(name, run), run["counts"]
         missing = set(required or []) - set(df.columns)
         if missing:
             raise ValueError(f"run {run_id}, table {name}: missing columns {sorted(missing)}")
