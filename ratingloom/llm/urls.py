@@ -32,6 +32,8 @@ SUFFIXES = ("tld", "domain", "first", "head")
 FOLDS, SMOOTHING = 5, 20.0
 #: Suffixes of a kind up to which their statistics are broadcast, as rows of about 200 bytes.
 MAX_BROADCAST_ROWS = 50_000
+#: A node of a tree chooses among a third of the features, drawn anew: else the rates, which the rules' labels follow, would take all nodes.
+SUBSET = "onethird"
 FEATURES = ("url_len", "host_len", "path_len", "depth", "labels", "digits", "entropy", "params", "has_fragment", "hyphens", "secure", *(f"{s}_rate" for s in SUFFIXES))
 
 
@@ -112,14 +114,14 @@ def fit(known: DataFrame, stats: DataFrame, base: float, n: int, labelled: int,
     """Trees fitted to about ``max_train`` of the labelled rows of ``known``, chosen by the hash of their ``_row``."""
     chosen = F.pmod(F.col("_row"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_train / labelled)) + 1
     ready = gathered(with_rates(known.where(F.col("label").isNotNull() & chosen), stats, base, n, True)).select("features", "label").coalesce(4)
-    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32).fit(ready)
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32, featureSubsetStrategy=SUBSET).fit(ready)
 
 
 def gathered(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
 
-def judge(pages: DataFrame, rules=RULES, url_col: str = "url", max_train: int = MAX_TRAIN, trees: int = 12, depth: int = 4, id_col: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, url_col: str = "url", max_train: int = MAX_TRAIN, trees: int = 30, depth: int = 4, id_col: str = "page_id") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``block_probability`` (of the trees, null where a rule decides)."""
     new = ("host", "path", "rule", "verdict", "block_probability")
     kept = [c for c in pages.columns if c not in new]

@@ -168,9 +168,15 @@ def test_url_rules_equal_brute_force(spark, data):
         assert (r.host, r.path, r.rule) == (host, path, rule) and verdict in (None, r.verdict)
 
 
-def test_trees_judge_unruled_urls_by_more_than_one_number(spark, data):
+def test_trees_judge_unruled_urls_by_lexical_features_too(spark, data, monkeypatch):
+    models, fit = [], urls.fit
+    monkeypatch.setattr(urls, "fit", lambda *a: models.append(fit(*a)) or models[-1])
     out = urls.judge(spark.read.parquet(f"{data}/pages.parquet")).where("rule IS NULL")
-    assert {r[0] for r in out.select("verdict").distinct().collect()} == {"allow", "block"} and out.select("block_probability").distinct().count() > 1
+    assert {r[0] for r in out.select("verdict").distinct().collect()} == {"allow", "block"}
+    assert out.select("block_probability").distinct().count() > 0.8 * out.count()
+    weight = dict(zip(urls.FEATURES, models[0].featureImportances.toArray().tolist()))
+    print(weight)
+    assert sum(w > 0 for f, w in weight.items() if not f.endswith("_rate")) >= 4
 
 
 def test_trees_find_labels_of_hosts_that_they_have_not_seen(spark):
