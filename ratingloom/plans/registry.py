@@ -17,7 +17,7 @@ from ..operators import asof, dimensions, evaluate, features, grade, market, mod
 from ..schema import GAMES, ROLLING
 from ..sources import raw_json, store
 from ..sources.adapters import derived
-from ..streaming import RECORD
+from ..streaming import RECORD, overdue
 from ..streaming.versioned import VersionStore
 from . import incremental, oracles
 from .pipelines import Dataset
@@ -974,6 +974,45 @@ def stream_store_conflicts(spark, d):
     return replayed(spark, d).conflicts()
 
 
+# --- overdue results ------------------------------------------------------------------------------------------------------------
+
+#: Days after kickoff at which a result is overdue in these queries.
+WAIT = 3
+#: Captures of every game: before kickoff (some with an earlier one), the day after, some with a new date after eight, and the result after up to five.
+CAPTURES = """SELECT game_id, game_date - INTERVAL '10' DAY AS captured_at, false AS completed, CASE WHEN game_id % 7 = 0 THEN game_date - INTERVAL '4' DAY ELSE game_date END AS game_date FROM games
+UNION ALL SELECT game_id, game_date + INTERVAL '1' DAY, false, game_date FROM games
+UNION ALL SELECT game_id, game_date + INTERVAL '8' DAY, false, game_date + INTERVAL '10' DAY FROM games WHERE game_id % 13 = 0
+UNION ALL SELECT game_id, game_date + CASE game_id % 6 WHEN 0 THEN INTERVAL '2' DAY WHEN 1 THEN INTERVAL '3' DAY WHEN 2 THEN INTERVAL '4' DAY WHEN 3 THEN INTERVAL '5' DAY WHEN 4 THEN INTERVAL '9' DAY ELSE INTERVAL '20' DAY END, true, game_date FROM games WHERE completed"""
+OVERDUE = f"""WITH captures AS ({CAPTURES}), one AS (SELECT game_id, captured_at, bool_or(completed) AS done, CASE WHEN bool_or(completed) THEN MAX(CASE WHEN completed THEN game_date END) ELSE MAX(game_date) END AS kickoff FROM captures GROUP BY game_id, captured_at),
+until_result AS (SELECT * FROM (SELECT *, COUNT(CASE WHEN done THEN 1 END) OVER (PARTITION BY game_id ORDER BY captured_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS results FROM one) WHERE results = 0),
+spans AS (SELECT *, greatest(kickoff + INTERVAL '{WAIT}' DAY, captured_at) AS due, coalesce(LEAD(captured_at) OVER (PARTITION BY game_id ORDER BY captured_at), (SELECT MAX(captured_at) + INTERVAL '1' SECOND FROM captures)) AS upto FROM until_result),
+known AS (SELECT *, coalesce(LAG(NOT done AND due < upto) OVER (PARTITION BY game_id ORDER BY captured_at), false) AS was FROM spans)
+SELECT game_id, 'result' AS event, captured_at AS noted_at, kickoff FROM known WHERE done AND was
+UNION ALL SELECT game_id, 'rescheduled', captured_at, kickoff FROM known WHERE NOT done AND was AND due > captured_at
+UNION ALL SELECT game_id, 'overdue', due, kickoff FROM known WHERE NOT done AND due < upto AND NOT (was AND due = captured_at)"""
+
+
+def captures(spark, d):
+    games(spark, d).withColumn("game_date", F.col("game_date").cast("timestamp")).createOrReplaceTempView("_dated_games")
+    return spark.sql(CAPTURES.replace("FROM games", "FROM _dated_games"))
+
+
+@query("game_id# event noted_at kickoff", OVERDUE)
+def overdue_results(spark, d):
+    return overdue.overdue_events(captures(spark, d), WAIT)
+
+
+@query("game_id# event noted_at kickoff", OVERDUE)
+def overdue_results_stream(spark, d):
+    """The same events from keyed state with timers, the stream stopped and taken up again in the middle of the years."""
+    root = f"{store.shared_dir(spark)}/overdue-{uuid.uuid4().hex}"
+    rows = store.cut(captures(spark, d))
+    for part in ("captured_at < TIMESTAMP '1998-01-01 00:00:00'", "captured_at >= TIMESTAMP '1998-01-01 00:00:00'"):
+        rows.where(part).write.mode("append").parquet(f"{root}/captures")
+        overdue.watch_overdue(spark.readStream.schema(rows.schema).parquet(f"{root}/captures"), root, WAIT)
+    return spark.read.schema("game_id bigint, event string, noted_at timestamp, kickoff timestamp").parquet(f"{root}/events")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: (lambda spark, d, q=q: shaped(q.run(spark, d), q.columns)) for n, q in QUERIES.items()}
 
