@@ -19,7 +19,7 @@ from ..sources import raw_json, store
 from ..sources.adapters import derived
 from ..streaming import RECORD, overdue
 from ..streaming.versioned import VersionStore
-from . import incremental, oracles
+from . import incremental, oracles, pipelines
 from .pipelines import Dataset
 
 AS_OF = "2001-06-15 00:00:00"
@@ -974,6 +974,77 @@ def stream_store_conflicts(spark, d):
     return replayed(spark, d).conflicts()
 
 
+# --- pipelines through a store --------------------------------------------------------------------------------------------------
+
+_CYCLED: dict[tuple[str, ...], str] = {}
+
+
+def _weekly(kept, spark, d):
+    """Two snapshots, of which the first lacks the results of every fifth game, so that the second upgrades these."""
+    g = snapshots(spark, d).where("run_id <> 'run-c'").withColumn("game_date", F.col("game_date").cast("timestamp"))
+    runs = spark.createDataFrame([("run-a", "2001-07-01"), ("run-b", "2001-07-02")], "run_id string, captured_at string").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    boxes = stats(spark, d).crossJoin(F.broadcast(runs)).where("run_id = 'run-b' OR game_id % 5 <> 0")
+    lines = market.consensus_lines(derived(spark, d, "line_items"))
+    pipelines.weekly_update(kept, "weekly", g, boxes, teams(spark, d), lines, forecasts(spark, d), AS_OF, 2000, 20)
+
+
+def _rankings(kept, spark, d):
+    pipelines.power_rankings(kept, "rankings", pipelines.load(kept), teams(spark, d), advanced=ratings.advanced_season_metrics(derived(spark, d, "advanced")))
+
+
+def _report(kept, spark, d):
+    done = pipelines.load(kept).games.withColumn("kickoff", F.when(F.col("game_id") % 83 != 0, F.col("game_date")))
+    pipelines.results(kept, "report", done, forecasts(spark, d))
+
+
+PIPELINES = {
+    "weekly": _weekly, "rankings": _rankings, "model": lambda kept, spark, d: pipelines.train(kept, "model", pipelines.load(kept)),
+    "walk": lambda kept, spark, d: pipelines.walk_forward(kept, "walk", pipelines.load(kept), list(models.COLUMN_MODELS)), "report": _report,
+}
+
+
+def cycled(spark, d, *names):
+    """A store with the runs of the named pipelines, each of which is run once a session and folder; the weekly update gives the others their dataset."""
+    key = (spark.sparkContext.applicationId, d)
+    kept = store.Store(spark, _CYCLED.setdefault(key, f"{store.shared_dir(spark)}/cycled-{uuid.uuid4().hex}"))
+    for name in ("weekly", *names):
+        if (*key, name) not in _CYCLED:
+            PIPELINES[name](kept, spark, d)
+            _CYCLED[(*key, name)] = kept.root
+    return kept
+
+
+def published(name: str, table_: str, run: str, columns: str, sql: str) -> None:
+    """A query that loads a run's table, verified against the digest in its row."""
+    QUERIES[name] = Query(columns, lambda spark, d: cycled(spark, d, run.split("-")[0]).load(table_, run), sql)
+
+
+FUTURE = f"SELECT game_id FROM games WHERE NOT completed AND home_score IS NULL AND away_score IS NULL AND game_date > TIMESTAMP '{AS_OF}'"
+published("pipeline_games", "games", "weekly-data", GAME_COLUMNS, "SELECT * FROM games")
+published("pipeline_boxes", "team_game_stats", "weekly-data", STAT_COLUMNS, "SELECT * FROM team_game_stats")
+published("pipeline_upgraded", "upgraded", "weekly-data", "game_id#", "SELECT game_id FROM games WHERE completed AND game_id % 5 = 0")
+published("pipeline_forecasts", "forecasts", "weekly-forecast", FORECAST + " confidence_tier model", f"SELECT * FROM ratedup WHERE game_id IN ({FUTURE})")
+published("pipeline_skipped", "skipped", "weekly-forecast", "game_id# season# week# reason", f"SELECT game_id, season, week, 'kickoff has passed or game is in progress' AS reason FROM games WHERE NOT completed AND game_id NOT IN ({FUTURE})")
+published("pipeline_rankings", "ratings", "rankings", QUERIES["power_ratings"].columns, "SELECT * FROM rated")
+published("pipeline_conferences", "conferences", "rankings", QUERIES["conference_rankings"].columns, QUERIES["conference_rankings"].sql)
+published("pipeline_features", "team_features", "model", f"game_id# team_id# season# prior_games# {FEATS}", "SELECT * FROM feats")
+published("pipeline_walk_overall", "walk_overall", "walk", f"model {METRIC_COLUMNS}", "SELECT * FROM overall")
+published("pipeline_report", "report_games", "report", REPORT, "SELECT * FROM report")
+
+
+@query(f"game_id# home_team_id# away_team_id# {PROJECTED}", "SELECT * FROM p")
+def pipeline_compare(spark, d):
+    kept = cycled(spark, d, "rankings")
+    data = pipelines.Dataset(kept.load("games", "weekly-data"), kept.load("team_game_stats", "weekly-data"))
+    return pipelines.compare(data, kept.load("ratings", "rankings"), slate(spark, d))[0]
+
+
+@query("kind runs# warned#", "SELECT * FROM (VALUES ('dataset', 1, 0), ('ratings', 2, 0), ('forecast', 1, 1), ('model', 1, 0), ('walk_forward', 1, 0), ('report', 1, 0)) v(kind, runs, warned)")
+def pipeline_runs(spark, d):
+    """The rows of runs: what was published, and which kinds carry warnings."""
+    return cycled(spark, d, *PIPELINES).runs().groupBy("kind").agg(F.count("*").alias("runs"), F.count_if(F.size("warnings") > 0).alias("warned"))
+
+
 # --- overdue results ------------------------------------------------------------------------------------------------------------
 
 #: Days after kickoff at which a result is overdue in these queries.
