@@ -158,9 +158,11 @@ def _tile(anchors: pd.DataFrame, rows: pd.DataFrame, same: bool, k: int) -> pd.D
 def _search_all(anchors: DataFrame, rows: DataFrame, n_anchors: int, n_rows: int, same: bool, k: int) -> DataFrame:
     """(anchor, id, score): what each block of rows has to offer to each anchor."""
     row_blocks, anchor_blocks = max(BLOCKS, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_anchors // ANCHOR_ROWS))
-    whole = F.xxhash64("id", "label", "vec")
-    near = rows.select("*", F.pmod(whole, F.lit(row_blocks)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(anchor_blocks - 1))).alias("ab"))
-    far = anchors.select("*", F.pmod(whole, F.lit(anchor_blocks)).alias("ab"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
+    # both sides' keys are of one type: a cogroup casts none, and an int and a long of one value hash to different partitions
+    block = lambda n: F.pmod(F.xxhash64("id", "label", "vec"), F.lit(n)).cast("int")
+    all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    near = rows.select("*", block(row_blocks).alias("rb"), all_blocks(anchor_blocks).alias("ab"))
+    far = anchors.select("*", block(anchor_blocks).alias("ab"), all_blocks(row_blocks).alias("rb"))
     return far.groupBy("rb", "ab").cogroup(near.groupBy("rb", "ab")).applyInPandas(lambda a, b: _tile(a, b, same, k), "anchor long, id long, score long")
 
 

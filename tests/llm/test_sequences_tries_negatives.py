@@ -245,6 +245,22 @@ def test_negatives_equal_brute_force(spark, monkeypatch, width, blocks, block_ro
     assert set(got) == brute_negatives(rows)
 
 
+def test_negatives_over_many_partitions(spark, monkeypatch):
+    """Blocks meet by their key, not because few partitions were merged into one."""
+    monkeypatch.setattr(negatives, "BLOCKS", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(4)), [float(x) for x in rng.normal(size=6) + 0.3]) for i in range(0, 1000, 4)]
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    try:
+        got = mined(spark, rows)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got and set(got) == brute_negatives(rows)
+
+
 def test_negatives_odd_rows(spark):
     good = [(100, 1, [1.0, 2.0]), (1, 1, [1.0, 2.0]), (2, 1, [2.0, 1.0]), (3, 2, [1.0, 0.5]), (4, 3, [0.5, 1.0]), (4, 3, [0.5, 1.0]), (5, 2, [1.5])]
     odd = [(None, 2, [1.0, 0.5]), (6, None, [1.0, 0.5]), (7, 2, None), (8, 2, [None, 1.0]), (9, 2, [float("nan"), 1.0]), (10, 2, [float("inf"), 1.0]), (12, 2, []), (200, 9, [1.0, 1.0]), (300, 1, [-1.0, -1.0])]
