@@ -101,6 +101,24 @@ def test_a_round_moves_no_edges(spark, two, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("edges_")]
 
 
+def test_rounds_over_many_teams_move_sums_only(spark, two, monkeypatch):
+    """Where vectors are too large to send whole, edges lie in buckets of the opponent and a round reads no more than their weights."""
+    games, stats, teams = two
+    e = ratings.edges(stats, games, S).withColumn("prior", F.col("team_id") / 7.0)
+    want = table(ratings.raw_ratings(e, S, "grouped"), "unit", "team_id")
+    monkeypatch.setattr(ratings, "VECTOR_ROWS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = table(ratings.raw_ratings(e, S, "rounds"), "unit", "team_id")
+        with ratings.bucketed(e, 4, "opponent_id") as kept:
+            x = spark.createDataFrame(want[["unit", "team_id", "off", "de"]])
+            plan = ratings.round_moves(kept, x.withColumns({c: F.lit(1.0) for c in ("p", "q", "total")}), x, ["unit"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.off.tolist() == pytest.approx(want.off.tolist(), abs=1e-9) and got.de.tolist() == pytest.approx(want.de.tolist(), abs=1e-9)
+    assert "Bucketed: true" in plan and not any(c in plan for c in ("pts#", "allowed#", "league#", "hfa#"))
+
+
 def test_newest_rating_at_kickoff(spark, two):
     games, stats, teams = two
     weekly = asof.fit_ratings_asof(games, stats, teams, s=S)
