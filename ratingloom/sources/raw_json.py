@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,54 +85,59 @@ def clock_seconds(text: Column) -> Column:
 
 
 def read_boxes(payloads: DataFrame, games: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """Team statistics of completed games that have exactly one good box, and (game_id, rule) of the others."""
-    boxes = _records(payloads, BOXES, column)
-    per = boxes.groupBy("id").agg(F.count("*").alias("boxes"))
+    """Team statistics of completed games that have exactly one good box, and (game_id, rule) of the others.
+
+    A box stays one row: its teams are read into an array of numbers, which meets the schedule once, and both teams' rows are taken
+    from there. Of games with several boxes, none of which counts, one is kept.
+    """
+    stat = lambda t, name: F.get(F.filter(t["stats"], lambda s: s["category"] == name), F.lit(0))["stat"]
+    whole = lambda t, name: F.when(stat(t, name).rlike(r"^-?\d+$"), stat(t, name).try_cast("bigint"))
+
+    def read(t: Column) -> Column:
+        values = {
+            "team_id": t["teamId"], "home_away": t["homeAway"], "points": t["points"], "n_stats": F.size(t["stats"]), "n_distinct": F.size(F.array_distinct(F.transform(t["stats"], lambda s: s["category"]))),
+            "total_yards": whole(t, "totalYards"), "passing_yards": whole(t, "netPassingYards"), "rushing_yards": whole(t, "rushingYards"), "turnovers": whole(t, "turnovers"),
+            "third_down_conversions": pair(stat(t, "thirdDownEff"), 1), "third_down_attempts": pair(stat(t, "thirdDownEff"), 2), "penalties": pair(stat(t, "totalPenaltiesYards"), 1),
+            "penalty_yards": pair(stat(t, "totalPenaltiesYards"), 2), "offensive_plays": pair(stat(t, "completionAttempts"), 2) + whole(t, "rushingAttempts"),
+            "completions": pair(stat(t, "completionAttempts"), 1), "attempts": pair(stat(t, "completionAttempts"), 2), "time_of_possession_seconds": clock_seconds(stat(t, "possessionTime")),
+        }
+        return F.struct(*(v.alias(k) for k, v in values.items()))
+
+    boxes = _records(payloads, BOXES, column).select("id", F.transform("teams", read).alias("t"))
+    boxes = boxes.groupBy("id").agg(F.count("*").alias("boxes"), F.first("t").alias("t"))
     schedule = games.select(F.col("game_id").alias("id"), F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), "home_score", "away_score", F.col("completed").alias("done"))
-    teams = boxes.select("id", F.explode_outer("teams").alias("t")).select("id", "t.*")
-    stat = lambda name: F.get(F.filter("stats", lambda s: s["category"] == name), F.lit(0))["stat"]
-    whole = lambda name: F.when(stat(name).rlike(r"^-?\d+$"), stat(name).try_cast("bigint"))
-    rows = teams.join(schedule, "id").withColumns(
-        {
-            "n_stats": F.size("stats"), "n_distinct": F.size(F.array_distinct(F.transform("stats", lambda s: s["category"]))), "is_home": F.col("homeAway") == "home",
-            "total_yards": whole("totalYards"), "passing_yards": whole("netPassingYards"), "rushing_yards": whole("rushingYards"), "turnovers": whole("turnovers"),
-            "third_down_conversions": pair(stat("thirdDownEff"), 1), "third_down_attempts": pair(stat("thirdDownEff"), 2), "penalties": pair(stat("totalPenaltiesYards"), 1),
-            "penalty_yards": pair(stat("totalPenaltiesYards"), 2), "offensive_plays": pair(stat("completionAttempts"), 2) + whole("rushingAttempts"),
-            "completions": pair(stat("completionAttempts"), 1), "attempts": pair(stat("completionAttempts"), 2), "time_of_possession_seconds": clock_seconds(stat("possessionTime")),
-        }
-    )
-    own = F.when(F.col("is_home"), F.col("home_score")).otherwise(F.col("away_score"))
     needed = ("total_yards", "passing_yards", "rushing_yards", "turnovers", "third_down_attempts", "penalties", "offensive_plays", "time_of_possession_seconds")
-    missing = F.lit(False)
-    for c in needed:
-        missing = missing | F.col(c).isNull()
-    rule = (
-        F.when(F.col("n_stats") != F.col("n_distinct"), "duplicate_category")
-        .when(F.coalesce(F.col("teamId") != F.when(F.col("is_home"), F.col("h")).otherwise(F.col("a")), F.lit(True)) | ~F.col("homeAway").isin("home", "away"), "teams_disagree_with_schedule")
-        .when(F.coalesce(F.col("points") != own, F.lit(True)), "role_or_score_mismatch")
-        .when(missing, "unreadable_value")
-        .when((F.col("third_down_conversions") > F.col("third_down_attempts")) | (F.col("completions") > F.col("attempts")), "successes_exceed_attempts")
-        .when(F.col("offensive_plays") <= 0, "plays_not_positive")
-        .when(F.col("turnovers") < 0, "negative_turnovers")
-        .when(F.col("total_yards") != F.col("passing_yards") + F.col("rushing_yards"), "yardage_components_disagree")
-    )
-    rows = rows.withColumn("rule", rule)
-    per_game = rows.groupBy("id").agg(F.count("*").alias("teams"), F.count_distinct("teamId").alias("ids"), F.min("rule").alias("rule"))
-    state = schedule.join(per, "id", "full").join(per_game, "id", "left")
+
+    def broken(t: Column) -> Column:
+        home = t["home_away"] == "home"
+        missing = reduce(lambda x, y: x | y, (t[c].isNull() for c in needed))
+        return (
+            F.when(t["n_stats"] != t["n_distinct"], "duplicate_category")
+            .when(F.coalesce(t["team_id"] != F.when(home, F.col("h")).otherwise(F.col("a")), F.lit(True)) | ~t["home_away"].isin("home", "away"), "teams_disagree_with_schedule")
+            .when(F.coalesce(t["points"] != F.when(home, F.col("home_score")).otherwise(F.col("away_score")), F.lit(True)), "role_or_score_mismatch")
+            .when(missing, "unreadable_value")
+            .when((t["third_down_conversions"] > t["third_down_attempts"]) | (t["completions"] > t["attempts"]), "successes_exceed_attempts")
+            .when(t["offensive_plays"] <= 0, "plays_not_positive")
+            .when(t["turnovers"] < 0, "negative_turnovers")
+            .when(t["total_yards"] != t["passing_yards"] + t["rushing_yards"], "yardage_components_disagree")
+        )
+
+    ids = F.size(F.array_distinct(F.filter(F.transform("t", lambda t: t["team_id"]), lambda x: x.isNotNull())))
     verdict = (
         F.when(F.col("done").isNull(), "unknown_game").when(~F.col("done") & F.col("boxes").isNotNull(), "unfinished_game_has_box")
         .when(F.col("done") & F.col("boxes").isNull(), "missing_box").when(F.col("boxes") > 1, "more_than_one_box")
-        .when(F.col("boxes").isNotNull() & ((F.coalesce("teams", F.lit(0)) != 2) | (F.col("ids") != 2)), "not_two_teams").otherwise(F.col("rule"))
+        .when(F.col("boxes").isNotNull() & (F.coalesce(F.size("t") != 2, F.lit(True)) | F.coalesce(ids != 2, F.lit(True))), "not_two_teams")
+        .otherwise(F.array_min(F.transform("t", broken)))
     )
-    state = state.withColumn("verdict", verdict)
-    good = rows.join(state.where("verdict IS NULL AND done").select("id"), "id", "left_semi")
-    other = good.select("id", F.col("teamId").alias("_other"), F.col("turnovers").alias("takeaways"))
-    both = good.join(other, "id").where("teamId <> _other")
+    state = schedule.join(boxes, "id", "full").withColumn("verdict", verdict)
+    good = state.where("verdict IS NULL AND done")
+    both = good.select("id", "home_score", "away_score", F.inline(F.array(*(F.struct(F.get("t", F.lit(i)).alias("own"), F.get("t", F.lit(1 - i)).alias("other")) for i in (0, 1)))))
+    is_home = F.col("own.home_away") == "home"
     stats = both.select(
-        F.col("id").alias("game_id"), F.col("teamId").alias("team_id"), F.col("_other").alias("opponent_id"), "is_home", "points",
-        F.when(F.col("is_home"), F.col("away_score")).otherwise(F.col("home_score")).alias("points_allowed"), "total_yards", "offensive_plays", "passing_yards", "rushing_yards",
-        "turnovers", "takeaways", "third_down_attempts", "third_down_conversions", F.lit(None).cast("bigint").alias("red_zone_attempts"), F.lit(None).cast("bigint").alias("red_zone_touchdowns"),
-        "penalties", "penalty_yards", "time_of_possession_seconds", F.lit(BASIS).alias("offensive_plays_basis"),
+        F.col("id").alias("game_id"), F.col("own.team_id").alias("team_id"), F.col("other.team_id").alias("opponent_id"), is_home.alias("is_home"), F.col("own.points").alias("points"),
+        F.when(is_home, F.col("away_score")).otherwise(F.col("home_score")).alias("points_allowed"), "own.total_yards", "own.offensive_plays", "own.passing_yards", "own.rushing_yards",
+        "own.turnovers", F.col("other.turnovers").alias("takeaways"), "own.third_down_attempts", "own.third_down_conversions", F.lit(None).cast("bigint").alias("red_zone_attempts"), F.lit(None).cast("bigint").alias("red_zone_touchdowns"),
+        "own.penalties", "own.penalty_yards", "own.time_of_possession_seconds", F.lit(BASIS).alias("offensive_plays_basis"),
     )
     return stats, state.where("verdict IS NOT NULL").select(F.col("id").alias("game_id"), F.col("verdict").alias("rule"))
 
