@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,64 +177,146 @@ def read_advanced(payloads: DataFrame, column: str = "payload") -> DataFrame:
 MAX_DEPTH = 64
 
 
+CAPITAL = "(?<!^)(?=[A-Z])"
+
+
 def snake(name: Column) -> Column:
     """A key in snake case: an underscore before each capital but the first character."""
-    return F.lower(F.regexp_replace(name, "(?<!^)(?=[A-Z])", "_"))
-
-
-def nesting(text: Column) -> Column:
-    """How many objects lie within each other in a JSON text; braces within strings don't count."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', ""), "[^{}]+", "")
-    open_ = lambda acc, c: acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-    deepest = lambda acc, c: F.struct(open_(acc, c).alias("now"), F.greatest(acc["most"], open_(acc, c)).alias("most"))
-    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deepest, lambda acc: acc["most"])
-
-
-def _advanced_boxes(payloads: DataFrame, column: str) -> DataFrame:
-    """(game_id, depth, teams, rule): a box's categories as a map of variants, and the rule that the box breaks."""
-    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    boxes = payloads.select("game_id", nesting(F.col(column)).alias("depth"), F.try_parse_json(column).alias("v"))
-    boxes = boxes.withColumn("teams", F.try_variant_get("v", "$.teams", "map<string,variant>"))
-    listed = lambda c: F.startswith(kind(c["value"]), F.lit("ARRAY"))
-    entries = lambda c: F.try_variant_get(c["value"], "$", "array<variant>")
-    name = lambda e: F.try_variant_get(e, "$.team", "string")
-    named = lambda e: (F.length(F.coalesce(name(e), F.lit(""))) > 0) & ~kind(F.try_variant_get(e, "$.team", "variant")).rlike("^(OBJECT|ARRAY)")
-    categories = F.map_entries("teams")
-    rule = (
-        F.when(F.col("v").isNull(), "invalid_json")
-        .when(F.col("teams").isNull() | ~F.startswith(kind(F.try_variant_get("v", "$.teams", "variant")), F.lit("OBJECT")), "no_teams")
-        .when(~F.forall(categories, listed), "category_not_a_list")
-        .when(~F.forall(categories, lambda c: F.forall(entries(c), named)), "entry_without_team")
-        .when(F.col("depth") > MAX_DEPTH, "too_deep")
-    )
-    return boxes.select("game_id", "depth", "teams", rule.alias("rule"))
+    return F.lower(F.regexp_replace(name, CAPITAL, "_"))
+
+
+@lru_cache(4096)
+def _underscored(key: str) -> str:
+    return re.sub(CAPITAL, "_", key)
+
+
+class _Number(str):
+    """A JSON number as it is written."""
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _unique(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key stands twice in an object")
+    return found
+
+
+#: JSON as ``parse_json`` takes it: the keys of an object differ, and NaN is none. The second leaves numbers as they are written.
+_PLAIN = json.JSONDecoder(parse_int=float, parse_constant=_no_constant, object_pairs_hook=_unique)
+_WRITTEN = json.JSONDecoder(parse_int=_Number, parse_float=_Number, parse_constant=_no_constant, object_pairs_hook=_unique)
+
+
+def _parsed(text: str | None, decoder: json.JSONDecoder = _PLAIN):
+    """(value, no rule) of a JSON text, or (None, the rule); as by ``parse_json``, what follows the value is not looked at."""
+    try:
+        return decoder.raw_decode(text, len(text) - len(text.lstrip(" \t\r\n")))[0], None
+    except (AttributeError, TypeError, ValueError, RecursionError):  # no text, no JSON, or thousands of levels
+        return None, "invalid_json"
+
+
+def _depth(value) -> int:
+    """How many objects lie within each other."""
+    deepest, todo = 0, [(value, 0)]
+    while todo:
+        v, above = todo.pop()
+        if isinstance(v, dict):
+            deepest = max(deepest, above + 1)
+            todo += [(x, above + 1) for x in v.values()]
+        elif isinstance(v, list):
+            todo += [(x, above) for x in v]
+    return deepest
+
+
+def _broken(text: str, box) -> str | None:
+    """The rule that a box breaks."""
+    teams = box.get("teams") if isinstance(box, dict) else None
+    if not isinstance(teams, dict):
+        return "no_teams"
+    if not all(isinstance(entries, list) for entries in teams.values()):
+        return "category_not_a_list"
+    for entries in teams.values():
+        for e in entries:
+            name = e.get("team") if isinstance(e, dict) else None
+            if name is None or name == "" or isinstance(name, (dict, list)):
+                return "entry_without_team"
+    return "too_deep" if text.count("{") > MAX_DEPTH and _depth(box) > MAX_DEPTH else None
+
+
+def _leaves(name: str, record: dict, top: bool = True) -> Iterator[tuple]:
+    """(metric, number, text, flag) of the values of a record and of the objects in it."""
+    for key, v in record.items():
+        kind = type(v)
+        if top and key == "team" or kind is list:
+            continue
+        metric = f"{name}_{_underscored(key)}"
+        if kind is dict:
+            yield from _leaves(metric, v, False)
+        elif kind is float:
+            yield metric, v + 0.0, None, None
+        else:
+            yield metric, None, *((v, None) if kind is str else (None, v))
+
+
+#: Rows that a task holds before it passes them on.
+LEAVES = 20_000
+_FLAT = {"team": pa.string(), "raw_team": pa.string(), "metric": pa.string(), "entry": pa.int32(), "value": pa.float64(), "text": pa.string(), "flag": pa.bool_(), "rule": pa.string()}
+
+
+def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of boxes (game_id, payload) a row a leaf, or one with the rule that the box breaks. A team that is no text is left in ``raw_team`` as JSON."""
+    for batch in batches:
+        at: list[int] = []
+        rows: list[tuple] = []
+
+        def passed_on() -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*rows)] or [[] for _ in _FLAT]
+            out = [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, kind) for c, kind in zip(columns, _FLAT.values()))]
+            at.clear()
+            rows.clear()
+            return pa.RecordBatch.from_arrays(out, names=["game_id", *_FLAT])
+
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            box, rule = _parsed(text)
+            rule = rule or _broken(text, box)
+            if rule:
+                at.append(k)
+                rows.append((None, None, None, None, None, None, None, rule))
+                continue
+            # halves of surrogate pairs, which only escapes can bring, are written as question marks
+            clean = (lambda t: t and t.encode(errors="replace").decode()) if "\\u" in text else (lambda t: t)
+            for category, entries in box["teams"].items():
+                name = _underscored(category)
+                for entry, e in enumerate(entries):
+                    own = (clean(e["team"]), None) if type(e["team"]) is str else (None, json.dumps(e["team"]))
+                    if type(e["team"]) is float:
+                        own = (None, _parsed(text, _WRITTEN)[0]["teams"][category][entry]["team"])
+                    for metric, number, written, flag in _leaves(name, e):
+                        at.append(k)
+                        rows.append((*own, clean(metric), entry, number, clean(written), flag, None))
+                    if len(rows) > LEAVES:
+                        yield passed_on()
+        yield passed_on()
 
 
 def flatten_advanced(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Long form (game_id, team, metric, entry, value, text, flag) of dynamic advanced boxes, and (game_id, rule) of the broken ones.
 
-    Categories and nesting may differ from box to box: they are read as variants, to the depth that the boxes have (which is found
-    first). A metric's name joins the keys on its path in snake case; its value is a number, text or flag, in the column of its
-    kind (all null for a JSON null). Arrays inside a record are passed over. A box that breaks a rule gives no rows at all. A team
-    that a category lists twice has both entries' rows; ``entry`` tells their order.
+    Categories and nesting may differ from box to box: each is read once, to its own depth. A metric's name joins the keys on its
+    path in snake case; its value is a number, text or flag, in the column of its kind (all null for a JSON null). Arrays inside a
+    record are passed over. A box that breaks a rule gives no rows at all. A team that a category lists twice has both entries'
+    rows; ``entry`` tells their order.
     """
-    boxes = _advanced_boxes(payloads, column)
-    good = boxes.where("rule IS NULL")
-    depth = good.agg(F.max("depth")).first()[0] or 0
-    each = good.select("game_id", F.explode("teams").alias("category", "list"))
-    each = each.select("game_id", snake(F.col("category")).alias("metric"), F.posexplode(F.try_variant_get("list", "$", "array<variant>")).alias("entry", "v"))
-    rows = each.withColumn("team", F.try_variant_get("v", "$.team", "string"))
-    object_ = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
-    for step in range(max(depth - 2, 0)):  # box, teams and record are three; each step opens the objects of one level, leaves pass through
-        inner = payloads.sparkSession.tvf.variant_explode_outer(F.when(object_, F.col("v")).outer())
-        rows = rows.lateralJoin(inner.select(F.col("key").alias("_key"), F.col("value").alias("_value")))
-        rows = rows.where("_key IS NULL OR _key <> 'team'") if step == 0 else rows
-        rows = rows.select("game_id", "team", F.when(F.col("_key").isNull(), F.col("metric")).otherwise(F.concat("metric", F.lit("_"), snake(F.col("_key")))).alias("metric"), "entry", F.coalesce("_value", "v").alias("v"))
-    kind = F.schema_of_variant("v")
-    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    of = lambda on, as_: F.when(on, F.try_variant_get("v", "$", as_))
-    leaves = rows.where(~kind.rlike("^(OBJECT|ARRAY)")).select("game_id", "team", "metric", "entry", of(number, "double").alias("value"), of(kind == "STRING", "string").alias("text"), of(kind == "BOOLEAN", "boolean").alias("flag"))
-    return leaves, boxes.where("rule IS NOT NULL").select("game_id", "rule")
+    game = dict(payloads.dtypes)["game_id"]
+    flat = payloads.select("game_id", F.col(column).cast("string")).mapInArrow(
+        _flattened, f"game_id {game}, team string, raw_team string, metric string, entry int, value double, text string, flag boolean, rule string"
+    )
+    team = F.coalesce("team", F.try_variant_get(F.try_parse_json("raw_team"), "$", "string"))
+    leaves = flat.where("rule IS NULL").select("game_id", team.alias("team"), F.lower("metric").alias("metric"), "entry", "value", "text", "flag")
+    return leaves, flat.where("rule IS NOT NULL").select("game_id", "rule")
 
 
 def pivot_advanced(long: DataFrame, metrics: list[str] | None = None) -> DataFrame:

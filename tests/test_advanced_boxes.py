@@ -61,3 +61,23 @@ def test_snake_case(spark):
     names = ["successRates", "PPA", "quarter1", "already_snake", "pointsPerOpportunity"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(snake(F.col("n"))).collect()]
     assert got == ["success_rates", "p_p_a", "quarter1", "already_snake", "points_per_opportunity"]
+
+
+def test_boxes_are_read_once_and_without_a_pass_for_their_depth(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def payloads(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf.assign(payload='{"teams":{"ppa":[{"team":"A","overall":{"total":0.5}}]}}')[["game_id", "payload"]]
+
+    long, _ = flatten_advanced(spark.range(50).withColumnRenamed("id", "game_id").mapInPandas(payloads, "game_id bigint, payload string"))
+    assert made.value == 0
+    assert long.count() == 50 and made.value == 50
+
+
+def test_teams_that_are_numbers_or_flags_and_numbers_of_any_form(spark):
+    texts = ['{"teams":{"ppa":[{"team":%s,"x":%s}]}}' % c for c in (("12", "-0"), ("1.50", "1e400"), ("true", "12345678901234567890123"), ('"a"', "NaN"), ('"{b"', '"\\ud800"'), ('"c"', '1,"x":2'))]
+    long, rejected = flatten_advanced(boxes(spark, *texts))
+    assert [(r.team, str(r.value), r.text) for r in long.orderBy("game_id").collect()] == [("12", "0.0", None), ("1.5", "inf", None), ("true", "1.2345678901234568e+22", None), ("{b", "None", "?")]
+    assert [(r.game_id, r.rule) for r in rejected.orderBy("game_id").collect()] == [(4, "invalid_json"), (6, "invalid_json")]
