@@ -109,3 +109,14 @@ def test_bases_are_checked(first, league):
         assert store.load("games", "b-data", only=[1999]).count() > 0
     finally:
         part.write_bytes(kept)
+
+
+def test_ratings_after_late_results_do_not_wait_for_features(spark, data, monkeypatch):
+    from ratingloom.plans import registry
+
+    registry._UPDATED.pop((spark.sparkContext.applicationId, data), None)
+    monkeypatch.setattr(incremental, "update_features", lambda *a, **k: (_ for _ in ()).throw(AssertionError("features aren't asked for")))
+    assert registry.QUERIES["ratings_after_late_results"].run(spark, data).count() > 0
+    assert registry.QUERIES["seasons_of_late_results"].run(spark, data).count() > 0
+    monkeypatch.undo()
+    assert registry.QUERIES["features_after_late_results"].run(spark, data).count() > 0
